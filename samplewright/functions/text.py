@@ -82,7 +82,8 @@ def payload(c: Column | str) -> Column:
     """
     whole = F.concat(F.lit("["), filled(c), F.lit("]"))
     items = F.from_json(whole, f"array<{PAYLOAD_TYPE}>", {"allowSingleQuotes": "false"})
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+    one = F.filter(F.array(items), lambda x: F.size(x) == 1)  # binds the parse result, which is then used twice
+    return F.get(F.get(one, F.lit(0)), F.lit(0))
 
 
 def payload_json(attrs: Column | str) -> Column:

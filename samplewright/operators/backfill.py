@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
 from samplewright.operators.ranking import last_by
-from samplewright.operators.skew import salted_join
+from samplewright.operators.skew import lookup_join
 
 
 def with_column_if_absent(rows: DataFrame, column: str) -> DataFrame:
@@ -27,7 +27,7 @@ def match_members(members: DataFrame, index: DataFrame, sheets: DataFrame) -> Da
     `members(zip_name, filename)`, `index(filename, sampletype, uid)`, `sheets(sampletype)` with an upload sheet.
     """
     held = sheets.select("sampletype", F.lit(True).alias("_sheet")).distinct()
-    found = salted_join(members, index, "filename", "left").join(held, "sampletype", "left")
+    found = lookup_join(members, index, "filename", "left").join(held, "sampletype", "left")
     state = F.when(F.col("uid").isNull(), "no_curation_match").when(F.col("_sheet"), "matched").otherwise("no_sheet")
     return found.select("zip_name", "filename", "sampletype", "uid", state.alias("state"))
 
@@ -60,7 +60,7 @@ def backfill_by_name(rows: DataFrame, links: DataFrame, file_column: str, column
     rows = with_column_if_absent(rows, column)
     keyed = rows.withColumn("_file", t.filled(file_column))
     new = F.coalesce("url", column)
-    found = salted_join(keyed, links.withColumnRenamed("filename", "_file"), "_file", "left")
+    found = lookup_join(keyed, links.withColumnRenamed("filename", "_file"), "_file", "left")
     return found.select(
         *[c for c in rows.columns if c != column], new.alias(column),
         F.col("url").isNotNull().alias("touched"), changed(column, new).alias("changed"),
@@ -99,7 +99,7 @@ def patch_accessions(
     scope = F.coalesce(t.has_type("uid", [prefix]), F.lit(False))
     keyed = rows.withColumn("_id", F.when(scope, t.first_hit(id_column, pattern)))
     entries = roster.select(F.col("sample_id").alias("_id"), F.col("accession").alias("_acc"))
-    found = salted_join(keyed, entries, "_id", "left")
+    found = lookup_join(keyed, entries, "_id", "left")
     new = {link_column: F.coalesce(t.accession_url("_acc"), link_column)}
     if accession_column:
         new[accession_column] = F.coalesce("_acc", accession_column)

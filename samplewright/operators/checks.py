@@ -17,6 +17,7 @@ from samplewright.model import (
 )
 from samplewright.operators.ranking import first_rows, later_rows
 from samplewright.operators.resolve import missing_parents
+from samplewright.session import cut
 
 ISSUE_COLUMNS = ["code", "severity", "row_n", "uid", "sampletype", "detail"]
 
@@ -39,8 +40,8 @@ def _issue(when: Column, code: str, severity: int, detail: Column) -> Column:
     )
 
 
-def row_issues(rows: DataFrame, catalogue: DataFrame, roots: Sequence[str] = ROOT_TYPES) -> DataFrame:
-    """All findings that one row and its type decide. `rows` comes from `prepare`; one pass, one small join."""
+def _with_findings(rows: DataFrame, catalogue: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """Add `findings`, the array of everything one row and its type decide. One pass, one small join."""
     known = catalogue.select(F.col("sampletype").alias("_type"), F.lit(True).alias("_known"), "required")
     df = rows.join(known, F.col("sampletype") == F.col("_type"), "left")
     row, uid, st = F.col("row_n"), F.col("uid"), F.col("sampletype")
@@ -62,11 +63,16 @@ def row_issues(rows: DataFrame, catalogue: DataFrame, roots: Sequence[str] = ROO
     required = F.transform(
         gaps, lambda f: F.struct(F.lit("missing_required").alias("code"), F.lit(INFO).alias("severity"), f.alias("detail"))
     )
-    found = F.concat(F.filter(single, lambda x: x.isNotNull()), required)
-    return df.select("row_n", "uid", "sampletype", F.explode(found).alias("_i")).select(
-        F.col("_i.code").alias("code"), F.col("_i.severity").alias("severity"), "row_n", "uid", "sampletype",
-        F.col("_i.detail").alias("detail"),
-    )
+    return df.withColumn("findings", F.concat(F.filter(single, lambda x: x.isNotNull()), required))
+
+
+def _exploded(df: DataFrame) -> DataFrame:
+    return df.select("row_n", "uid", "sampletype", F.inline("findings")).select(*ISSUE_COLUMNS)
+
+
+def row_issues(rows: DataFrame, catalogue: DataFrame, roots: Sequence[str] = ROOT_TYPES) -> DataFrame:
+    """All findings that one row and its type decide, one per row. `rows` comes from `prepare`."""
+    return _exploded(_with_findings(rows, catalogue, roots))
 
 
 def duplicate_uids(rows: DataFrame, order: Sequence[str] = ("row_n",)) -> DataFrame:
@@ -95,24 +101,32 @@ def all_issues(
     rows: DataFrame, catalogue: DataFrame, baseline: DataFrame | None, roots: Sequence[str] = ROOT_TYPES,
     order: Sequence[str] = ("row_n",),
 ) -> DataFrame:
-    """The full issue table of an upload prepared by `prepare`."""
+    """The full issue table of an upload prepared by `prepare`.
+
+    The payloads are read once: keys, parent cell, name and row findings go to a slim table without payloads, and all
+    checks across rows work on that.
+    """
     keep = ["row_n", "uid", "sampletype"]
-    dup = duplicate_uids(rows.select(*dict.fromkeys([*keep, *order])), order).select(
+    slim = cut(_with_findings(rows, catalogue, roots).select(
+        *dict.fromkeys([*keep, *order]), t.parent_cell("parent", "attrs").alias("parent"),
+        t.attr("attrs", "Name").alias("name"), "findings",
+    ))
+    dup = duplicate_uids(slim.select(*dict.fromkeys([*keep, *order])), order).select(
         F.lit("duplicate_uid").alias("code"), F.lit(HARD).alias("severity"), *keep,
         _text(F.col("uid"), " appears in row ", F.col("row_n"), " AND row ", F.col("first_row_n"), " (sampletype ",
               F.col("first_sampletype"), ")").alias("detail"),
     )
-    names = duplicate_names(rows.select(*dict.fromkeys([*keep, *order, "attrs"])), order).select(
+    names = duplicate_names(slim.select(*dict.fromkeys([*keep, *order, "name"])), order).select(
         F.lit("duplicate_name").alias("code"), F.lit(HARD).alias("severity"), *keep,
         _text("sampletype ", F.col("sampletype"), ", name '", F.col("name"), "' reseen in row ", F.col("row_n")).alias(
             "detail"),
     )
-    lost = missing_parents(rows, baseline).select(
+    lost = missing_parents(slim, baseline).select(
         F.lit("parent_uid_not_found").alias("code"), F.lit(HARD).alias("severity"), *keep,
         _text("row ", F.col("row_n"), " ", F.col("uid"), " (", F.col("sampletype"), ") → Parent '", F.col("parent_uid"),
               "' not in upload or baseline").alias("detail"),
     )
-    parts = [row_issues(rows, catalogue, roots), dup, names, lost]
+    parts = [_exploded(slim), dup, names, lost]
     return reduce(DataFrame.unionByName, [p.select(*ISSUE_COLUMNS) for p in parts])
 
 

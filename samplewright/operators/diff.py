@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
 from samplewright.model import COMPARE_COLUMNS, VOCAB_COLUMNS
-from samplewright.operators.skew import salted_join
+from samplewright.operators.skew import lookup_join
 
 
 def _sides(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -142,7 +142,8 @@ def expected_vs_pulled(manifest: DataFrame, images: DataFrame) -> DataFrame:
 def duplicate_imports(images: DataFrame) -> DataFrame:
     """The image ids behind every file name that was imported more than once, one row each."""
     several = images.groupBy("filename").agg(F.count(F.lit(1)).alias("n_images")).where("n_images > 1")
-    return salted_join(images.select("filename", "image_id"), several, "filename")
+    several = several.withColumn("_n", F.col("n_images"))
+    return lookup_join(images.select("filename", "image_id"), several, "filename", count="_n")
 
 
 def round_trip(requested: DataFrame, returned: DataFrame, ancestors: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from samplewright.functions import paths as p
 from samplewright.functions import text as t
 from samplewright.model import IMAGE_TYPES, MANIFEST_COLUMNS
 from samplewright.operators.ranking import dense_index, first_rows
-from samplewright.operators.skew import salted_join
+from samplewright.operators.skew import lookup_join
 
 
 def classify_listing(files: DataFrame) -> DataFrame:
@@ -60,7 +60,8 @@ def collisions(manifest: DataFrame) -> DataFrame:
     """Targets that several files would take, one source per row. Only colliding targets are joined back."""
     moving = _moving(manifest).select("target_relpath", "original_path")
     several = moving.groupBy("target_relpath").agg(F.count(F.lit(1)).alias("n_sources")).where("n_sources > 1")
-    return salted_join(moving, several, "target_relpath")
+    several = several.withColumn("_n", F.col("n_sources"))
+    return lookup_join(moving, several, "target_relpath", count="_n")
 
 
 def collision_counts(manifest: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def content_duplicates(files: DataFrame) -> DataFrame:
     key = F.concat_ws(":", "md5", F.col("length").cast("string"))
     keyed = files.select("path", "md5", "length", key.alias("_k"))
     several = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
-    return salted_join(keyed, several, "_k").drop("_k")
+    return lookup_join(keyed, several.withColumn("_n", F.col("n_copies")), "_k", count="_n").drop("_k")
 
 
 def _on_disk(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def _on_disk(manifest: DataFrame, files: DataFrame) -> DataFrame:
     listing = files.select("path", F.col("length").alias("_len"))
     src = listing.toDF("original_path", "src_length")
     dst = listing.toDF("target_relpath", "dst_length")
-    return salted_join(
+    return lookup_join(
         manifest.where(F.col("target_storage") != "skip").join(src, "original_path", "left"), dst, "target_relpath", "left"
     )
 
@@ -150,7 +151,7 @@ def stage_plan(
     name = p.base_name("path")
     seen = files.where(F.contains("path", F.lit("/")) & (top != excluded_root)).select("path", name.alias("filename"))
     seen = seen.where(~F.startswith("filename", F.lit("._")) & (F.col("filename") != ".DS_Store"))
-    found = salted_join(seen, index.select("filename", "sampletype", "uid"), "filename", "left")
+    found = lookup_join(seen, index.select("filename", "sampletype", "uid"), "filename", "left")
     default = F.lit(None).cast("int")
     for kind, fig in (defaults or {}).items():
         default = F.when(F.col("sampletype") == kind, fig).otherwise(default)
@@ -162,7 +163,7 @@ def stage_plan(
         .when(F.col("_taken") & (F.col("destination") != F.col("path")), "collision").otherwise("stage")
     )
     taken = files.select(F.col("path").alias("destination"), F.lit(True).alias("_taken")).distinct()
-    return salted_join(found, taken, "destination", "left").select(
+    return lookup_join(found, taken, "destination", "left").select(
         "path", "filename", "sampletype", "uid", "figure", "destination", state.alias("state"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from samplewright.operators.skew import salted_join
+from samplewright.operators.skew import lookup_join
 from samplewright.session import cut
 
 _RUNS_BOUND = 200_000
@@ -72,18 +72,16 @@ def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
 def later_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Every row but the first of its key, with the first row's `order` and `carry` columns as `first_*`.
 
-    Keys seen once are dropped by the aggregate, so only repeated keys are joined back; the aggregate holds one row
-    per key, and the rows of a hot key are spread over tasks.
+    Keys seen once are dropped by the aggregate, so only repeated keys are joined back, as a reduced table.
     """
     cols = list(dict.fromkeys([*order, *carry]))
     key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
     keyed = df.withColumn("_key", key)
     firsts = (
-        keyed.groupBy("_key").agg(F.min(F.struct(*cols)).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1").drop("_n")
+        keyed.groupBy("_key").agg(F.min(F.struct(*cols)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     )
     return (
-        salted_join(keyed, firsts, "_key")
+        lookup_join(keyed, firsts, "_key", count="_n")
         .where(F.struct(*order) > F.struct(*[F.col("_first")[c].alias(c) for c in order]))
         .select(*df.columns, *[F.col("_first")[c].alias(f"first_{c}") for c in cols])
     )

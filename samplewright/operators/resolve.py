@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
 from samplewright.operators.ranking import first_by
-from samplewright.operators.skew import salted_join
-
-STATUS = {0: "intra", 1: "baseline"}
-
+from samplewright.operators.skew import lookup_join
 
 def known_uids(upload: DataFrame, baseline: DataFrame | None) -> DataFrame:
     """(uid, origin): 0 when the upload holds it, 1 when only the baseline does. One row per uid."""
@@ -32,25 +29,31 @@ def _status() -> Column:
     return F.when(F.col("origin") == 0, "intra").when(F.col("origin") == 1, "baseline").otherwise("missing")
 
 
+def parent_status(rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
+    """(parent_uid, n_refs, status) for every distinct cited parent.
+
+    Citations are counted per parent before anything is joined, so a hub parent is one row.
+    """
+    refs = parent_refs(rows, ()).groupBy("parent_uid").agg(F.count(F.lit(1)).alias("n_refs"))
+    known = known_uids(rows, baseline).withColumnRenamed("uid", "parent_uid")
+    return refs.join(known, "parent_uid", "left").select("parent_uid", "n_refs", _status().alias("status"))
+
+
 def resolve_parents(rows: DataFrame, baseline: DataFrame | None, keep=("row_n", "uid", "sampletype")) -> DataFrame:
     """Every cited parent with its status intra / baseline / missing; the upload wins over the baseline."""
-    refs = parent_refs(rows, keep)
-    known = known_uids(rows, baseline).withColumnRenamed("uid", "parent_uid")
-    return salted_join(refs, known, "parent_uid", "left").select(*refs.columns, _status().alias("status"))
+    return lookup_join(parent_refs(rows, keep), parent_status(rows, baseline), "parent_uid", count="n_refs")
 
 
 def parent_tally(rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
-    """Count of citations per status. Citations are counted per parent before the join, so a hub parent is one row."""
-    refs = parent_refs(rows, ()).groupBy("parent_uid").agg(F.count(F.lit(1)).alias("n"))
-    known = known_uids(rows, baseline).withColumnRenamed("uid", "parent_uid")
-    return refs.join(known, "parent_uid", "left").groupBy(_status().alias("status")).agg(F.sum("n").alias("n_refs"))
+    """Count of citations per status."""
+    return parent_status(rows, baseline).groupBy("status").agg(F.sum("n_refs").alias("n_refs"))
 
 
 def missing_parents(rows: DataFrame, baseline: DataFrame | None, keep=("row_n", "uid", "sampletype")) -> DataFrame:
-    """The citations whose parent is neither in the upload nor in the baseline."""
-    refs = parent_refs(rows, keep)
-    known = known_uids(rows, baseline).select(F.col("uid").alias("parent_uid"))
-    return salted_join(refs, known, "parent_uid", "left_anti")
+    """The citations whose parent is neither in the upload nor in the baseline. Few parents are missing as a rule,
+    and then the rows are not shuffled."""
+    lost = parent_status(rows, baseline).where("status = 'missing'").drop("status")
+    return lookup_join(parent_refs(rows, keep), lost, "parent_uid", count="n_refs")
 
 
 def resolve_titles(titles: DataFrame, cache: DataFrame, synonyms: DataFrame, title: str = "title") -> DataFrame:
@@ -102,7 +105,7 @@ def shared_titles(assays: DataFrame, project: DataFrame) -> DataFrame:
     linked = assays.where(~t.is_blank("title")).join(project.select("assay_id").distinct(), "assay_id", "left_semi")
     ids = linked.select("title", "assay_id").distinct()
     several = ids.groupBy("title").agg(F.count(F.lit(1)).alias("n_ids")).where("n_ids > 1")
-    return salted_join(ids, several, "title")
+    return lookup_join(ids, several.withColumn("_n", F.col("n_ids")), "title", count="_n")
 
 
 def file_index(rows: DataFrame, order: Sequence[str] = ("sheet_pos", "row_n")) -> DataFrame:

@@ -7,16 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from samplewright.session import cut
 
-def hot_keys(df: DataFrame, key: str, share: int = 200, tracked: int = 4096) -> list:
-    """Keys that hold at least one row in `share`: at most `share` values, whatever the size of the table.
+SHARE = 200  # a key is hot when it holds at least one row in SHARE; there are at most SHARE such keys
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
-    A sketch built in one pass names the candidates; nothing is shuffled by key.
-    """
+
+def hot_keys(df: DataFrame, key: str, tracked: int = 4096) -> list:
+    """The hot keys of a table, whatever its size. A sketch built in one pass names them; nothing is shuffled by key."""
     top = df.where(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k(`{key}`, {share}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n")
+        F.expr(f"approx_top_k(`{key}`, {SHARE}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n")
     ).first()
-    return [item["item"] for item in (top["top"] or []) if item["count"] * share >= top["n"]]
+    return [item["item"] for item in (top["top"] or []) if item["count"] * SHARE >= top["n"]]
 
 
 def salted_join(
@@ -35,3 +38,25 @@ def salted_join(
     copies = F.when(F.col(key).isin(*hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     copied = right.withColumn("_salt", F.explode(copies))
     return salted.join(copied, [key, "_salt"], how).drop("_salt")
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", count: str | None = None) -> DataFrame:
+    """Join rows to a reduced table of one row per key.
+
+    The reduced table is written once and measured. Within the bound above it is broadcast, and `left` is not shuffled
+    at all; beyond it the join is salted. `count` names a column of `right` with the number of left rows per key, if it
+    is known: hot keys are then read off it, else a sketch over `left` finds them. `count` is dropped from the result.
+    """
+    reduced = cut(right)
+    size = reduced.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.to_json(F.struct(*reduced.columns)))).alias("bytes"),
+        *([F.sum(count).alias("left_rows")] if count else []),
+    ).first()
+    hot = None
+    if count and size["rows"] > BROADCAST_ROWS:
+        top = reduced.where(F.col(count) * SHARE >= size["left_rows"]).select(key).limit(SHARE)
+        hot = [row[key] for row in top.collect()]
+    reduced = reduced.drop(count) if count else reduced
+    if size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(reduced), key, how)
+    return salted_join(left, reduced, key, how, hot)

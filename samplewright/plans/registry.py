@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions.text import mint_uid
 from samplewright.model import local_table
+from samplewright.session import spread
 
 LAB, DATE = "TPC", "240101"
 ROOTS = ["REG", "PRT"]
@@ -121,7 +122,7 @@ def order_upload(spark: SparkSession, sf: str) -> DataFrame:
     )
     broken = F.when(_mod(k, 401, 9), F.left(json, F.lit(20))).when(_mod(k, 409, 10), F.lit("[1,2]")).when(
         _mod(k, 419, 11), F.lit("")).otherwise(json)
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         text("Arm", F.pmod(F.col(k), F.lit(4)).cast("string")).alias("arm"),
         text("file", F.pmod(F.col(k), F.lit(50)).cast("string"), ".xlsx").alias("file"),
         (F.col(k) + 2).alias("row_n"), uid.alias("uid"), kind.alias("sampletype"), text("order ", name).alias("name"),

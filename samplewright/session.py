@@ -52,3 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and go on from the copy: short lineage, survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer partitions than there are cores, such as one small file. A scan with enough
+    partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
