@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_books():
-    from samplewright.plans import qa
+    from samplewright.plans import diffs, qa
 
-    return [qa.book]
+    return [qa.book, diffs.book]
