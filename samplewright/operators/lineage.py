@@ -6,14 +6,15 @@ nothing. Cycles are no problem: a node is expanded once per key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
 from samplewright.operators.resolve import resolve_identifiers
+from samplewright.operators.skew import BROADCAST_ROWS, hot_keys, salted_join
 from samplewright.session import cut
 
 _FAR = {"up": ("child_uid", "parent_uid"), "down": ("parent_uid", "child_uid")}
@@ -30,24 +31,33 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _step(edges: DataFrame, frontier: DataFrame, rows: int, hot: Callable[[], list]) -> DataFrame:
+    """Edges met by a frontier of `rows` rows on `uid`: broadcast while it is small, else joined with hubs spread out."""
+    if rows <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(frontier), "uid")
+    return salted_join(edges, frontier, "uid", "inner", hot())
+
+
 def closure(starts: DataFrame, edges: DataFrame, direction: str, key: str | None = None) -> DataFrame:
     """Everything reachable from `starts(uid[, key])`, starts included at hop 0: ([key,] uid, hop).
 
-    Each hop joins only the newest nodes to the edges, drops the ones already seen, and is written once.
+    Each hop joins only the newest nodes to the edges, drops the ones already seen, and is written once. The edges are
+    read once per hop: pass a stored table, or `cut` a derived one first.
     """
     near, far = _FAR[direction]
     keys = [key] if key else []
-    step = edges.select(F.col(near).alias("uid"), F.col(far).alias("_next")).distinct()
+    step = edges.select(F.col(near).alias("uid"), F.col(far).alias("_next"))
+    hubs = cache(lambda: hot_keys(step, "uid"))
     hops = [cut(starts.select(*keys, "uid").distinct().withColumn("hop", F.lit(0)))]
-    while True:
-        reached = hops[-1].join(step, "uid").select(*keys, F.col("_next").alias("uid")).distinct()
-        fresh = reached
-        for seen in hops:
-            fresh = fresh.join(seen.select(*keys, "uid"), [*keys, "uid"], "left_anti")
-        fresh = cut(fresh.withColumn("hop", F.lit(len(hops))))
-        if fresh.isEmpty():
-            return _union(hops)
-        hops.append(fresh)
+    rows = total = hops[0].count()
+    while rows:
+        reached = _step(step, hops[-1].drop("hop"), rows, hubs).select(*keys, F.col("_next").alias("uid")).distinct()
+        seen = _union(hops).drop("hop")
+        fresh = reached.join(F.broadcast(seen) if total <= BROADCAST_ROWS else seen, [*keys, "uid"], "left_anti")
+        hops.append(cut(fresh.withColumn("hop", F.lit(len(hops)))))
+        rows = hops[-1].count()
+        total += rows
+    return _union(hops)
 
 
 def full_lineage(starts: DataFrame, edges: DataFrame, key: str | None = None) -> DataFrame:
@@ -140,11 +150,12 @@ def descendant_types(edges: DataFrame, nodes: DataFrame, types: Sequence[str]) -
         raise ValueError("pass at most 60 types at a time")
     bit = reduce(lambda chain, i: chain.when(F.col("sampletype") == types[i], 1 << i), range(1, len(types)),
                  F.when(F.col("sampletype") == types[0], 1)).otherwise(0).cast("bigint")
-    up = edges.select("child_uid", "parent_uid").distinct()
-    sent = cut(nodes.select(F.col("uid").alias("child_uid"), bit.alias("mask")).where("mask > 0"))
+    up = edges.select(F.col("child_uid").alias("uid"), "parent_uid")
+    sent = cut(nodes.select("uid", bit.alias("mask")).where("mask > 0"))
     state = None
     while True:
-        got = sent.join(up, "child_uid").groupBy(F.col("parent_uid").alias("uid")).agg(F.bit_or("mask").alias("mask"))
+        met = _step(up, sent, sent.count(), list)  # a child cites few parents: no hot keys on this side
+        got = met.groupBy(F.col("parent_uid").alias("uid")).agg(F.bit_or("mask").alias("mask"))
         if state is None:
             state = grown = cut(got)
         else:
@@ -156,7 +167,7 @@ def descendant_types(edges: DataFrame, nodes: DataFrame, types: Sequence[str]) -
             state = cut(state.union(grown).groupBy("uid").agg(F.bit_or("mask").alias("mask")))
         if grown.isEmpty():
             return state
-        sent = grown.withColumnRenamed("uid", "child_uid")
+        sent = grown
 
 
 def parents_with_all_types(

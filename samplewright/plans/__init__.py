@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_books():
-    from samplewright.plans import diffs, qa
+    from samplewright.plans import diffs, graph, qa
 
-    return [qa.book, diffs.book]
+    return [qa.book, diffs.book, graph.book]
