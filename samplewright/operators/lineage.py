@@ -21,10 +21,10 @@ _FAR = {"up": ("child_uid", "parent_uid"), "down": ("parent_uid", "child_uid")}
 
 
 def lineage_edges(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Distinct edges of a sample table, from its `;`-joined parents."""
-    return rows.select(
-        t.filled("uid").alias("child_uid"), F.explode(t.split_list("parent")).alias("parent_uid"), *carry
-    ).where(F.col("child_uid").isNotNull() & ~t.holds_any("parent_uid")).distinct()
+    """Edges of a sample table, from its `;`-joined parents; a parent cited twice by one row counts once."""
+    parents = F.array_distinct(t.split_list("parent"))
+    return rows.select(t.filled("uid").alias("child_uid"), F.explode(parents).alias("parent_uid"), *carry).where(
+        F.col("child_uid").isNotNull() & ~t.holds_any("parent_uid"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -79,7 +79,7 @@ def tree(nodes: DataFrame, edges: DataFrame, starts: DataFrame, key: str = "inpu
     child = members.select(key, F.col("uid").alias("child_uid"))
     parent = members.select(key, F.col("uid").alias("parent_uid"))
     rels = child.join(edges, "child_uid").join(parent, [key, "parent_uid"])
-    return tree_nodes, rels.select(key, *edges.columns)
+    return tree_nodes, rels.select(key, *edges.columns).distinct()
 
 
 def batch_trees(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -194,7 +194,10 @@ def dag_check(spark, sf):
     return lineage.dag_check(edges, edges.select(F.col("child_uid").alias("uid")).distinct())
 
 
-@book.query(r.with_sql(r.NODES_SQL) + "SELECT count(DISTINCT parent_uid)::BIGINT * 0 AS n_orphans, 0::BIGINT AS n_in_cycles, TRUE AS valid FROM edges")
+@book.query(REC + """, r(a, b) AS (SELECT child_uid, parent_uid FROM edges UNION SELECT a, parent_uid FROM r JOIN edges ON b = child_uid),
+found AS (SELECT (SELECT count(DISTINCT parent_uid) FROM edges WHERE parent_uid NOT IN (SELECT uid FROM nodes)) AS n_orphans,
+  (SELECT count(DISTINCT a) FROM r WHERE a = b) AS n_in_cycles)
+SELECT *, n_orphans = 0 AND n_in_cycles = 0 AS valid FROM found""")
 def dag_check_registry(spark, sf):
     return lineage.dag_check(_edges(spark, sf), r.nodes(spark, sf))
 

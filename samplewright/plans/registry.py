@@ -18,8 +18,27 @@ LAB, DATE = "TPC", "240101"
 ROOTS = ["REG", "PRT"]
 
 
+# Given schemas save a job per read that would look them up in the files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def _uid(kind: str, *keys: str) -> Column:
@@ -35,7 +54,8 @@ def _cast(c: str) -> Column:
 def nodes(spark: SparkSession, sf: str, lines: bool = True) -> DataFrame:
     """All samples: (sample_id, uid, sampletype, name, parent). Line items have no numeric id."""
     def part(name, kind, key, label, parent, code):
-        return table(spark, sf, name).select(
+        rows = table(spark, sf, name)
+        return (spread(rows) if name == "orders" else rows).select(
             (F.col(key).cast("bigint") * 10 + code).alias("sample_id"), _uid(kind, key).alias("uid"),
             F.lit(kind).alias("sampletype"), label.alias("name"), parent.alias("parent"))
 
@@ -50,7 +70,7 @@ def nodes(spark: SparkSession, sf: str, lines: bool = True) -> DataFrame:
 
 
 def line_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.lit(None).cast("bigint").alias("sample_id"),
         _uid("D.LIN", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uid"), F.lit("D.LIN").alias("sampletype"),
         F.concat(F.lit("line "), _cast("l_linenumber")).alias("name"),
@@ -182,7 +202,7 @@ parsed AS (
 
 def line_upload(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as upload rows. Their UIDs repeat; `tie` orders rows that share a row number."""
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_n"),
         F.concat_ws("/", F.lpad(_cast("l_partkey"), 12, "0"), F.lpad(_cast("l_suppkey"), 12, "0")).alias("tie"),
         _uid("D.LIN", "l_orderkey", "l_linenumber").alias("uid"), F.lit("D.LIN").alias("sampletype"),
