@@ -79,8 +79,10 @@ def split_acquisition(c: Column | str) -> Column:
 
 def canonical_device_id(figure: Column, raw: Column | str, is_chamber: Column | bool) -> Column:
     """Normalised device id; chamber names of figure 5 are rewritten to their tissue's name."""
-    name = normalize_stem(raw)
-    chamber = F.lit(is_chamber) if isinstance(is_chamber, bool) else is_chamber
+    return _rename_chamber(figure, normalize_stem(raw), F.lit(is_chamber) if isinstance(is_chamber, bool) else is_chamber)
+
+
+def _rename_chamber(figure: Column, name: Column, chamber: Column) -> Column:
     renamed = F.when(F.lit(False), name)
     for pattern, target in FIGURE5_CHAMBERS:
         renamed = renamed.when(name.rlike(pattern), F.regexp_replace(name, pattern, target))
@@ -139,37 +141,36 @@ def _skip(figure, category, reason) -> Column:
 def classify_paths(df, path: str = "path"):
     """Add the classification of each relative path as the columns of `SPEC_FIELDS`.
 
-    Derived parts are laid out as columns first, so that each regular expression is evaluated once per row.
+    Derived parts and the classification itself come out of one-element `inline` steps. The optimizer does not push
+    filters through those, so a filter on a result column never copies the rules into itself: every rule is evaluated
+    once per row.
     """
-    p = F.split(F.col(path), "/")
-    acq = split_acquisition(F.get(F.col("_p"), F.lit(1)))
-    df = df.withColumn("_p", p)
-    df = df.withColumns({
-        "_n": F.size("_p"),
-        "_top": F.get("_p", F.lit(0)),
-        "_sub": F.get("_p", F.lit(1)),
-        "_name": F.element_at("_p", -1),
-        "_fig": F.regexp_extract(F.get("_p", F.lit(0)), r"^Figure (\d+)$", 1).try_cast("int"),
-    })
-    df = df.withColumns({
-        "_low": F.lower("_name"),
-        "_two": F.col("_fig").isin(3, 4, 5, 7),
-        "_nstem": normalize_stem(stem("_name")),
-        "_acq": F.when(acq["acquisition"] != "", acq["acquisition"]).otherwise("0001"),
-        "_dev": acq["stem"],
-    })
-    df = df.withColumns({
-        "_ndev": canonical_device_id(F.col("_fig"), "_dev", True),
-        "_raw": normalize_stem("_dev"),
-        "_tile": _first_tile(F.col("_name")),
-    })
-    spec = _classification(path)
-    return (
-        df.withColumn("_spec", spec)
-        .select("*", *[F.col("_spec")[f].alias(f) for f in SPEC_FIELDS])
-        .drop("_p", "_n", "_top", "_sub", "_name", "_fig", "_low", "_two", "_nstem", "_acq", "_dev", "_ndev", "_raw",
-              "_tile", "_spec")
+    kept = df.columns
+
+    def layer(frame, **cols):
+        return frame.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+    df = layer(df, _p=F.split(F.col(path), "/"))
+    df = layer(
+        df,
+        _n=F.size("_p"),
+        _top=F.get("_p", F.lit(0)),
+        _sub=F.get("_p", F.lit(1)),
+        _name=F.element_at("_p", -1),
+        _fig=F.regexp_extract(F.get("_p", F.lit(0)), r"^Figure (\d+)$", 1).try_cast("int"),
+    )
+    acq = split_acquisition("_sub")
+    df = layer(
+        df,
+        _low=F.lower("_name"),
+        _two=F.coalesce(F.col("_fig").isin(3, 4, 5, 7), F.lit(False)),
+        _nstem=normalize_stem(stem("_name")),
+        _acq=F.when(acq["acquisition"] != "", acq["acquisition"]).otherwise("0001"),
+        _raw=normalize_stem(acq["stem"]),
+        _tile=_first_tile(F.col("_name")),
     )
+    df = layer(df, _ndev=_rename_chamber(F.col("_fig"), F.col("_raw"), F.lit(True)))
+    return df.select(*kept, F.inline(F.array(_classification(path))))
 
 
 def _first_tile(name: Column) -> Column:
@@ -225,7 +226,7 @@ def _classification(path: str) -> Column:
     fig, n, top, sub, name, low = (F.col(c) for c in ("_fig", "_n", "_top", "_sub", "_name", "_low"))
     nstem, third = F.col("_nstem"), F.get(F.col("_p"), F.lit(2))
     folder = _in_device_folder()
-    tissue = canonical_device_id(fig, stem(name), False)
+    tissue = nstem
     ext = suffix(name)
     ends = lambda e: F.endswith(low, F.lit(e))
     storm = (fig == 6) & (n >= 3) & sub.isin("ImgLib", "STORMLib")
