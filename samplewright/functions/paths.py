@@ -278,7 +278,7 @@ def target_relpath(figure: Column | str, filename: Column | str, storage: Column
 
 def figure_of(path: Column | str) -> Column:
     """Figure number of a path under `Figure N/`, null when there is none."""
-    return F.regexp_extract(_col(path), r"^Figure\s+(\S+)(\s[^/]*)?/", 1).try_cast("int")
+    return F.regexp_extract(_col(path), r"^Figure\s+([^\s/]+)(\s[^/]*)?/", 1).try_cast("int")
 
 
 def already_staged(path: Column | str) -> Column:

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_books():
-    from samplewright.plans import diffs, graph, qa, trees
+    from samplewright.plans import diffs, files, graph, qa, trees
 
-    return [qa.book, diffs.book, graph.book, trees.book]
+    return [qa.book, diffs.book, graph.book, trees.book, files.book]

@@ -16,17 +16,18 @@ def _strings(columns) -> str:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_strings(MANIFEST_COLUMNS)).csv(path, header=True, escape='"', nullValue="\x00", emptyValue="")
+    """The manifest. Blank cells are empty strings, as everywhere in this file."""
+    return spark.read.schema(_strings(MANIFEST_COLUMNS)).csv(path, header=True, escape='"').fillna("")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """The image listing with the place of each row in its file, for last-row-wins."""
-    rows = spark.read.schema(_strings(IMAGE_COLUMNS)).csv(path, header=True, escape='"')
+    rows = spark.read.schema(_strings(IMAGE_COLUMNS)).csv(path, header=True, escape='"').fillna("")
     return rows.withColumn("line_no", F.monotonically_increasing_id())
 
 
 def read_pull_plan(spark: SparkSession, path: str) -> DataFrame:
-    plan = spark.read.schema(_strings(PULL_PLAN_COLUMNS)).csv(path, header=True, sep="\t", escape='"')
+    plan = spark.read.schema(_strings(PULL_PLAN_COLUMNS)).csv(path, header=True, sep="\t", escape='"').fillna("")
     return parse_plan(plan)
 
 
