@@ -74,13 +74,17 @@ def missing_checksums(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count_if(need).alias("n_missing"), (F.count_if(need) == 0).alias("may_move"))
 
 
-def add_checksums(manifest: DataFrame, contents: DataFrame) -> DataFrame:
-    """Fill blank checksums of files that are not skipped from `contents(path, content)`.
+def to_hash(manifest: DataFrame) -> DataFrame:
+    """(path) of the files that lack a checksum and are not skipped."""
+    need = t.is_blank("md5") & (F.col("target_storage") != "skip")
+    return manifest.where(need).select(F.col("original_path").alias("path"))
+
+
+def add_checksums(manifest: DataFrame, digests: DataFrame) -> DataFrame:
+    """Fill blank checksums of files that are not skipped from `digests(path, md5)`.
 
-    The digest is taken where the content is read, so only digests are shuffled. A file that could not be read keeps a
-    blank checksum and says so in `skip_reason`.
+    A file without a digest keeps a blank checksum and says so in `skip_reason`.
     """
-    digests = contents.select(F.col("path").alias("original_path"), F.md5("content").alias("_md5"))
     need = t.is_blank("md5") & (F.col("target_storage") != "skip")
     failed = need & F.col("_md5").isNull()
     new = {
@@ -88,7 +92,7 @@ def add_checksums(manifest: DataFrame, contents: DataFrame) -> DataFrame:
         "skip_reason": F.when(failed & t.is_blank("skip_reason"), F.lit("md5 failed: file not readable")).otherwise(
             F.col("skip_reason")),
     }
-    joined = manifest.join(digests, "original_path", "left")
+    joined = manifest.join(digests.toDF("original_path", "_md5"), "original_path", "left")
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in manifest.columns])
 
 

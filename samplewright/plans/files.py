@@ -214,8 +214,7 @@ def file_md5(spark, sf):
     r.table(spark, sf, "documents").select(F.col("source").alias("output"), "text").write.partitionBy("output").text(path)
     listing = sources.list_files(spark, path, "*.txt").select(
         F.col("path").alias("original_path"), F.lit("").alias("md5"), F.lit("zenodo").alias("target_storage"), F.lit("").alias("skip_reason"))
-    wanted = listing.select(F.col("original_path").alias("path"))
-    done = filetree.add_checksums(listing, sources.file_contents(spark, path, wanted))
+    done = filetree.add_checksums(listing, sources.file_digests(spark, path, filetree.to_hash(listing)))
     return done.groupBy(F.split_part("original_path", F.lit("/"), F.lit(1)).alias("top")).agg(
         F.count_if(F.col("md5") == "").alias("n_without"), F.bool_and(F.col("md5").rlike("^[0-9a-f]{32}$")).alias("all_hex"))
 

@@ -2,48 +2,85 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import re
 import zipfile
+from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplewright.functions import paths as p
+from samplewright.session import cut, spread
 
 _MEMBERS = pa.schema([("zip_name", pa.string()), ("member", pa.string()), ("filename", pa.string())])
-_EXPLICIT_PATHS = 10_000
+_ENTRIES = pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("length", pa.int64()), ("mtime", pa.timestamp("us", "UTC"))])
+_DIGESTS = pa.schema([("path", pa.string()), ("md5", pa.string())])
+_BLOCK = 1 << 20
 
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path relative to `root`, length, mtime) of all files. The contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    return files.select(_relative(root).alias("path"), "length", F.col("modificationTime").alias("mtime"))
-
+def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
 
-def _relative(root: str):
-    """Path below `root`; listings give URIs, so the scheme and escaped blanks are undone."""
-    plain = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "%20", " ")
-    base = root.rstrip("/") + "/"
-    at = F.instr(plain, base)
-    return F.when(at > 0, F.substr(plain, at + len(base))).otherwise(plain)
 
+def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(path relative to `root`, length, mtime) of all files below a folder, empty ones included.
 
-def file_contents(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(path relative to `root`, content). `wanted(path)` narrows the read to these files while they are few.
+    Folders are listed by tasks, level by level, so neither the driver nor one task holds the whole tree. (A scan with
+    the built-in file reader would leave out empty files.)
+    """
 
-    Past that bound all files are read, since the reader cannot filter by path; digests are taken in the same stage.
+    def read(batches):
+        system, base = _file_system(root)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                infos = system.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{folder}"))
+                rows = [(
+                    f"{folder}/{i.base_name}" if folder else i.base_name, i.type == fs.FileType.Directory, i.size, i.mtime
+                ) for i in infos]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, _ENTRIES)], schema=_ENTRIES)
+
+    level = spark.range(1).select(F.lit("").alias("path"))
+    found = []
+    while True:
+        entries = cut(spread(level).mapInArrow(read, "path string, is_dir boolean, length bigint, mtime timestamp"))
+        found.append(entries.where("NOT is_dir").drop("is_dir"))
+        level = entries.where("is_dir").select("path")
+        if level.isEmpty():
+            break
+    files = reduce(DataFrame.union, found)
+    if glob:
+        pattern = "^" + re.escape(glob).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") + "$"
+        files = files.where(p.base_name("path").rlike(pattern))
+    return files
+
+
+def file_digests(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(path, md5) of the files `wanted(path)` below `root`, null where a file cannot be read.
+
+    Only these files are read, block by block, so their size does not matter. Paths are dealt out evenly.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-    source: str | list[str] = root
-    if wanted is not None:
-        few = [r["path"] for r in wanted.select("path").limit(_EXPLICIT_PATHS + 1).collect()]
-        if len(few) <= _EXPLICIT_PATHS:
-            if not few:
-                return spark.createDataFrame([], "path string, content binary")
-            source = [f"{root.rstrip('/')}/{x}" for x in few]
-    return reader.load(source).select(_relative(root).alias("path"), "content")
+
+    def read(batches):
+        system, base = _file_system(root)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                digest = hashlib.md5()
+                try:
+                    with system.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
+                        while block := stream.read(_BLOCK):
+                            digest.update(block)
+                    text = digest.hexdigest()
+                except OSError:
+                    text = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string())], schema=_DIGESTS)
+
+    slots = spark.sparkContext.defaultParallelism * 4
+    return wanted.select("path").repartition(slots).mapInArrow(read, "path string, md5 string")
 
 
 def archive_members(files: DataFrame) -> DataFrame:

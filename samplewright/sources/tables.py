@@ -15,15 +15,22 @@ def _strings(columns) -> str:
     return ", ".join(f"`{c}` string" for c in columns)
 
 
+def _place():
+    """An orderable place of a row: file, block in the file, then the reader's own order within the block."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest. Blank cells are empty strings, as everywhere in this file."""
     return spark.read.schema(_strings(MANIFEST_COLUMNS)).csv(path, header=True, escape='"').fillna("")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """The image listing with the place of each row in its file, for last-row-wins."""
+    """The image listing with the place of each row, for last-row-wins."""
     rows = spark.read.schema(_strings(IMAGE_COLUMNS)).csv(path, header=True, escape='"').fillna("")
-    return rows.withColumn("line_no", F.monotonically_increasing_id())
+    return rows.withColumn("line_no", _place())
 
 
 def read_pull_plan(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +50,7 @@ def parse_roster(lines: DataFrame) -> DataFrame:
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    return parse_roster(spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()))
+    return parse_roster(spark.read.text(path).withColumn("line_no", _place()))
 
 
 def parse_catalogue(raw: DataFrame) -> DataFrame:
