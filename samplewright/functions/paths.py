@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from samplewright.functions.layers import layer
+
 # Canonical spelling of known words, applied in this order after lower-casing.
 KEYWORDS = [
     ("1000TCs", ["1000tcs", "1000-tcs"]),
@@ -141,15 +143,10 @@ def _skip(figure, category, reason) -> Column:
 def classify_paths(df, path: str = "path"):
     """Add the classification of each relative path as the columns of `SPEC_FIELDS`.
 
-    Derived parts and the classification itself come out of one-element `inline` steps. The optimizer does not push
-    filters through those, so a filter on a result column never copies the rules into itself: every rule is evaluated
-    once per row.
+    Derived parts and the classification itself are layers, so a filter on a result column never copies the rules into
+    itself: every rule is evaluated once per row.
     """
     kept = df.columns
-
-    def layer(frame, **cols):
-        return frame.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
-
     df = layer(df, _p=F.split(F.col(path), "/"))
     df = layer(
         df,

@@ -53,7 +53,7 @@ def mint_uid(sampletype, lab, date, n) -> Column:
 def uid_type(c: Column | str) -> Column:
     """The type prefix of a UID, null when the text holds no hyphen."""
     uid = _col(c)
-    return F.when(F.contains(uid, F.lit("-")), F.split_part(uid, F.lit("-"), F.lit(1)))
+    return F.when(F.contains(uid, F.lit("-")), F.substring_index(uid, "-", 1))
 
 
 def uid_index(c: Column | str, sampletype: Column, lab: str, date: str) -> Column:

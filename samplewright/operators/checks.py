@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
+from samplewright.functions.layers import layer
 from samplewright.model import (
     BLOCKERS, FLAT_REQUIRED, HARD, INFO, PLACEHOLDER_MARKERS, ROOT_TYPES, SOFT, SURPRISE_SENTINELS,
 )
@@ -27,7 +28,7 @@ def prepare(rows: DataFrame) -> DataFrame:
     lost = [c for c in FLAT_REQUIRED if c not in rows.columns]
     if lost:
         raise ValueError(f"required columns missing: {', '.join(lost)}")
-    return rows.withColumn("attrs", t.payload("json_metadata"))
+    return layer(rows, attrs=t.payload("json_metadata"))
 
 
 def _text(*parts) -> Column:

@@ -76,7 +76,9 @@ def workbook_files(spark, sf):
         return pd.DataFrame({"path": [f"/up/Arm{chunk % 3}_ORD{chunk}.xlsx"], "content": [render_workbook(tabs)]})
 
     orders = r.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return orders.withColumn("chunk", F.expr(f"o_orderkey div {_CHUNK}")).groupBy("chunk").applyInPandas(
+    slots = spark.sparkContext.defaultParallelism
+    chunked = orders.withColumn("chunk", F.expr(f"o_orderkey div {_CHUNK}")).repartition(slots, "chunk")
+    return chunked.groupBy("chunk").applyInPandas(
         lambda pdf: render(pdf.sort_values("o_orderkey")), "path string, content binary")
 
 
@@ -90,7 +92,7 @@ sheet AS (SELECT '/up/Arm' || chunk % 3 || '_ORD' || chunk || '.xlsx' AS file, r
 
 @book.query(f"WITH {_BOOK} SELECT file, row_n, 'ORD' AS sampletype, assay AS parent_assay, uid, name, col2, parent, notes, status FROM sheet")
 def workbook_scan(spark, sf):
-    records = sheets.four_sheet_records(sheets.scan_workbooks(workbook_files(spark, sf)))
+    records = sheets.four_sheet_records(cut(workbook_files(spark, sf)))
     cell = lambda k, n: t.attr("attrs", k).alias(n)
     return records.select(
         "file", "row_n", "sampletype", "parent_assay", cell("UID", "uid"), cell("Name", "name"), cell("_col2", "col2"),
@@ -134,7 +136,7 @@ def consolidate(spark, sf):
     """Template workbooks to flat rows, written by arm and read back."""
     made = cut(workbook_files(spark, sf))
     arms = sources.template_files(made.select("path")).withColumnRenamed("path", "file")
-    records = sheets.four_sheet_records(sheets.scan_workbooks(made)).join(arms, "file")
+    records = sheets.four_sheet_records(made).join(arms, "file")
     rows = flat.flat_rows(records, r.assay_cache(spark), r.synonyms(spark))
     path = writers.write_flat(rows, scratch_path(spark, "flat"))
     per_arm = flat.arm_counts(records.select("arm", "file"))
@@ -176,7 +178,8 @@ def archive_files(spark, sf):
                 z.writestr(f"docs/{lang}/d_{doc_id}.txt", text)
         return pd.DataFrame({"path": [f"/zips/part_{int(pdf['chunk'].iloc[0])}.zip"], "content": [out.getvalue()]})
 
-    docs = r.table(spark, sf, "documents").select("doc_id", "lang", "text").withColumn("chunk", F.expr("doc_id div 100"))
+    docs = r.table(spark, sf, "documents").select("doc_id", "lang", "text").withColumn("chunk", F.expr("doc_id div 100")).repartition(
+        spark.sparkContext.defaultParallelism, "chunk")
     return docs.groupBy("chunk").applyInPandas(pack, "path string, content binary")
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samplewright.functions.layers import layer
 from samplewright.functions.text import mint_uid
 from samplewright.model import local_table
 from samplewright.session import spread
@@ -55,9 +56,10 @@ def nodes(spark: SparkSession, sf: str, lines: bool = True) -> DataFrame:
     """All samples: (sample_id, uid, sampletype, name, parent). Line items have no numeric id."""
     def part(name, kind, key, label, parent, code):
         rows = table(spark, sf, name)
-        return (spread(rows) if name == "orders" else rows).select(
-            (F.col(key).cast("bigint") * 10 + code).alias("sample_id"), _uid(kind, key).alias("uid"),
-            F.lit(kind).alias("sampletype"), label.alias("name"), parent.alias("parent"))
+        return layer(
+            spread(rows) if name == "orders" else rows, sample_id=F.col(key).cast("bigint") * 10 + code, uid=_uid(kind, key),
+            sampletype=F.lit(kind), name=label, parent=parent,
+        ).select("sample_id", "uid", "sampletype", "name", "parent")
 
     out = part("region", "REG", "r_regionkey", F.col("r_name"), F.lit(""), 1)
     out = out.union(part("nation", "NAT", "n_nationkey", F.col("n_name"), _uid("REG", "n_regionkey"), 2))
@@ -70,11 +72,12 @@ def nodes(spark: SparkSession, sf: str, lines: bool = True) -> DataFrame:
 
 
 def line_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "lineitem")).select(
-        F.lit(None).cast("bigint").alias("sample_id"),
-        _uid("D.LIN", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uid"), F.lit("D.LIN").alias("sampletype"),
-        F.concat(F.lit("line "), _cast("l_linenumber")).alias("name"),
-        F.concat(_uid("ORD", "l_orderkey"), F.lit("; "), _uid("PRT", "l_partkey")).alias("parent"))
+    return layer(
+        spread(table(spark, sf, "lineitem")), sample_id=F.lit(None).cast("bigint"),
+        uid=_uid("D.LIN", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), sampletype=F.lit("D.LIN"),
+        name=F.concat(F.lit("line "), _cast("l_linenumber")),
+        parent=F.concat(_uid("ORD", "l_orderkey"), F.lit("; "), _uid("PRT", "l_partkey")),
+    ).select("sample_id", "uid", "sampletype", "name", "parent")
 
 
 _U = lambda kind, key: f"'{kind}-{DATE}{LAB}-' || {key}"
@@ -202,11 +205,12 @@ parsed AS (
 
 def line_upload(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as upload rows. Their UIDs repeat; `tie` orders rows that share a row number."""
-    return spread(table(spark, sf, "lineitem")).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_n"),
-        F.concat_ws("/", F.lpad(_cast("l_partkey"), 12, "0"), F.lpad(_cast("l_suppkey"), 12, "0")).alias("tie"),
-        _uid("D.LIN", "l_orderkey", "l_linenumber").alias("uid"), F.lit("D.LIN").alias("sampletype"),
-        F.concat(_uid("ORD", "l_orderkey"), F.lit("; "), _uid("PRT", "l_partkey")).alias("parent"))
+    return layer(
+        spread(table(spark, sf, "lineitem")), row_n=F.col("l_orderkey") * 10 + F.col("l_linenumber"),
+        tie=F.concat_ws("/", F.lpad(_cast("l_partkey"), 12, "0"), F.lpad(_cast("l_suppkey"), 12, "0")),
+        uid=_uid("D.LIN", "l_orderkey", "l_linenumber"), sampletype=F.lit("D.LIN"),
+        parent=F.concat(_uid("ORD", "l_orderkey"), F.lit("; "), _uid("PRT", "l_partkey")),
+    ).select("row_n", "tie", "uid", "sampletype", "parent")
 
 
 LINE_UPLOAD_SQL = f"""

@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
+from samplewright.functions.layers import layer
 from samplewright.operators.flat import first_assay
+from samplewright.session import cut
 
 CELLS_SCHEMA = (
     "file string, sheet string, sheet_pos int, row_n bigint, header array<string>, values array<string>"
@@ -167,7 +169,8 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
     pairs = F.zip_with(_names(), "values", lambda k, v: F.struct(k.alias("k"), v.alias("v")))
     full = F.filter(pairs, lambda x: x["k"].isNotNull() & x["v"].isNotNull())
     wins = F.filter(full, lambda x, i: ~F.exists(F.slice(full, i + 2, F.size(full)), lambda y: y["k"] == x["k"]))
-    return cells.where("row_n > 1").select("file", "sheet", "sheet_pos", "row_n", F.map_from_entries(wins).alias("attrs"))
+    return layer(
+        cells.where("row_n > 1"), "file", "sheet", "sheet_pos", "row_n", attrs=F.map_from_entries(wins))
 
 
 def pick_sheet(cells: DataFrame, sheet: str | None = None) -> DataFrame:
@@ -182,16 +185,21 @@ def pick_sheet(cells: DataFrame, sheet: str | None = None) -> DataFrame:
     return picked.where((F.col("row_n") == 1) | (first.isNotNull() & (first != "")))
 
 
-def four_sheet_records(cells: DataFrame) -> DataFrame:
-    """Template files as records (file, row_n, sampletype, parent_assay, attrs). Blank rows and cells are dropped."""
+def four_sheet_records(files: DataFrame) -> DataFrame:
+    """Template files `(path, content)` as records (file, row_n, sampletype, parent_assay, attrs).
+
+    The short Instructions and Assay sheets are read on their own, so the long Samples sheet is parsed once. Blank rows
+    and cells are dropped.
+    """
+    heads = cut(scan_workbooks(files, ["Instructions", "Assay"]).where("row_n > 1"))
     field = F.get("values", F.lit(1))
     types = (
-        cells.where((F.col("sheet") == "Instructions") & (F.col("row_n") > 1) & (F.coalesce(field, F.lit("")) != ""))
+        heads.where((F.col("sheet") == "Instructions") & (F.coalesce(field, F.lit("")) != ""))
         .groupBy("file").agg(F.min_by(F.split_part(field, F.lit("::"), F.lit(1)), "row_n").alias("sampletype"))
     )
-    assays = first_assay(cells.where((F.col("sheet") == "Assay") & (F.col("row_n") > 1)))
-    rows = sheet_rows(cells.where("sheet = 'Samples'")).withColumn("attrs", t.drop_blank("attrs")).where("size(attrs) > 0")
-    return rows.join(types, "file", "left").join(assays, "file", "left").select(
+    assays = first_assay(heads.where("sheet = 'Assay'"))
+    rows = layer(sheet_rows(scan_workbooks(files, ["Samples"])), "file", "row_n", attrs=t.drop_blank("attrs"))
+    return rows.where("size(attrs) > 0").join(types, "file", "left").join(assays, "file", "left").select(
         "file", "row_n", "sampletype", F.coalesce("parent_assay", F.lit("")).alias("parent_assay"), "attrs")
 
 
