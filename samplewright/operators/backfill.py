@@ -27,7 +27,7 @@ def match_members(members: DataFrame, index: DataFrame, sheets: DataFrame) -> Da
     `members(zip_name, filename)`, `index(filename, sampletype, uid)`, `sheets(sampletype)` with an upload sheet.
     """
     held = sheets.select("sampletype", F.lit(True).alias("_sheet")).distinct()
-    found = lookup_join(members, index, "filename", "left").join(held, "sampletype", "left")
+    found = lookup_join(lookup_join(members, index, "filename", "left"), held, "sampletype", "left")
     state = F.when(F.col("uid").isNull(), "no_curation_match").when(F.col("_sheet"), "matched").otherwise("no_sheet")
     return found.select("zip_name", "filename", "sampletype", "uid", state.alias("state"))
 
@@ -43,7 +43,9 @@ def backfill_by_uid(rows: DataFrame, links: DataFrame, column: str = "link_prima
     """Set the link of every row whose (type, uid) has one; `touched` and `changed` say what happened to a row."""
     rows = with_column_if_absent(rows, column)
     new = F.coalesce("url", column)
-    return rows.join(links, ["sampletype", "uid"], "left").select(
+    key = F.concat_ws("\x1f", "sampletype", "uid").alias("_key")
+    found = lookup_join(rows.select("*", key), links.select(key, "url"), "_key", "left")
+    return found.select(
         *[c for c in rows.columns if c != column], new.alias(column),
         F.col("url").isNotNull().alias("touched"), changed(column, new).alias("changed"),
     )

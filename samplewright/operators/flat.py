@@ -9,6 +9,7 @@ from samplewright.functions import text as t
 from samplewright.model import FLAT_COLUMNS
 from samplewright.operators.ranking import dense_index, first_by
 from samplewright.operators.resolve import resolve_titles
+from samplewright.operators.skew import lookup_join
 
 
 def drop_blank_rows(rows: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def flat_rows(records: DataFrame, cache: DataFrame, synonyms: DataFrame) -> Data
         "json_metadata": t.payload_json("attrs"),
     }
     kept = [c for c in records.columns if c not in (*FLAT_COLUMNS, "attrs", "parent_assay")]
-    joined = rows.join(found, "_title", "left")
+    joined = lookup_join(rows, found, "_title", "left")
     return joined.select(*kept, *[flat[c].alias(c) if c in flat else F.col(c) for c in FLAT_COLUMNS])
 
 
@@ -105,8 +106,8 @@ def preferred_uploads(rows: DataFrame) -> DataFrame:
         "base": F.regexp_replace(name, "-upload(-new)?", ""),
         "is_new": F.contains(name, F.lit("-upload-new")).cast("int"),
     })
-    best = marked.groupBy("base").agg(F.max("is_new").alias("is_new"))
-    return marked.join(best, ["base", "is_new"], "left_semi")
+    best = marked.groupBy("base").agg(F.max("is_new").alias("_best"))
+    return lookup_join(marked, best, "base").where("is_new = _best").drop("_best")
 
 
 def mint_blank_uids(rows: DataFrame, existing: DataFrame, lab: str, date: str, order: list[str]) -> DataFrame:

@@ -99,9 +99,10 @@ def batch_trees(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
 
 
 def type_edges(edges: DataFrame, nodes: DataFrame, label: str = "assay_title") -> DataFrame:
-    """Distinct (source type, target type, label). Node types come from the node table, edges are reduced first."""
+    """Distinct (source type, target type, label). Node types come from the node table; hub parents are spread out."""
     types = nodes.select("uid", "sampletype")
-    typed = edges.join(types.toDF("child_uid", "target"), "child_uid").join(types.toDF("parent_uid", "source"), "parent_uid")
+    targets = edges.join(types.toDF("child_uid", "target"), "child_uid").select("parent_uid", "target", label).distinct()
+    typed = salted_join(targets, types.toDF("parent_uid", "source"), "parent_uid", hot=hot_keys(edges, "parent_uid"))
     return typed.select("source", "target", F.col(label).alias("annotation")).distinct()
 
 
@@ -243,9 +244,10 @@ def _largest_ancestor(live: DataFrame) -> DataFrame:
     state = cut(live.select(F.col("child_uid").alias("uid")).union(live.select("parent_uid")).distinct()
                 .withColumn("colour", F.col("uid")))
     grown = state
-    while not grown.isEmpty():
-        told = grown.withColumnRenamed("uid", "parent_uid").join(live, "parent_uid").groupBy(
-            F.col("child_uid").alias("uid")).agg(F.max("colour").alias("new"))
+    down = live.select(F.col("parent_uid").alias("uid"), "child_uid")
+    hubs = cache(lambda: hot_keys(down, "uid"))
+    while n := grown.count():
+        told = _step(down, grown, n, hubs).groupBy(F.col("child_uid").alias("uid")).agg(F.max("colour").alias("new"))
         grown = cut(told.join(state, "uid").where("new > colour").select("uid", F.col("new").alias("colour")))
         state = cut(state.union(grown).groupBy("uid").agg(F.max("colour").alias("colour")))
     return state

@@ -159,3 +159,41 @@ def test_guard(spark):
     assert not writers.guarded_write(good, "state = 'bad'", scratch_path(spark, "g"))
     path = scratch_path(spark, "g")
     assert writers.guarded_write(good, "state = 'bad'", path, write=True) and spark.read.parquet(path).count() == 1
+
+
+def test_four_tables_written(spark):
+    import pyarrow as pa
+
+    from samplewright.model import local_table
+    from samplewright.operators.flat import four_tables, route_pending
+
+    lists = pa.list_(pa.string())
+    catalogue = local_table(
+        spark, {"sampletype": None, "required": lists, "standard": lists, "possible": lists}, [("OOC", ["UID", "Name"], ["Notes"], ["Type"])])
+    samples = spark.createDataFrame(
+        [(2, "OOC", {"UID": "a", "Zeta": "z", "Name": "n"}), (3, "OOC", {"UID": "b", "Extra": "e"}), (4, "CEL", {"UID": "c"})],
+        "row_n int, sampletype string, attrs map<string,string>")
+    assays = local_table(spark, {"pos": pa.int32(), "title": None}, [(0, "Imaging")])
+    ontology = local_table(spark, {"pos": pa.int32(), "field": None, "value": None}, [(0, "Type", "x"), (1, "Type", "y")])
+    tables_ = four_tables("OOC", samples, catalogue, assays, ontology)
+    assert tables_["samples"].columns == ["row_n", "UID", "Name", "Notes", "Type", "Zeta", "Extra"]
+    assert [tuple(r) for r in tables_["samples"].orderBy("row_n").collect()] == [(2, "a", "n", "", "", "z", ""), (3, "b", "", "", "", "", "e")]
+    assert [r["Database Field"] for r in tables_["instructions"].collect()][:2] == ["OOC::UID", "OOC::Name"]
+    base = writers.write_four_tables(tables_, "OOC", scratch_path(spark, "four"))
+    back = spark.read.csv(f"{base}/assay", header=True).first()
+    assert (back["SampleType"], back["Assay"], back["Direction"]) == ("OOC", "Imaging", "child")
+    up, pending = route_pending(samples, catalogue)
+    a, b = writers.write_routed(up.drop("attrs"), pending.drop("attrs"), scratch_path(spark, "routed"))
+    assert spark.read.parquet(a).count() == 2 and spark.read.parquet(b).first()["sampletype"] == "CEL"
+
+
+def test_deposit_document(spark):
+    root = folder()
+    with open(f"{root}/d.json", "w") as f:
+        f.write('{"samples": [{"*title": "t", "raw_files": ["a", "b"]}, {"*title": "u", "raw_files": []}], "paired_end_experiments": [{"file name 1": "x"}]}')
+    from samplewright.operators.deposit import deposit_table, paired_table
+
+    samples, pairs = tables.read_deposit(spark, f"{root}/d.json")
+    wide = deposit_table(samples, ["pos"]).orderBy("pos").collect()
+    assert (wide[0]["*raw file"], wide[0]["raw file"], wide[1]["*raw file"]) == ("a", "b", None)
+    assert tuple(paired_table(pairs).first()) == ("x", None, None, None)
