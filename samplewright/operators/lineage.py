@@ -21,7 +21,10 @@ _FAR = {"up": ("child_uid", "parent_uid"), "down": ("parent_uid", "child_uid")}
 
 
 def lineage_edges(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Edges of a sample table, from its `;`-joined parents; a parent cited twice by one row counts once."""
+    """Edges of a sample table, from its `;`-joined parents; a parent cited twice by one row counts once.
+
+    Rows that share a uid give their edges twice, which no walk below minds; take `distinct` before counting edges.
+    """
     parents = F.array_distinct(t.split_list("parent"))
     return rows.select(t.filled("uid").alias("child_uid"), F.explode(parents).alias("parent_uid"), *carry).where(
         F.col("child_uid").isNotNull() & ~t.holds_any("parent_uid"))
@@ -186,8 +189,8 @@ def parents_with_all_types(
 
 
 def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose parent is not among the nodes. Parents are looked up once each."""
-    cited = edges.groupBy("parent_uid").agg(F.count(F.lit(1)).alias("n_children"))
+    """Parents that are not among the nodes, with the number of their distinct children. Each is looked up once."""
+    cited = edges.distinct().groupBy("parent_uid").agg(F.count(F.lit(1)).alias("n_children"))
     return cited.join(nodes.select(F.col("uid").alias("parent_uid")), "parent_uid", "left_anti")
 
 

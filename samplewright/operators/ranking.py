@@ -72,6 +72,8 @@ def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
 def later_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Every row but the first of its key, with the first row's `order` and `carry` columns as `first_*`.
 
+    `order` must tell the rows of a key apart, as a row number does.
+
     Keys seen once are dropped by the aggregate, so only repeated keys are joined back, as a reduced table.
     """
     cols = list(dict.fromkeys([*order, *carry]))

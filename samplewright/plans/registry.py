@@ -207,7 +207,8 @@ def line_upload(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as upload rows. Their UIDs repeat; `tie` orders rows that share a row number."""
     return layer(
         spread(table(spark, sf, "lineitem")), row_n=F.col("l_orderkey") * 10 + F.col("l_linenumber"),
-        tie=F.concat_ws("/", F.lpad(_cast("l_partkey"), 12, "0"), F.lpad(_cast("l_suppkey"), 12, "0")),
+        tie=F.concat_ws("/", F.lpad(_cast("l_partkey"), 12, "0"), F.lpad(_cast("l_suppkey"), 12, "0"), F.lpad(
+            F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 12, "0")),
         uid=_uid("D.LIN", "l_orderkey", "l_linenumber"), sampletype=F.lit("D.LIN"),
         parent=F.concat(_uid("ORD", "l_orderkey"), F.lit("; "), _uid("PRT", "l_partkey")),
     ).select("row_n", "tie", "uid", "sampletype", "parent")
@@ -215,7 +216,8 @@ def line_upload(spark: SparkSession, sf: str) -> DataFrame:
 
 LINE_UPLOAD_SQL = f"""
 line_upload AS (
-  SELECT l_orderkey * 10 + l_linenumber AS row_n, lpad(l_partkey::VARCHAR, 12, '0') || '/' || lpad(l_suppkey::VARCHAR, 12, '0') AS tie,
+  SELECT l_orderkey * 10 + l_linenumber AS row_n, lpad(l_partkey::VARCHAR, 12, '0') || '/' || lpad(l_suppkey::VARCHAR, 12, '0')
+           || '/' || lpad(round(l_extendedprice * 100)::BIGINT::VARCHAR, 12, '0') AS tie,
          'D.LIN-{DATE}{LAB}-' || l_orderkey || 'x' || l_linenumber AS uid, 'D.LIN' AS sampletype,
          {_U('ORD', 'l_orderkey')} || '; ' || {_U('PRT', 'l_partkey')} AS parent
   FROM lineitem
