@@ -190,7 +190,7 @@ def parents_with_all_types(
 
 def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Parents that are not among the nodes, with the number of their distinct children. Each is looked up once."""
-    cited = edges.distinct().groupBy("parent_uid").agg(F.count(F.lit(1)).alias("n_children"))
+    cited = edges.select("child_uid", "parent_uid").distinct().groupBy("parent_uid").agg(F.count(F.lit(1)).alias("n_children"))
     return cited.join(nodes.select(F.col("uid").alias("parent_uid")), "parent_uid", "left_anti")
 
 

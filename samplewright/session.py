@@ -54,8 +54,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out a scan that has fewer partitions than there are cores, such as one small file. A scan with enough
-    partitions stays as it is."""
+def spread(df: DataFrame, ways: int = 32) -> DataFrame:
+    """Deal out a scan that has fewer partitions than there are cores, such as one small file, at most `ways` ways per
+    partition. A scan with enough partitions stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    parts = df.rdd.getNumPartitions()
+    return df if parts >= cores else df.repartition(min(cores, max(parts, 1) * ways))
