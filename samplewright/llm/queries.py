@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from samplewright.llm import bpe, packing, pivots, simhash, token_counts, token_files, warc
+from samplewright.llm import bpe, packing, pivots, quality, secret_scan, simhash, token_counts, token_files, vectors, warc
 from samplewright.llm.common import table
 from samplewright.plans.base import Book
 
@@ -26,6 +26,33 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return pivots.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@book.query()
+def op3_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@book.query()
+def op4_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@book.query("""
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+         good AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND list_dot_product(e, e) > 0),
+         unit AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM good),
+         link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+         reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+         least AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+         deg AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+    SELECT v.vec_id, coalesce(deg.n, 0) AS n_links, least(v.vec_id, coalesce(least.y, v.vec_id)) AS component_id,
+           v.vec_id = least(v.vec_id, coalesce(least.y, v.vec_id)) AS kept
+    FROM v LEFT JOIN deg ON deg.x = v.vec_id LEFT JOIN least ON least.x = v.vec_id""")
+def op5_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @book.query()
 def op6_token_id_files(spark, sf_dir):
     return token_files.written_and_read(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=1)
