@@ -41,7 +41,8 @@ def term_rows(df: DataFrame, keys: Sequence[str], text: str, shingle: int) -> Da
     lanes = [F.slice("_words", i + 1, n - (shingle - 1)).alias(f"w{i}") for i in range(shingle)]
     short = F.array(F.struct(F.array_join("_words", " ").alias("w0"), *[F.lit(None).cast("string").alias(f"w{i}") for i in range(1, shingle)]))
     rows = split.select(*keys, F.when(n >= shingle, F.arrays_zip(*lanes)).otherwise(short).alias("_rows"))
-    return rows.select(*keys, F.inline("_rows")).select(*keys, F.concat_ws(" ", *[f"w{i}" for i in range(shingle)]).alias("term"))
+    # `_rows` is never empty. The outer form keeps the optimizer from filtering on its size, which would split the text again.
+    return rows.select(*keys, F.inline_outer("_rows")).select(*keys, F.concat_ws(" ", *[f"w{i}" for i in range(shingle)]).alias("term"))
 
 
 def flat_weight(term: Column) -> Column:
@@ -114,7 +115,7 @@ def edited(docs: DataFrame, shingle: int = 2, weight=length_weight) -> DataFrame
         F.substring("text", F.lit(1), (F.col("n_chars") - quarter).cast("int")), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), quarter)))
     pairs = pairs.withColumn("edited_sha256", F.sha2(F.encode("_edited", "UTF-8"), 256))
     keys = ["bucket", "at", "ghost", "doc_id", "n_chars", "edited_sha256"]
-    both = pairs.select(*keys, F.inline(F.array(
+    both = pairs.select(*keys, F.inline_outer(F.array(
         F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("_edited").alias("body")))))
     found = fingerprints(both, [*keys, "side"], "body", shingle, weight)
     side = [F.max(F.when(F.col("side") == i, F.col("fingerprint"))).alias(name) for i, name in enumerate(("plain", "changed"))]
