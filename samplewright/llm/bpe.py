@@ -148,8 +148,8 @@ class ByteBpe:
         self.lexicon = lexicon
         self.pattern = regex.compile(PATTERN)
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.tokens = words.Memory(lambda some: [self._token(t.encode()) for t in some])
-        self.chunks = words.Memory(lambda some: [np.array(self.text(self._chunk(w)), np.uint32) for w in some])
+        self.tokens = words.Memory(lambda some: [array("I", self._token(t.encode())).tobytes() for t in some])
+        self.chunks = words.Memory(self._chunks)
 
     def merge(self, word: bytes) -> list[int]:
         """Exact ids of one pre-token."""
@@ -198,19 +198,29 @@ class ByteBpe:
         found = self.lexicon.get(token) if self.lexicon else None
         return self.merge(token) if found is None else found
 
-    def _plain(self, text: str) -> list[int]:
-        return [i for ids in self.tokens.get(self.pattern.findall(text)) for i in ids]
+    def _plain(self, text: str) -> bytes:
+        return b"".join(self.tokens.get(self.pattern.findall(text)))
 
-    def text(self, text: str) -> list[int]:
-        """Ids of any text."""
+    def text(self, text: str) -> bytes:
+        """Ids of any text, as u32 bytes."""
         if not self.special or not self.special.search(text):
             return self._plain(text)
         out, at = [], 0
         for m in self.special.finditer(text):
-            out += self._plain(text[at:m.start()])
-            out.append(self.added[m.group()])
+            out += [self._plain(text[at:m.start()]), array("I", [self.added[m.group()]]).tobytes()]
             at = m.end()
-        return out + self._plain(text[at:])
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _chunks(self, some: list[str]) -> list[bytes]:
+        """Ids of words, their pre-tokens looked up together."""
+        chunks = [self._chunk(w) for w in some]
+        plain = [not self.special or not self.special.search(c) for c in chunks]
+        parts = [self.pattern.findall(c) if p else () for c, p in zip(chunks, plain, strict=True)]
+        got, out, at = self.tokens.get([t for part in parts for t in part]), [], 0
+        for chunk, p, part in zip(chunks, plain, parts, strict=True):
+            out.append(b"".join(got[at:at + len(part)]) if p else self.text(chunk))
+            at += len(part)
+        return out
 
     @staticmethod
     def _chunk(word: str) -> str:
@@ -228,12 +238,12 @@ class ByteBpe:
         for i in range(len(column)):
             a, b = int(starts[i]), int(starts[i + 1])
             if odds[b] > odds[a]:
-                out.append(np.array(self.text(column[i].as_py()), np.uint32))
+                out.append(np.frombuffer(self.text(column[i].as_py()), "<u4"))
                 continue
             mine, head = ids[bounds[i]:bounds[i + 1]], different[index[a]]
             if head[:1] != "\n":  # nothing precedes the first word
-                skip = len(self.chunks.get([head])[0])
-                mine = np.concatenate((np.array(self.text(head), np.uint32), mine[skip:]))
+                skip = len(self.chunks.get([head])[0]) // 4
+                mine = np.concatenate((np.frombuffer(self.text(head), "<u4"), mine[skip:]))
             out.append(mine)
         return out
 

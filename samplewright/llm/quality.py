@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,8 +38,8 @@ class Features:
         self.memory = words.Memory(self._make)
 
     @staticmethod
-    def _make(some: list[str]) -> list[np.ndarray]:
-        return [np.array([zlib.crc32(t.encode()) for t in _TOKEN.findall(w.lower())], np.uint32) for w in some]
+    def _make(some: list[str]) -> list[bytes]:
+        return [array("I", [zlib.crc32(t.encode()) for t in _TOKEN.findall(w.lower())]).tobytes() for w in some]
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of all features, and for each the number of its text."""

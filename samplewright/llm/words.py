@@ -23,7 +23,7 @@ PORTION = 8 << 20
 class Memory:
     """Remembers `size` to twice `size` values; what was not used for a whole generation is forgotten."""
 
-    def __init__(self, make: Callable[[list[str]], list], size: int = 120_000):
+    def __init__(self, make: Callable[[list[str]], list], size: int = 200_000):
         self.make, self.size = make, size
         self.young: dict = {}
         self.old: dict = {}
@@ -78,10 +78,10 @@ def split(texts: pa.Array, breaks: str = "\n") -> tuple[list[str], np.ndarray, n
     return numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False), starts - starts[0]
 
 
-def gather(values: list[np.ndarray], words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' ids in one array, and where each text's ids begin (n + 1 values)."""
-    sizes = np.fromiter(map(len, values), np.int64, len(values))
-    pool = np.concatenate(values) if values else np.empty(0, np.uint32)
+def gather(values: list[bytes], words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids in one array, and where each text's ids begin (n + 1 values). A word's value is its ids as u32 bytes."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    pool = np.frombuffer(b"".join(values), "<u4")
     begin = np.cumsum(sizes) - sizes
     each = sizes[words]
     ends = np.cumsum(each)
@@ -116,10 +116,10 @@ class LibraryEncoder:
         self.sign = sign[0]
         self.memory = Memory(self._make)
 
-    def _alone(self, word: str) -> np.ndarray:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, np.uint32)
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _make(self, words: list[str]) -> list[np.ndarray]:
+    def _make(self, words: list[str]) -> list[bytes]:
         out: list = [None] * len(words)
         plain = []
         for i, word in enumerate(words):
@@ -129,7 +129,7 @@ class LibraryEncoder:
                 plain.append(i)
         for k in range(0, len(plain), 500):
             some = plain[k:k + 500]
-            ids = np.array(self.library.encode(f" {self.SIGN} ".join([words[i] for i in some]), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.library.encode(f" {self.SIGN} ".join([words[i] for i in some]), add_special_tokens=False).ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.sign), len(ids))
             if len(ends) != len(some):
                 for i in some:
@@ -137,7 +137,7 @@ class LibraryEncoder:
                 continue
             at = 0
             for i, end in zip(some, ends.tolist(), strict=True):
-                out[i] = ids[at:end].copy()
+                out[i] = ids[at:end].tobytes()
                 at = end + 1
         return out
 
