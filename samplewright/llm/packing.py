@@ -23,7 +23,7 @@ from samplewright.llm.common import texts
 from samplewright.session import cut
 
 WINDOW = 4096
-GROUP = 2048
+GROUP = 512
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
