@@ -67,8 +67,17 @@ def _with_findings(rows: DataFrame, catalogue: DataFrame, roots: Sequence[str])
     return df.withColumn("findings", F.concat(F.filter(single, lambda x: x.isNotNull()), required))
 
 
+def row_key(df: DataFrame) -> list[str]:
+    """What tells the rows of an upload apart: row numbers start anew in every file."""
+    return [c for c in ("file", "row_n") if c in df.columns]
+
+
+def _issue_columns(rows: DataFrame) -> list[str]:
+    return [*ISSUE_COLUMNS, *(["file"] if "file" in rows.columns else [])]
+
+
 def _exploded(df: DataFrame) -> DataFrame:
-    return df.select("row_n", "uid", "sampletype", F.inline("findings")).select(*ISSUE_COLUMNS)
+    return df.select(*row_key(df), "uid", "sampletype", F.inline("findings")).select(*_issue_columns(df))
 
 
 def row_issues(rows: DataFrame, catalogue: DataFrame, roots: Sequence[str] = ROOT_TYPES) -> DataFrame:
@@ -76,14 +85,16 @@ def row_issues(rows: DataFrame, catalogue: DataFrame, roots: Sequence[str] = ROO
     return _exploded(_with_findings(rows, catalogue, roots))
 
 
-def duplicate_uids(rows: DataFrame, order: Sequence[str] = ("row_n",)) -> DataFrame:
-    """Second and later rows of a UID, with the first row's number and type."""
+def duplicate_uids(rows: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """Second and later rows of a UID, with the first row's number and type. The order is by file, if there is one, and row."""
+    order = order or row_key(rows)
     named = rows.withColumn("uid", t.filled("uid")).where(F.col("uid").isNotNull())
     return later_rows(named, ["uid"], list(order), ["sampletype"])
 
 
-def duplicate_names(rows: DataFrame, order: Sequence[str] = ("row_n",)) -> DataFrame:
+def duplicate_names(rows: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Second and later rows of a name within its type. The name is the payload's."""
+    order = order or row_key(rows)
     named = rows.withColumn("name", F.col("attrs").getItem("Name")) if "attrs" in rows.columns else rows
     return later_rows(named.where(~t.is_blank("name")), ["sampletype", "name"], list(order))
 
@@ -100,14 +111,15 @@ def required_gaps(issues: DataFrame) -> DataFrame:
 
 def all_issues(
     rows: DataFrame, catalogue: DataFrame, baseline: DataFrame | None, roots: Sequence[str] = ROOT_TYPES,
-    order: Sequence[str] = ("row_n",),
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The full issue table of an upload prepared by `prepare`.
+    """The full issue table of an upload prepared by `prepare`. Rows that carry a `file` have it in their issues too.
 
     The payloads are read once: keys, parent cell, name and row findings go to a slim table without payloads, and all
     checks across rows work on that.
     """
-    keep = ["row_n", "uid", "sampletype"]
+    order = order or row_key(rows)
+    keep = [*row_key(rows), "uid", "sampletype"]
     slim = cut(_with_findings(rows, catalogue, roots).select(
         *dict.fromkeys([*keep, *order]), t.parent_cell("parent", "attrs").alias("parent"),
         t.attr("attrs", "Name").alias("name"), "findings",
@@ -122,13 +134,13 @@ def all_issues(
         _text("sampletype ", F.col("sampletype"), ", name '", F.col("name"), "' reseen in row ", F.col("row_n")).alias(
             "detail"),
     )
-    lost = missing_parents(slim, baseline).select(
+    lost = missing_parents(slim, baseline, keep).select(
         F.lit("parent_uid_not_found").alias("code"), F.lit(HARD).alias("severity"), *keep,
         _text("row ", F.col("row_n"), " ", F.col("uid"), " (", F.col("sampletype"), ") → Parent '", F.col("parent_uid"),
               "' not in upload or baseline").alias("detail"),
     )
     parts = [_exploded(slim), dup, names, lost]
-    return reduce(DataFrame.unionByName, [p.select(*ISSUE_COLUMNS) for p in parts])
+    return reduce(DataFrame.unionByName, [p.select(*_issue_columns(rows)) for p in parts])
 
 
 def issue_rollup(issues: DataFrame) -> DataFrame:
@@ -209,17 +221,18 @@ def dispositions(
 ) -> DataFrame:
     """CLEAN / SOFT_FLAG / HARD_REJECT per row, the worst finding wins; counted per group.
 
-    `rows` is prepared and carries `row_n` as its key. Issue severities are brought down to one row per upload row
-    before the join.
+    `rows` is prepared and carries `row_n`, and `file` if it comes from several, as its key. Issue severities are brought
+    down to one row per upload row before the join.
     """
-    worst = issues.groupBy("row_n").agg(F.max("severity").alias("_worst"))
+    key = [c for c in row_key(rows) if c in issues.columns]
+    worst = issues.groupBy(*key).agg(F.max("severity").alias("_worst"))
     soft = reduce(lambda a, b: a | b, [t.is_blank(t.attr("attrs", c)) for c in soft_columns])
     own = file_column_flags(rows).select(
-        group, "row_n", F.greatest("file_flag", F.when(soft, SOFT).otherwise(INFO)).alias("_own")
+        group, *[c for c in key if c != group], F.greatest("file_flag", F.when(soft, SOFT).otherwise(INFO)).alias("_own")
     )
     level = F.greatest("_own", F.coalesce("_worst", F.lit(INFO)))
     word = F.when(level == HARD, "HARD_REJECT").when(level == SOFT, "SOFT_FLAG").otherwise("CLEAN")
-    return own.join(worst, "row_n", "left").groupBy(group, word.alias("disposition")).agg(
+    return own.join(worst, key, "left").groupBy(group, word.alias("disposition")).agg(
         F.count(F.lit(1)).alias("n_rows")
     )
 
@@ -294,11 +307,11 @@ def structure_check(
 def error_groups(errors: DataFrame) -> DataFrame:
     """Errors that share (type, message): how many, and on how many distinct rows and uids."""
     return errors.groupBy("type", "message").agg(
-        F.count(F.lit(1)).alias("n_errors"), F.count_distinct("row_n").alias("n_rows"),
+        F.count(F.lit(1)).alias("n_errors"), F.count_distinct(*row_key(errors)).alias("n_rows"),
         F.count_distinct(t.filled("uid")).alias("n_uids"),
     )
 
 
 def error_members(errors: DataFrame) -> DataFrame:
     """The distinct affected rows behind each group, one per row; whole-file errors have none."""
-    return errors.where(F.col("row_n").isNotNull()).select("type", "message", "row_n", "uid").distinct()
+    return errors.where(F.col("row_n").isNotNull()).select("type", "message", *row_key(errors), "uid").distinct()

@@ -23,8 +23,10 @@ def classify_listing(files: DataFrame) -> DataFrame:
 
 
 def build_manifest(files: DataFrame) -> DataFrame:
-    """The manifest of a listing: classified and numbered `000001…` in path order."""
-    numbered = dense_index(classify_listing(files), ["path"], name="_n")
+    """The manifest of a listing: classified and numbered `000001…` in the order of the paths' parts, so a folder's files come
+    before those of a folder whose name is longer."""
+    parts = classify_listing(files).withColumn("_parts", F.split("path", "/"))
+    numbered = dense_index(parts, ["_parts", "path"], name="_n")
     return numbered.withColumns({
         "id": F.lpad(F.col("_n").cast("string"), 6, "0"),
         "original_path": F.col("path"),

@@ -33,7 +33,9 @@ def salted_join(
     hot = hot_keys(left, key) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    # Maps cannot be hashed; as text they can.
+    parts = [F.to_json(f"`{n}`") if "map<" in kind else F.col(f"`{n}`") for n, kind in left.dtypes if "void" not in kind]
+    spread = F.pmod(F.xxhash64(*parts), F.lit(salts)).cast("int")
     salted = left.withColumn("_salt", F.when(F.col(key).isin(*hot), spread).otherwise(0))
     copies = F.when(F.col(key).isin(*hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     copied = right.withColumn("_salt", F.explode(copies))

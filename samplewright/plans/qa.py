@@ -163,7 +163,7 @@ def _issues(spark, sf):
 
 @book.query(r.with_sql(*ISSUES) + "SELECT code, severity, row_n, uid, sampletype FROM row_issues")
 def row_checks(spark, sf):
-    return checks.row_issues(_prepared(spark, sf), r.catalogue(spark), r.ROOTS).drop("detail")
+    return checks.row_issues(_prepared(spark, sf), r.catalogue(spark), r.ROOTS).drop("detail", "file")
 
 
 @book.query(r.with_sql(*ISSUES) + """

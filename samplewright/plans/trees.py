@@ -100,7 +100,7 @@ def classify_paths(spark, sf):
     return df.withColumn("target_relpath", p.target_relpath("figure", "target_filename", "target_storage"))
 
 
-@book.query(f"""WITH {_EXPECTED} SELECT lpad((row_number() OVER (ORDER BY path))::VARCHAR, 6, '0') AS id, path AS original_path, length AS size_bytes,
+@book.query(f"""WITH {_EXPECTED} SELECT lpad((row_number() OVER (ORDER BY string_split(path, '/')))::VARCHAR, 6, '0') AS id, path AS original_path, length AS size_bytes,
   strftime(mtime, '%Y-%m-%dT%H:%M:%S') AS mtime_iso, '' AS md5, figure::VARCHAR AS figure, {', '.join(FIELDS[1:])}, target_relpath FROM walked""")
 def manifest(spark, sf):
     return filetree.build_manifest(files(spark, sf))

@@ -15,7 +15,7 @@ from samplewright.sinks import writers
 from samplewright.sources import files, sheets, tables
 
 SAMPLE = {
-    "Samples": [["UID", "Name", "Parent"], ["RNA-260527KAM-1", "A1_tube1", "TIS-250218KAM-1"], ["RNA-260527KAM-2", "A1_tube2", "TIS-250218KAM-1"]],
+    "Samples": [["UID", "Name", "Parent"], ["RNA-260527ABC-1", "A1_tube1", "TIS-250218ABC-1"], ["RNA-260527ABC-2", "A1_tube2", "TIS-250218ABC-1"]],
     "Instructions": [["Field", "Type", "Description"]],
 }
 

@@ -72,3 +72,11 @@ def test_lookup_join_drops_count_and_keeps_unmatched(spark, monkeypatch):
         got = skew.lookup_join(left, right, "k", "left", count="n")
         assert got.columns == ["k", "i", "v"]
         assert got.count() == 102 and got.where("v = 'x'").count() == 100
+
+
+def test_salted_join_takes_maps(spark):
+    rows = [("hot", {"a": str(i)}) for i in range(50)] + [("cold", None)]
+    left = spark.createDataFrame(rows, "k string, attrs map<string,string>")
+    right = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
+    got = skew.salted_join(left, right, "k", hot=["hot"], salts=4).collect()
+    assert sorted((r.k, str(r.attrs), r.v) for r in got) == sorted((k, str(a), 1 if k == "hot" else 2) for k, a in rows)
