@@ -148,8 +148,8 @@ class ByteBpe:
         self.lexicon = lexicon
         self.pattern = regex.compile(PATTERN)
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.tokens = words.Memory(lambda some: [array("I", self._token(t.encode())).tobytes() for t in some])
-        self.chunks = words.Memory(self._chunks)
+        self.tokens = words.Memory(lambda some: [array("I", self._token(t.encode())).tobytes() for t in some], 100_000)
+        self.chunks = words.Memory(self._chunks, 100_000)
 
     def merge(self, word: bytes) -> list[int]:
         """Exact ids of one pre-token."""
