@@ -18,7 +18,7 @@ def tokenizer(name: str) -> str:
 
 @book.query()
 def op1_document_fingerprints(spark, sf_dir):
-    return simhash.edited(table(spark, sf_dir, "documents"))
+    return simhash.edited_and_searched(table(spark, sf_dir, "documents"))
 
 
 @book.query()

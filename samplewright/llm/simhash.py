@@ -20,8 +20,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from samplewright.llm.common import bucket_count, bucket_of, cut_points, texts
+from samplewright.session import cut
 
 BITS = 64
+RADIUS = 3
 _BLANKS = "\t\n\x0b\f\r "
 _SPLIT = r"[\x20\x09-\x0D]+"
 _PAIR = (1 << 32) + 1
@@ -83,8 +85,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - distance(a, b) / F.lit(float(BITS))
 
 
-def edited(docs: DataFrame, shingle: int = 2, weight=length_weight) -> DataFrame:
-    """Fingerprints of every text, of the text with its last quarter replaced by the start of the next document, and likenesses.
+def _with_edits(docs: DataFrame, shingle: int, weight) -> DataFrame:
+    """doc_id, n_chars, edited_sha256 and the fingerprints of the text, the edited text and the next text, as bigints.
 
     The next document is the one with the next doc_id (null ids first; equal ids by text); after the last comes the first. The
     rows are dealt into ordered id buckets in one shuffle, which all later steps reuse. Each bucket also gets a copy of the
@@ -121,9 +123,32 @@ def edited(docs: DataFrame, shingle: int = 2, weight=length_weight) -> DataFrame
     side = [F.max(F.when(F.col("side") == i, F.col("fingerprint"))).alias(name) for i, name in enumerate(("plain", "changed"))]
     rows = found.groupBy(*keys).agg(*side)
     rows = rows.withColumn("_next", F.lead("plain").over(W.partitionBy("bucket").orderBy("at")))
-    return rows.where("ghost = 0").select(
+    return rows.where("ghost = 0").select("doc_id", "n_chars", "edited_sha256", "plain", "changed", F.col("_next").alias("following"))
+
+
+def _shown(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_hex(F.col("plain")).alias("fingerprint"), as_hex(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("plain"), F.col("changed")).alias("near_edited"), likeness(F.col("plain"), F.col("_next")).alias("near_next"))
+        likeness(F.col("plain"), F.col("changed")).alias("near_edited"), likeness(F.col("plain"), F.col("following")).alias("near_next"), *more)
+
+
+def edited(docs: DataFrame, shingle: int = 2, weight=length_weight) -> DataFrame:
+    """Fingerprints of every text, of the text with its last quarter replaced by the start of the next document, and likenesses."""
+    return _shown(_with_edits(docs, shingle, weight))
+
+
+def edited_and_searched(docs: DataFrame, radius: int = RADIUS, every: int = 50, shingle: int = 2, weight=length_weight) -> DataFrame:
+    """The rows of `edited`, and `n_within`: for a doc_id divisible by `every`, the number of other rows whose fingerprint is
+    within `radius` bits of the row's own, copies included; null for all other rows, and for a null doc_id.
+
+    The fingerprints are written once, and rows with equal ones are one row of the search with their number.
+    """
+    rows = cut(_with_edits(docs, shingle, weight))
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    classes = rows.groupBy(F.col("plain").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"), F.max(asked).alias("asked"))
+    found = count_within(classes.where("asked").select("fingerprint"), classes.select("fingerprint", "n"), radius)
+    joined = rows.join(found.withColumnRenamed("query", "plain"), "plain", "left")
+    return _shown(joined.withColumn("n_within", F.when(asked, F.col("n_within") - 1)), "n_within")
 
 
 def block_tables(radius: int, blocks: int | None = None) -> list[tuple[int, int]]:
@@ -139,12 +164,12 @@ def block_tables(radius: int, blocks: int | None = None) -> list[tuple[int, int]
 
 
 def keyed(df: DataFrame, masks: Sequence[tuple[int, int]]) -> DataFrame:
-    """A row per fingerprint and table; the permuted key is the kept bits."""
+    """The rows of `df`, each once per table; the permuted key is the kept bits."""
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key")) for t, m in masks])
-    return df.select("fingerprint", F.inline(tables))
+    return df.select("*", F.inline(tables))
 
 
-def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """All pairs (query, fingerprint, distance) of distinct fingerprints within the radius; both tables have a `fingerprint`.
 
     Exact at every size: nothing is capped. Copies are reduced first, so a group of equal documents is one row here; join the
@@ -155,3 +180,30 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks:
     x = keyed(index.where("fingerprint is not null").select("fingerprint").distinct(), masks)
     apart = distance(F.col("query"), F.col("fingerprint"))
     return q.join(x, ["t", "key"]).select("query", "fingerprint", apart.alias("distance")).where(F.col("distance") <= radius).distinct()
+
+
+def count_within(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: int | None = None, run: int = 1024) -> DataFrame:
+    """`query` and `n_within`: for each distinct fingerprint of `queries`, the sum of `n` over all fingerprints of `index`
+    (distinct `fingerprint`, `n`) within the radius. Queries without any are left out.
+
+    The same search as `within_radius`, but no pair becomes a row: of a key that many fingerprints share, runs of about `run` of
+    them meet each query as one array, in as many tasks as there are runs. A pair that agrees on the kept bits of several
+    tables counts in the first. Only keys that a query has are shuffled a second time.
+    """
+    masks = block_tables(radius, blocks)
+    at = ["t", "key"]
+    q = cut(keyed(queries.where("fingerprint is not null").select("fingerprint").distinct(), masks)).withColumnRenamed("fingerprint", "query")
+    hit = cut(keyed(index.where("fingerprint is not null").select("fingerprint", "n"), masks).join(q.select(*at).distinct(), at, "left_semi"))
+    large = hit.groupBy(*at).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > run)
+    part = F.pmod(F.xxhash64("fingerprint"), F.coalesce(F.ceil(F.col("size") / run), F.lit(1))).alias("part")
+    runs = hit.join(large, at, "left").select(*at, "fingerprint", "n", part).groupBy(*at, "part").agg(
+        F.collect_list(F.struct("fingerprint", "n")).alias("members"))
+    kept = F.lit([mask for _, mask in masks])
+
+    def near(member: Column) -> Column:
+        differ = member["fingerprint"].bitwiseXOR(F.col("query"))
+        seen = F.exists(F.slice(kept, F.lit(1), F.col("t")), lambda mask: differ.bitwiseAND(mask) == 0)
+        return (F.bit_count(differ) <= radius) & ~seen
+
+    total = F.aggregate(F.filter("members", near), F.lit(0).cast("bigint"), lambda sum_, member: sum_ + member["n"])
+    return q.join(runs, at).select("query", total.alias("n")).groupBy("query").agg(F.sum("n").alias("n_within"))

@@ -63,6 +63,21 @@ def test_search_within_a_radius(spark):
         assert got == {(signed(a), signed(b), (a ^ b).bit_count()) for a in prints[:40] for b in prints if (a ^ b).bit_count() <= radius}
 
 
+        index = df.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"))
+        for run in (3, 1024):
+            counts = {tuple(r) for r in simhash.count_within(df.limit(40), index, radius, run=run).collect()}
+            assert counts == {(signed(a), sum((a ^ b).bit_count() <= radius for b in prints)) for a in prints[:40]}
+
+
+def test_searched_documents_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df, rows, every in ((docs, [(r.doc_id, r.text or "") for r in docs.collect()], 50), (odd_docs(spark), ROWS, 2), (odd_docs(spark, []), [], 2)):
+        prints = [(i, shingle_print(t or "", 2, lambda term: min(16, len(term)))) for i, t in rows]
+        want = [(str(i), f"{p:016x}", str(sum((p ^ o).bit_count() <= 3 for _, o in prints) - 1 if i is not None and i % every == 0 else None)) for i, p in prints]
+        got = simhash.edited_and_searched(df, every=every).select("doc_id", "fingerprint", "n_within").collect()
+        assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == sorted(want)
+
+
 def test_links_sparse_and_dense_give_the_same_groups(spark):
     rng = random.Random(3)
     prints = set()
