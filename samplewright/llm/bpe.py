@@ -37,6 +37,8 @@ BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 _EDGE = re.compile(f"^(?:$|[{BLANK}])|[{BLANK}]$")
 LONG = 64
+#: Groups of partitions whose word sketches are merged before all are.
+SKETCHES = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -258,7 +260,11 @@ def frequent_words(docs: DataFrame, most: int = 20_000) -> list[str]:
     The sketch is approximate, which the lexicon may be: a word that it lacks is merged instead, to the same ids.
     """
     every = docs.select(F.explode(F.split("text", "[ \n]")).alias("word")).where("word <> '' and char_length(word) <= 64")
-    top = every.agg(F.expr(f"approx_top_k(word, {most}, {4 * most})").alias("top")).first()["top"]
+    # Two steps, so that no task merges the sketches of all others. Grouped by a constant, no sketches give no row.
+    part = F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("part")
+    sketches = every.groupBy(part).agg(F.expr(f"approx_top_k_accumulate(word, {4 * most})").alias("sketch"))
+    one = sketches.groupBy(F.lit("all").alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {4 * most})").alias("sketch"))
+    top = (one.select(F.expr(f"approx_top_k_estimate(sketch, {most})").alias("top")).first() or {"top": None})["top"]
     return [item["item"] for item in (top or []) if item["count"] > 1]
 
 
