@@ -140,7 +140,7 @@ def consolidate(spark, sf):
     rows = flat.flat_rows(records, r.assay_cache(spark), r.synonyms(spark))
     path = writers.write_flat(rows, scratch_path(spark, "flat"))
     per_arm = flat.arm_counts(records.select("arm", "file"))
-    back = spark.read.option("escape", '"').csv(path, header=True).groupBy("arm").agg(
+    back = spark.read.csv(path, header=True, escape='"', multiLine=True).groupBy("arm").agg(
         F.count_if(F.col("notes_summary") != "").alias("n_notes"), F.count_if(F.col("assay_ids") == "61").alias("n_synonym"))
     return per_arm.join(back, "arm")
 

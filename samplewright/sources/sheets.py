@@ -125,7 +125,8 @@ def _workbook_batches(name: str, content: bytes, sheets: Sequence[str] | None) -
                 continue
             header, rows = None, []
             for row_n, values in _sheet_rows(archive, part, shared):
-                header = values if header is None else header
+                if header is None:
+                    header = values if row_n == 1 else []  # a sheet without row 1 has no header
                 rows.append((name, sheet, pos, row_n, header, values))
                 if len(rows) == _BATCH:
                     yield _batch(rows)
@@ -165,12 +166,25 @@ def _names() -> Column:
 
 def sheet_rows(cells: DataFrame) -> DataFrame:
     """Data rows with `attrs`: header → value, blank headers as `_colN`, empty cells left out. The last of two equal
-    headers wins."""
+    headers wins. Cells past the last header are `_colN` too."""
     pairs = F.zip_with(_names(), "values", lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    full = F.filter(pairs, lambda x: x["k"].isNotNull() & x["v"].isNotNull())
-    wins = F.filter(full, lambda x, i: ~F.exists(F.slice(full, i + 2, F.size(full)), lambda y: y["k"] == x["k"]))
+    named = F.transform(pairs, lambda x, i: F.struct(
+        F.coalesce(x["k"], F.concat(F.lit("_col"), i.cast("string"))).alias("k"), x["v"].alias("v")))
+    full = F.filter(named, lambda x: x["v"].isNotNull())
     return layer(
-        cells.where("row_n > 1"), "file", "sheet", "sheet_pos", "row_n", attrs=F.map_from_entries(wins))
+        cells.where("row_n > 1"), "file", "sheet", "sheet_pos", "row_n", attrs=F.map_from_entries(_last_of_each(full)))
+
+
+def _last_of_each(pairs: Column) -> Column:
+    """Key-value pairs without those whose key comes again later."""
+    return F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+
+
+def duplicate_headers(cells: DataFrame) -> DataFrame:
+    """Findings (file, sheet, header, n): headers that a sheet has more than once, case and outer blanks aside."""
+    heads = cells.groupBy("file", "sheet").agg(F.first("header").alias("header"))
+    each = heads.select("file", "sheet", F.explode("header").alias("header")).select("file", "sheet", F.lower(t.norm("header")).alias("header"))
+    return each.where("header <> ''").groupBy("file", "sheet", "header").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def pick_sheet(cells: DataFrame, sheet: str | None = None) -> DataFrame:
@@ -220,10 +234,12 @@ def master_uids(cells: DataFrame | None, spark: SparkSession | None = None) -> D
 
 
 def flat_upload(cells: DataFrame) -> DataFrame:
-    """Rows of flat upload sheets as named columns, row numbers as in the file; all-empty rows are dropped."""
+    """Rows of flat upload sheets as named columns, row numbers as in the file; all-empty rows are dropped.
+
+    Headers that differ only in case or outer blanks are one column, the last filled cell wins; `duplicate_headers` reports them."""
     rows = sheet_rows(cells.where("sheet = 'Samples'")).where("size(attrs) > 0")
-    low = F.transform_keys("attrs", lambda k, _: F.lower(t.norm(k)))
-    rows = rows.withColumn("attrs", low)
+    low = F.transform(F.map_entries("attrs"), lambda x: F.struct(F.lower(t.norm(x["key"])).alias("k"), x["value"].alias("v")))
+    rows = rows.withColumn("attrs", F.map_from_entries(_last_of_each(low)))
     get = lambda c, alias=None: F.coalesce(*[t.attr("attrs", n) for n in ([c] + ([alias] if alias else []))])
     return rows.select(
         "file", "row_n", get("uid").alias("uid"), get("sampletype", "sample_type").alias("sampletype"),

@@ -24,17 +24,17 @@ def _place():
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest. Blank cells are empty strings, as everywhere in this file."""
-    return spark.read.schema(_strings(MANIFEST_COLUMNS)).csv(path, header=True, escape='"').fillna("")
+    return spark.read.schema(_strings(MANIFEST_COLUMNS)).csv(path, header=True, escape='"', multiLine=True).fillna("")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """The image listing with the place of each row, for last-row-wins."""
-    rows = spark.read.schema(_strings(IMAGE_COLUMNS)).csv(path, header=True, escape='"').fillna("")
+    rows = spark.read.schema(_strings(IMAGE_COLUMNS)).csv(path, header=True, escape='"', multiLine=True).fillna("")
     return rows.withColumn("line_no", _place())
 
 
 def read_pull_plan(spark: SparkSession, path: str) -> DataFrame:
-    plan = spark.read.schema(_strings(PULL_PLAN_COLUMNS)).csv(path, header=True, sep="\t", escape='"').fillna("")
+    plan = spark.read.schema(_strings(PULL_PLAN_COLUMNS)).csv(path, header=True, sep="\t", escape='"', multiLine=True).fillna("")
     return parse_plan(plan)
 
 
@@ -75,8 +75,18 @@ def sample_type(catalogue: DataFrame, code: str) -> DataFrame:
     return row
 
 
-def read_assay_cache(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """((title, assay_id), description). A missing or broken cache is empty, not an error."""
+def read_assay_cache(spark: SparkSession, path: str, project_id: str | None = None) -> tuple[DataFrame, str]:
+    """((title, assay_id), description). A missing or broken cache is empty, not an error.
+
+    With a project, `path` is the folder that `write_assay_cache` fills; without one it is a document with a map of titles.
+    """
+    if project_id is not None:
+        try:
+            rows = spark.read.schema("title string, assay_id bigint, fetched_at_utc string, project_id string").json(path)
+        except AnalysisException:
+            return spark.createDataFrame([], "title string, assay_id bigint"), "no cache"
+        mine = rows.where((F.col("project_id") == project_id) & F.col("title").isNotNull() & F.col("assay_id").isNotNull())
+        return mine.select("title", "assay_id"), f"cache {path}, project {project_id}"
     schema = "project_id string, base_url string, fetched_at_utc string, assay_id_by_title map<string,bigint>"
     return _map_document(spark, path, schema, "assay_id_by_title", ("title", "assay_id"), "bigint", "cache")
 

@@ -127,6 +127,43 @@ def test_missing_and_broken_caches_are_empty(spark):
     assert tables.read_assay_cache(spark, f"{root}/good.json")[0].collect() == [("A", 3)]
 
 
+def test_a_written_cache_is_read_back(spark):
+    path = f"{folder()}/cache"
+    for project, title in (("P1", "A"), ("P2", "B")):
+        ids = spark.createDataFrame([(title, 7, 2)], "title string, assay_id bigint, n_ids bigint")
+        writers.write_assay_cache(ids, project, "2024-01-01T00:00:00Z", path)
+    assert [tables.read_assay_cache(spark, path, p)[0].collect() for p in ("P1", "P2", "P3")] == [[("A", 7)], [("B", 7)], []]
+    assert tables.read_assay_cache(spark, f"{path}/none", "P1")[1] == "no cache"
+
+
+def test_line_breaks_in_manifest_cells_come_back(spark):
+    columns = tables.MANIFEST_COLUMNS
+    note = 'two\nlines, "quoted"'
+    rows = spark.createDataFrame([[note, *["x"] * (len(columns) - 1)]], list(columns))
+    got = tables.read_manifest(spark, writers.write_manifest(rows, f"{folder()}/manifest")).collect()
+    assert [r[columns[0]] for r in got] == [note]
+
+
+def test_surplus_cells_and_a_missing_first_row(spark):
+    book = {"A": [["UID"], ["x", "beyond"]]}
+    assert sheets.sheet_rows(sheets.read_workbooks(spark, workbook(book))).first()["attrs"] == {"UID": "x", "_col1": "beyond"}
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="urn:r"><sheets><sheet name="S" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="/xl/worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/worksheets/s.xml", f'<worksheet {ns}><sheetData><row r="2"><c r="A2" t="str"><v>UID</v></c></row></sheetData></worksheet>')
+    df = spark.createDataFrame([("x", out.getvalue())], "path string, content binary")
+    assert [(r["row_n"], r["attrs"]) for r in sheets.sheet_rows(sheets.scan_workbooks(df)).collect()] == [(2, {"_col0": "UID"})]
+
+
+def test_headers_that_fold_into_one_are_a_finding(spark):
+    book = {"Samples": [["uid", "UID ", "Name"], ["a", "b", "n"], ["c", None, "m"]]}
+    cells = sheets.read_workbooks(spark, workbook(book))
+    assert [(r["uid"], r["name"]) for r in sheets.flat_upload(cells).orderBy("row_n").collect()] == [("b", "n"), ("c", "m")]
+    assert [(r["sheet"], r["header"], r["n"]) for r in sheets.duplicate_headers(cells).collect()] == [("Samples", "uid", 2)]
+
+
 def test_documents_of_the_catalogue_and_the_edges(spark):
     root = folder()
     with open(f"{root}/types.json", "w") as f:
