@@ -12,12 +12,16 @@ from samplewright.functions import text as t
 from samplewright.model import IMAGE_TYPES, MANIFEST_COLUMNS
 from samplewright.operators.ranking import dense_index, first_rows
 from samplewright.operators.skew import lookup_join
+from samplewright.session import cut
+
+
+def figure_files(files: DataFrame) -> DataFrame:
+    return files.where(F.split_part("path", F.lit("/"), F.lit(1)).isin(*p.FIGURES))
 
 
 def classify_listing(files: DataFrame) -> DataFrame:
     """`files(path, length, mtime)` of the figure folders with their classification and target path."""
-    known = files.where(F.split_part("path", F.lit("/"), F.lit(1)).isin(*p.FIGURES))
-    return p.classify_paths(known).withColumn(
+    return p.classify_paths(figure_files(files)).withColumn(
         "target_relpath", p.target_relpath("figure", "target_filename", "target_storage")
     )
 
@@ -25,10 +29,10 @@ def classify_listing(files: DataFrame) -> DataFrame:
 def build_manifest(files: DataFrame) -> DataFrame:
     """The manifest of a listing: classified and numbered `000001…` in the order of the paths' parts, so a folder's files come
     before those of a folder whose name is longer."""
-    parts = classify_listing(files).withColumn("_parts", F.split("path", "/"))
-    numbered = dense_index(parts, ["_parts", "path"], name="_n")
-    return numbered.withColumns({
-        "id": F.lpad(F.col("_n").cast("string"), 6, "0"),
+    listed = figure_files(files).select("path", "length", "mtime", F.split("path", "/").alias("_parts"))
+    numbered = dense_index(listed, ["_parts", "path"], name="_number")  # before the rules run, so they run once
+    return classify_listing(numbered).withColumns({
+        "id": F.lpad(F.col("_number").cast("string"), 6, "0"),
         "original_path": F.col("path"),
         "size_bytes": F.col("length").cast("bigint"),
         "mtime_iso": F.coalesce(F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")),
@@ -60,7 +64,7 @@ def _moving(manifest: DataFrame) -> DataFrame:
 
 def collisions(manifest: DataFrame) -> DataFrame:
     """Targets that several files would take, one source per row. Only colliding targets are joined back."""
-    moving = _moving(manifest).select("target_relpath", "original_path")
+    moving = cut(_moving(manifest).select("target_relpath", "original_path"))
     several = moving.groupBy("target_relpath").agg(F.count(F.lit(1)).alias("n_sources")).where("n_sources > 1")
     several = several.withColumn("_n", F.col("n_sources"))
     return lookup_join(moving, several, "target_relpath", count="_n")

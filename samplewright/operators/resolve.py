@@ -32,11 +32,16 @@ def _status() -> Column:
 def parent_status(rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
     """(parent_uid, n_refs, status) for every distinct cited parent.
 
-    Citations are counted per parent before anything is joined, so a hub parent is one row.
+    Citations and known uids are one table with one aggregate: one shuffle, after a combine in which a hub parent is one row.
     """
-    refs = parent_refs(rows, ()).groupBy("parent_uid").agg(F.count(F.lit(1)).alias("n_refs"))
-    known = known_uids(rows, baseline).withColumnRenamed("uid", "parent_uid")
-    return refs.join(known, "parent_uid", "left").select("parent_uid", "n_refs", _status().alias("status"))
+    side = lambda uid, n, origin: (
+        uid.alias("parent_uid"), F.lit(n).cast("bigint").alias("n"), F.lit(origin).cast("int").alias("origin"))
+    both = parent_refs(rows, ()).select(*side(F.col("parent_uid"), 1, None)).union(rows.select(*side(t.filled("uid"), 0, 0)))
+    if baseline is not None:
+        both = both.union(baseline.select(*side(t.filled("uid"), 0, 1)))
+    known = both.where(F.col("parent_uid").isNotNull()).groupBy("parent_uid").agg(
+        F.sum("n").alias("n_refs"), F.min("origin").alias("origin"))
+    return known.where("n_refs > 0").select("parent_uid", "n_refs", _status().alias("status"))
 
 
 def resolve_parents(rows: DataFrame, baseline: DataFrame | None, keep=("row_n", "uid", "sampletype")) -> DataFrame:
@@ -140,14 +145,15 @@ def resolve_identifiers(ids: DataFrame, samples: DataFrame) -> DataFrame:
     )
     by_id = samples.select(F.col("sample_id").alias("_num"), F.col("uid").alias("_uid_a"))
     by_uid = samples.select(F.col("uid").alias("_uid"), F.col("sample_id").alias("_id_b"))
-    return (
-        asked.join(by_id, "_num", "left").join(by_uid, "_uid", "left")
-        .select(
-            *ids.columns,
-            F.when(F.col("_uid_a").isNotNull(), F.col("_num")).otherwise(F.col("_id_b")).alias("sample_id"),
-            F.coalesce("_uid_a", F.when(F.col("_id_b").isNotNull(), F.col("_uid"))).alias("uid"),
-        )
-    )
+    # Each kind meets its own key only, so no null key gathers the other kind in one task.
+    numbers = asked.where("_num IS NOT NULL").join(by_id, "_num", "left").select(
+        *ids.columns, F.when(F.col("_uid_a").isNotNull(), F.col("_num")).alias("sample_id"), F.col("_uid_a").alias("uid"))
+    names = asked.where("_uid IS NOT NULL").join(by_uid, "_uid", "left").select(
+        *ids.columns, F.col("_id_b").alias("sample_id"), F.when(F.col("_id_b").isNotNull(), F.col("_uid")).alias("uid"))
+    kind = dict(samples.select("sample_id", "uid").dtypes)
+    blank = asked.where("_num IS NULL AND _uid IS NULL").select(
+        *ids.columns, *[F.lit(None).cast(kind[c]).alias(c) for c in ("sample_id", "uid")])
+    return numbers.unionAll(names).unionAll(blank)
 
 
 def alias_uids(rows: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
@@ -156,11 +162,12 @@ def alias_uids(rows: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
 
 
 def mark_existing(rows: DataFrame, master: DataFrame) -> DataFrame:
-    """Mark each row `[EXIST]` or `[NEW]` against the master table."""
+    """Mark each row `[EXIST]` or `[NEW]` against the master table. Rows without a uid are new and take no part in the join."""
     held = master.select(t.filled("uid").alias("uid"), F.lit(True).alias("_held")).where("uid IS NOT NULL").distinct()
-    return rows.join(held, "uid", "left").withColumn("mark", F.when(F.col("_held"), "[EXIST]").otherwise("[NEW]")).drop(
-        "_held"
-    )
+    blank = t.is_blank("uid")
+    met = rows.where(~blank).join(held, "uid", "left").select(
+        *rows.columns, F.when(F.col("_held"), "[EXIST]").otherwise("[NEW]").alias("mark"))
+    return met.unionAll(rows.where(blank).withColumn("mark", F.lit("[NEW]")))
 
 
 def repair_ids(rows: DataFrame, known: DataFrame, key: str, years: list[str], suffixes: list[str]) -> DataFrame:

@@ -2,43 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from samplewright.session import cut
 
-SHARE = 200  # a key is hot when it holds at least one row in SHARE; there are at most SHARE such keys
+PARTS = 200
+MOST_PARTS = 20_000
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
 
-def hot_keys(df: DataFrame, key: str, tracked: int = 4096) -> list:
-    """The hot keys of a table, whatever its size. A sketch built in one pass names them; nothing is shuffled by key."""
+def parts(df: DataFrame) -> int:
+    """Shares that a big table is thought to be cut into: the session's shuffle partitions, but `PARTS` at least. A key with more
+    rows than one share is hot, so there are at most so many hot keys, and both follow the size the session is set up for."""
+    return min(MOST_PARTS, max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def ways(count: int, rows: int, shares: int) -> int:
+    """How many tasks a hot key is spread over: each gets half a share. All hot keys together get at most 3 x `shares`."""
+    return max(2, ceil(2 * count * shares / max(rows, 1)))
+
+
+def hot_ways(df: DataFrame, key: str) -> dict:
+    """The hot keys of a table and their ways. A sketch built in one pass names them; nothing is shuffled by key."""
+    n = parts(df)
     top = df.where(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k(`{key}`, {SHARE}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n")
+        F.expr(f"approx_top_k(`{key}`, {n}, {max(4096, 8 * n)})").alias("top"), F.count(F.lit(1)).alias("n")
     ).first()
-    return [item["item"] for item in (top["top"] or []) if item["count"] * SHARE >= top["n"]]
+    return {item["item"]: ways(item["count"], top["n"], n) for item in (top["top"] or []) if item["count"] * n >= top["n"]}
+
+
+def hot_keys(df: DataFrame, key: str) -> list:
+    """The hot keys of a table, the most frequent first."""
+    found = hot_ways(df, key)
+    return sorted(found, key=found.get, reverse=True)
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: Sequence | None = None, salts: int = 32
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: Mapping | Sequence | None = None, salts: int = 32
 ) -> DataFrame:
-    """Join `left` to `right`, which holds one row per key, and spread the hot keys of `left` over `salts` tasks.
+    """Join `left` to `right`, which holds one row per key, and spread the hot keys of `left` over several tasks.
 
-    Only the right rows of hot keys are copied, at most `salts` times each. Which keys count as hot changes the
-    balance, never the result. `how` is inner, left, left_semi or left_anti.
+    `hot` has the ways of every hot key, or names keys that all get `salts` ways; by default a sketch finds both. Only the
+    right rows of hot keys are copied, once per way. Which keys count as hot changes the balance, never the result. The
+    table of hot keys, at most `parts` rows, is broadcast. `how` is inner, left, left_semi or left_anti.
     """
-    hot = hot_keys(left, key) if hot is None else hot
+    hot = hot_ways(left, key) if hot is None else hot if isinstance(hot, Mapping) else dict.fromkeys(hot, salts)
     if not hot:
         return left.join(right, key, how)
+    kind = StructType([StructField(key, left.schema[key].dataType), StructField("_ways", IntegerType())])
+    listed = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), kind))
     # Maps cannot be hashed; as text they can.
-    parts = [F.to_json(f"`{n}`") if "map<" in kind else F.col(f"`{n}`") for n, kind in left.dtypes if "void" not in kind]
-    spread = F.pmod(F.xxhash64(*parts), F.lit(salts)).cast("int")
-    salted = left.withColumn("_salt", F.when(F.col(key).isin(*hot), spread).otherwise(0))
-    copies = F.when(F.col(key).isin(*hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    copied = right.withColumn("_salt", F.explode(copies))
+    hashed = [F.to_json(f"`{n}`") if "map<" in kind else F.col(f"`{n}`") for n, kind in left.dtypes if "void" not in kind]
+    spread = F.coalesce(F.pmod(F.xxhash64(*hashed), F.col("_ways")).cast("int"), F.lit(0))
+    salted = left.join(listed, key, "left").withColumn("_salt", spread).drop("_ways")
+    copies = F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1)
+    copied = right.join(listed, key, "left").withColumn("_salt", F.explode(copies)).drop("_ways")
     return salted.join(copied, [key, "_salt"], how).drop("_salt")
 
 
@@ -50,15 +74,16 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     is known: hot keys are then read off it, else a sketch over `left` finds them. `count` is dropped from the result.
     """
     reduced = cut(right)
-    size = reduced.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.to_json(F.struct(*reduced.columns)))).alias("bytes"),
-        *([F.sum(count).alias("left_rows")] if count else []),
-    ).first()
+    size = reduced.agg(F.count(F.lit(1)).alias("rows"), *([F.sum(count).alias("left_rows")] if count else [])).first()
+    slim = reduced.drop(count) if count else reduced
+    if size["rows"] <= BROADCAST_ROWS:
+        held = reduced.agg(F.sum(F.octet_length(F.to_json(F.struct(*reduced.columns)))).alias("bytes")).first()["bytes"]
+        if (held or 0) <= BROADCAST_BYTES:
+            return left.join(F.broadcast(slim), key, how)
     hot = None
-    if count and size["rows"] > BROADCAST_ROWS:
-        top = reduced.where(F.col(count) * SHARE >= size["left_rows"]).select(key).limit(SHARE)
-        hot = [row[key] for row in top.collect()]
-    reduced = reduced.drop(count) if count else reduced
-    if size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
-        return left.join(F.broadcast(reduced), key, how)
-    return salted_join(left, reduced, key, how, hot)
+    if count:
+        n = parts(left)
+        # At most one key per share.
+        top = reduced.where((F.col(count) * n >= size["left_rows"]) & F.col(key).isNotNull()).select(key, count).collect()
+        hot = {row[key]: ways(row[count], size["left_rows"], n) for row in top}
+    return salted_join(left, slim, key, how, hot)

@@ -115,7 +115,7 @@ SELECT sampletype, name, row_n, first_row_n FROM (
   WHERE j_name <> '' WINDOW w AS (PARTITION BY sampletype, j_name ORDER BY row_n)) WHERE rn > 1""")
 def dup_name(spark, sf):
     rows = checks.prepare(r.order_upload(spark, sf))
-    return checks.duplicate_names(rows).select("sampletype", "name", "row_n", "first_row_n")
+    return checks.duplicate_names(rows, ROW_ORDER).select("sampletype", "name", "row_n", "first_row_n")
 
 
 @book.query(r.with_sql(*UPLOAD, r.TYPES_SQL) + """
@@ -150,6 +150,8 @@ issues AS (
   UNION ALL SELECT 'duplicate_uid', 2, * FROM dup_uids UNION ALL SELECT 'duplicate_name', 2, * FROM dup_names
   UNION ALL SELECT 'parent_uid_not_found', 2, * FROM lost
 )"""
+#: Row numbers of the order upload run through all its files.
+ROW_ORDER = ["row_n"]
 ISSUES = (r.NODES_SQL, r.ORDER_UPLOAD_SQL, r.BASELINE_SQL, _ISSUES)
 
 
@@ -158,7 +160,7 @@ def _prepared(spark, sf):
 
 
 def _issues(spark, sf):
-    return checks.all_issues(_prepared(spark, sf), r.catalogue(spark), r.baseline(spark, sf), r.ROOTS)
+    return checks.all_issues(_prepared(spark, sf), r.catalogue(spark), r.baseline(spark, sf), r.ROOTS, ROW_ORDER)
 
 
 @book.query(r.with_sql(*ISSUES) + "SELECT code, severity, row_n, uid, sampletype FROM row_issues")
