@@ -6,7 +6,7 @@ nothing. Cycles are no problem: a node is expanded once per key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
 from samplewright.operators.resolve import resolve_identifiers
-from samplewright.operators.skew import BROADCAST_ROWS, hot_keys, salted_join
+from samplewright.operators.skew import BROADCAST_ROWS, hot_ways, salted_join
 from samplewright.session import cut
 
 _FAR = {"up": ("child_uid", "parent_uid"), "down": ("parent_uid", "child_uid")}
@@ -34,7 +34,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _step(edges: DataFrame, frontier: DataFrame, rows: int, hot: Callable[[], list]) -> DataFrame:
+def _step(edges: DataFrame, frontier: DataFrame, rows: int, hot: Callable[[], Mapping]) -> DataFrame:
     """Edges met by a frontier of `rows` rows on `uid`: broadcast while it is small, else joined with hubs spread out."""
     if rows <= BROADCAST_ROWS:
         return edges.join(F.broadcast(frontier), "uid")
@@ -50,7 +50,7 @@ def closure(starts: DataFrame, edges: DataFrame, direction: str, key: str | None
     near, far = _FAR[direction]
     keys = [key] if key else []
     step = edges.select(F.col(near).alias("uid"), F.col(far).alias("_next"))
-    hubs = cache(lambda: hot_keys(step, "uid"))
+    hubs = cache(lambda: hot_ways(step, "uid"))
     hops = [cut(starts.select(*keys, "uid").distinct().withColumn("hop", F.lit(0)))]
     rows = total = hops[0].count()
     while rows:
@@ -105,7 +105,7 @@ def type_edges(edges: DataFrame, nodes: DataFrame, label: str = "assay_title") -
     """Distinct (source type, target type, label). Node types come from the node table; hub parents are spread out."""
     types = nodes.select("uid", "sampletype")
     targets = edges.join(types.toDF("child_uid", "target"), "child_uid").select("parent_uid", "target", label).distinct()
-    typed = salted_join(targets, types.toDF("parent_uid", "source"), "parent_uid", hot=hot_keys(edges, "parent_uid"))
+    typed = salted_join(targets, types.toDF("parent_uid", "source"), "parent_uid", hot=hot_ways(edges, "parent_uid"))
     return typed.select("source", "target", F.col(label).alias("annotation")).distinct()
 
 
@@ -158,7 +158,7 @@ def descendant_types(edges: DataFrame, nodes: DataFrame, types: Sequence[str]) -
     sent = cut(nodes.select("uid", bit.alias("mask")).where("mask > 0"))
     state = None
     while True:
-        met = _step(up, sent, sent.count(), list)  # a child cites few parents: no hot keys on this side
+        met = _step(up, sent, sent.count(), dict)  # a child cites few parents: no hot keys on this side
         got = met.groupBy(F.col("parent_uid").alias("uid")).agg(F.bit_or("mask").alias("mask"))
         if state is None:
             state = grown = cut(got)
@@ -248,7 +248,7 @@ def _largest_ancestor(live: DataFrame) -> DataFrame:
                 .withColumn("colour", F.col("uid")))
     grown = state
     down = live.select(F.col("parent_uid").alias("uid"), "child_uid")
-    hubs = cache(lambda: hot_keys(down, "uid"))
+    hubs = cache(lambda: hot_ways(down, "uid"))
     while n := grown.count():
         told = _step(down, grown, n, hubs).groupBy(F.col("child_uid").alias("uid")).agg(F.max("colour").alias("new"))
         grown = cut(told.join(state, "uid").where("new > colour").select("uid", F.col("new").alias("colour")))

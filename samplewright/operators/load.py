@@ -8,20 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
+from samplewright.operators.ranking import later_rows
 
 
 def merge_load(
     existing: DataFrame, upload: DataFrame, update_existing: bool = False, conflicts: Sequence[str] = ("sampletype",),
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """The table after a load, with the `outcome` of each row.
 
     Outcomes: kept (not in the upload), inserted, skipped (already there), updated, and conflict for an upload row
-    whose `conflicts` columns disagree with the stored row: it is refused, alone. Both tables hold one row per uid and
-    the same columns; rows without a uid belong to `mint_blank_uids` first.
+    whose `conflicts` columns disagree with the stored row: it is refused, alone. Both tables have the same columns, and
+    `existing` one row per uid. Of upload rows that share a uid the first in `order` counts, so the result has one row per
+    uid; the others, and rows without a uid, are what `refused` returns. Stored rows without a uid are kept.
     """
     cols = [c for c in existing.columns if c != "uid"]
-    side = lambda df, n: df.where(~t.is_blank("uid")).select("uid", F.struct(*cols).alias(n))
-    met = side(existing, "_old").join(side(upload, "_new"), "uid", "full_outer")
+    row = F.struct(*cols)
+    old = existing.where(~t.is_blank("uid")).select("uid", row.alias("_old"))
+    new = upload.where(~t.is_blank("uid")).groupBy("uid").agg(F.min_by(row, F.struct(*(order or cols))).alias("_new"))
+    met = old.join(new, "uid", "full_outer")
     both = F.col("_old").isNotNull() & F.col("_new").isNotNull()
     clash = F.lit(False)
     for c in conflicts:
@@ -31,12 +36,24 @@ def merge_load(
         .otherwise("updated" if update_existing else "skipped")
     )
     row = F.when(F.col("outcome").isin("inserted", "updated"), F.col("_new")).otherwise(F.col("_old"))
-    return met.withColumn("outcome", outcome).withColumn("_row", row).select(
+    done = met.withColumn("outcome", outcome).withColumn("_row", row).select(
         "uid", *[F.col("_row")[c].alias(c) for c in cols], "outcome")
+    return done.unionAll(existing.where(t.is_blank("uid")).select("uid", *cols, F.lit("kept")))
 
 
-def load_totals(merged: DataFrame, minted: int | None = None) -> DataFrame:
-    """One row of totals: processed, success, skipped, failed, updated, uids_generated."""
+def refused(upload: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The upload rows that `merge_load` leaves out, with `reason`: no_uid (mint one first) or repeated, which is any row of a
+    uid but the first. `order` must tell the rows of a uid apart."""
+    blank = upload.where(t.is_blank("uid")).withColumn("reason", F.lit("no_uid"))
+    again = later_rows(upload.where(~t.is_blank("uid")), ["uid"], order).select(*upload.columns, F.lit("repeated").alias("reason"))
+    return blank.unionAll(again)
+
+
+def load_totals(merged: DataFrame, minted: int | None = None, lost: DataFrame | None = None) -> DataFrame:
+    """One row of totals: processed, success, skipped, failed, updated, uids_generated. `lost` are the refused rows: they
+    count as processed and failed."""
+    if lost is not None:
+        merged = merged.select("outcome").unionAll(lost.select(F.lit("conflict")))
     n = lambda *o: F.count_if(F.col("outcome").isin(*o))
     return merged.agg(
         n("inserted", "updated", "skipped", "conflict").alias("processed"), n("inserted", "updated").alias("success"),

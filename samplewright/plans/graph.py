@@ -209,7 +209,8 @@ asked AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'CUS-240101TPC-' || c_custkey
 starts AS (SELECT identifier, uid FROM asked LEFT JOIN small_nodes ON uid = identifier),
 up(uid) AS (SELECT uid FROM starts WHERE uid IS NOT NULL UNION SELECT parent_uid FROM edges JOIN up ON child_uid = up.uid),
 down(uid) AS (SELECT uid FROM starts WHERE uid IS NOT NULL UNION SELECT child_uid FROM edges JOIN down ON parent_uid = down.uid),
-found AS (SELECT split_part(uid, '-', 1) AS sampletype, uid, NOT (uid IN (SELECT uid FROM up)) AS is_child FROM (SELECT * FROM up UNION SELECT * FROM down))
+found AS (SELECT split_part(uid, '-', 1) AS sampletype, uid, NOT (uid IN (SELECT uid FROM up)) AS is_child FROM (SELECT * FROM up UNION SELECT * FROM down)
+  WHERE uid IN (SELECT uid FROM nodes))
 """.replace(",\nasked", ", asked", 1)
 
 
@@ -219,6 +220,7 @@ def _found(spark, sf):
     asked = r.table(spark, sf, "customer").where("c_custkey % 10 < 2").select(ident.alias("identifier"))
     asked = cut(resolve.resolve_identifiers(asked, r.nodes(spark, sf, lines=False)))
     found = lineage.full_lineage(asked.where("uid IS NOT NULL").select("uid"), _edges(spark, sf))
+    found = found.join(r.nodes(spark, sf).select("uid"), "uid", "left_semi")  # a cited parent without a row is no sample
     return found.select("uid", "direction", t.uid_type("uid").alias("sampletype")), asked
 
 

@@ -560,6 +560,44 @@ def load_totals(spark, sf):
     return load.load_totals(_merged(spark, sf, update=False))
 
 
+_REPEATS = """
+stored AS (SELECT 'CUS-' || c_custkey AS uid, c_mktsegment AS name FROM customer WHERE c_custkey % 2 = 0),
+sent AS (SELECT CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE 'CUS-' || o_custkey END AS uid, o_orderpriority AS name, o_orderkey AS row_n FROM orders),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY row_n) AS rn FROM sent),
+first AS (SELECT * FROM ranked WHERE uid <> '' AND rn = 1),
+lost AS (SELECT row_n, uid, CASE WHEN uid = '' THEN 'no_uid' ELSE 'repeated' END AS reason FROM ranked WHERE uid = '' OR rn > 1)"""
+
+
+def _repeats(spark, sf):
+    uid = lambda k: F.concat(F.lit("CUS-"), F.col(k).cast("string"))
+    stored = r.table(spark, sf, "customer").where("c_custkey % 2 = 0").select(
+        uid("c_custkey").alias("uid"), F.lit("CUS").alias("sampletype"), F.col("c_mktsegment").alias("name"), F.lit(0).cast("bigint").alias("row_n"))
+    sent = r.table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 17 == 0, "").otherwise(uid("o_custkey")).alias("uid"), F.lit("CUS").alias("sampletype"),
+        F.col("o_orderpriority").alias("name"), F.col("o_orderkey").cast("bigint").alias("row_n"))
+    return stored, sent
+
+
+@book.query(f"WITH {_REPEATS} SELECT * FROM lost")
+def load_refused(spark, sf):
+    return load.refused(_repeats(spark, sf)[1], ["row_n"]).select("row_n", "uid", "reason")
+
+
+@book.query(f"WITH {_REPEATS}" + """
+SELECT uid, CASE WHEN n.uid IS NULL THEN s.name ELSE n.name END AS name,
+  CASE WHEN n.uid IS NULL THEN 'kept' WHEN s.uid IS NULL THEN 'inserted' ELSE 'updated' END AS outcome FROM stored s FULL JOIN first n USING (uid)""")
+def merge_repeats(spark, sf):
+    return load.merge_load(*_repeats(spark, sf), True, order=["row_n"]).select("uid", "name", "outcome")
+
+
+@book.query(f"WITH {_REPEATS}" + """
+SELECT (SELECT count(*) FROM sent) AS processed, count(*) AS success, 0::BIGINT AS skipped, (SELECT count(*) FROM lost) AS failed,
+  count(*) FILTER (uid IN (SELECT uid FROM stored)) AS updated, 0::BIGINT AS uids_generated FROM first""")
+def load_totals_repeats(spark, sf):
+    stored, sent = _repeats(spark, sf)
+    return load.load_totals(load.merge_load(stored, sent, True, order=["row_n"]), lost=load.refused(sent, ["row_n"]))
+
+
 @book.query(r.with_sql(*UPLOAD) + """
 SELECT sampletype, count(*) AS n_rows, count(*) FILTER (contains(j_notes, 'TODO') OR contains(j_clerk, 'TODO')) AS n_own FROM parsed GROUP BY 1""")
 def scientist_rows(spark, sf):
