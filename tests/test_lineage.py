@@ -80,3 +80,32 @@ def test_salted_join_takes_maps(spark):
     right = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
     got = skew.salted_join(left, right, "k", hot=["hot"], salts=4).collect()
     assert sorted((r.k, str(r.attrs), r.v) for r in got) == sorted((k, str(a), 1 if k == "hot" else 2) for k, a in rows)
+
+
+def test_ways_follow_the_share_of_the_rows():
+    assert skew.ways(count=500, rows=1000, shares=200) == 200
+    assert skew.ways(count=5, rows=1000, shares=200) == 2
+
+
+def test_load_refuses_repeated_and_blank_uids(spark):
+    from samplewright.operators import load
+
+    kind = "uid string, sampletype string, n int"
+    stored = spark.createDataFrame([("a", "T", 0), (None, "T", 9)], kind)
+    sent = spark.createDataFrame([("a", "T", 2), ("a", "T", 1), ("b", "T", 3), ("", "T", 4)], kind)
+    got = {(r.uid, r.n, r.outcome) for r in load.merge_load(stored, sent, True, order=["n"]).collect()}
+    assert got == {("a", 1, "updated"), ("b", 3, "inserted"), (None, 9, "kept")}
+    lost = load.refused(sent, ["n"])
+    assert {(r.uid, r.n, r.reason) for r in lost.collect()} == {("a", 2, "repeated"), ("", 4, "no_uid")}
+    totals = load.load_totals(load.merge_load(stored, sent, True, order=["n"]), lost=lost).first()
+    assert (totals.processed, totals.success, totals.failed, totals.updated) == (4, 2, 2, 1)
+
+
+@pytest.mark.parametrize("name", ["dup_name", "flat_rows", "parent_status_rows", "collisions", "stage_plan"])
+def test_queries_keep_their_rows_when_every_lookup_is_salted(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+
+    query, sf = entry.queries()[name], "/root/testdata/sf0.001"
+    plain = sorted(map(repr, query(spark, sf).collect()))
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
+    assert sorted(map(repr, query(spark, sf).collect())) == plain
