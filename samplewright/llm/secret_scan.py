@@ -4,8 +4,8 @@ A candidate is what a pattern found, or a run of 16 or more key-like characters
 24 characters before it, the candidate (its first and last 24 characters if it is long) and 8 after. It is trained with numpy
 on a bounded sample of labelled findings: candidates that a pattern found are secrets, the others are not, and both are joined
 by made-up examples of key formats and of harmless look-alikes set into the sample's surroundings. Scores are calibrated on
-held-out examples, and the threshold is the highest one that still finds the wanted share of the held-out secrets. What the
-network adds are spans of kind `model`; spans of the patterns always stay.
+held-out examples, and the threshold is the highest one that still finds the wanted share of held-out made-up keys of every
+format, which no pattern finds. What the network adds are spans of kind `model`; spans of the patterns always stay.
 
 Spans count code points, end exclusive. A null or empty text has no spans. The same rows always give the same network.
 """
@@ -43,6 +43,8 @@ WINDOW = BEFORE + INSIDE + AFTER
 #: Candidates of each label that training reads at most.
 SAMPLE = 1500
 RECALL = 0.98
+#: Formats of made-up keys.
+FORMATS = 9
 MASK = "[SECRET]"
 
 
@@ -166,11 +168,22 @@ def learn(x: np.ndarray, y: np.ndarray, filters: int = 16, epochs: int = 6, rate
     return net
 
 
-def calibrate(net: Network, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> Network:
-    """Fit slope and offset on held-out examples by Newton steps, then take the highest threshold with the wanted recall, at
-    least one half."""
-    if len(set(y.tolist())) < 2:
-        return net
+def calibrate(net: Network, x: np.ndarray, y: np.ndarray, keys: list[list[list[str]]], recall: float = RECALL) -> Network:
+    """Fit slope and offset on held-out examples by Newton steps, then take the highest threshold with the wanted recall of
+    every kind of `keys`: held-out secrets that no pattern covers, each as its windows."""
+    if len(set(y.tolist())) == 2:
+        _fit_slope(net, x, y)
+    net.threshold = min(_quantile(np.array([net.scores(w).max() for w in kind]), recall) for kind in keys)
+    return net
+
+
+def _quantile(scores: np.ndarray, recall: float) -> float:
+    """The score that may be a threshold: a share `recall` of all such keys reaches it, with a margin of 1.65 standard errors."""
+    misses = len(scores) * (1 - recall)
+    return float(np.sort(scores)[max(0, int(misses - 1.65 * (misses * recall) ** 0.5))])
+
+
+def _fit_slope(net: Network, x: np.ndarray, y: np.ndarray) -> None:
     z = net.logits(x)
     t = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
     a = np.array([1.0, 0.0])
@@ -180,13 +193,26 @@ def calibrate(net: Network, x: np.ndarray, y: np.ndarray, recall: float = RECALL
         hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         a -= np.linalg.solve(hess, design.T @ (p - t) + 1e-3 * (a - [1.0, 0.0]))
     net.slope, net.offset = max(float(a[0]), 1e-3), float(a[1])
-    good = np.sort(1 / (1 + np.exp(-np.clip(net.slope * z[y == 1] + net.offset, -35, 35))))
-    net.threshold = max(0.5, float(good[int(np.floor((1 - recall) * len(good)))]))
-    return net
 
 
 def made_up(around: list[str], n: int = 400, seed: int = 9) -> list[tuple[str, int]]:
     """Windows of made-up keys (1) and look-alikes (0), set into surroundings taken from other windows."""
+    return [(window(text, start, end), label) for text, start, end, label, _ in _invented(around, n, seed)]
+
+
+def held_out(around: list[str], n: int = 400, seed: int = 10) -> list[list[list[str]]]:
+    """The windows of `n` made-up keys of every format, per format and key, without keys that a pattern finds or that are no candidates."""
+    out: list[list[list[str]]] = [[] for _ in range(FORMATS)]
+    for text, start, end, label, form in _invented(around, n * FORMATS, seed):
+        if label and not any(s < end and start < e for s, _, e, _, _ in base_spans(text)):
+            near = [w for s, e, _, w in candidates(text)[1] if s < end and start < e]
+            if near:
+                out[form].append(near)
+    return out
+
+
+def _invented(around: list[str], n: int, seed: int) -> list[tuple[str, int, int, int, int]]:
+    """(text, start, end, label, format) of `n` made-up keys and `n` look-alikes."""
     rng = random.Random(seed)
     alnum, url, digits = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_", string.digits
     some = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
@@ -210,7 +236,7 @@ def made_up(around: list[str], n: int = 400, seed: int = 9) -> list[tuple[str, i
             value = forms[i % len(forms)]()
             lead = rng.choice(leads) if label else ""
             text = (w[:BEFORE].replace("\0", " ") + lead)[-BEFORE:] if lead else w[:BEFORE].replace("\0", " ")[:-1] + " "
-            out.append((window(text + value + w[BEFORE + INSIDE:].replace("\0", " "), BEFORE, BEFORE + len(value)), label))
+            out.append((text + value + w[BEFORE + INSIDE:].replace("\0", " "), BEFORE, BEFORE + len(value), label, i % len(forms)))
     return out
 
 
@@ -247,7 +273,7 @@ def fit(found: DataFrame, sample: int = SAMPLE) -> Network:
     examples = [(w, 1) for w in good] + [(w, 0) for w in bad] + made_up(bad + good)
     x, y = classes([w for w, _ in examples]), np.array([label for _, label in examples])
     held = np.array([hashlib.md5(w.encode()).digest()[0] % 5 == 0 for w, _ in examples])
-    return calibrate(learn(x[~held], y[~held]), x[held], y[held])
+    return calibrate(learn(x[~held], y[~held]), x[held], y[held], held_out(bad + good))
 
 
 def _judged(shared):

@@ -80,6 +80,24 @@ def test_the_network_finds_keys_it_has_not_seen(spark):
     assert passed[label == 1].mean() > 0.8 and passed[label == 0].mean() < 0.05
 
 
+def test_the_threshold_keeps_its_recall_on_keys_without_a_pattern(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = secret_scan.fit(secret_scan.cut(secret_scan.texts(docs).mapInArrow(secret_scan._found, secret_scan._FOUND)))
+    kinds = secret_scan.held_out([], 300, seed=77)
+    assert len(kinds) == secret_scan.FORMATS and all(len(k) > 250 for k in kinds)
+    for keys in kinds:
+        assert np.mean([net.scores(w).max() >= net.threshold for w in keys]) >= secret_scan.RECALL
+
+
+def test_the_threshold_may_be_below_one_half():
+    filters, chars = 2, 2 * secret_scan.CHARS
+    net = secret_scan.Network(np.zeros((5, chars, filters)), np.zeros(filters), np.zeros(3 * filters), -3.0)
+    kinds = secret_scan.held_out([], 20)
+    x, y = secret_scan.classes([k[0][0] for k in kinds]), np.ones(len(kinds))
+    got = secret_scan.calibrate(net, x, y, kinds)
+    assert got.threshold < 0.5 and all(got.scores(w).max() >= got.threshold for k in kinds for w in k)
+
+
 def test_gradient_of_the_network():
     x = secret_scan.classes([w for w, _ in secret_scan.made_up([], 40)])
     y = np.array([label for _, label in secret_scan.made_up([], 40)])
