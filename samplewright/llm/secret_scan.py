@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate and its surroundings.
 
-A candidate is what a pattern found, or a run of 16 or more key-like characters with both letters and digits. The network sees
+A candidate is what a pattern found, or a run of 16 or more key-like characters with both letters and digits; where a pattern
+found a part of a run, each remainder and the whole run. The network sees
 24 characters before it, the candidate (its first and last 24 characters if it is long) and 8 after. It is trained with numpy
 on a bounded sample of labelled findings: candidates that a pattern found are secrets, the others are not, and both are joined
 by made-up examples of key formats and of harmless look-alikes set into the sample's surroundings. Scores are calibrated on
@@ -70,17 +71,47 @@ def window(text: str, start: int, end: int) -> str:
     return text[max(0, start - BEFORE):start].rjust(BEFORE, "\0") + value.ljust(INSIDE, "\0") + text[end:end + AFTER].ljust(AFTER, "\0")
 
 
-def candidates(text: str) -> tuple[list, list[tuple[int, int, bool, str]]]:
-    """Base findings, and (start, end, found by a pattern, window) of every candidate."""
+def _keylike(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The run without trailing signs, if it is long enough and has both letters and digits."""
+    value = text[start:end].rstrip(".-")
+    if len(value) >= 16 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+        return start, start + len(value)
+    return None
+
+
+def candidates(text: str) -> tuple[list, list[tuple[int, int, bool | None, str]]]:
+    """Base findings, and (start, end, found by a pattern, window) of every candidate.
+
+    Of a run that a base finding covers in part, each remainder is a candidate, and so is the whole run; both are neither
+    found by a pattern nor an example of a harmless run, so that field is None.
+    """
     base = base_spans(text)
     out = [(a, b, True, window(text, a, b)) for _, _, _, a, b in base]
     taken = sorted((s, e) for s, _, e, _, _ in base)
+    at = 0  # the first base span that may reach into this run or a later one; few spans lie inside each other
     for m in _RUN.finditer(text):
-        start, end = m.start(), m.start() + len(m.group().rstrip(".-"))
-        value = text[start:end]
-        if end - start >= 16 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
-            if not any(s < end and start < e for s, e in taken):
-                out.append((start, end, False, window(text, start, end)))
+        start, end = m.span()
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        bases = []
+        i = at
+        while i < len(taken) and taken[i][0] < end:
+            if taken[i][1] > start:
+                bases.append((max(taken[i][0], start), min(taken[i][1], end)))
+            i += 1
+        if not bases:
+            if found := _keylike(text, start, end):
+                out.append((*found, False, window(text, *found)))
+            continue
+        rest, last = [], start
+        for s, e in [*bases, (end, end)]:
+            if s > last:
+                rest.append((last, s))
+            last = max(last, e)
+        if any(c.isalnum() for s, e in rest for c in text[s:e]):
+            for found in dict.fromkeys(_keylike(text, s, e) for s, e in [(start, end), *rest]):
+                if found:
+                    out.append((*found, None, window(text, *found)))
     return base, out
 
 
