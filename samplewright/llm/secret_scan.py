@@ -2,7 +2,8 @@
 
 A candidate is what a pattern found, or a run of 16 or more key-like characters with both letters and digits; where a pattern
 found a part of a run, each remainder and the whole run. The network sees
-24 characters before it, the candidate (its first and last 24 characters if it is long) and 8 after. It is trained with numpy
+24 characters before it, the candidate and 8 after; a candidate above 48 characters is seen in pieces of 48 that begin every
+24 characters, each with its own surroundings, and its score is the largest of theirs. It is trained with numpy
 on a bounded sample of labelled findings: candidates that a pattern found are secrets, the others are not, and both are joined
 by made-up examples of key formats and of harmless look-alikes set into the sample's surroundings. Scores are calibrated on
 held-out examples, and the threshold is the highest one that still finds the wanted share of held-out made-up keys of every
@@ -64,13 +65,22 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
 
 
 def window(text: str, start: int, end: int) -> str:
-    """The fixed-length cut around a candidate; NUL fills what is not there."""
+    """The fixed-length cut around a piece of at most INSIDE characters; NUL fills what is not there."""
     value = text[start:end]
-    if len(value) > INSIDE:
-        value = value[:INSIDE // 2] + value[-INSIDE // 2:]
     return text[max(0, start - BEFORE):start].rjust(BEFORE, "\0") + value.ljust(INSIDE, "\0") + text[end:end + AFTER].ljust(AFTER, "\0")
 
 
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """The candidate itself, or if it is long its overlapping pieces, of which the last ends where it ends."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(s, s + INSIDE) for s in [*range(start, end - INSIDE, INSIDE // 2), end - INSIDE]]
+
+
+def windows(text: str, start: int, end: int) -> list[str]:
+    return [window(text, s, e) for s, e in pieces(start, end)]
+
+
 def _keylike(text: str, start: int, end: int) -> tuple[int, int] | None:
     """The run without trailing signs, if it is long enough and has both letters and digits."""
     value = text[start:end].rstrip(".-")
@@ -79,14 +89,14 @@ def _keylike(text: str, start: int, end: int) -> tuple[int, int] | None:
     return None
 
 
-def candidates(text: str) -> tuple[list, list[tuple[int, int, bool | None, str]]]:
-    """Base findings, and (start, end, found by a pattern, window) of every candidate.
+def candidates(text: str) -> tuple[list, list[tuple[int, int, bool | None, list[str]]]]:
+    """Base findings, and (start, end, found by a pattern, windows) of every candidate.
 
     Of a run that a base finding covers in part, each remainder is a candidate, and so is the whole run; both are neither
     found by a pattern nor an example of a harmless run, so that field is None.
     """
     base = base_spans(text)
-    out = [(a, b, True, window(text, a, b)) for _, _, _, a, b in base]
+    out = [(a, b, True, windows(text, a, b)) for _, _, _, a, b in base]
     taken = sorted((s, e) for s, _, e, _, _ in base)
     at = 0  # the first base span that may reach into this run or a later one; few spans lie inside each other
     for m in _RUN.finditer(text):
@@ -101,7 +111,7 @@ def candidates(text: str) -> tuple[list, list[tuple[int, int, bool | None, str]]
             i += 1
         if not bases:
             if found := _keylike(text, start, end):
-                out.append((*found, False, window(text, *found)))
+                out.append((*found, False, windows(text, *found)))
             continue
         rest, last = [], start
         for s, e in [*bases, (end, end)]:
@@ -111,7 +121,7 @@ def candidates(text: str) -> tuple[list, list[tuple[int, int, bool | None, str]]
         if any(c.isalnum() for s, e in rest for c in text[s:e]):
             for found in dict.fromkeys(_keylike(text, s, e) for s, e in [(start, end), *rest]):
                 if found:
-                    out.append((*found, None, window(text, *found)))
+                    out.append((*found, None, windows(text, *found)))
     return base, out
 
 
@@ -157,7 +167,15 @@ class Network:
 
     def scores(self, windows: list[str]) -> np.ndarray:
         """Calibrated probabilities."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(classes(windows)) + self.offset, -35, 35)))
+        parts = [self.logits(classes(windows[i:i + 4096])) for i in range(0, len(windows), 4096)]
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.concatenate([np.empty(0), *parts]) + self.offset, -35, 35)))
+
+    def passed(self, candidates: list[list[str]]) -> list[bool]:
+        """Whether the largest score of each candidate's windows reaches the threshold."""
+        if not candidates:
+            return []
+        first = np.cumsum([0, *(len(c) for c in candidates)])[:-1]
+        return (np.maximum.reduceat(self.scores([w for c in candidates for w in c]), first) >= self.threshold).tolist()
 
 
 def learn(x: np.ndarray, y: np.ndarray, filters: int = 16, epochs: int = 6, rate: float = 0.01, seed: int = 3) -> Network:
@@ -228,15 +246,51 @@ def _fit_slope(net: Network, x: np.ndarray, y: np.ndarray) -> None:
 
 def made_up(around: list[str], n: int = 400, seed: int = 9) -> list[tuple[str, int]]:
     """Windows of made-up keys (1) and look-alikes (0), set into surroundings taken from other windows."""
-    return [(window(text, start, end), label) for text, start, end, label, _ in _invented(around, n, seed)]
+    return [(w, label) for text, start, end, label, _ in _invented(around, n, seed) for w in windows(text, start, end)]
+
+
+def _inside_runs(invented: list[tuple[str, int, int, int, int]], seed: int) -> list[tuple[str, int, int, int, int, int, int]]:
+    """The made-up values set into the middle of long harmless runs; the ends of the run come last."""
+    rng = random.Random(seed)
+    some = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    parts = [lambda: some(string.ascii_lowercase, rng.randint(2, 10)), lambda: some(string.ascii_lowercase, rng.randint(2, 10)),
+             lambda: some(string.ascii_lowercase, rng.randint(3, 7)).title(), lambda: str(rng.randint(1, 2030)),
+             lambda: some(string.ascii_lowercase, rng.randint(2, 6)) + str(rng.randint(0, 99))]
+
+    def run(sign: str) -> str:
+        out = ""
+        while len(out) < length:
+            out += rng.choice(parts)() + (sign if rng.random() < 0.8 else rng.choice("/.=_-"))
+        return out
+
+    out = []
+    for text, start, end, label, form in invented:
+        length, sign = rng.randint(25, 120), rng.choice("//.=")
+        before, after = run(sign), sign + run(sign)
+        at = start + len(before)
+        out.append((text[:start] + before + text[start:end] + after + text[end:], at, at + end - start, label, form, start, at + end - start + len(after)))
+    return out
+
+
+def made_up_inside(around: list[str], n: int = 400, seed: int = 11) -> list[tuple[str, int]]:
+    """Windows of long runs with a made-up key (1, if they hold half a window of it or all of it; 0, if nothing) or a look-alike (0) inside."""
+    out = []
+    for text, start, end, label, _, first, last in _inside_runs(_invented(around, n, seed), seed):
+        for s, e in pieces(first, last):
+            shared = min(e, end) - max(s, start)
+            if not label or shared <= 0 or shared >= min(INSIDE // 2, end - start):
+                out.append((window(text, s, e), int(label and shared > 0)))
+    return out
 
 
-def held_out(around: list[str], n: int = 400, seed: int = 10) -> list[list[list[str]]]:
-    """The windows of `n` made-up keys of every format, per format and key, without keys that a pattern finds or that are no candidates."""
+def held_out(around: list[str], n: int = 400, seed: int = 10, inside: bool = False) -> list[list[list[str]]]:
+    """The windows of `n` made-up keys of every format, per format and key, without keys that a pattern finds or that are no candidates.
+    With `inside` the keys are in the middle of long runs."""
     out: list[list[list[str]]] = [[] for _ in range(FORMATS)]
-    for text, start, end, label, form in _invented(around, n * FORMATS, seed):
+    invented = _invented(around, n * FORMATS, seed)
+    for text, start, end, label, form, *_ in _inside_runs(invented, seed) if inside else invented:
         if label and not any(s < end and start < e for s, _, e, _, _ in base_spans(text)):
-            near = [w for s, e, _, w in candidates(text)[1] if s < end and start < e]
+            near = [w for s, e, _, c in candidates(text)[1] if s < end and start < e for w in c]
             if near:
                 out[form].append(near)
     return out
@@ -272,8 +326,8 @@ def _invented(around: list[str], n: int, seed: int) -> list[tuple[str, int, int,
 
 
 _FOUND = ("doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base array<string>, "
-          "near array<struct<start: int, end: int, base: boolean, window: string>>")
-_NEAR = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("window", pa.string())]))
+          "near array<struct<start: int, end: int, base: boolean, windows: array<string>>>")
+_NEAR = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("windows", pa.list_(pa.string()))]))
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +341,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(3):
                 counts[k].append(sum(1 for s in spans if s[1] == k))
             base.append([f"{KINDS[k]}:{s}:{e}" for s, k, e, _, _ in spans])
-            near.append([dict(zip(("start", "end", "base", "window"), c, strict=True)) for c in around])
+            near.append([dict(zip(("start", "end", "base", "windows"), c, strict=True)) for c in around])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.list_(pa.string())), pa.array(near, _NEAR)],
             ["doc_id", "n_assign", "n_access", "n_hex", "base", "near"])
@@ -295,16 +349,17 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(found: DataFrame, sample: int = SAMPLE) -> Network:
     """Train on at most `sample` different windows of each label, the first in the order of a hash; a fifth is held out."""
-    seen = found.select(F.explode("near").alias("c")).select("c.window", "c.base").groupBy("window").agg(F.max("base").alias("base"))
+    seen = found.select(F.explode("near").alias("c")).select(F.explode("c.windows").alias("window"), "c.base").groupBy("window").agg(F.max("base").alias("base"))
     # A key that no pattern covers is no example of a harmless run; such runs stay out where a long run mixes all three kinds.
     value = F.regexp_replace(F.substring("window", BEFORE + 1, INSIDE), "\\x00", "")
-    keylike = (F.length(value) >= 20) & value.rlike("[A-Z]") & value.rlike("[a-z]") & value.rlike("[0-9].*[0-9].*[0-9]") & ~value.rlike("[./-]")
+    part = "[A-Za-z0-9+_=]"
+    keylike = value.rlike(f"(?={part}*[A-Z])(?={part}*[a-z])(?={part}*[0-9]{part}*[0-9]{part}*[0-9]){part}{{20}}")
     pick = lambda rows: [r["window"] for r in rows.orderBy(F.xxhash64("window"), "window").limit(sample).collect()]
     good, bad = pick(seen.where("base")), pick(seen.where(~F.col("base") & ~keylike))
-    examples = [(w, 1) for w in good] + [(w, 0) for w in bad] + made_up(bad + good)
+    examples = [(w, 1) for w in good] + [(w, 0) for w in bad] + made_up(bad + good) + made_up_inside(bad + good)
     x, y = classes([w for w, _ in examples]), np.array([label for _, label in examples])
     held = np.array([hashlib.md5(w.encode()).digest()[0] % 5 == 0 for w, _ in examples])
-    return calibrate(learn(x[~held], y[~held]), x[held], y[held], held_out(bad + good))
+    return calibrate(learn(x[~held], y[~held]), x[held], y[held], held_out(bad + good) + held_out(bad + good, inside=True))
 
 
 def _judged(shared):
@@ -312,7 +367,7 @@ def _judged(shared):
         net = shared.value
         for batch in batches:
             near = batch.column("near").to_pylist()
-            passed = iter((net.scores([c["window"] for row in near for c in row]) >= net.threshold).tolist())
+            passed = iter(net.passed([c["windows"] for row in near for c in row]))
             sums, spans, extra, sure = [], [], [], []
             for base, row in zip(batch.column("base").to_pylist(), near, strict=True):
                 ok = [next(passed) for _ in row]
@@ -367,7 +422,7 @@ def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 for i, t in enumerate(text):
                     base, near = candidates(t) if t else ([], [])
                     if near:
-                        ok = net.scores([c[3] for c in near]) >= net.threshold
+                        ok = net.passed([c[3] for c in near])
                         spans = [(s, e) for s, _, e, _, _ in base] + [(c[0], c[1]) for c, p in zip(near, ok, strict=True) if p and not c[2]]
                         if spans:
                             text[i] = masked(t, spans)

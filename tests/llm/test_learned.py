@@ -111,6 +111,23 @@ def test_parts_of_a_run_beside_a_base_finding_are_scored(spark):
     assert not any(part in got[i] for i in (0, 1) for part in (digest, key, key[4:])) and not any(p in got[2] for p in ("sk_live_", "XYZ"))
 
 
+def test_keys_in_the_middle_of_long_runs_are_scored(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    net = secret_scan.fit(secret_scan.cut(secret_scan.texts(docs).mapInArrow(secret_scan._found, secret_scan._FOUND)))
+    for keys in secret_scan.held_out([], 300, seed=78, inside=True):
+        assert len(keys) > 250 and np.mean(net.passed(keys)) >= secret_scan.RECALL
+    harmless = [secret_scan.windows(t, a, b) for t, _, _, y, _, a, b in secret_scan._inside_runs(secret_scan._invented([], 300, 5), 5) if not y]
+    assert np.mean(net.passed(harmless)) < 0.05
+    key = "ghp_" + "aB3dE7gH9k" * 3 + "Zq81Xw"
+    text = "see /" + "some/plain/folder/" * 5 + key + "/and/more/of/the/same" * 5 + " now"
+    assert [(s, e, b) for s, e, b, _ in secret_scan.candidates(text)[1]] == [(4, len(text) - 4, False)]
+    mine = docs.unionAll(spark.createDataFrame([(200_000, text)], "doc_id bigint, text string"))
+    assert key not in secret_scan.redact(mine).where("doc_id = 200000").first().text
+    for n in (16, 48, 49, 72, 73, 1000):
+        cut = secret_scan.pieces(3, 3 + n)
+        assert cut[0][0] == 3 and cut[-1][1] == 3 + n and all(e - s <= 48 for s, e in cut) and all(b[0] - a[0] <= 24 for a, b in zip(cut, cut[1:]))
+
+
 def test_gradient_of_the_network():
     x = secret_scan.classes([w for w, _ in secret_scan.made_up([], 40)])
     y = np.array([label for _, label in secret_scan.made_up([], 40)])
