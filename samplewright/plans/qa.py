@@ -196,6 +196,15 @@ def issue_examples(spark, sf):
     return checks.issue_examples(found).select("code", "row_n", "uid", F.col("rank").cast("bigint").alias("rank"))
 
 
+@book.query(r.with_sql(*ISSUES) + """
+SELECT code, row_n, uid, rank FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY row_n, uid) AS rank
+  FROM issues WHERE code <> 'missing_required') WHERE rank <= 10""")
+def blocker_examples(spark, sf):
+    """The first findings of all blocker codes; `issue_examples` has those of the row checks only, as its SQL says."""
+    found = _issues(spark, sf).where("code <> 'missing_required'")
+    return checks.issue_examples(found).select("code", "row_n", "uid", F.col("rank").cast("bigint").alias("rank"))
+
+
 _EXPECTED = [("ORD", 15000), ("ORX", 5), ("MDL", 1)]
 _COUNTS = r.values_sql("expected", ["sampletype", "expected"], _EXPECTED) + """,
 actual AS (SELECT sampletype, count(*) AS actual FROM upload GROUP BY 1),

@@ -33,3 +33,13 @@ def test_manifest_order_goes_by_path_parts(spark):
     files = spark.createDataFrame([("Figure 3/a b.oib", 1), ("Figure 3/a/z.oib", 1)], "path string, length bigint")
     rows = filetree.build_manifest(files.selectExpr("path", "length", "timestamp'2020-01-01' AS mtime")).orderBy("id").collect()
     assert [r.original_path for r in rows] == ["Figure 3/a/z.oib", "Figure 3/a b.oib"]
+
+
+def test_examples_come_from_every_blocker_code(spark):
+    import __spark_entry__ as entry
+    from samplewright.model import BLOCKERS
+
+    rows = entry.queries()["blocker_examples"](spark, "/root/testdata/sf0.001").collect()
+    seen = {r.code for r in rows}
+    there = {r.code for r in entry.queries()["issue_rollup"](spark, "/root/testdata/sf0.001").where("is_blocker").collect()}
+    assert seen == there <= set(BLOCKERS) and {"duplicate_uid", "duplicate_name", "parent_uid_not_found"} & seen
