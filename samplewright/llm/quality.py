@@ -110,16 +110,25 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(out, pa.binary()), pa.array(values, pa.binary())], ["quality", "places", "shares"])
 
 
+def _bounded(rows: DataFrame, sample: int) -> DataFrame:
+    """One row per doc_id, text and quality, and at most `sample` of them, the first in the order of a hash. They are chosen by their
+    keys alone, so each task brings its copies down to chosen rows before a text moves."""
+    key = ["doc_id", "_print", "quality"]
+    rows = rows.withColumn("_print", F.xxhash64("text"))
+    chosen = rows.select(*key).distinct().orderBy(F.xxhash64(*key), *key).limit(sample)
+    return rows.join(F.broadcast(chosen), key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on at most `sample` labelled rows outside fold 0. `labels` has doc_id and quality (1 good, 0 bad, null unused).
 
     The sample is small by its bound, so it is sent to the documents, which are not shuffled; only the sample's hashed features
-    come back. A label given twice, or a document that comes twice, trains twice.
+    come back. Rows with the same id, text and quality train once, and at most `sample` rows train: the first in the order of a hash.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = texts(docs).join(F.broadcast(picked), "doc_id")
+    picked = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    rows = _bounded(texts(docs).join(F.broadcast(picked), "doc_id"), sample)
     got = rows.select("quality", "text").mapInArrow(_examples, "quality int, places binary, shares binary").collect()
     got.sort(key=lambda r: (r["places"], r["quality"]))  # tasks end in any order
     return train([(np.frombuffer(r["places"], "<i4").astype(np.int64), np.frombuffer(r["shares"], "<f4").astype(float)) for r in got],

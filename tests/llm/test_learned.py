@@ -41,6 +41,17 @@ def test_quality_of_odd_rows(spark):
     assert quality.keep_good(odd_docs(spark, []), labels).count() == 0
 
 
+def test_training_rows_are_bounded_where_ids_repeat(spark, monkeypatch):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:6]
+    docs = spark.createDataFrame([(ids[0], "one text")] * 300 + [(ids[1], f"text {i}") for i in range(300)] + [(i, "other") for i in ids[2:]], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)] + [(ids[2], 0)] * 50, "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda examples, marks: seen.append(len(examples)))
+    quality.fit(docs, labels, sample=20)
+    quality.fit(docs, labels, sample=1000)
+    assert seen == [20, 305]
+
+
 def plain_base(text):
     """The base findings straight from their definition."""
     found = []
