@@ -3,7 +3,7 @@
 A document longer than the window is cut into full windows, each a sequence of its own, and a rest. Rests (short documents are
 rests too) are dealt by hash into groups of bounded size, and each group is split into near-equal windows: every rest starts as
 a partition of the group into k windows, all but one empty; the two partial partitions with the largest spread between their
-fullest and emptiest window are merged, fullest on emptiest, until one is left. k starts at the least number that could hold the
+fullest and emptiest window are merged, fullest on emptiest, until one is left. Only windows that are not empty are kept. k starts at the least number that could hold the
 group and rises by one as long as the fullest window exceeds the capacity.
 """
 
@@ -23,43 +23,42 @@ from samplewright.llm.common import texts
 from samplewright.session import cut
 
 WINDOW = 4096
-GROUP = 512
+GROUP = 2048
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The window of every item and the windows' sums, by multiway differencing into k windows."""
     n = len(sizes)
-    # A node is an item or two nodes that share a window; windows of a partial partition are nodes, -1 if empty.
+    # A node is an item or two nodes that share a window; a partial partition has the sums and nodes of its windows in ascending order.
     left, right = np.full(2 * n, -1), np.full(2 * n, -1)
     made = n
     heap: list = []
     for i, size in enumerate(sizes.tolist()):
-        sums, nodes = np.zeros(k, np.int64), np.full(k, -1)
-        sums[-1], nodes[-1] = size, i
-        heap.append((-size if k > 1 else 0, i, sums, nodes))
+        heap.append((-size if k > 1 else 0, i, np.array([size]), np.array([i])))
     heapq.heapify(heap)
     order = n
     while len(heap) > 1:
         _, _, sums, nodes = heapq.heappop(heap)
         _, _, other, others = heapq.heappop(heap)
-        sums = sums + other[::-1]  # ascending sums: the fullest meets the emptiest
-        others = others[::-1]
-        joint = (nodes >= 0) & (others >= 0)
-        merged = np.where(nodes >= 0, nodes, others)
-        many = int(joint.sum())
+        # The fullest meets the emptiest: what is beyond k windows in both together shares one.
+        many = max(0, len(sums) + len(other) - k)
+        shared = nodes[:many]
         if many:
             fresh = np.arange(made, made + many)
-            left[fresh], right[fresh] = nodes[joint], others[joint]
-            merged[joint] = fresh
+            left[fresh], right[fresh] = shared, others[:many][::-1]
             made += many
+            shared = fresh
+        merged = np.concatenate((others[many:][::-1], shared, nodes[many:]))
+        sums = np.concatenate((other[many:][::-1], sums[:many] + other[:many][::-1], sums[many:]))
         by = np.argsort(sums, kind="stable")
         sums, merged = sums[by], merged[by]
-        heapq.heappush(heap, (int(sums[0] - sums[-1]), order, sums, merged))
+        least = sums[0] if len(sums) == k else 0
+        heapq.heappush(heap, (int(least - sums[-1]), order, sums, merged))
         order += 1
     window = np.full(2 * n, -1)
     if heap:
         top = heap[0][3]
-        window[top[top >= 0]] = np.flatnonzero(top >= 0)
+        window[top] = np.arange(k - len(top), k)
         for node in range(made - 1, n - 1, -1):  # later nodes hold earlier ones
             window[left[node]] = window[right[node]] = window[node]
     return window[:n], np.bincount(window[:n], weights=sizes, minlength=k).astype(np.int64)

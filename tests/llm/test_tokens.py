@@ -151,6 +151,20 @@ def test_packing_query(spark):
             assert sum(len(ids) for _, ids in coded) / (4096 * len(sequences)) > 0.95
 
 
+def test_differencing_keeps_no_empty_windows():
+    import tracemalloc
+
+    sizes = np.minimum(4095, np.random.default_rng(1).lognormal(6, 0.8, 2048).astype(int) + 1)
+    tracemalloc.start()
+    window, sums = packing.differencing(sizes, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6 and len(sums) == 1000 and sums.sum() == sizes.sum() and (np.bincount(window, sizes, 1000) == sums).all()
+    assert packing.GROUP == 2048
+    few = packing.windows(sizes)
+    assert 1 - sizes.sum() / ((few.max() + 1) * packing.WINDOW) < 0.015
+
+
 def test_differencing_is_near_equal_and_counts_up():
     rng = np.random.default_rng(6)
     for n in (1, 2, 3, 40, 500):
