@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from samplewright.llm import bpe, packing, pivots, quality, secret_scan, simhash, token_counts, token_files, vectors, warc
+from samplewright.llm import bpe, packing, phrases, pivots, quality, secret_scan, simhash, token_counts, token_files, vectors, warc
 from samplewright.llm.common import table
 from samplewright.plans.base import Book
 
@@ -83,3 +83,29 @@ def op9_bpe_encoding(spark, sf_dir):
 @book.query()
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=2)
+
+
+@book.query(r"""
+    WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+         piece AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+         w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM piece),
+         g AS (SELECT lang, 1 AS size, unnest(ws) AS phrase FROM w
+               UNION ALL SELECT lang, s, array_to_string(ws[i:i + s - 1], ' ') FROM (
+                   SELECT lang, ws, s, unnest(range(1, len(ws) - s + 2)) AS i FROM w, (VALUES (2), (3), (4)) v(s) WHERE len(ws) >= s)),
+         f AS (SELECT lang, size, phrase, count(*) AS n FROM g GROUP BY ALL),
+         total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+         c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND n >= 30),
+         k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+         s AS (SELECT k.lang, k.phrase, k.size, k.a, k.k, l.n AS l, r.n AS r, (k.a::HUGEINT * 2000000 // (l.n::HUGEINT + r.n))::BIGINT AS score
+               FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1:k.k], ' ')
+                      JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k.k + 1:k.size], ' ')),
+         m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s),
+         inner_ AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(a) AS longer FROM (
+                        SELECT lang, ws, a, j, unnest(range(1, size - j + 2)) AS i FROM c, (VALUES (2), (3)) v(j) WHERE size > j) GROUP BY ALL),
+         o AS (SELECT m.* FROM m LEFT JOIN inner_ i USING (lang, phrase)
+               WHERE m.o = 1 AND (i.longer IS NULL OR 100 * i.longer::HUGEINT < 80 * m.a::HUGEINT)),
+         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
+def op11_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
