@@ -1,7 +1,7 @@
 """Phrase collocations by SON partitioning.
 
-The documents of each language are dealt into a few shards. Every shard is mined completely, word by word longer, at a support
-lowered in proportion to its share of the language's text: a phrase that reaches the support in the language reaches the lowered
+The documents of each language are dealt into a few shards. Every shard is mined completely, first words, then pairs, then all
+longer phrases, at a support lowered in proportion to its share of the language's text: a phrase that reaches the support in the language reaches the lowered
 one in some shard, because the lowered supports, each rounded up, add up to less than the support plus the number of shards. The
 phrases frequent in any shard are the candidates, and one pass over all texts counts every candidate exactly.
 
@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from samplewright.llm.common import bucket_of, cut_points
 from samplewright.llm.words import portions
 from samplewright.operators.ranking import first_rows
 from samplewright.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, salted_join
@@ -38,11 +39,13 @@ from samplewright.session import cut
 
 SUPPORT = 30
 LONGEST = 4
-SHARDS = 8
+SHARDS = 4
 TOP = 2000
 COVER = (80, 100)
 SCALE = 2_000_000
 MOST_BITS = 30
+PORTION = 4 << 20
+ROWS_OUT = 100_000
 BUCKET = 15  # Spark's bitmap functions cut a bit set into rows of 2^15 bits
 
 _WORD, _BLANK, _BREAK = 0, 1, 2
@@ -76,15 +79,16 @@ def split(texts: pa.Array) -> Words:
     bounds = bounds - bounds[0]
     kind = _CLASS[data]
     inside = kind == _WORD
-    opens = inside.copy()
+    opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
     heads = bounds[:-1][bounds[:-1] < len(data)]
-    opens[heads] = inside[heads]
+    tails = bounds[1:][bounds[1:] > 0] - 1
+    opens[heads], closes[tails] = inside[heads], inside[tails]
     start = np.flatnonzero(opens)
+    offsets = np.concatenate(([0], np.cumsum(np.flatnonzero(closes) + 1 - start)))
     text = np.searchsorted(bounds, start, side="right") - 1
-    piece = np.cumsum(kind == _BREAK, dtype=np.int64)[start] + text
-    ends = np.cumsum(inside, dtype=np.int64)
-    offsets = np.append(ends[start] - 1, ends[-1] if len(ends) else 0).astype(np.int64)
+    piece = np.searchsorted(np.flatnonzero(kind == _BREAK), start) + text
     letters = _LOWER[data[inside]]
     words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters.tobytes())])
     coded = words.dictionary_encode()
@@ -126,49 +130,64 @@ def bit_set(rows: DataFrame, key: Column) -> BitSet:
     return BitSet(bits, bytes(data))
 
 
-def _frequent(words: Words, seeds: np.ndarray, sets: list[BitSet], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the phrases of `length` words whose parts, one word shorter, are all in `sets`, and the phrases' hashes."""
-    word = _hashes(words.names)[words.at]
-    seed = seeds[words.text]
-    h, may = word, np.arange(len(word))
-    for n in range(1, length):
+def _walk(words: Words, seed: np.ndarray, sets: list[BitSet], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length, the positions of the phrases whose parts, one word shorter, may be frequent, and the phrases' hashes.
+
+    `sets` tells what is frequent of the first lengths; of longer ones every phrase met so far may be."""
+    word = h = _hashes(words.names)[words.at]
+    may, known = np.arange(len(word)), None
+    for length in range(1, longest + 1):
+        if length > 1:
+            may = words.run(length)
+            may = may[known[may] & known[may + 1]]
+            longer = np.zeros_like(word)
+            longer[may] = _longer(h[may], word[may + length - 1])
+            h = longer
+        yield length, may, h[may]
         known = np.zeros(len(word), bool)
-        known[may] = sets[n - 1].holds(h[may] ^ seed[may])
-        may = words.run(n + 1)
-        may = may[known[may] & known[may + 1]]
-        longer = np.zeros_like(word)
-        longer[may] = _longer(h[may], word[may + n])
-        h = longer
-    return may, h[may]
+        known[may] = sets[length - 1].holds(h[may] ^ seed[may]) if length <= len(sets) else True
 
 
-def _shard_counts(length: int, sets):
-    """(lang, shard, seed, text) to (lang, shard, h, n): the phrases of `length` words in each portion of texts."""
+def _shard_counts(lengths: range, sets):
+    """(lang, shard, seed, text) to (lang, shard, h, n): the phrases of the given lengths in each portion of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text"):
+        known = sets.value if sets else []
+        for batch in portions(batches, "text", PORTION):
             words = split(batch.column("text"))
-            seeds = batch.column("seed").to_numpy().view(np.uint64)
-            at, h = _frequent(words, seeds, sets.value if sets else [], length)
-            texts = words.text[at]
-            order = np.lexsort((seeds[texts], h))
-            h, texts = h[order], texts[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (seeds[texts[1:]] != seeds[texts[:-1]])
-            first = np.flatnonzero(new)
-            of = pa.array(texts[first])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang").take(of), batch.column("shard").take(of), pa.array(h[first].view(np.int64)),
-                 pa.array(np.diff(np.append(first, len(h))))], ["lang", "shard", "h", "n"])
+            _, first, group = np.unique(batch.column("seed").to_numpy(), return_index=True, return_inverse=True)
+            seed = batch.column("seed").to_numpy().view(np.uint64)[words.text]
+            for length, at, h in _walk(words, seed, known, lengths[-1]):
+                if length not in lengths:
+                    continue
+                of = group[words.text[at]]
+                order = np.argsort(of, kind="stable")
+                for g, part in zip(*_segments(of[order], h[order]), strict=True):
+                    part.sort()
+                    heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                    n = np.diff(np.append(heads, len(part)))
+                    for k in range(0, len(heads), ROWS_OUT):
+                        some = pa.array(np.full(len(heads[k:k + ROWS_OUT]), first[g]))
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("lang").take(some), batch.column("shard").take(some), pa.array(part[heads[k:k + ROWS_OUT]].view(np.int64)),
+                             pa.array(n[k:k + ROWS_OUT])], ["lang", "shard", "h", "n"])
     return run
 
 
+def _segments(code: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The codes of a sorted array, and the values of each."""
+    if not len(code):
+        return code, []
+    heads = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    return code[heads], np.split(values, heads[1:])
+
+
 def _exact_counts(sets, longest: int):
     """(lang, seed, text) to (lang, size, phrase, n) of the candidates in each portion; size 0 has the number of words.
 
     Inside a portion a phrase is known by the number of its first words and its last word, so no two are taken for one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         candidates = sets.value
-        for batch in portions(batches, "text"):
+        for batch in portions(batches, "text", PORTION):
             words = split(batch.column("text"))
             langs = batch.column("lang").dictionary_encode()
             lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.text]
@@ -205,9 +224,11 @@ def _counted(langs: pa.Array, lang: np.ndarray, size: int, phrase: pa.Array, n:
 
 
 def _dealt(docs: DataFrame, shards: int) -> DataFrame:
+    """lang, shard, text. Shards are ranges of doc_id: tables are mostly laid out by id, so a task meets few shards and counts
+    each word of its texts once."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    return docs.select(
-        lang.alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    return ids.select("lang", bucket_of(F.col("doc_id"), cut_points(ids, "doc_id", shards)).alias("shard"), "text")
 
 
 def lowered_supports(dealt: DataFrame, support: int, shards: int) -> DataFrame:
@@ -221,36 +242,38 @@ def lowered_supports(dealt: DataFrame, support: int, shards: int) -> DataFrame:
         "lang", F.transform("_l", lambda x: x["v"]).alias("least"))
 
 
-def frequent_in_a_shard(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> list[DataFrame]:
-    """For each length from one word on, written tables (lang, shard, h) of all phrases that reach their shard's lowered support."""
-    spark = docs.sparkSession
-    dealt = _dealt(docs, shards)
+def frequent_in_a_shard(dealt: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> list[DataFrame]:
+    """Written tables (lang, shard, h) of all phrases that reach their shard's lowered support: of single words, of pairs, and of
+    all longer ones, which one pass counts together where all their pairs are frequent."""
+    spark = dealt.sparkSession
     least = cut(lowered_supports(dealt, support, shards))
     size = least.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("lang") + 8 * shards + 64).alias("bytes")).first()
     small = size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
     keyed = dealt.select("lang", "shard", F.xxhash64("lang", "shard").alias("seed"), "text")
     found: list[DataFrame] = []
     sets: list[BitSet] = []
-    for length in range(1, longest + 1):
+    for lengths in (range(1, 2), range(2, 3), range(3, longest + 1)):
         shared = spark.sparkContext.broadcast(list(sets)) if sets else None
-        counts = keyed.mapInArrow(_shard_counts(length, shared), "lang string, shard int, h bigint, n bigint")
+        counts = keyed.mapInArrow(_shard_counts(lengths, shared), "lang string, shard int, h bigint, n bigint")
         counts = counts.groupBy("lang", "shard", "h").agg(F.sum("n").alias("n"))
         # One row per language: broadcast within a checked size, else hot languages are salted.
         known = counts.join(F.broadcast(least), "lang") if small else salted_join(counts, least, "lang")
         found.append(cut(known.where(F.col("n") >= F.get("least", F.col("shard"))).select("lang", "shard", "h")))
-        if length < longest:
+        if lengths[-1] < 3:
             sets.append(bit_set(found[-1], F.col("h").bitwiseXOR(F.xxhash64("lang", "shard"))))
     return found
 
 
 def exact_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
     """(lang, size, phrase, n): every phrase of up to `longest` words with n >= support occurrences; size 0 is all words."""
-    candidates = None
-    for part in frequent_in_a_shard(docs, support, longest, shards):
+    if longest < 3:
+        raise ValueError("phrases of up to three words at least")
+    dealt, candidates = _dealt(docs, shards), None
+    for part in frequent_in_a_shard(dealt, support, longest, shards):
         part = part.select("lang", "h").distinct()
         candidates = part if candidates is None else candidates.unionAll(part)
     shared = docs.sparkSession.sparkContext.broadcast(bit_set(candidates, F.col("h").bitwiseXOR(F.xxhash64("lang"))))
-    keyed = _dealt(docs, shards).select("lang", F.xxhash64("lang").alias("seed"), "text")
+    keyed = dealt.select("lang", F.xxhash64("lang").alias("seed"), "text")
     counted = keyed.mapInArrow(_exact_counts(shared, longest), "lang string, size int, phrase string, n bigint")
     return counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("size") == 0) | (F.col("n") >= support))
 
@@ -277,7 +300,7 @@ def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST
     """
     counts = cut(exact_counts(docs, support, longest, shards))
     phrases = counts.where("size >= 2").select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
-    known = counts.where("size between 1 and 3" if longest == 4 else f"size between 1 and {longest - 1}")
+    known = counts.where(f"size between 1 and {longest - 1}")
     known = known.select(_key("phrase").alias("part"), F.col("n").alias("f"))
 
     def text(at: Column, length: Column) -> Column:

@@ -89,8 +89,8 @@ def test_lowered_supports_keep_every_frequent_phrase(spark):
     for row in phrases.lowered_supports(dealt, 30, 8).collect():
         assert len(row["least"]) == 8 and min(row["least"]) >= 1
         assert sum(v - 1 for v in row["least"]) < 30
-    mined = phrases.frequent_in_a_shard(frame(spark, rows), support=30)
-    assert len(mined) == 4 and all(m.columns == ["lang", "shard", "h"] for m in mined)
+    mined = phrases.frequent_in_a_shard(dealt, 30, shards=8)
+    assert len(mined) == 3 and all(m.columns == ["lang", "shard", "h"] for m in mined)
     # Longer phrases are counted only where their parts are frequent: far fewer than there are.
     pairs = {p[i:i + 2] for t, _ in rows for p in map(tuple, pieces(t)) for i in range(len(p) - 1)}
     assert mined[1].select("h").distinct().count() < len(pairs) / 3
