@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from samplewright.llm import bpe, packing, phrases, pivots, quality, secret_scan, simhash, token_counts, token_files, vectors, warc
+from samplewright.llm import bpe, packing, phrases, pivots, quality, secret_scan, simhash, token_counts, token_files, vectors, warc, whitening
 from samplewright.llm.common import table
 from samplewright.plans.base import Book
 
@@ -109,3 +109,8 @@ def op10_packing(spark, sf_dir):
     SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
 def op11_phrase_collocations(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@book.query()
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
