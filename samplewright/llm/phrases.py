@@ -9,8 +9,8 @@ A shard is a share of the documents, not a task: its texts are read by as many t
 shuffle by (language, shard, phrase). So the number of shards stays small at every size. With a shard per task the lowered support
 would be one on any large table, and nothing would be pruned.
 
-While a shard is mined, a phrase goes by a 64-bit hash, and what is frequent is handed to the tasks as a bit set of at most 2^30
-bits. Two phrases that share a hash or a bit only make a candidate more. The counts of the last pass are kept by the words
+While a shard is mined, a phrase goes by a hash, hashes are shuffled in packed runs, and what is frequent is handed to the tasks as
+a bit set of at most 2^30 bits. Two phrases that share a hash or a bit only make a candidate more. The counts of the last pass are kept by the words
 themselves, so the result does not depend on hashes.
 
 Defined cases: a null text is empty, a null language is `und`; empty texts and pieces have no words; repeated rows count each
@@ -45,7 +45,7 @@ COVER = (80, 100)
 SCALE = 2_000_000
 MOST_BITS = 30
 PORTION = 4 << 20
-ROWS_OUT = 100_000
+HELD = 2_000_000  # hashes and counts that a task holds before it passes them on
 BUCKET = 15  # Spark's bitmap functions cut a bit set into rows of 2^15 bits
 
 _WORD, _BLANK, _BREAK = 0, 1, 2
@@ -148,28 +148,108 @@ def _walk(words: Words, seed: np.ndarray, sets: list[BitSet], longest: int) -> I
         known[may] = sets[length - 1].holds(h[may] ^ seed[may]) if length <= len(sets) else True
 
 
-def _shard_counts(lengths: range, sets):
-    """(lang, shard, seed, text) to (lang, shard, h, n): the phrases of the given lengths in each portion of texts."""
+@dataclass(frozen=True)
+class Packing:
+    """How hashes travel: their first `bits` bits, in runs by their first `head` bits, each run sorted and written as differences."""
+
+    bits: int
+    head: int
+
+    def pack(self, h: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        """(run, differences, counts) of sorted different hashes. A run's differences are as wide as its largest."""
+        run = (h >> np.uint64(64 - self.head)).astype(np.int64)
+        heads = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        low = h >> np.uint64(64 - self.bits)
+        gaps = np.diff(low, prepend=np.uint64(0))
+        gaps[heads] = low[heads] - (run[heads].astype(np.uint64) << np.uint64(self.bits - self.head))
+        for at, end in zip(heads.tolist(), [*heads[1:].tolist(), len(h)], strict=True):
+            yield int(run[at]), _narrow(gaps[at:end]), _narrow(n[at:end].astype(np.uint64))
+
+    def unpack(self, run: int, gaps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+        low = np.cumsum(_widened(gaps), dtype=np.uint64) + (np.uint64(run) << np.uint64(self.bits - self.head))
+        return low << np.uint64(64 - self.bits), _widened(counts).astype(np.int64)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """A byte that tells the width, then every value in so many bytes."""
+    width = max(1, -(-int(values.max()).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(values).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _widened(data: bytes) -> np.ndarray:
+    parts = np.frombuffer(data, np.uint8)[1:].reshape(-1, data[0])
+    whole = np.zeros((len(parts), 8), np.uint8)
+    whole[:, :data[0]] = parts
+    return whole.view("<u8").ravel()
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes in order and the sums of their counts."""
+    h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[heads], np.add.reduceat(n, heads)
+
+
+def _shard_counts(lengths: range, sets, packing: Packing):
+    """(lang, shard, seed, text) to packed counts of the phrases of the given lengths: (lang, shard, run, gaps, counts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sets.value if sets else []
+        kept = np.uint64((1 << 64) - (1 << (64 - packing.bits)))
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for (lang, shard), parts in held.items():
+                rows = list(packing.pack(*_summed(parts)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(rows), pa.string()), pa.array([shard] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()),
+                     pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["lang", "shard", "run", "gaps", "counts"])
+            held.clear()
+
         for batch in portions(batches, "text", PORTION):
             words = split(batch.column("text"))
             _, first, group = np.unique(batch.column("seed").to_numpy(), return_index=True, return_inverse=True)
             seed = batch.column("seed").to_numpy().view(np.uint64)[words.text]
+            langs, shards = batch.column("lang").take(pa.array(first)).to_pylist(), batch.column("shard").take(pa.array(first)).to_pylist()
             for length, at, h in _walk(words, seed, known, lengths[-1]):
                 if length not in lengths:
                     continue
                 of = group[words.text[at]]
                 order = np.argsort(of, kind="stable")
-                for g, part in zip(*_segments(of[order], h[order]), strict=True):
+                for g, part in zip(*_segments(of[order], h[order] & kept), strict=True):
                     part.sort()
                     heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                    n = np.diff(np.append(heads, len(part)))
-                    for k in range(0, len(heads), ROWS_OUT):
-                        some = pa.array(np.full(len(heads[k:k + ROWS_OUT]), first[g]))
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column("lang").take(some), batch.column("shard").take(some), pa.array(part[heads[k:k + ROWS_OUT]].view(np.int64)),
-                             pa.array(n[k:k + ROWS_OUT])], ["lang", "shard", "h", "n"])
+                    held.setdefault((langs[g], shards[g]), []).append((part[heads], np.diff(np.append(heads, len(part)))))
+                    size += len(heads)
+            if size > HELD:
+                yield from told()
+                size = 0
+        yield from told()
+    return run
+
+
+def _frequent(shards: int, support: int, packing: Packing):
+    """Packed counts of one language and run to (lang, shard, h) of what is frequent in a shard and may reach the support."""
+    def run(table: pa.Table) -> pa.Table:
+        least = table.column("least")[0].as_py()
+        found = [[] for _ in range(shards)]
+        at = table.column("run")[0].as_py()
+        for shard, gaps, counts in zip(*(table.column(c).to_pylist() for c in ("shard", "gaps", "counts")), strict=True):
+            found[shard].append(packing.unpack(at, gaps, counts))
+        every = [_summed(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for parts in found]
+        h = np.unique(np.concatenate([e[0] for e in every]))
+        most, over = np.zeros(len(h), np.int64), []
+        for (own, n), low in zip(every, least, strict=True):
+            # A phrase not counted in a shard has a part that is rare there: it has fewer occurrences than the lowered support.
+            here = np.full(len(h), low - 1)
+            here[np.searchsorted(h, own)] = n
+            most += here
+            over.append(np.isin(h, own[n >= low], assume_unique=True))
+        shard, place = np.nonzero(np.array(over) & (most >= support))
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(place), pa.string()), "shard": pa.array(shard.astype(np.int32)),
+                         "h": pa.array(h[place].view(np.int64))})
     return run
 
 
@@ -232,38 +312,44 @@ def _dealt(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def lowered_supports(dealt: DataFrame, support: int, shards: int) -> DataFrame:
-    """`lang` and `least`: for each shard, support x (its share of the language's bytes), rounded up, and at least one."""
+    """`lang`, its `size` in bytes, and `least`: for each shard, support x (its share of the bytes), rounded up, and at least one."""
     share = dealt.groupBy("lang", "shard").agg(F.sum(F.octet_length("text").cast("decimal(20,0)")).alias("size"))
     by_shard = share.groupBy("lang").agg(F.sum("size").alias("_all"), F.map_from_entries(F.collect_list(F.struct("shard", "size"))).alias("_sizes"))
     here = F.coalesce(F.try_element_at("_sizes", F.col("_s")), F.lit(0))
     rows = by_shard.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     least = F.when(F.col("_all") > 0, F.greatest(F.lit(1), F.ceil(here * support / F.col("_all")))).otherwise(1).cast("bigint")
-    return rows.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct(F.col("_s"), least.alias("v")))).alias("_l")).select(
-        "lang", F.transform("_l", lambda x: x["v"]).alias("least"))
+    gathered = rows.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct(F.col("_s"), least.alias("v")))).alias("_l"), F.max("_all").alias("size"))
+    return gathered.select("lang", F.transform("_l", lambda x: x["v"]).alias("least"), "size")
 
 
 def frequent_in_a_shard(dealt: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> list[DataFrame]:
-    """Written tables (lang, shard, h) of all phrases that reach their shard's lowered support: of single words, of pairs, and of
-    all longer ones, which one pass counts together where all their pairs are frequent."""
+    """Written tables (lang, shard, h) of all phrases that reach their shard's lowered support and may reach the support in the
+    language: of single words, of pairs, and of all longer ones, which one pass counts together where all their pairs are frequent."""
     spark = dealt.sparkSession
     least = cut(lowered_supports(dealt, support, shards))
-    size = least.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("lang") + 8 * shards + 64).alias("bytes")).first()
+    size = least.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("lang") + 8 * shards + 64).alias("bytes"), F.sum("size").alias("text")).first()
     small = size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+    packing = packing_for(int(size["text"] or 0), int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = dealt.select("lang", "shard", F.xxhash64("lang", "shard").alias("seed"), "text")
     found: list[DataFrame] = []
     sets: list[BitSet] = []
     for lengths in (range(1, 2), range(2, 3), range(3, longest + 1)):
         shared = spark.sparkContext.broadcast(list(sets)) if sets else None
-        counts = keyed.mapInArrow(_shard_counts(lengths, shared), "lang string, shard int, h bigint, n bigint")
-        counts = counts.groupBy("lang", "shard", "h").agg(F.sum("n").alias("n"))
+        packed = keyed.mapInArrow(_shard_counts(lengths, shared, packing), "lang string, shard int, run int, gaps binary, counts binary")
         # One row per language: broadcast within a checked size, else hot languages are salted.
-        known = counts.join(F.broadcast(least), "lang") if small else salted_join(counts, least, "lang")
-        found.append(cut(known.where(F.col("n") >= F.get("least", F.col("shard"))).select("lang", "shard", "h")))
+        slim = least.select("lang", "least")
+        known = packed.join(F.broadcast(slim), "lang") if small else salted_join(packed, slim, "lang")
+        found.append(cut(known.groupBy("lang", "run").applyInArrow(_frequent(shards, support, packing), "lang string, shard int, h bigint")))
         if lengths[-1] < 3:
             sets.append(bit_set(found[-1], F.col("h").bitwiseXOR(F.xxhash64("lang", "shard"))))
     return found
 
 
+def packing_for(size: int, partitions: int) -> Packing:
+    """Hashes get as many bits as tell the phrases of `size` bytes of text apart, with eleven to spare; eight runs a partition."""
+    return Packing(min(64, max(32, size.bit_length() + 11)), min(24, max(3, (8 * partitions - 1).bit_length())))
+
+
 def exact_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
     """(lang, size, phrase, n): every phrase of up to `longest` words with n >= support occurrences; size 0 is all words."""
     if longest < 3:

@@ -119,3 +119,16 @@ def test_bit_set_holds_its_keys(spark):
 def test_exact_arithmetic_past_64_bits(spark):
     row = spark.range(1).select(F.lit(9_000_000_000_000_000).alias("a"), F.lit(9_200_000_000_000_000).alias("l"), F.lit(9_100_000_000_000_000).alias("r"))
     assert row.select(phrases.weakness()).first()[0] == 2_000_000 * 9_000_000_000_000_000 // 18_300_000_000_000_000
+
+
+def test_packed_hashes_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for packing in (phrases.Packing(32, 3), phrases.Packing(47, 9), phrases.Packing(64, 12)):
+        keep = np.uint64((1 << 64) - (1 << (64 - packing.bits)))
+        h = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64) & keep)
+        n = rng.integers(1, 1 << rng.integers(1, 40), len(h))
+        back = [packing.unpack(*row) for row in packing.pack(h, n)]
+        assert (np.concatenate([b[0] for b in back]) == h).all() and (np.concatenate([b[1] for b in back]) == n).all()
+    assert phrases.packing_for(1, 1) == phrases.Packing(32, 3) and phrases.packing_for(10**17, 10**6) == phrases.Packing(64, 23)
