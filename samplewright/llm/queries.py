@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from samplewright.llm import bpe, packing, phrases, pivots, quality, secret_scan, simhash, token_counts, token_files, vectors, warc, whitening
+from samplewright.llm import bpe, languages, packing, phrases, pivots, quality, secret_scan, simhash, token_counts, token_files, vectors, warc, whitening
 from samplewright.llm.common import table
 from samplewright.plans.base import Book
 
@@ -111,6 +111,12 @@ def op11_phrase_collocations(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+@book.query()
+def op12_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return languages.predict(docs, languages.fit(docs))
+
+
 @book.query()
 def op13_embedding_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
