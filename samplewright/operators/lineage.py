@@ -6,16 +6,21 @@ nothing. Cycles are no problem: a node is expanded once per key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from functools import cache, reduce
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
+from samplewright.operators.contract import Contracted, contract
+from samplewright.operators.ranking import dense_index, first_rows
 from samplewright.operators.resolve import resolve_identifiers
 from samplewright.operators.skew import BROADCAST_ROWS, hot_ways, salted_join
-from samplewright.session import cut
+from samplewright.session import cut, scratch_path
 
 _FAR = {"up": ("child_uid", "parent_uid"), "down": ("parent_uid", "child_uid")}
 
@@ -34,27 +39,64 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _step(edges: DataFrame, frontier: DataFrame, rows: int, hot: Callable[[], Mapping]) -> DataFrame:
-    """Edges met by a frontier of `rows` rows on `uid`: broadcast while it is small, else joined with hubs spread out."""
-    if rows <= BROADCAST_ROWS:
-        return edges.join(F.broadcast(frontier), "uid")
-    return salted_join(edges, frontier, "uid", "inner", hot())
+class Edges:
+    """A table of edges that walks look up by one of its ends.
 
+    While what is looked up is small, it is broadcast and the edges stay where they are. The first time it is not, the edges are
+    written once more, in buckets of the end they are looked up by; from then on only the looked-up rows move. Hubs, whose edges
+    would make one bucket long, are kept apart and their rows are spread.
+    """
 
-def closure(starts: DataFrame, edges: DataFrame, direction: str, key: str | None = None) -> DataFrame:
+    def __init__(self, edges: DataFrame):
+        self.table = edges
+        self._laid: dict[str, tuple[DataFrame, DataFrame | None, dict]] = {}
+
+    def step(self, direction: str) -> DataFrame:
+        near, far = _FAR[direction]
+        return self.table.select(F.col(near).alias("uid"), F.col(far).alias("_next"))
+
+    def laid(self, direction: str) -> tuple[DataFrame, DataFrame | None, dict]:
+        """(edges in buckets, edges of hubs, ways of the hubs), written on first use."""
+        if direction not in self._laid:
+            spark = self.table.sparkSession
+            step = self.step(direction)
+            hubs = hot_ways(step, "uid")
+            hot = None
+            if hubs:
+                listed = F.broadcast(spark.createDataFrame([(h,) for h in hubs], "uid string"))  # at most one per share
+                hot, step = cut(step.join(listed, "uid", "left_semi")), step.join(listed, "uid", "left_anti")
+            name = f"edges_{direction}_{uuid.uuid4().hex}"
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            step.repartition(buckets, "uid").write.bucketBy(buckets, "uid").sortBy("uid").option(
+                "path", scratch_path(spark, name)).saveAsTable(name)
+            self._laid[direction] = spark.table(name), hot, hubs
+        return self._laid[direction]
+
+    def meet(self, direction: str, frontier: DataFrame, rows: int) -> DataFrame:
+        """Every edge that leads on from a row of `frontier(uid, …)`, of `rows` rows, as its columns and `_next`."""
+        if rows <= BROADCAST_ROWS:
+            return self.step(direction).join(F.broadcast(frontier), "uid")
+        cold, hot, hubs = self.laid(direction)
+        met = cold.join(frontier, "uid")
+        return met if hot is None else met.unionByName(salted_join(hot, frontier, "uid", "inner", hubs))
+
+
+def as_edges(edges: DataFrame | Edges) -> Edges:
+    return edges if isinstance(edges, Edges) else Edges(edges)
+
+
+def closure(starts: DataFrame, edges: DataFrame | Edges, direction: str, key: str | None = None) -> DataFrame:
     """Everything reachable from `starts(uid[, key])`, starts included at hop 0: ([key,] uid, hop).
 
     Each hop joins only the newest nodes to the edges, drops the ones already seen, and is written once. The edges are
     read once per hop: pass a stored table, or `cut` a derived one first.
     """
-    near, far = _FAR[direction]
+    table = as_edges(edges)
     keys = [key] if key else []
-    step = edges.select(F.col(near).alias("uid"), F.col(far).alias("_next"))
-    hubs = cache(lambda: hot_ways(step, "uid"))
     hops = [cut(starts.select(*keys, "uid").distinct().withColumn("hop", F.lit(0)))]
     rows = total = hops[0].count()
     while rows:
-        reached = _step(step, hops[-1].drop("hop"), rows, hubs).select(*keys, F.col("_next").alias("uid")).distinct()
+        reached = table.meet(direction, hops[-1].drop("hop"), rows).select(*keys, F.col("_next").alias("uid")).distinct()
         seen = _union(hops).drop("hop")
         fresh = reached.join(F.broadcast(seen) if total <= BROADCAST_ROWS else seen, [*keys, "uid"], "left_anti")
         hops.append(cut(fresh.withColumn("hop", F.lit(len(hops)))))
@@ -63,37 +105,132 @@ def closure(starts: DataFrame, edges: DataFrame, direction: str, key: str | None
     return _union(hops)
 
 
-def full_lineage(starts: DataFrame, edges: DataFrame, key: str | None = None) -> DataFrame:
+def carried(starts: DataFrame, edges: DataFrame | Edges, direction: str, keys: Sequence[str] = (), own: bool = True) -> DataFrame:
+    """(keys…, uid, mask): the bits of all `starts(keys…, uid, mask)` from which a node is reached; with `own`, at the start too.
+
+    Only bits that are new to a node travel on, so a node is met again only while its mask grows. Every hop is written once; the
+    result has one row per node and key, and no pair of start and node exists.
+    """
+    table = as_edges(edges)
+    by = [*keys, "uid"]
+    sent = cut(starts.groupBy(*by).agg(F.bit_or("mask").alias("mask")).where("mask <> 0"))
+    rows = sent.count()
+    hops = [sent] if own else []
+    while rows:
+        got = table.meet(direction, sent, rows).groupBy(*keys, F.col("_next").alias("uid")).agg(F.bit_or("mask").alias("mask"))
+        if hops:
+            # Masks of the nodes just reached only; a frontier's neighbours are few beside all nodes.
+            known = _union(hops).groupBy(*by).agg(F.bit_or("mask").alias("old"))
+            got = got.join(known, by, "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0)))))
+            got = got.where("mask <> 0").drop("old")
+        sent = cut(got)
+        hops.append(sent)
+        rows = sent.count()
+    return _union(hops or [sent]).groupBy(*by).agg(F.bit_or("mask").alias("mask"))
+
+
+def full_lineage(starts: DataFrame, edges: DataFrame | Edges, key: str | None = None) -> DataFrame:
     """Ancestors, the sample itself and descendants: ([key,] uid, direction)."""
+    edges = as_edges(edges)
     up = closure(starts, edges, "up", key).withColumn("direction", F.when(F.col("hop") == 0, "self").otherwise("up"))
     down = closure(starts, edges, "down", key).where("hop > 0").withColumn("direction", F.lit("down"))
     return up.unionByName(down)
 
 
-def tree(nodes: DataFrame, edges: DataFrame, starts: DataFrame, key: str = "input_id") -> tuple[DataFrame, DataFrame]:
+_LANES = 64
+
+
+class Trees:
+    """The lineage trees of many inputs at once.
+
+    Inputs are numbered, and 64 of them make a block: a node of any of their trees has one row per block, (block, uid, mask), with
+    a bit per input. `starts(key, uid)` names the inputs; rows of one key are one input.
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame | Edges, starts: DataFrame, key: str = "input_id"):
+        self.nodes, self.edges, self.key = nodes, as_edges(edges), key
+        starts = cut(starts.select(key, "uid").where(F.col(key).isNotNull()))
+        self.inputs = cut(dense_index(starts.select(key).distinct(), [key], name="_n", start=0).select(
+            key, F.floor(F.col("_n") / _LANES).cast("bigint").alias("block"), F.pmod("_n", F.lit(_LANES)).cast("int").alias("bit")))
+        placed = starts.join(self.inputs, key).select("block", "uid", F.expr("shiftleft(1L, bit)").alias("mask"))
+        both = carried(placed, self.edges, "up", ["block"]).union(carried(placed, self.edges, "down", ["block"]))
+        self.members = cut(both.groupBy("block", "uid").agg(F.bit_or("mask").alias("mask")))
+
+    def node_rows(self) -> DataFrame:
+        """(block, uid, mask, sampletype, parent) of the members that have a row among the nodes."""
+        return self.members.join(self.nodes.select("uid", "sampletype", "parent"), "uid")
+
+    def rel_rows(self) -> DataFrame:
+        """Edges with both ends in a tree, with the bits of the trees: (block, child_uid, parent_uid, …, mask)."""
+        child = self.members.select("block", F.col("uid").alias("child_uid"), F.col("mask").alias("_c"))
+        parent = self.members.select("block", F.col("uid").alias("parent_uid"), F.col("mask").alias("_p"))
+        rels = self.edges.table.distinct().join(child, "child_uid").join(parent, ["block", "parent_uid"])
+        return rels.withColumn("mask", F.col("_c").bitwiseAND(F.col("_p"))).where("mask <> 0").select("block", *self.edges.table.columns, "mask")
+
+    def totals(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows per input, (block, bit, name), from one sum per bit: what is shuffled is one row per block and task."""
+        each = rows.groupBy("block").agg(F.array(*[F.sum(F.getbit("mask", F.lit(i)).cast("bigint")) for i in range(_LANES)]).alias("_sums"))
+        return each.select("block", F.posexplode("_sums").alias("bit", name))
+
+    def named(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """One row per input of each row's mask: the input's key and `columns`."""
+        per_block = self.inputs.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bit", self.key))).alias("_names"))  # at most 64
+        fits = self.inputs.count() <= BROADCAST_ROWS
+        met = rows.join(F.broadcast(per_block) if fits else per_block, "block")
+        mine = F.filter("_names", lambda x: F.getbit(F.col("mask"), x["bit"]) == 1)
+        return met.select(F.explode(mine).alias("_name"), *columns).select(F.col("_name")[self.key].alias(self.key), *columns)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """(key, uid) of the nodes on one page of each tree, in uid order. Every task keeps the first rows of its share per bit,
+        so trees are not spread out into (input, node) rows."""
+        if number < 1 or not 1 <= size <= 1000:
+            raise ValueError("page numbers start at 1 and a page holds 1 to 1000 rows")
+        last = number * size
+        laid = self.node_rows().select("block", "uid", "mask").sortWithinPartitions("block", "uid")
+        heads = laid.mapInArrow(_first_of_each_bit(last), "block bigint, uid string, bit int")
+        ranked = first_rows(heads, ["block", "bit"], ["uid"], last).where(F.col("rank") > last - size)
+        return self.named(ranked.withColumn("mask", F.expr("shiftleft(1L, bit)")), "uid")
+
+
+def _first_of_each_bit(last: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, seen = None, np.zeros(_LANES, np.int64)
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            bits = np.unpackbits(np.ascontiguousarray(batch.column("mask").to_numpy()).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ends = np.flatnonzero(np.append(blocks[1:] != blocks[:-1], True)) + 1 if len(blocks) else []
+            at = 0
+            for end in ends:
+                if blocks[at] != block:
+                    block, seen = blocks[at], np.zeros(_LANES, np.int64)
+                rank = np.cumsum(bits[at:end], axis=0, dtype=np.int64) + seen
+                row, bit = np.nonzero((bits[at:end] == 1) & (rank <= last))
+                seen = rank[-1]
+                taken = pa.array(row + at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("block").take(taken), batch.column("uid").take(taken), pa.array(bit.astype(np.int32))], ["block", "uid", "bit"])
+                at = end
+    return run
+
+
+def tree(nodes: DataFrame, edges: DataFrame | Edges, starts: DataFrame, key: str = "input_id") -> tuple[DataFrame, DataFrame]:
     """Nodes and relationships of the lineage tree of each start: the edges between members of one tree.
 
     `nodes(uid, sampletype, parent)`; a node keeps its own parent list as the array `parent_uids`.
     """
-    members = cut(full_lineage(starts, edges, key).select(key, "uid").distinct())
-    tree_nodes = members.join(nodes, "uid").select(
-        key, "uid", "sampletype", t.split_list("parent").alias("parent_uids")
-    )
-    child = members.select(key, F.col("uid").alias("child_uid"))
-    parent = members.select(key, F.col("uid").alias("parent_uid"))
-    rels = child.join(edges, "child_uid").join(parent, [key, "parent_uid"])
-    return tree_nodes, rels.select(key, *edges.columns).distinct()
+    trees = Trees(nodes, edges, starts, key)
+    kept = trees.node_rows().withColumn("parent_uids", t.split_list("parent"))
+    return trees.named(kept, "uid", "sampletype", "parent_uids"), trees.named(trees.rel_rows(), *trees.edges.table.columns)
 
 
-def batch_trees(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def batch_trees(ids: DataFrame, nodes: DataFrame, edges: DataFrame | Edges) -> DataFrame:
     """One line per requested `identifier`: resolved uid (null with a warning if unknown), node and edge totals."""
     asked = cut(resolve_identifiers(ids.select("identifier").distinct(), nodes))
-    starts = asked.where("uid IS NOT NULL").select(F.col("identifier").alias("input_id"), "uid")
-    tree_nodes, rels = tree(nodes, edges, starts)
-    n_nodes = tree_nodes.groupBy("input_id").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("m"))
-    n_rels = rels.groupBy("input_id").agg(F.lit(0).cast("bigint").alias("n"), F.count(F.lit(1)).alias("m"))
-    totals = n_nodes.union(n_rels).groupBy("input_id").agg(
-        F.sum("n").alias("total_nodes"), F.sum("m").alias("total_rels"))
+    trees = Trees(nodes, edges, asked.where("uid IS NOT NULL").select(F.col("identifier").alias("input_id"), "uid"))
+    counts = trees.totals(trees.node_rows(), "n").withColumn("m", F.lit(0).cast("bigint")).union(
+        trees.totals(trees.rel_rows(), "m").select("block", "bit", F.lit(0).cast("bigint"), "m"))
+    totals = counts.groupBy("block", "bit").agg(F.sum("n").alias("total_nodes"), F.sum("m").alias("total_rels"))
+    totals = trees.inputs.join(totals, ["block", "bit"]).select("input_id", "total_nodes", "total_rels")
     return asked.join(totals, F.col("identifier") == F.col("input_id"), "left").select(
         F.col("identifier").alias("input_id"), F.col("uid").alias("resolved_id"),
         F.coalesce("total_nodes", F.lit(0)).alias("total_nodes"), F.coalesce("total_rels", F.lit(0)).alias("total_rels"),
@@ -138,13 +275,13 @@ def type_nodes(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def child_types(starts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def child_types(starts: DataFrame, edges: DataFrame | Edges, nodes: DataFrame) -> DataFrame:
     """Distinct types of everything derived from the starts."""
     below = closure(starts, edges, "down").where("hop > 0")
     return below.join(nodes.select("uid", "sampletype"), "uid").select("sampletype").distinct()
 
 
-def descendant_types(edges: DataFrame, nodes: DataFrame, types: Sequence[str]) -> DataFrame:
+def descendant_types(edges: DataFrame | Edges, nodes: DataFrame, types: Sequence[str]) -> DataFrame:
     """For each node with descendants of the listed types: (uid, mask), bit i set for `types[i]`.
 
     Type sets travel upwards, one hop at a time, from the nodes whose set has just grown. The state is one row per
@@ -154,31 +291,14 @@ def descendant_types(edges: DataFrame, nodes: DataFrame, types: Sequence[str]) -
         raise ValueError("pass at most 60 types at a time")
     bit = reduce(lambda chain, i: chain.when(F.col("sampletype") == types[i], 1 << i), range(1, len(types)),
                  F.when(F.col("sampletype") == types[0], 1)).otherwise(0).cast("bigint")
-    up = edges.select(F.col("child_uid").alias("uid"), "parent_uid")
-    sent = cut(nodes.select("uid", bit.alias("mask")).where("mask > 0"))
-    state = None
-    while True:
-        met = _step(up, sent, sent.count(), dict)  # a child cites few parents: no hot keys on this side
-        got = met.groupBy(F.col("parent_uid").alias("uid")).agg(F.bit_or("mask").alias("mask"))
-        if state is None:
-            state = grown = cut(got)
-        else:
-            grown = cut(
-                got.join(state.withColumnRenamed("mask", "old"), "uid", "left")
-                .withColumn("mask", F.col("mask").bitwiseOR(F.coalesce("old", F.lit(0))))
-                .where(F.col("old").isNull() | (F.col("mask") != F.col("old"))).select("uid", "mask")
-            )
-            state = cut(state.union(grown).groupBy("uid").agg(F.bit_or("mask").alias("mask")))
-        if grown.isEmpty():
-            return state
-        sent = grown
+    return carried(nodes.select("uid", bit.alias("mask")), edges, "up", own=False)
 
 
 def parents_with_all_types(
-    edges: DataFrame, nodes: DataFrame, child_types: Sequence[str], parent_types: Sequence[str] | None = None
+    edges: DataFrame | Edges, nodes: DataFrame, child_types: Sequence[str], parent_types: Sequence[str] | None = None
 ) -> DataFrame:
     """Samples with descendants of all listed types; `parent_types` keeps samples of any of these types."""
-    wanted = list(dict.fromkeys(child_types))
+    wanted, edges = list(dict.fromkeys(child_types)), as_edges(edges)
     found = None
     for i in range(0, len(wanted), 60):
         part = wanted[i:i + 60]
@@ -194,63 +314,104 @@ def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return cited.join(nodes.select(F.col("uid").alias("parent_uid")), "parent_uid", "left_anti")
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """(uid, cycle_id) for every sample that is its own ancestor; `cycle_id` is the largest uid of its cycle group.
+class _Shrunk:
+    """Edges of a graph with everything taken off that tells nothing about cycles, and what is needed to put it back.
 
-    First all edges that cannot lie on a cycle are stripped, round by round: an acyclic table ends here. In what is
-    left, each node learns the largest uid among its ancestors and itself; going back down from that uid within the
-    same colour gives one strongly connected group, which is set aside, and the rest goes round again. The state is
-    one row per node.
+    Edges that lead nowhere are stripped; where that goes slowly, runs of single nodes become single edges, so that the rounds
+    do not follow the longest chain.
     """
-    live = cut(edges.select("child_uid", "parent_uid").distinct())
-    found: list[DataFrame] = []
-    while True:
-        live = _strip(live)
-        if live.isEmpty():
-            break
-        colour = _largest_ancestor(live)
-        group = cut(_same_colour_down(live, colour))
-        found.append(group)
-        gone = group.select("uid")
-        live = cut(
-            live.join(gone.toDF("child_uid"), "child_uid", "left_anti").join(
-                gone.toDF("parent_uid"), "parent_uid", "left_anti")
-        )
-    if not found:
-        return live.select(F.col("child_uid").alias("uid"), F.col("parent_uid").alias("cycle_id"))
-    groups = cut(_union(found))
-    # A group of one node is a cycle only if the node cites itself.
-    loops = edges.where(F.col("child_uid") == F.col("parent_uid")).select(F.col("child_uid").alias("uid")).distinct()
-    big = groups.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cycle_id")
-    return groups.join(big, "cycle_id", "left_semi").select("uid", "cycle_id").union(
-        groups.join(big, "cycle_id", "left_anti").join(loops, "uid", "left_semi").select("uid", "cycle_id")
-    )
-
-
-def _strip(live: DataFrame) -> DataFrame:
-    """Drop edges whose parent has no parent or whose child has no child, until nothing changes."""
-    n = live.count()
-    while n:
-        children = live.select(F.col("child_uid").alias("parent_uid")).distinct()
-        parents = live.select(F.col("parent_uid").alias("child_uid")).distinct()
-        live = cut(live.join(children, "parent_uid", "left_semi").join(parents, "child_uid", "left_semi").select(
-            "child_uid", "parent_uid"))
-        left = live.count()
-        if left == n:
-            break
-        n = left
-    return live
 
+    def __init__(self, edges: DataFrame, step: Callable[[str], None]):
+        self.step = step
+        every = cut(edges.select("child_uid", "parent_uid").distinct())
+        self.levels: list[Contracted] = []
+        self.found: list[DataFrame] = []
+        self.loops = every.where("child_uid = parent_uid").select(F.col("child_uid").alias("uid"))
+        self.has_loops = not self.loops.isEmpty()
+        self.live = every.where("child_uid <> parent_uid")
+
+    def shrink(self) -> bool:
+        """Strip and contract until nothing changes; whether edges are left."""
+        n = self.live.count()
+        while n:
+            children = self.live.select(F.col("child_uid").alias("parent_uid")).distinct()
+            parents = self.live.select(F.col("parent_uid").alias("child_uid")).distinct()
+            self.step("strip")
+            self.live = cut(self.live.join(children, "parent_uid", "left_semi").join(parents, "child_uid", "left_semi").select(
+                "child_uid", "parent_uid"))
+            left = self.live.count()
+            if 4 * left > 3 * n:
+                if not self._contract():
+                    if left == n:
+                        break
+                else:
+                    left = self.live.count()
+            n = left
+        return n > 0
+
+    def _contract(self) -> bool:
+        got = contract(self.live, self.step)
+        if got is None:
+            return False
+        self.levels.append(got)
+        self.found.append(got.rings)
+        turns = got.live.where("child_uid = parent_uid").select(F.col("child_uid").alias("uid"))
+        self.loops = self.loops.union(turns)
+        self.has_loops = self.has_loops or not turns.isEmpty()
+        self.live = got.live.where("child_uid <> parent_uid")
+        return True
+
+    def take(self, group: DataFrame) -> None:
+        """Set a group of nodes (uid, cycle_id) aside."""
+        self.found.append(group)
+        gone = group.select("uid")
+        self.live = cut(self.live.join(gone.toDF("child_uid"), "child_uid", "left_anti").join(
+            gone.toDF("parent_uid"), "parent_uid", "left_anti"))
+
+    def nodes(self) -> DataFrame | None:
+        """(uid, cycle_id, looped) of the groups found and of all runs between two nodes of one group; None if nothing was found."""
+        parts = [f for f in self.found if not f.isEmpty()]
+        if not parts and not self.has_loops:
+            return None
+        alone = self.loops.distinct().select("uid", F.col("uid").alias("cycle_id"))
+        held = cut(_union(parts)) if parts else alone.limit(0)
+        for level in reversed(self.levels):
+            known = held.union(alone.join(held.select("uid"), "uid", "left_anti")) if self.has_loops else held
+            ends = level.runs.join(known.toDF("a", "_a"), "a").join(known.toDF("b", "_b"), "b").where("_a = _b")
+            held = cut(held.union(salted_join(level.inner, ends.select("run", F.col("_a").alias("cycle_id")), "run").select("uid", "cycle_id")))
+        tagged = held.withColumn("looped", F.lit(False)).union(alone.select("uid", F.lit(None).cast("string"), F.lit(True)))
+        return tagged.groupBy("uid").agg(F.coalesce(F.max("cycle_id"), "uid").alias("cycle_id"), F.max("looped").alias("looped"))
+
+
+def cycle_nodes(edges: DataFrame, step: Callable[[str], None] = lambda name: None) -> DataFrame:
+    """(uid, cycle_id) for every sample that is its own ancestor; `cycle_id` is the largest uid of its cycle group.
 
-def _largest_ancestor(live: DataFrame) -> DataFrame:
+    First all edges that cannot lie on a cycle are stripped, and chains are contracted: an acyclic table ends here, after as many
+    rounds as the longest chain's length has binary digits. In what is left, each node learns the largest uid among its ancestors
+    and itself; going back down from that uid within the same colour gives one strongly connected group, which is set aside, and
+    the rest goes round again. The state is one row per node. `step` is told the name of every round.
+    """
+    graph = _Shrunk(edges, step)
+    while graph.shrink():
+        graph.take(cut(_same_colour_down(graph.live, _largest_ancestor(graph.live, step))))
+    named = graph.nodes()
+    if named is None:
+        return edges.select(F.col("child_uid").alias("uid"), F.col("parent_uid").alias("cycle_id")).limit(0)
+    named = cut(named)
+    # A group of one node is a cycle only if the node leads to itself.
+    groups = named.groupBy("cycle_id").agg(F.max("uid").alias("top"), F.count(F.lit(1)).alias("n"), F.max("looped").alias("looped"))
+    return salted_join(named.select("uid", "cycle_id"), groups.where("n > 1 or looped").select("cycle_id", "top"), "cycle_id").select(
+        "uid", F.col("top").alias("cycle_id"))
+
+
+def _largest_ancestor(live: DataFrame, step: Callable[[str], None]) -> DataFrame:
     """(uid, colour): the largest uid reachable upwards, the node itself included."""
     state = cut(live.select(F.col("child_uid").alias("uid")).union(live.select("parent_uid")).distinct()
                 .withColumn("colour", F.col("uid")))
-    grown = state
-    down = live.select(F.col("parent_uid").alias("uid"), "child_uid")
-    hubs = cache(lambda: hot_ways(down, "uid"))
+    grown, table = state, Edges(live)
     while n := grown.count():
-        told = _step(down, grown, n, hubs).groupBy(F.col("child_uid").alias("uid")).agg(F.max("colour").alias("new"))
+        step("colour")
+        told = table.meet("down", grown, n).groupBy(F.col("_next").alias("uid")).agg(F.max("colour").alias("new"))
         grown = cut(told.join(state, "uid").where("new > colour").select("uid", F.col("new").alias("colour")))
         state = cut(state.union(grown).groupBy("uid").agg(F.max("colour").alias("colour")))
     return state

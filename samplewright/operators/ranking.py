@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from samplewright.operators.skew import lookup_join
-from samplewright.session import cut
+from samplewright.session import cut, scratch_path
 
 _RUNS_BOUND = 200_000
 
@@ -98,13 +98,66 @@ def row_slice(df: DataFrame, order: Sequence[str], span: str | None = None, rows
     return numbered.join(rows.select(F.col("n").alias("row_no")).distinct(), "row_no", "left_semi")
 
 
-def page(df: DataFrame, order: Sequence[str], number: int = 1, size: int = 100, shallow: int = 100_000) -> DataFrame:
-    """One page, counted from 1; the size is at most 1000. Deep pages are found by row number, not by a long skip."""
+class PageIndex:
+    """A sorted copy of a table in key ranges, with the number of rows of each, kept so that a page opens only what it shows.
+
+    The copy is a folder per range under `path`; the counts, one row per range, are beside it. `order` must tell rows apart where
+    the place of equal rows matters.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, order: Sequence[str]):
+        self.spark, self.path, self.order = spark, path, list(order)
+        self.rows = spark.read.parquet(f"{path}/rows")
+        # One row per range, at most as many as there were shuffle partitions.
+        self.sizes = [(r["_range"], r["n"]) for r in spark.read.parquet(f"{path}/sizes").orderBy("_range").collect()]
+
+    @classmethod
+    def build(cls, df: DataFrame, order: Sequence[str], path: str | None = None, ranges: int | None = None) -> PageIndex:
+        spark = df.sparkSession
+        path = path or scratch_path(spark, "pages")
+        laid = df.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+        laid.withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{path}/rows")
+        sizes = spark.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count(F.lit(1)).alias("n")) if cls._filled(spark, path) else None
+        (sizes if sizes is not None else spark.createDataFrame([], "_range int, n bigint")).coalesce(1).write.parquet(f"{path}/sizes")
+        return cls(spark, path, order)
+
+    @staticmethod
+    def _filled(spark: SparkSession, path: str) -> bool:
+        return "_range" in spark.read.parquet(f"{path}/rows").columns
+
+    def __len__(self) -> int:
+        return sum(n for _, n in self.sizes)
+
+    def between(self, first: int, last: int) -> DataFrame:
+        """Rows `first` to `last` of the order, counted from 1 and inclusive."""
+        opened, before, skip = [], 0, None
+        for number, n in self.sizes:
+            if before < last and before + n >= first:
+                skip = first - 1 - before if skip is None else skip
+                opened.append(number)
+            before += n
+        if not opened:
+            return self.rows.drop("_range").limit(0)
+        held = self.rows.where(F.col("_range").isin(opened)).orderBy(*self.order).drop("_range")
+        return held.offset(max(0, skip)).limit(last - first + 1)
+
+    def page(self, number: int = 1, size: int = 100) -> DataFrame:
+        _check_page(number, size)
+        return self.between((number - 1) * size + 1, number * size)
+
+
+def _check_page(number: int, size: int) -> None:
     if number < 1 or not 1 <= size <= 1000:
         raise ValueError("page numbers start at 1 and a page holds 1 to 1000 rows")
+
+
+def page(
+    df: DataFrame, order: Sequence[str], number: int = 1, size: int = 100, shallow: int = 100_000, index: PageIndex | None = None
+) -> DataFrame:
+    """One page, counted from 1; the size is at most 1000. Deep pages come from a page index: pass one to open many pages of a
+    table, else it is built for this page."""
+    _check_page(number, size)
     skip = (number - 1) * size
-    if skip + size <= shallow:
+    if index is None and skip + size <= shallow:
         return df.orderBy(*order).offset(skip).limit(size)
-    return (
-        dense_index(df, order, name="_row").where(F.col("_row").between(skip + 1, skip + size)).orderBy("_row").drop("_row")
-    )
+    return (index or PageIndex.build(df, order)).page(number, size)
