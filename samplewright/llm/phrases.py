@@ -329,7 +329,7 @@ def frequent_in_a_shard(dealt: DataFrame, support: int = SUPPORT, longest: int =
     least = cut(lowered_supports(dealt, support, shards))
     size = least.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("lang") + 8 * shards + 64).alias("bytes"), F.sum("size").alias("text")).first()
     small = size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
-    packing = packing_for(int(size["text"] or 0), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packing = packing_for(int(size["text"] or 0))
     keyed = dealt.select("lang", "shard", F.xxhash64("lang", "shard").alias("seed"), "text")
     found: list[DataFrame] = []
     sets: list[BitSet] = []
@@ -345,9 +345,10 @@ def frequent_in_a_shard(dealt: DataFrame, support: int = SUPPORT, longest: int =
     return found
 
 
-def packing_for(size: int, partitions: int) -> Packing:
-    """Hashes get as many bits as tell the phrases of `size` bytes of text apart, with eleven to spare; eight runs a partition."""
-    return Packing(min(64, max(32, size.bit_length() + 11)), min(24, max(3, (8 * partitions - 1).bit_length())))
+def packing_for(size: int) -> Packing:
+    """Hashes get as many bits as tell the phrases of `size` bytes of text apart, with eleven to spare. Eight runs at least, and one
+    per 4 MB of text, so that a run's counts are few enough to be summed in one place."""
+    return Packing(min(64, max(32, size.bit_length() + 11)), min(30, max(3, (size >> 22).bit_length())))
 
 
 def exact_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
