@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
-from samplewright.operators import backfill, diff, lineage, resolve
+from samplewright.operators import backfill, diff, lineage, resolve, snapshots
 from samplewright.plans import registry as r
 from samplewright.plans.base import Book
 from samplewright.session import spread
@@ -81,6 +81,24 @@ def field_diff(spark, sf):
     return diff.field_diff(_master(spark, sf), _sheets(spark, sf))
 
 
+def _snapshots(spark, sf):
+    first = snapshots.Snapshot.build(_master(spark, sf))
+    return first, snapshots.Snapshot.build(_sheets(spark, sf), like=first)
+
+
+@book.query(f"WITH {_VERSIONS} SELECT * FROM sides")
+def snapshot_key_diff(spark, sf):
+    """The key diff from stored snapshots, by the ranges whose digests differ."""
+    first, second = _snapshots(spark, sf)
+    return first.key_diff(second)
+
+
+@book.query(f"WITH {_VERSIONS} SELECT * FROM diffs")
+def snapshot_field_diff(spark, sf):
+    first, second = _snapshots(spark, sf)
+    return first.field_diff(second)
+
+
 @book.query(f"""WITH {_VERSIONS} SELECT field, CASE WHEN lower(regexp_replace(left_value, '\\s+', '', 'g')) = lower(regexp_replace(right_value, '\\s+', '', 'g'))
   THEN 'format' ELSE 'semantic' END AS drift, count(*) AS n FROM diffs GROUP BY 1, 2""")
 def drift_class(spark, sf):

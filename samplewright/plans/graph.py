@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
 from samplewright.model import local_table
-from samplewright.operators import checks, lineage, load, ranking, resolve, search
+from samplewright.operators import checks, lineage, load, ranking, resolve, search, textindex
 from samplewright.plans import registry as r
 from samplewright.plans.base import Book
 from samplewright.session import cut
@@ -70,10 +70,14 @@ def batch_trees(spark, sf):
     return lineage.batch_trees(_asked(spark, sf), r.nodes(spark, sf), _edges(spark, sf))
 
 
-def _trees(spark, sf):
+def _tree_inputs(spark, sf):
     nodes = r.nodes(spark, sf)
     asked = resolve.resolve_identifiers(_asked(spark, sf), nodes).where("uid IS NOT NULL")
-    return lineage.tree(nodes, _edges(spark, sf), asked.select(F.col("identifier").alias("input_id"), "uid"))
+    return nodes, _edges(spark, sf), asked.select(F.col("identifier").alias("input_id"), "uid")
+
+
+def _trees(spark, sf):
+    return lineage.tree(*_tree_inputs(spark, sf))
 
 
 @book.query(_TREES + "SELECT i AS input_id, m.uid, sampletype, replace(parent, ' ', '') AS parents FROM members m JOIN nodes n ON m.uid = n.uid")
@@ -90,8 +94,7 @@ def tree_rels(spark, sf):
 @book.query(_TREES + """
 SELECT input_id, uid FROM (SELECT i AS input_id, uid, row_number() OVER (PARTITION BY i ORDER BY uid) AS n FROM members) WHERE n BETWEEN 11 AND 20""")
 def tree_page(spark, sf):
-    nodes, _ = _trees(spark, sf)
-    return ranking.first_rows(nodes.select("input_id", "uid"), ["input_id"], ["uid"], 20).where("rank > 10").drop("rank")
+    return lineage.Trees(*_tree_inputs(spark, sf)).page(2, 10)
 
 
 _LABEL = "CASE split_part(child_uid, '-', 1) WHEN 'D.LIN' THEN 'Packing' WHEN 'ORD' THEN 'Sale' ELSE 'Survey' END"
@@ -261,6 +264,20 @@ def search_attribute_and(spark, sf):
         _searchable(spark, sf), ["todo", "clerk", "r"], (), ["Notes", "Clerk"], attribute_logic="AND").select("row_n", "uid")
 
 
+_SEARCHES = ["advanced_search", "search_any_exact", "search_attribute_and"]
+_AFTER_WITH = {name: book.sql[name].removeprefix(r.with_sql(r.ORDER_UPLOAD_SQL)) for name in _SEARCHES}
+
+
+@book.query(r.with_sql(r.ORDER_UPLOAD_SQL) + "\nUNION ALL ".join(f"SELECT '{name}' AS search, row_n, uid FROM ({sql})" for name, sql in _AFTER_WITH.items()))
+def indexed_search(spark, sf):
+    """The three searches above through one index; the third has a text too short for it."""
+    index = textindex.TextIndex.build(_searchable(spark, sf))
+    found = [index.search(["URGENT", "1-"], ["ORD"], ["Notes"], text_logic="AND"), index.search(["Clerk 3"], match="EXACT"),
+             index.search(["todo", "clerk", "r"], (), ["Notes", "Clerk"], attribute_logic="AND")]
+    named = [f.select(F.lit(name).alias("search"), "row_n", "uid") for name, f in zip(_SEARCHES, found, strict=True)]
+    return named[0].union(named[1]).union(named[2])
+
+
 @book.query(r.with_sql(r.ORDER_UPLOAD_SQL) + """
 SELECT row_n, uid FROM parsed WHERE ok AND contains(lower(j_status), 'f') ORDER BY row_n LIMIT 100 OFFSET 100""")
 def paged_search(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
 from samplewright.model import PARENT_TYPES, PLACEHOLDER_MARKERS, SURPRISE_SENTINELS, local_table
-from samplewright.operators import checks, flat, load, ranking, resolve
+from samplewright.operators import checks, flat, load, loadtable, ranking, resolve
 from samplewright.plans import registry as r
 from samplewright.plans.base import Book
 
@@ -544,14 +544,18 @@ merged AS (SELECT uid, CASE WHEN n.uid IS NULL THEN 'kept' WHEN s.uid IS NULL TH
   FROM stored s FULL JOIN sent n USING (uid))"""
 
 
-def _merged(spark, sf, update=True):
+def _stored_and_sent(spark, sf):
     k = F.col("o_orderkey")
     uid = F.concat(F.lit("ORD-"), k.cast("string")).alias("uid")
     orders = r.table(spark, sf, "orders")
     stored = orders.where("o_orderkey % 3 > 0").select(uid, F.lit("ORD").alias("sampletype"), F.col("o_orderpriority").alias("name"))
     sent = orders.where("o_orderkey % 2 = 0").select(
         uid, F.when(k % 31 == 0, "ORX").otherwise("ORD").alias("sampletype"), F.concat(F.lit("new "), "o_orderpriority").alias("name"))
-    return load.merge_load(stored, sent, update)
+    return stored, sent
+
+
+def _merged(spark, sf, update=True):
+    return load.merge_load(*_stored_and_sent(spark, sf), update)
 
 
 @book.query(f"WITH {_MERGE}" + """
@@ -561,6 +565,15 @@ def merge_load(spark, sf):
     return _merged(spark, sf)
 
 
+@book.query(book.sql["merge_load"])
+def ranged_load(spark, sf):
+    """The same load into a table stored by uid ranges, read back from its files."""
+    stored, sent = _stored_and_sent(spark, sf)
+    held = loadtable.LoadTable.create(stored)
+    outcomes = held.load(sent, "first", update_existing=True)
+    return held.rows.join(outcomes, "uid", "left").select("uid", "sampletype", "name", F.coalesce("outcome", F.lit("kept")).alias("outcome"))
+
+
 @book.query(f"WITH {_MERGE}" + """
 SELECT count(*) FILTER (outcome <> 'kept') AS processed, count(*) FILTER (outcome = 'inserted') AS success,
   count(*) FILTER (outcome = 'updated') AS skipped, count(*) FILTER (outcome = 'conflict') AS failed, 0::BIGINT AS updated,
