@@ -105,9 +105,10 @@ class PageIndex:
     the place of equal rows matters.
     """
 
-    def __init__(self, spark: SparkSession, path: str, order: Sequence[str]):
-        self.spark, self.path, self.order = spark, path, list(order)
-        self.rows = spark.read.parquet(f"{path}/rows")
+    def __init__(self, spark: SparkSession, path: str):
+        head = spark.read.parquet(f"{path}/head").first()
+        self.path, self.order = path, list(head["order"])
+        self.rows = spark.read.schema(head["schema"]).parquet(f"{path}/rows")
         # One row per range, at most as many as there were shuffle partitions.
         self.sizes = [(r["_range"], r["n"]) for r in spark.read.parquet(f"{path}/sizes").orderBy("_range").collect()]
 
@@ -115,15 +116,13 @@ class PageIndex:
     def build(cls, df: DataFrame, order: Sequence[str], path: str | None = None, ranges: int | None = None) -> PageIndex:
         spark = df.sparkSession
         path = path or scratch_path(spark, "pages")
-        laid = df.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
-        laid.withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{path}/rows")
-        sizes = spark.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count(F.lit(1)).alias("n")) if cls._filled(spark, path) else None
-        (sizes if sizes is not None else spark.createDataFrame([], "_range int, n bigint")).coalesce(1).write.parquet(f"{path}/sizes")
-        return cls(spark, path, order)
-
-    @staticmethod
-    def _filled(spark: SparkSession, path: str) -> bool:
-        return "_range" in spark.read.parquet(f"{path}/rows").columns
+        laid = df.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+        laid.write.partitionBy("_range").parquet(f"{path}/rows")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema.fields)
+        sizes = spark.read.schema(schema).parquet(f"{path}/rows").groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+        sizes.coalesce(1).write.parquet(f"{path}/sizes")
+        spark.createDataFrame([(list(order), schema)], "order array<string>, schema string").coalesce(1).write.parquet(f"{path}/head")
+        return cls(spark, path)
 
     def __len__(self) -> int:
         return sum(n for _, n in self.sizes)
