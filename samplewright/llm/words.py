@@ -7,7 +7,9 @@ words stay known.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -92,11 +94,68 @@ def gather(values: list[bytes], words: np.ndarray, starts: np.ndarray) -> tuple[
     return pool[at], bounds
 
 
+_LETTER, _DIGIT, _OTHER, _GAP, _RARE = range(5)
+#: What `pieces` does by itself: lower case, white space dropped, runs of letters, single digits, runs of other signs.
+_PIECES = {
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+
+
+def _kinds(added: list[str]) -> np.ndarray | None:
+    """Kind of every byte; signs that an added token begins with are rare. None if such a token begins like a word."""
+    kind = np.full(256, _RARE, np.uint8)
+    kind[33:127] = _OTHER
+    kind[[ord("'"), *[t.encode()[0] for t in added]]] = _RARE
+    if any(t[0].isalnum() for t in added):
+        return None
+    kind[48:58] = _DIGIT
+    kind[65:91] = kind[97:123] = _LETTER
+    kind[[9, 10, 11, 12, 13, 32]] = _GAP
+    return kind
+
+
+def pieces(texts: pa.Array, kinds: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As `split`, but words of plain signs are cut into lower-case pieces, of which there are far fewer different ones. A word with
+    a rare byte (other than ASCII, an apostrophe, the begin of an added token) is one piece, as it is."""
+    texts = texts.cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
+    bounds = bounds - bounds[0]
+    kind = kinds[data]
+    solid = kind != _GAP
+    begins = np.zeros(len(data), bool)
+    begins[bounds[:-1][bounds[:-1] < len(data)]] = True
+    word = solid.copy()
+    word[1:] &= ~solid[:-1] | begins[1:]
+    cut = word | (kind == _DIGIT)
+    cut[1:] |= solid[1:] & (kind[1:] != kind[:-1])
+    rare = np.flatnonzero(kind == _RARE)
+    low = data | (kind == _LETTER).view(np.uint8) << 5
+    if len(rare):
+        heads = np.flatnonzero(word)
+        odd = np.unique(np.searchsorted(heads, rare, side="right") - 1)
+        size = np.append(heads[1:], len(data))[odd] - heads[odd]
+        at = np.repeat(heads[odd] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        cut[at] = word[at]
+        low[at] = data[at]
+    start = np.flatnonzero(cut)
+    length = np.add.reduceat(solid, start, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
+    offsets = np.concatenate(([0], np.cumsum(length)))
+    letters = low[solid]
+    units = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters.tobytes())])
+    numbered = units.dictionary_encode()
+    return numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False), np.searchsorted(start, bounds)
+
+
 class LibraryEncoder:
     """Ids as a `tokenizers` file whose pre-tokenizer drops white space gives them, without added tokens.
 
-    Nothing in such a file reaches over a space or a line break, so a text's ids are its words' ids in a row. Unknown words are
-    given to the library together, parted by a sign that is one token of its own.
+    Nothing in such a file reaches over a space or a line break, so a text's ids are its words' ids in a row. Where the file says
+    that words are cut as `pieces` does, plain pieces are given to the library's model directly; other unknown words are given to
+    the library together, parted by a sign that is one token of its own.
     """
 
     SIGN = "\0"
@@ -114,8 +173,22 @@ class LibraryEncoder:
                 *self.library.encode("a", add_special_tokens=False).ids, *self.library.encode("b", add_special_tokens=False).ids]:
             raise ValueError("this file's tokens may reach over spaces")
         self.sign = sign[0]
+        self.kinds = self._plain_kinds(path)
         self.memory = Memory(self._make)
 
+    def _plain_kinds(self, path: str) -> np.ndarray | None:
+        """Kinds of bytes for `pieces`, or None if the file cuts words in another way."""
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        normal, cutting, model = said.get("normalizer") or {}, said.get("pre_tokenizer") or {}, said["model"]
+        if normal.get("normalizers") != _PIECES["normalizers"] or cutting.get("pretokenizers") != _PIECES["pretokenizers"] or model["type"] != "BPE" or (
+                model.get("dropout") or said.get("post_processor")):
+            return None
+        kinds = _kinds([t["content"] for t in said.get("added_tokens", [])])
+        if kinds is not None:
+            self.plain = re.compile("[" + "".join(re.escape(chr(i)) for i in range(128) if kinds[i] in (_LETTER, _DIGIT, _OTHER)) + "]+")
+        return kinds
+
     def _alone(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -123,7 +196,9 @@ class LibraryEncoder:
         out: list = [None] * len(words)
         plain = []
         for i, word in enumerate(words):
-            if self.SIGN in word or "<|" in word or len(word) > LONG_WORD:
+            if self.kinds is not None and self.plain.fullmatch(word):
+                out[i] = np.array([t.id for t in self.library.model.tokenize(word)], "<u4").tobytes()
+            elif self.SIGN in word or "<|" in word or len(word) > LONG_WORD:
                 out[i] = self._alone(word)
             else:
                 plain.append(i)
@@ -143,7 +218,7 @@ class LibraryEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and where each text's ids begin (n + 1 values)."""
-        words, index, starts = split(texts)
+        words, index, starts = split(texts) if self.kinds is None else pieces(texts, self.kinds)
         return gather(self.memory.get(words), index, starts)
 
 
