@@ -117,6 +117,12 @@ def parse_plan(plan: DataFrame) -> DataFrame:
         "sample_annotation", "batch", "kind", "stream", "output", sources.alias("sources"))
 
 
+def plan_files(jobs: DataFrame) -> DataFrame:
+    """Parsed plan rows to (output, source_no, path, size): the files of each output, in the plan's order."""
+    each = jobs.select("output", F.posexplode("sources").alias("source_no", "_s"))
+    return each.select("output", "source_no", F.col("_s")["path"].alias("path"), F.col("_s")["size"].alias("size"))
+
+
 def plan_rollup(jobs: DataFrame) -> DataFrame:
     """Jobs, source bytes, errors and the estimated compressed size per batch, with a grand total."""
     per = jobs.rollup("batch").agg(

@@ -7,16 +7,18 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
+from samplewright.model import local_table
 from samplewright.operators import backfill, filetree, flat, pulls, ranking
 from samplewright.plans import diffs, registry as r, trees
 from samplewright.plans.base import Book
 from samplewright.session import cut, scratch_path, spread
-from samplewright.sinks import writers
+from samplewright.sinks import binary, writers
+from samplewright.sources import archives, sheets, tables
 from samplewright.sources import files as sources
-from samplewright.sources import sheets, tables
 
 book = Book()
 
@@ -188,6 +190,62 @@ def archive_listing(spark, sf):
     return sources.archive_members(archive_files(spark, sf))
 
 
+@book.query(book.sql["archive_listing"])
+def archive_source(spark, sf):
+    """The same archives as files, listed by the data source."""
+    made = archive_files(spark, sf).select(F.substring("path", 2, 1000).alias("path"), "content")
+    path = binary.write_files(made, scratch_path(spark, "archives"))
+    return archives.list_archives(spark, path).select("zip_name", "member", "filename")
+
+
+def _doc_files(spark, sf, path, name):
+    """One file per document below `path`."""
+    docs = spread(r.table(spark, sf, "documents"))
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return binary.write_files(docs.select(name.alias("path"), body.alias("content")), path)
+
+
+_PULLED = """
+src AS (SELECT doc_id, source, '24-' || source || '-P' || doc_id % 3 || '/' || doc_id || '_NA_sequence.fastq' AS path, doc_id % 3 AS plate, coalesce(text, '') AS text FROM documents)"""
+
+
+@book.query(f"""WITH {_PULLED} SELECT 'fastq/B/B_S' || source || '.fastq.gz' AS output, count(*) AS n_sources, sum(strlen(text))::BIGINT AS src_bytes,
+  md5(string_agg(text, '' ORDER BY plate, path)) AS md5 FROM src GROUP BY source""")
+def pull_merge(spark, sf):
+    """Source files, a written pull plan over them, its outputs merged, unpacked and hashed."""
+    k = F.col("doc_id")
+    source_dir = F.concat(F.lit("24-"), "source", F.lit("-P"), (k % 3).cast("string"))
+    root = _doc_files(spark, sf, scratch_path(spark, "sources"), F.concat(source_dir, F.lit("/"), k.cast("string"), F.lit("_NA_sequence.fastq")))
+    listing = sources.list_files(spark, root).select(
+        F.split_part("path", F.lit("/"), F.lit(1)).alias("source_dir"), "path", F.col("length").alias("size"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    listing = cut(listing)
+    samples = r.table(spark, sf, "documents").select(F.concat(F.lit("S"), "source").alias("sample_annotation"), F.lit("B").alias("folder")).distinct()
+    strategy = local_table(spark, {"batch": None, "plates": pa.list_(pa.string()), "year_prefix": None}, [("B", ["P0", "P1", "P2"], "24")])
+    plan = pulls.plan_table(pulls.plan_jobs(samples, strategy, listing), pulls.job_sources(samples, strategy, listing))
+    jobs = tables.read_pull_plan(spark, writers.write_pull_plan(plan, scratch_path(spark, "plan")))
+    out = scratch_path(spark, "pulled")
+    merged = binary.merge_sources(pulls.plan_files(jobs), root, out)
+    return merged.join(sources.unpacked_digests(spark, out, merged.select(F.col("output").alias("path"))).withColumnRenamed("path", "output"), "output").select(
+        "output", "n_sources", "src_bytes", "md5")
+
+
+@book.query("""SELECT 'doc/' || doc_id AS path, md5(coalesce(text, '')) AS md5, strlen(coalesce(text, '')) AS length, n_copies FROM (
+  SELECT *, count(*) OVER (PARTITION BY coalesce(text, '')) AS n_copies FROM documents) WHERE n_copies > 1""")
+def content_dups_on_disk(spark, sf):
+    """Documents as files; copies found by length, by both ends, and by whole digests of what is left."""
+    root = _doc_files(spark, sf, scratch_path(spark, "copies"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
+    listing = cut(sources.list_files(spark, root).select("path", "length"))
+    digests = sources.staged_digests(spark, root, listing, edge=1024)
+    return filetree.content_duplicates(digests.where("md5 IS NOT NULL")).select("path", "md5", "length", "n_copies")
+
+
+@book.query("SELECT 'd/' || doc_id AS path, md5(coalesce(text, '')) AS md5 FROM documents")
+def file_checksums(spark, sf):
+    """True digests of files, one per document."""
+    root = _doc_files(spark, sf, scratch_path(spark, "digests"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")))
+    return sources.file_digests(spark, root, sources.list_files(spark, root))
+
+
 def _doc_lines(spark, sf):
     docs = spread(r.table(spark, sf, "documents"))
     return docs.select(
