@@ -30,7 +30,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows for training."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end=2)
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end=2, grain=packing.GRAIN)
 
 
 STAGES = [

@@ -82,7 +82,7 @@ def op9_bpe_encoding(spark, sf_dir):
 
 @book.query()
 def op10_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=2)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=2, grain=packing.GRAIN)
 
 
 @book.query(r"""
