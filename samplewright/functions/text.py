@@ -76,14 +76,23 @@ def summary(c: Column | str, width: int = 80) -> Column:
 
 
 def payload(c: Column | str) -> Column:
-    """A JSON payload as a string map. Null for blank, malformed and non-object text.
+    """A JSON payload as a string map. Null for blank, malformed and non-object text. Of a key given twice the last value counts.
 
     The text is parsed as the one element of a list, since the parser would overlook text after a bare object.
     """
     whole = F.concat(F.lit("["), filled(c), F.lit("]"))
     items = F.from_json(whole, f"array<{PAYLOAD_TYPE}>", {"allowSingleQuotes": "false"})
     one = F.filter(F.array(items), lambda x: F.size(x) == 1)  # binds the parse result, which is then used twice
-    return F.get(F.get(one, F.lit(0)), F.lit(0))
+    found = F.filter(F.array(F.get(F.get(one, F.lit(0)), F.lit(0))), lambda m: m.isNotNull())
+    return F.get(F.transform(found, _last_values), F.lit(0))
+
+
+def _last_values(attrs: Column) -> Column:
+    """A parsed map, which has a key as often as the text gave it, with the last value of each key."""
+    keys = F.map_keys(attrs)
+    pairs = F.map_entries(attrs)
+    last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["key"]))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), attrs).otherwise(F.map_from_entries(last))
 
 
 def payload_json(attrs: Column | str) -> Column:

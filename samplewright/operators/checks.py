@@ -17,7 +17,8 @@ from samplewright.model import (
     BLOCKERS, FLAT_REQUIRED, HARD, INFO, PLACEHOLDER_MARKERS, ROOT_TYPES, SOFT, SURPRISE_SENTINELS,
 )
 from samplewright.operators.ranking import first_rows, later_rows
-from samplewright.operators.resolve import missing_parents
+from samplewright.operators.resolve import missing_parents, resolve_titles
+from samplewright.operators.skew import salted_join
 from samplewright.session import cut
 
 ISSUE_COLUMNS = ["code", "severity", "row_n", "uid", "sampletype", "detail"]
@@ -237,6 +238,68 @@ def dispositions(
     )
 
 
+#: Words of the report for some codes; other codes stand for themselves. Fixed values.
+REASONS = {"parent_uid_not_found": "dangling Parent UID", "unknown_sampletype": "pending-schema type"}
+_LEVELS = {HARD: "HARD_REJECT", SOFT: "SOFT_FLAG", INFO: "CLEAN"}
+
+
+def _own_reasons(soft_columns: Sequence[str], file_column: str) -> Column:
+    """What a row's payload alone says, as (severity, reason)."""
+    cell = t.attr("attrs", file_column)
+    rest = F.filter(F.map_values(F.map_filter("attrs", lambda k, _: k != file_column)), lambda v: t.holds_any(v))
+    say = lambda when, level, text: F.when(when, F.struct(F.lit(level).alias("severity"), F.lit(text).alias("reason")))
+    found = [
+        say(t.is_blank(cell), HARD, f"missing {file_column}"), say(t.holds_any(cell), SOFT, f"PLACEHOLDER marker in {file_column}"),
+        say(F.size(rest) > 0, SOFT, "PLACEHOLDER marker in metadata"),
+        *[say(t.is_blank(t.attr("attrs", c)), SOFT, f"{c} blank") for c in soft_columns],
+    ]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def unresolved_assays(rows: DataFrame, cache: DataFrame, synonyms: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Rows that cite an assay title without an id, once each. Distinct titles are resolved; few are left over as a rule."""
+    cited = rows.select(*keep, F.explode(F.array_distinct(t.split_list("assay_titles"))).alias("title"))
+    lost = resolve_titles(cited.select("title").distinct(), cache, synonyms).where("how = 'unresolved'").select("title")
+    return salted_join(cited, lost, "title", "left_semi").select(*keep).distinct()
+
+
+def disposition_rows(
+    rows: DataFrame, issues: DataFrame, cache: DataFrame | None = None, synonyms: DataFrame | None = None, group: str = "arm",
+    file_column: str = "File_PrimaryData", soft_columns: Sequence[str] = ("Link_PrimaryData", "Checksum_PrimaryData"),
+) -> DataFrame:
+    """Every upload row with its disposition and why: (group, file, row_n, uid, disposition, reasons).
+
+    The worst finding decides. `reasons` are the findings of that severity, each once and in order: what has to be mended before
+    the row moves up. Rows of several files are told apart by (file, row_n). With `cache` and `synonyms`, an assay title
+    without an id is a soft flag. Rows and findings are one table with one aggregate; a row has as many findings as there are rules.
+    """
+    key = row_key(rows)
+    named = [*dict.fromkeys([group, *key])]
+    finding = lambda level, text: [F.lit(level).alias("severity"), F.lit(text).cast("string").alias("reason")]
+    blank = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in dict.fromkeys([group, "uid"]) if c not in key]
+    own = rows.select(*named, "uid", _own_reasons(soft_columns, file_column).alias("_own"))
+    base = own.select(*named, "uid", F.inline(F.concat(F.array(F.struct(*finding(INFO, None))), "_own")))
+    said = F.coalesce(*[F.when(F.col("code") == c, F.lit(words)) for c, words in REASONS.items()], F.col("code"))
+    found = issues.where(F.col("severity") > INFO).select(*key, *blank, F.col("severity"), said.alias("reason"))
+    parts = [base, found]
+    if cache is not None and synonyms is not None:
+        lost = unresolved_assays(rows, cache, synonyms, key)
+        parts.append(lost.select(*key, *blank, *finding(SOFT, "assay_id unresolved")))
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    each = every.groupBy(*key).agg(
+        *[F.max(c).alias(c) for c in dict.fromkeys([group, "uid"]) if c not in key], F.max("severity").alias("_level"),
+        F.collect_set(F.when(F.col("severity") > INFO, F.struct("severity", "reason"))).alias("_found"))
+    mine = F.transform(F.filter("_found", lambda x: x["severity"] == F.col("_level")), lambda x: x["reason"])
+    word = F.coalesce(*[F.when(F.col("_level") == level, w) for level, w in _LEVELS.items()])
+    return each.select(*dict.fromkeys([group, *key, "uid"]), word.alias("disposition"), F.array_sort(mine).alias("reasons"))
+
+
+def disposition_reasons(found: DataFrame, group: str = "arm") -> DataFrame:
+    """Rows per (group, disposition, reason) of `disposition_rows`; a row with two reasons counts for both, a clean one for none."""
+    each = found.select(group, "disposition", F.explode("reasons").alias("reason"))
+    return each.groupBy(group, "disposition", "reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def attribute_names(rows: DataFrame, fields: DataFrame) -> DataFrame:
     """Payload keys the type does not define. Distinct (type, key) pairs are judged, rows are only counted."""
     keys = rows.select("sampletype", F.explode(F.map_keys("attrs")).alias("field"))
@@ -304,6 +367,33 @@ def structure_check(
     )
 
 
+def header_faults(headers: DataFrame, columns: Sequence[str] = FLAT_REQUIRED) -> DataFrame:
+    """(file, n_missing, n_repeated) of `headers(file, header array)`: required columns a file lacks, and names it has more than once,
+    case and outer blanks aside."""
+    low = F.filter(F.transform("header", lambda h: F.lower(t.norm(h))), lambda h: h != "")
+    named = headers.select("file", low.alias("low"))
+    lost = sum((F.when(F.array_contains("low", c), 0).otherwise(1) for c in columns), F.lit(0))
+    again = F.size(F.filter(F.array_distinct("low"), lambda h: F.size(F.filter("low", lambda x: x == h)) > 1))
+    return named.select("file", lost.cast("bigint").alias("n_missing"), again.cast("bigint").alias("n_repeated"))
+
+
+def batch_structure(headers: DataFrame, rows: DataFrame, fields: DataFrame, columns: Sequence[str] = FLAT_REQUIRED) -> DataFrame:
+    """Whether every file of a batch is well-formed, and the batch as a whole: (file, n_missing, n_repeated, n_names, valid).
+
+    `headers(file, header)` has the header of every file, `rows` the prepared rows; `n_names` counts distinct payload keys that
+    their type does not define. The row with a null file is the batch: sums over its files, valid if all of them are.
+    """
+    keys = rows.select("file", "sampletype", F.explode(F.map_keys("attrs")).alias("field")).groupBy("file", "sampletype", "field").agg(
+        F.count(F.lit(1)).alias("n"))
+    bad = keys.join(fields.select("sampletype", "field").distinct(), ["sampletype", "field"], "left_anti")
+    names = bad.groupBy("file").agg(F.count(F.lit(1)).alias("n_names"))
+    per = header_faults(headers, columns).join(names, "file", "left").withColumn("n_names", F.coalesce("n_names", F.lit(0)).cast("bigint"))
+    per = per.withColumn("valid", F.col("n_missing") + F.col("n_repeated") + F.col("n_names") == 0)
+    whole = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_missing", "n_repeated", "n_names")],
+                    F.coalesce(F.bool_and("valid"), F.lit(True)).alias("valid"))
+    return per.unionByName(whole.select(F.lit(None).cast("string").alias("file"), "*"))
+
+
 def error_groups(errors: DataFrame) -> DataFrame:
     """Errors that share (type, message): how many, and on how many distinct rows and uids."""
     return errors.groupBy("type", "message").agg(

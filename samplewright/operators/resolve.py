@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from samplewright.functions import text as t
 from samplewright.operators.ranking import first_by
 from samplewright.operators.skew import lookup_join
+from samplewright.session import cut
+
 
 def known_uids(upload: DataFrame, baseline: DataFrame | None) -> DataFrame:
     """(uid, origin): 0 when the upload holds it, 1 when only the baseline does. One row per uid."""
@@ -29,14 +31,10 @@ def _status() -> Column:
     return F.when(F.col("origin") == 0, "intra").when(F.col("origin") == 1, "baseline").otherwise("missing")
 
 
-def parent_status(rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
-    """(parent_uid, n_refs, status) for every distinct cited parent.
-
-    Citations and known uids are one table with one aggregate: one shuffle, after a combine in which a hub parent is one row.
-    """
+def _status_of(refs: DataFrame, rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
     side = lambda uid, n, origin: (
         uid.alias("parent_uid"), F.lit(n).cast("bigint").alias("n"), F.lit(origin).cast("int").alias("origin"))
-    both = parent_refs(rows, ()).select(*side(F.col("parent_uid"), 1, None)).union(rows.select(*side(t.filled("uid"), 0, 0)))
+    both = refs.select(*side(F.col("parent_uid"), 1, None)).union(rows.select(*side(t.filled("uid"), 0, 0)))
     if baseline is not None:
         both = both.union(baseline.select(*side(t.filled("uid"), 0, 1)))
     known = both.where(F.col("parent_uid").isNotNull()).groupBy("parent_uid").agg(
@@ -44,9 +42,19 @@ def parent_status(rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
     return known.where("n_refs > 0").select("parent_uid", "n_refs", _status().alias("status"))
 
 
+def parent_status(rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
+    """(parent_uid, n_refs, status) for every distinct cited parent.
+
+    Citations and known uids are one table with one aggregate: one shuffle, after a combine in which a hub parent is one row.
+    """
+    return _status_of(parent_refs(rows, ()), rows, baseline)
+
+
 def resolve_parents(rows: DataFrame, baseline: DataFrame | None, keep=("row_n", "uid", "sampletype")) -> DataFrame:
-    """Every cited parent with its status intra / baseline / missing; the upload wins over the baseline."""
-    return lookup_join(parent_refs(rows, keep), parent_status(rows, baseline), "parent_uid", count="n_refs")
+    """Every cited parent with its status intra / baseline / missing; the upload wins over the baseline. Payloads are read once:
+    the citations are written, then tallied and joined from there."""
+    refs = cut(parent_refs(rows, keep))
+    return lookup_join(refs, _status_of(refs, rows, baseline), "parent_uid", count="n_refs")
 
 
 def parent_tally(rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
@@ -57,8 +65,9 @@ def parent_tally(rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
 def missing_parents(rows: DataFrame, baseline: DataFrame | None, keep=("row_n", "uid", "sampletype")) -> DataFrame:
     """The citations whose parent is neither in the upload nor in the baseline. Few parents are missing as a rule,
     and then the rows are not shuffled."""
-    lost = parent_status(rows, baseline).where("status = 'missing'").drop("status")
-    return lookup_join(parent_refs(rows, keep), lost, "parent_uid", count="n_refs")
+    refs = cut(parent_refs(rows, keep))
+    lost = _status_of(refs, rows, baseline).where("status = 'missing'").drop("status")
+    return lookup_join(refs, lost, "parent_uid", count="n_refs")
 
 
 def resolve_titles(titles: DataFrame, cache: DataFrame, synonyms: DataFrame, title: str = "title") -> DataFrame:

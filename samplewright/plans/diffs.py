@@ -360,6 +360,29 @@ def accession_patch(spark, sf):
     return _patched(spark, sf).select("k", "state", "link_primarydata", "accession", F.col("changed").cast("bigint").alias("changed"))
 
 
+_SPATIAL = f"""{_ROSTER},
+spots AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'D.SEQ-' ELSE 'A.SPTX-' END || o_orderkey AS uid,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'no spot' ELSE 'slide D22-' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') || ' left' END AS name,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'https://www.ncbi.nlm.nih.gov/geo/query/acc.cgi?acc=GSM' || (1000 + o_custkey) END AS link FROM orders),
+hits AS (SELECT k, uid, link, CASE WHEN starts_with(uid, 'A.SPTX-') THEN nullif(regexp_extract(name, 'D\\d{{2}}-\\d{{4}}'), '') END AS id FROM spots),
+spatial AS (SELECT * FROM gsm WHERE regexp_matches(sample_id, '^D\\d{{2}}-\\d{{4}}'))"""
+
+
+@book.query(f"""WITH {_SPATIAL} SELECT k, CASE WHEN NOT starts_with(uid, 'A.SPTX-') THEN 'out_of_scope' WHEN id IS NULL THEN 'no_id' WHEN accession IS NULL THEN 'not_in_roster'
+  ELSE 'patched' END AS state, coalesce('https://www.ncbi.nlm.nih.gov/geo/query/acc.cgi?acc=' || accession, link) AS link_primarydata
+FROM hits LEFT JOIN spatial ON id = sample_id""")
+def spatial_patch(spark, sf):
+    """Links of spatial samples, from the part of the bulk roster that can stand in for a spatial one."""
+    k = F.col("o_orderkey")
+    key = k.cast("string")
+    rows = r.table(spark, sf, "orders").select(
+        k.alias("k"), F.concat(F.when(k % 3 == 0, "D.SEQ-").otherwise("A.SPTX-"), key).alias("uid"),
+        F.when(k % 11 == 0, "no spot").otherwise(F.concat(F.lit("slide D22-"), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0"), F.lit(" left"))).alias("name"),
+        F.when(k % 4 == 0, F.concat(F.lit("https://www.ncbi.nlm.nih.gov/geo/query/acc.cgi?acc=GSM"), (F.col("o_custkey") + 1000).cast("string"))).alias("link_primarydata"))
+    roster = backfill.spatial_part(backfill.roster_map(_roster(spark, sf)))
+    return backfill.patch_accessions(rows, roster, "A.SPTX", "name", r"D\d{2}-\d{4}", accession_column=None).select("k", "state", "link_primarydata")
+
+
 @book.query(f"""WITH {_PATCH} SELECT state, count(*) AS n_rows, sum((new_link IS DISTINCT FROM link)::INT + (new_acc IS DISTINCT FROM acc)::INT)::BIGINT AS n_changed
 FROM cells GROUP BY 1""")
 def accession_report(spark, sf):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
 from samplewright.model import local_table
-from samplewright.operators import backfill, filetree, flat, pulls, ranking
+from samplewright.operators import backfill, checks, filetree, flat, pulls, ranking
 from samplewright.plans import diffs, registry as r, trees
 from samplewright.plans.base import Book
 from samplewright.session import cut, scratch_path, spread
@@ -318,6 +318,88 @@ def assay_cache_file(spark, sf):
     return spark.read.json(path)
 
 
+@book.query("""WITH ids AS (SELECT p_name AS title, min(p_partkey) AS assay_id, list(p_partkey ORDER BY p_partkey) AS all_ids FROM part GROUP BY 1)
+SELECT title, assay_id, CASE WHEN len(all_ids) > 1 THEN array_to_string(all_ids, ',') ELSE '' END AS duplicates FROM ids""")
+def assay_document(spark, sf):
+    """The cache as the one document that the uploader reads, with the ids of every shared title, read back."""
+    from samplewright.operators.resolve import lowest_ids, shared_titles
+
+    assays = r.table(spark, sf, "part").select(F.col("p_partkey").alias("assay_id"), F.col("p_name").alias("title"))
+    path = writers.write_assay_document(
+        lowest_ids(assays, assays), shared_titles(assays, assays), "P1", "https://x.example.org", "2024-01-01T00:00:00Z", scratch_path(spark, "document"))
+    known, _ = tables.read_assay_cache(spark, path)
+    return known.join(tables.read_shared_titles(spark, path), "title", "left").select(
+        "title", "assay_id", F.coalesce(F.array_join(F.transform("assay_ids", lambda i: i.cast("string")), ","), F.lit("")).alias("duplicates"))
+
+
+@book.query("""SELECT 'samples' AS part, c_custkey AS n, c_name AS a, c_mktsegment AS b FROM customer
+UNION ALL SELECT 'pairs', c_custkey, c_name || '_1', c_name || '_2' FROM customer WHERE c_custkey % 2 = 0""")
+def deposit_document(spark, sf):
+    """A filled deposit document, written as one JSON text and read back."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    rows = r.table(spark, sf, "customer").select(
+        F.struct(k.alias("n"), name.alias("*library name"), F.col("c_mktsegment").alias("organism")).alias("s"),
+        F.when(k % 2 == 0, F.struct(k.alias("n"), F.concat(name, F.lit("_1")).alias("file name 1"), F.concat(name, F.lit("_2")).alias("file name 2"))).alias("p"))
+    # One document by its format: a deposit's samples.
+    document = rows.agg(F.sort_array(F.collect_list("s")).alias("samples"), F.sort_array(F.collect_list("p")).alias("paired_end_experiments"))
+    path = scratch_path(spark, "deposit")
+    document.select(F.to_json(F.struct("*"))).write.text(path)
+    samples, pairs = tables.read_deposit(spark, path)
+    return samples.select(F.lit("samples").alias("part"), "n", F.col("`*library name`").alias("a"), F.col("organism").alias("b")).union(
+        pairs.select(F.lit("pairs"), "n", "file name 1", "file name 2"))
+
+
+_HEADS = [
+    ["uid", "sampletype", "name", "parent", "assay_titles", "assay_ids", "json_metadata"],
+    [" UID ", "Sample_Type", "Name", "Parent", "assay_titles", "assayIds", "JsonMetadata"],
+    ["uid", "sampletype", "name", "Uid ", "assay_titles", "assay_ids", "json_metadata"]]
+
+
+def flat_files(spark, sf):
+    """Flat upload workbooks of 500 orders: plain headers, aliases, or a header given twice in place of a column."""
+
+    def render(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk = int(pdf["chunk"].iloc[0])
+        rows = [_HEADS[chunk % 3]]
+        for k, cust in zip(pdf["o_orderkey"], pdf["o_custkey"], strict=True):
+            uid = f"ORD-{r.DATE}{r.LAB}-{k}"
+            fourth = f"CUS-{r.DATE}{r.LAB}-{cust}" if chunk % 3 < 2 else uid
+            odd = ',"Odd":"x"' if k % 700 == 7 else ""
+            rows.append([None] * 7 if k % 50 == 3 else [
+                uid if chunk % 3 < 2 else "first" if k % 2 else None, "ORD", f"order {k}", fourth, "Cell Culture; RNA extraction" if k % 4 else None,
+                int(k) if k % 5 else None, f'{{"UID":"{uid}","Name":"order {k}"{odd}}}'])
+        return pd.DataFrame({"path": [f"/up/flat_{chunk}.xlsx"], "content": [render_workbook({"Samples": rows, "Notes": [["x"]]})]})
+
+    orders = r.table(spark, sf, "orders").select("o_orderkey", "o_custkey").withColumn("chunk", F.expr(f"o_orderkey div {_CHUNK}"))
+    return orders.repartition(spark.sparkContext.defaultParallelism, "chunk").groupBy("chunk").applyInPandas(
+        lambda pdf: render(pdf.sort_values("o_orderkey")), "path string, content binary")
+
+
+_FLAT = f"""
+flat AS (SELECT '/up/flat_' || o_orderkey // {_CHUNK} || '.xlsx' AS file, o_orderkey // {_CHUNK} % 3 AS kind, o_orderkey AS k, o_orderkey % {_CHUNK} + 2 AS row_n, {r._U('ORD', 'o_orderkey')} AS uid,
+  'order ' || o_orderkey AS name, CASE WHEN o_orderkey // {_CHUNK} % 3 < 2 THEN {r._U('CUS', 'o_custkey')} END AS parent,
+  CASE WHEN o_orderkey % 4 > 0 THEN 'Cell Culture; RNA extraction' END AS assay_titles, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey::VARCHAR END AS assay_ids,
+  o_orderkey % 700 = 7 AS odd FROM orders WHERE o_orderkey % 50 <> 3)"""
+
+
+@book.query(f"""WITH {_FLAT} SELECT file, row_n, uid, 'ORD' AS sampletype, name, parent, assay_titles, assay_ids,
+  '{{"UID":"' || uid || '","Name":"' || name || '"' || CASE WHEN odd THEN ',"Odd":"x"' ELSE '' END || '}}' AS json_metadata FROM flat""")
+def flat_upload_scan(spark, sf):
+    """Flat upload sheets: the rows that all checks start from, whatever the case and the alias of their headers."""
+    return sheets.flat_upload(sheets.scan_workbooks(flat_files(spark, sf), ["Samples"]))
+
+
+@book.query(f"""WITH {_FLAT},
+per AS (SELECT file, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS n_missing, CASE kind WHEN 2 THEN 1 ELSE 0 END::BIGINT AS n_repeated, max(odd::INT)::BIGINT AS n_names FROM flat GROUP BY file, kind)
+SELECT file, n_missing, n_repeated, n_names, n_missing + n_repeated + n_names = 0 AS valid FROM per
+UNION ALL SELECT NULL, sum(n_missing)::BIGINT, sum(n_repeated)::BIGINT, sum(n_names)::BIGINT, sum(n_missing + n_repeated + n_names) = 0 FROM per""")
+def batch_structure(spark, sf):
+    """The structure of every flat upload file, its own headers included, and one verdict for the batch."""
+    cells = cut(sheets.scan_workbooks(flat_files(spark, sf), ["Samples"]))
+    rows = checks.prepare(sheets.flat_upload(cells))
+    return checks.batch_structure(sheets.sheet_headers(cells), rows, r.catalogue_fields(spark))
+
+
 @book.query("SELECT sum((o_orderkey % 4 <> 1)::INT)::BIGINT AS n_in_scope, FALSE AS with_misses, TRUE AS without_misses FROM orders")
 def guarded_write(spark, sf):
     """A patch with unmapped rows is refused; without them it is written."""

@@ -9,6 +9,8 @@ from samplewright.model import PARENT_TYPES, PLACEHOLDER_MARKERS, SURPRISE_SENTI
 from samplewright.operators import checks, flat, load, loadtable, ranking, resolve
 from samplewright.plans import registry as r
 from samplewright.plans.base import Book
+from samplewright.session import scratch_path
+from samplewright.sinks import writers
 
 book = Book()
 UPLOAD = (r.ORDER_UPLOAD_SQL,)
@@ -261,6 +263,42 @@ def disposition(spark, sf):
     return checks.dispositions(_prepared(spark, sf), _issues(spark, sf))
 
 
+_MARKED = lambda *cells: " OR ".join(f"contains(coalesce({c}, ''), '{m}')" for c in cells for m in PLACEHOLDER_MARKERS)
+
+_DISPOSED = f"""
+found AS (
+  SELECT row_n, severity AS s, CASE code WHEN 'parent_uid_not_found' THEN 'dangling Parent UID' WHEN 'unknown_sampletype' THEN 'pending-schema type' ELSE code END AS reason
+  FROM issues WHERE severity > 0
+  UNION SELECT row_n, 2, 'missing File_PrimaryData' FROM parsed WHERE coalesce(trim(j_file), '') = ''
+  UNION SELECT row_n, 1, 'PLACEHOLDER marker in File_PrimaryData' FROM parsed WHERE {_MARKED('j_file')}
+  UNION SELECT row_n, 1, 'PLACEHOLDER marker in metadata' FROM parsed WHERE {_MARKED('j_uid', 'j_name', 'j_parent', 'j_status', 'j_clerk', 'j_notes', 'j_link', 'j_sum', 'j_subject')}
+  UNION SELECT row_n, 1, 'Link_PrimaryData blank' FROM parsed WHERE coalesce(trim(j_link), '') = ''
+  UNION SELECT row_n, 1, 'Checksum_PrimaryData blank' FROM parsed WHERE coalesce(trim(j_sum), '') = ''
+  UNION SELECT row_n, 1, 'assay_id unresolved' FROM (SELECT row_n, trim(unnest(string_split(assay_titles, ';'))) AS title FROM parsed)
+  WHERE title <> '' AND title NOT IN (SELECT title FROM cache) AND title NOT IN (SELECT cited FROM synonyms JOIN cache ON canonical = cache.title)),
+level AS (SELECT row_n, max(s) AS s FROM found GROUP BY 1),
+disposed AS (SELECT arm, file, p.row_n, uid, CASE coalesce(l.s, 0) WHEN 2 THEN 'HARD_REJECT' WHEN 1 THEN 'SOFT_FLAG' ELSE 'CLEAN' END AS disposition,
+    (SELECT string_agg(reason, '; ' ORDER BY reason) FROM found f WHERE f.row_n = p.row_n AND f.s = l.s) AS reasons
+  FROM parsed p LEFT JOIN level l USING (row_n))"""
+WHY = (*ISSUES, r.ASSAYS_SQL, r.SYNONYMS_SQL, _DISPOSED)
+
+
+def _disposed(spark, sf):
+    return checks.disposition_rows(_prepared(spark, sf), _issues(spark, sf), r.assay_cache(spark), r.synonyms(spark))
+
+
+@book.query(r.with_sql(*WHY) + "SELECT arm, file, row_n, uid, disposition, coalesce(reasons, '') AS reasons FROM disposed")
+def disposition_rows(spark, sf):
+    return _disposed(spark, sf).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@book.query(r.with_sql(*WHY) + """
+SELECT arm, disposition, reason, count(*) AS n_rows FROM (SELECT arm, disposition, unnest(string_split(reasons, '; ')) AS reason FROM disposed WHERE reasons IS NOT NULL)
+GROUP BY ALL""")
+def disposition_reasons(spark, sf):
+    return checks.disposition_reasons(_disposed(spark, sf))
+
+
 @book.query(r.with_sql(*UPLOAD) + """
 SELECT row_n, CASE WHEN coalesce(trim(j_file), '') = '' THEN 2 WHEN contains(j_file, '*** PLACEHOLDER') THEN 1 ELSE 0 END AS file_flag
 FROM parsed""")
@@ -469,6 +507,28 @@ def template_samples(spark, sf):
     return flat.four_tables("ORD", rows, r.catalogue(spark), empty, empty)["samples"]
 
 
+_FIELDS = ["UID", "Name", "Status", "Clerk", "Parent", "Notes", "File_PrimaryData", "Link_PrimaryData", "Checksum_PrimaryData", "Subjet ID"]
+
+
+@book.query(r.with_sql(*UPLOAD, r.ASSAYS_SQL, r.ONTOLOGY_SQL, r.values_sql("fields", ["pos", "field"], list(enumerate(_FIELDS)))) + """
+SELECT 'instructions' AS sheet, field AS a, 'ORD::' || field AS b, 'Text' AS c, '' AS d, (SELECT count(*) FROM parsed WHERE ok AND sampletype = 'ORD') AS n_samples FROM fields
+UNION ALL SELECT 'assay', 'ORD', '', title, 'child', (SELECT count(*) FROM parsed WHERE ok AND sampletype = 'ORD') FROM cache
+UNION ALL SELECT 'ontology', field, value, '', '', (SELECT count(*) FROM parsed WHERE ok AND sampletype = 'ORD') FROM ontology""")
+def template_tables(spark, sf):
+    """All four tables of a template, written and read back; the samples are counted."""
+    rows = _prepared(spark, sf).where("attrs IS NOT NULL")
+    titles = r.assay_cache(spark).select(F.col("assay_id").alias("pos"), "title")
+    made = flat.four_tables("ORD", rows, r.catalogue(spark), titles, r.ontology(spark).withColumn("pos", F.lit(0)))
+    path = writers.write_four_tables(made, "ORD", scratch_path(spark, "template"))
+    back = {name: spark.read.csv(f"{path}/{name}", header=True, escape='"', multiLine=True) for name in made}
+    n = F.lit(back["samples"].count()).cast("bigint").alias("n_samples")
+    cell = lambda c: F.coalesce(F.col(c), F.lit("")) if c else F.lit("")
+    named = {"instructions": ["Field", "Database Field", "Field Type", "Ontology"], "assay": ["SampleType", "AssayType", "Assay", "Direction"],
+             "ontology": ["Field", "Value", None, None]}
+    parts = [back[sheet].select(F.lit(sheet).alias("sheet"), *[cell(c).alias(x) for x, c in zip("abcd", cols, strict=True)]) for sheet, cols in named.items()]
+    return parts[0].union(parts[1]).union(parts[2]).select("*", n)
+
+
 # --- identifiers, marks, rules ---------------------------------------------------------------------------------------
 
 _ASKED = """

@@ -191,6 +191,13 @@ def stage_plan(spark, sf):
     return _stage_plan(spark, sf).drop("destination")
 
 
+@book.query(f"""WITH {_STAGE_FILES} SELECT path, 'Figure ' || figure || '/Figure' || figure || '_' || sampletype || '/' || filename AS destination, state
+FROM plan WHERE state IN ('stage', 'collision', 'staged')""")
+def stage_destinations(spark, sf):
+    """Where staged files go, and what already lies there."""
+    return _stage_plan(spark, sf).where("state in ('stage', 'collision', 'staged')").select("path", "destination", "state")
+
+
 @book.query(f"""WITH {_STAGE_FILES} SELECT state, CASE WHEN state = 'stage' THEN figure END AS figure, CASE WHEN state IN ('stage', 'image') THEN sampletype END AS sampletype,
   count(*) AS n_files FROM plan GROUP BY ALL""")
 def stage_summary(spark, sf):

@@ -52,6 +52,20 @@ def write_assay_cache(ids: DataFrame, project_id: str, fetched_at: str, path: st
     return path
 
 
+def write_assay_document(ids: DataFrame, shared: DataFrame, project_id: str, base_url: str, fetched_at: str, path: str) -> str:
+    """One JSON document per project: `ids(title, assay_id)` as a map, and `shared(title, assay_id)` as lists of ids under their title.
+
+    The document is one text by its format: as long as a project has assays.
+    """
+    lists = shared.groupBy("title").agg(F.sort_array(F.collect_set("assay_id")).alias("assay_ids"))
+    both = ids.select("title", "assay_id", F.lit(None).cast("array<bigint>").alias("assay_ids")).union(lists.select("title", F.lit(None), "assay_ids"))
+    entries = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("title", c)))))
+    maps = both.agg(entries("assay_id").alias("assay_id_by_title"), entries("assay_ids").alias("duplicate_titles"))
+    head = [F.lit(v).alias(c) for c, v in (("project_id", project_id), ("base_url", base_url), ("fetched_at_utc", fetched_at))]
+    maps.select(F.to_json(F.struct(*head, "assay_id_by_title", "duplicate_titles"))).write.mode("overwrite").text(path)
+    return path
+
+
 def image_listing(images: DataFrame, base_url: str) -> DataFrame:
     """Image records with built URLs, in listing order of columns."""
     urls = {

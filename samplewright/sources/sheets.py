@@ -187,6 +187,11 @@ def duplicate_headers(cells: DataFrame) -> DataFrame:
     return each.where("header <> ''").groupBy("file", "sheet", "header").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def sheet_headers(cells: DataFrame, sheet: str = "Samples") -> DataFrame:
+    """(file, header) of one sheet of every workbook."""
+    return cells.where(F.col("sheet") == sheet).groupBy("file").agg(F.first("header").alias("header"))
+
+
 def pick_sheet(cells: DataFrame, sheet: str | None = None) -> DataFrame:
     """Per file the named sheet, or else `Samples`, or else the first one; rows with a blank first cell are dropped."""
     if sheet is not None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from samplewright.functions import text as t
 from samplewright.model import IMAGE_COLUMNS, MANIFEST_COLUMNS, PULL_PLAN_COLUMNS, SAMPLE_LIST_COLUMNS
 from samplewright.operators.pulls import parse_plan
+from samplewright.session import cut
 
 
 def _strings(columns) -> str:
@@ -91,6 +92,12 @@ def read_assay_cache(spark: SparkSession, path: str, project_id: str | None = No
     return _map_document(spark, path, schema, "assay_id_by_title", ("title", "assay_id"), "bigint", "cache")
 
 
+def read_shared_titles(spark: SparkSession, path: str) -> DataFrame:
+    """(title, assay_ids) of the titles that the cache document lists with several ids."""
+    document = spark.read.schema("duplicate_titles map<string,array<bigint>>").json(path, multiLine=True)
+    return document.select(F.explode("duplicate_titles").alias("title", "assay_ids"))
+
+
 def read_synonyms(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """((cited, canonical), description), with the same leniency."""
     schema = "synonyms_by_cited_name map<string,string>"
@@ -100,8 +107,8 @@ def read_synonyms(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 def _map_document(spark, path, schema, field, names, kind, label) -> tuple[DataFrame, str]:
     empty = spark.createDataFrame([], f"{names[0]} string, {names[1]} {kind}")
     try:
-        document = spark.read.schema(schema + ", _corrupt_record string").json(path, multiLine=True)
-        broken = document.cache().where("_corrupt_record IS NOT NULL").limit(1).count()
+        document = cut(spark.read.schema(schema + ", _corrupt_record string").json(path, multiLine=True))
+        broken = document.where("_corrupt_record IS NOT NULL").limit(1).count()
     except AnalysisException:
         return empty, f"no {label}"
     if broken:
