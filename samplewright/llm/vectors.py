@@ -2,8 +2,8 @@
 
 Unit vectors with cosine c are sqrt(2 - 2c) apart. A hash is a random projection, shifted and cut into cells of equal width; a
 table's key is `k` such cells, and vectors are compared where they share the key of any of the tables. `plan` gives the number
-of hashes and tables: enough hashes that an unrelated vector rarely shares a key at this number of rows, and enough tables that
-a pair right at the threshold is found with the wanted probability; closer pairs are found more surely.
+of hashes and tables, by the distances that a bounded sample of the vectors shows: enough tables that a pair right at the threshold
+is found with the wanted probability (closer pairs are found more surely), at the least cost for this number of rows.
 
 A pair that shares several keys is counted in the first table only. Pairs are compared in blocks and never become rows: a task
 passes on, per vector, the number of links and one tie that keeps its links connected.
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ from samplewright.session import cut
 THRESHOLD = 0.9
 RECALL = 0.97
 BLOCK = 2048
+#: Vectors that the plan looks at, at most.
+SAMPLE = 1000
+# Microseconds, about: a table's entry of a row, a copy of a row in a shared key, a dot product.
+_ENTRY, _COPY, _PAIR = 3.0, 8.0, 0.4
 
 
 def same_cell(distance: float, width: float) -> float:
@@ -34,27 +39,59 @@ def same_cell(distance: float, width: float) -> float:
     return 1 - 2 * below - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def plan(rows: int, threshold: float = THRESHOLD, recall: float = RECALL, strangers: float = 0.1) -> tuple[float, int, int]:
-    """Cell width, hashes per table and tables. `strangers` is the mean number of unrelated vectors (at a right angle) that
-    share a vector's key in one table. Recall at the threshold is the same at every number of rows."""
+def plan(
+    rows: int, threshold: float = THRESHOLD, recall: float = RECALL, law: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[float, int, int]:
+    """Cell width, hashes per table and tables. Recall at the threshold is the same for every choice; of these the one is taken that
+    costs least at this number of rows: an entry per row and table, a copy of every row that shares its key, and a dot product
+    per pair that does. `law` has distances of unrelated vectors and their shares; without it they are at right angles."""
     apart = math.sqrt(2 - 2 * threshold)
-    width = 4 * apart
-    near, far = same_cell(apart, width), same_cell(math.sqrt(2), width)
-    k = max(4, math.ceil(math.log(max(rows, 2) / strangers) / -math.log(far)))
-    return width, k, math.ceil(math.log(1 - recall) / math.log(1 - near**k))
-
-
-def units(rows: list[bytes], dim: int, dtype: str) -> np.ndarray:
+    distances, shares = law if law is not None and len(law[0]) else (np.array([math.sqrt(2)]), np.array([1.0]))
+    best = None
+    for times in (2, 3, 4, 5, 6, 8):
+        width = times * apart
+        near, far = same_cell(apart, width), np.array([same_cell(d, width) for d in distances])
+        for k in range(4, 80):
+            if near**k < 1e-5:
+                break
+            tables = math.ceil(math.log(1 - recall) / math.log(1 - near**k))
+            met = rows * float((shares * far**k).sum())
+            cost = tables * rows * (_ENTRY + _COPY * (1 - math.exp(-met)) + _PAIR * met / 2)
+            if best is None or cost < best[0]:
+                best = cost, width, k, tables
+    return best[1:]
+
+
+def distance_law(classes: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of unrelated unit vectors, and their shares, among at most `sample` vectors: those with the smallest hashes. Only
+    the plan depends on them, so no link does. Vectors nearer than the threshold are related and left out, as is all but the
+    most common length."""
+    drawn = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).collect()
+    if len(drawn) < 2:
+        return np.zeros(0), np.zeros(0)
+    sizes = [len(r["embedding"]) for r in drawn]
+    dim = max(set(sizes), key=lambda n: (sizes.count(n), n))
+    x = units([np.array(r["embedding"], np.float64).tobytes() for r in drawn if len(r["embedding"]) == dim], dim, "<f8")
+    cosine = (x @ x.T)[np.triu_indices(len(x), 1)]
+    count, edges = np.histogram(np.sqrt(2 - 2 * np.clip(cosine[cosine < threshold], -1, 1)), 200, (0, 2))
+    middle = (edges[1:] + edges[:-1]) / 2
+    return (middle[count > 0], count[count > 0] / count.sum()) if count.sum() else (np.zeros(0), np.zeros(0))
+
+
+def units(rows: list[bytes] | bytes, dim: int, dtype: str) -> np.ndarray:
     """Unit vectors in double precision; scaled by the largest component first, so no square runs over."""
-    x = np.frombuffer(b"".join(rows), dtype).reshape(len(rows), dim).astype(np.float64)
+    x = np.frombuffer(b"".join(rows) if isinstance(rows, list) else rows, dtype).reshape(-1, dim).astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _by_size(raws: list[bytes]) -> Iterator[tuple[int, list[int]]]:
-    sizes = np.array([len(r) for r in raws])
+def _by_size(raws: pa.Array) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """(bytes of a vector, its rows, their bytes in a row) for every length in a binary column."""
+    sizes = pc.binary_length(raws).to_numpy(zero_copy_only=False)
     for size in np.unique(sizes).tolist():
-        yield size, np.flatnonzero(sizes == size).tolist()
+        rows = np.flatnonzero(sizes == size)
+        some = raws.take(pa.array(rows)).cast(pa.large_binary())
+        yield size, rows, some.buffers()[2]
 
 
 def _keys(width: float, k: int, tables: int, dtype: str, seed: int = 5):
@@ -65,24 +102,21 @@ def _keys(width: float, k: int, tables: int, dtype: str, seed: int = 5):
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                raws = batch.column("raw").to_pylist()
-                out: list = [None] * len(raws)
-                for size, members in _by_size(raws):
+                keys = np.zeros((batch.num_rows, tables), np.int32)
+                for size, members, raw in _by_size(batch.column("raw")):
                     dim = size // item
                     if dim not in made:
                         rng = np.random.default_rng([seed, dim])
                         made[dim] = (rng.standard_normal((dim, tables * k)), rng.random(tables * k) * width, rng.integers(1, 1 << 62, (tables, k)) | 1)
                     directions, shift, mixers = made[dim]
-                    x = units([raws[i] for i in members], dim, dtype)
+                    x = units(raw, dim, dtype)
                     cells = np.floor((x @ directions + shift) / width).astype(np.int64).reshape(len(members), tables, k)
                     mixed = (cells * mixers[None]).sum(2) + dim
                     mixed ^= mixed >> 29
                     mixed *= 0x2545F4914F6CDD1D
-                    keys = (mixed >> 32).astype(np.int32)
-                    for i, row in zip(members, keys, strict=True):
-                        out[i] = row
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep"), batch.column("n"), batch.column("raw"), pa.array(out, pa.list_(pa.int32()))], ["rep", "n", "raw", "keys"])
+                    keys[members] = (mixed >> 32).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("raw"), lists], ["rep", "n", "raw", "keys"])
     return run
 
 
@@ -126,40 +160,44 @@ def _found(rows: dict[str, np.ndarray], x: np.ndarray, earlier: np.ndarray, thre
         step += 1
 
 
-def _compared(dtype: str, threshold: float):
+def _compared(dtype: str, threshold: float, tables: int):
     """Sorted rows of buckets to (rep, links, root): one row per vector and bucket in which it found a link."""
-    def answer(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        item = np.dtype(dtype).itemsize
-        raws = [r[3] for r in rows]
-        for size, members in _by_size(raws):
-            some = [rows[i] for i in members]
-            number = {g: i for i, g in enumerate(dict.fromkeys(r[0] for r in some))}
-            cols = {"group": np.array([number[r[0]] for r in some]), "n": np.array([r[2] for r in some], np.int64)}
-            cols |= {name: np.array([r[5 + i] for r in some], np.int64) for i, name in enumerate(("block", "low", "high"))}
-            cols["table"] = np.array([r[0][0] for r in some])
-            earlier = np.array([r[4] for r in some], np.int32)
-            count, label = _found(cols, units([r[3] for r in some], size // item, dtype), earlier, threshold)
+    item = np.dtype(dtype).itemsize
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        """Whether a row begins a bucket."""
+        new = np.zeros(batch.num_rows, bool)
+        new[:1] = True
+        for name in ("table", "key", "low", "high"):
+            values = batch.column(name).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return new
+
+    def answer(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(changes(rows))
+        names = ("rep", "n", "block", "low", "high", "table")
+        cols = {name: rows.column(name).to_numpy().astype(np.int64) for name in names} | {"group": group}
+        lists = rows.column("keys")
+        keys = lists.flatten().to_numpy().reshape(-1, tables)
+        for size, members, raw in _by_size(rows.column("raw")):
+            some = {name: values[members] for name, values in cols.items()}
+            count, label = _found(some, units(raw, size // item, dtype), keys[members], threshold)
             hit = np.flatnonzero(count)
-            reps = np.array([r[1] for r in some], np.int64)
             if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(reps[hit]), pa.array(count[hit]), pa.array(reps[label[hit]])], ["rep", "links", "root"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some["rep"][hit]), pa.array(count[hit]), pa.array(some["rep"][label[hit]])], ["rep", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rep", "n", "raw", "keys", "block", "low", "high"]
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
-                group = list(zip(*(batch.column(c).to_pylist() for c in ("table", "key", "low", "high")), strict=True))
-                held += zip(group, *(batch.column(c).to_pylist() for c in names), strict=True)
-                last = len(held)
-                while last and held[last - 1][0] == held[-1][0]:
-                    last -= 1  # the last group may go on in the next batch
+                joined = pa.concat_batches([*held, whole.slice(at, 4000)])
+                last = int(np.flatnonzero(changes(joined))[-1])
                 if last:
-                    yield from answer(held[:last])
-                    held = held[last:]
+                    yield from answer(joined.slice(0, last))
+                held = [joined.slice(last)]  # the last bucket may go on in the next batch
         if held:
-            yield from answer(held)
+            yield from answer(held[0])
     return run
 
 
@@ -180,7 +218,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     good = rows.where(usable)
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"))
     held = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
-    width, k, tables = plan(held.count(), threshold, recall)
+    width, k, tables = plan(held.count(), threshold, recall, distance_law(held, threshold))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +238,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     dealt = shared.select("rep", "table", "key", "block", F.inline(pairs)).join(keyed, "rep")
     laid = dealt.repartition("table", "key", "low", "high").sortWithinPartitions("table", "key", "low", "high", "rep")
     laid = laid.select("table", "key", "low", "high", "block", "rep", "n", "raw", "keys")
-    found = cut(laid.mapInArrow(_compared(dtype, threshold), "rep bigint, links bigint, root bigint"))
+    found = cut(laid.mapInArrow(_compared(dtype, threshold, tables), "rep bigint, links bigint, root bigint"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     rooted = held.join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
