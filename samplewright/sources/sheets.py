@@ -176,8 +176,13 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
 
 
 def _last_of_each(pairs: Column) -> Column:
-    """Key-value pairs without those whose key comes again later."""
-    return F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+    """Key-value pairs without those whose key comes again later. Only a row that has a key twice is searched for it."""
+    def pick(held: Column) -> Column:
+        keys = F.transform(held, lambda x: x["k"])
+        last = F.filter(held, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["k"]))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), held).otherwise(last)
+
+    return F.get(F.transform(F.array(pairs), pick), F.lit(0))  # `pairs` is worked out once
 
 
 def duplicate_headers(cells: DataFrame) -> DataFrame:
