@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,26 @@ class EliasFano:
             v |= (planes.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
         return v
 
+    def some(self, block: int) -> np.ndarray:
+        """The values of one block: up to `SAMPLE` of them, read from its sampled place on."""
+        first = block * SAMPLE
+        count = min(SAMPLE, self.n - first)
+        at = int(self.samples[block])
+        end = int(self.samples[block + 1]) // 8 + 1 if block + 1 < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at // 8:end], bitorder="little"))
+        ones = ones[ones >= at % 8][:count] + at // 8 * 8
+        v = (ones - np.arange(first, first + count)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            low = self.low[first * self.low_bits // 8:]  # a block begins at a whole byte
+            planes = np.unpackbits(low[:-(-count * self.low_bits // 8)], count=count * self.low_bits, bitorder="little").reshape(count, self.low_bits)
+            v |= (planes.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        return v
+
+    def each(self) -> Iterator[int]:
+        """Every value in turn; one block is held."""
+        for block in range(-(-self.n // SAMPLE)):
+            yield from self.some(block).tolist()
+
     def find(self, x: int) -> int:
         """How many values are at most `x`: for ends, the number of the document that holds position `x`."""
         low, high = 0, self.n
@@ -148,7 +169,15 @@ class Segment:
         return self.ids[self.ends.select(i - 1) if i else 0:self.ends.select(i)]
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nameless + [self.first + v for v in self.names.all().tolist()]
+        return [doc_id for doc_id, _, _ in self.documents()]
+
+    def documents(self) -> Iterator[tuple[int | None, int, int]]:
+        """(doc_id, begin, end) of every document in turn, read block by block from the coded lists."""
+        names = chain(repeat(None, self.nameless), (self.first + v for v in self.names.each()))
+        begin = 0
+        for doc_id, end in zip(names, self.ends.each(), strict=True):
+            yield doc_id, begin, end
+            begin = end
 
 
 def _encoded(path: str, end: int, width: int):
@@ -222,16 +251,21 @@ def starts(segments: DataFrame) -> Column:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+
     for batch in batches:
         for base, data in zip(batch.column("base").to_pylist(), batch.column("data"), strict=True):
             segment = Segment(data.as_buffer())
-            ends = segment.ends.all().astype(np.int64)
-            begins = np.concatenate(([0], ends[:-1]))
-            ids = segment.ids.astype("<u4")
-            crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(segment.doc_ids(), pa.int64()), pa.array(begins + base), pa.array(ends - begins), pa.array(crc, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"])
+            rows = []
+            for doc_id, begin, end in segment.documents():
+                rows.append((doc_id, base + begin, end - begin, zlib.crc32(segment.ids[begin:end].astype("<u4"))))
+                if len(rows) == 10_000:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
 
 
 def read(spark, path: str) -> DataFrame:

@@ -177,3 +177,13 @@ def test_differencing_is_near_equal_and_counts_up():
     assert sorted(packing.windows(np.array([3000, 3000, 3000])).tolist()) == [0, 1, 2]
     with pytest.raises(ValueError):
         packing.windows(np.array([5000]))
+
+
+def test_blocks_of_a_coded_list():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 255, 256, 257, 3000):
+        for top in (1, 300, 1 << 40):
+            values = np.sort(rng.integers(0, top, n)).astype(np.uint64)
+            coded = token_files.EliasFano.of(token_files.EliasFano.encode(values).bytes())
+            assert list(coded.each()) == values.tolist() == coded.all().tolist()
+            assert all(len(coded.some(b)) <= token_files.SAMPLE for b in range(-(-n // token_files.SAMPLE)))
