@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewright.session import scratch_path
+from samplewright.operators.skew import BROADCAST_ROWS, salted_join
+from samplewright.session import cut, scratch_path
 
 END = b"\r\n\r\n"
 SEGMENT = 1 << 15
@@ -115,21 +116,28 @@ def write(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
     """Write a record per row of `pages` (page_id, url, html; other columns are left out) as gzip archives under `path`.
 
     Of rows with equal payloads of at least `least` bytes those with the largest page_id are responses and the others revisits
-    of it; a null page_id is smaller than any. A null html is empty. Only payloads that occur on several pages take part in the
-    join, as one row each, so a hot payload is a hot key on one side only, which adaptive execution splits.
+    of it; a null page_id is smaller than any. A null html is empty. Pages below `least` bytes meet nothing; of the others only
+    digests are shuffled, and payloads that occur on several pages, one row each, are looked up. Empty tables write no record.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("bytes", F.octet_length("html"))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
-    repeated = (
-        rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("most"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and most is not null").select("digest", "bytes", "most"))
+    slim = rows.select("page_id", "digest", "bytes")
+    size = slim.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
+    repeated = cut(
+        slim.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("most"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1 and most is not null").select("digest", "most"))
+    large = rows.where(F.col("bytes") >= least)
+    # A row is a digest and a number. Within a checked number of rows no html moves; beyond it that of large pages does, hot digests spread.
+    few = repeated.count() <= BROADCAST_ROWS
+    met = large.join(F.broadcast(repeated), "digest", "left") if few else salted_join(large, repeated, "digest", "left")
     keep = F.when(~F.col("page_id").eqNullSafe(F.col("most")), F.col("most"))
-    joined = rows.join(repeated, ["digest", "bytes"], "left").select(
-        "page_id", "url", "html", "digest", keep.alias("keep"), F.monotonically_increasing_id().alias("row"))
-    each = max(64, FILE_BYTES * size["n"] // max(1, size["bytes"] or 0)) if size["n"] else 64
-    (joined.mapInArrow(_written, "value string").write.option("lineSep", END.decode()).option("compression", "gzip")
+    columns = ["page_id", "url", "html", "digest"]
+    both = met.select(*columns, keep.alias("keep")).unionAll(
+        rows.where(F.col("bytes") < least).select(*columns, F.lit(None).cast("bigint").alias("keep")))
+    numbered = both.withColumn("row", F.monotonically_increasing_id())
+    each = max(1, FILE_BYTES * size["n"] // max(1, size["bytes"] or 0)) if size["n"] else 1
+    (numbered.mapInArrow(_written, "value string").write.option("lineSep", END.decode()).option("compression", "gzip")
      .option("maxRecordsPerFile", each).text(path))
 
 

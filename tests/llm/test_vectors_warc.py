@@ -101,3 +101,11 @@ def test_lost_and_damaged_segments_are_errors():
     for bad in ([row(1, None, block[:20])], [row(1, None, block[:20]), row(3, len(block), block[20:])], [row(1, None, block[:20]), row(2, len(block) + 1, block[20:])]):
         with pytest.raises(ValueError):
             warc._joined(pa.Table.from_pylist(bad))
+
+
+def test_many_repeated_payloads_are_salted(spark, monkeypatch):
+    rows = [(i, "u", f"page {i % 7} " * 300 if i % 3 else "short") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    few = sorted(map(tuple, warc.written_and_read(df).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, warc.written_and_read(df).collect())) == few and any(r[4] is not None for r in few)
