@@ -23,6 +23,8 @@ from samplewright.llm import words
 from samplewright.llm.common import texts
 
 PLACES = 1 << 18
+#: Bytes of text worked on at a time, and words remembered: what bounds a worker's memory.
+PORTION, WORDS = 3 << 20, 100_000
 SCALE = 16.0
 #: Labelled rows that training reads at most; the first ones in the order of a hash of their id.
 SAMPLE = 6000
@@ -35,7 +37,7 @@ class Features:
     """Hashed n-grams of whole texts. Words are hashed once and remembered."""
 
     def __init__(self):
-        self.memory = words.Memory(self._make)
+        self.memory = words.Memory(self._make, WORDS)
 
     @staticmethod
     def _make(some: list[str]) -> list[bytes]:
@@ -99,7 +101,7 @@ def fold(doc_id: Column) -> Column:
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features = Features()
-    for batch in words.portions(batches, "text"):
+    for batch in words.portions(batches, "text", PORTION):
         places, text = features.of(batch.column("text"))
         out, values = [], []
         order = np.argsort(text, kind="stable")
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, features = shared.value, Features()
-        for batch in words.portions(batches, "text"):
+        for batch in words.portions(batches, "text", PORTION):
             places, text = features.of(batch.column("text"))
             scores = pa.array(model.scores(places, text, batch.num_rows))
             rest = [n for n in batch.schema.names if n != "text"]
@@ -163,7 +165,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for whole in batches:
-            for batch in words.portions([whole], whole.schema.names[at]):
+            for batch in words.portions([whole], whole.schema.names[at], PORTION):
                 column = batch.column(at).fill_null("")
                 places, text = features.of(column)
                 yield batch.filter(pa.array(shared.value.scores(places, text, batch.num_rows) >= cut))
