@@ -153,12 +153,12 @@ def resolve_identifiers(ids: DataFrame, samples: DataFrame) -> DataFrame:
         "_uid", F.when(F.col("_num").isNull(), key)
     )
     by_id = samples.select(F.col("sample_id").alias("_num"), F.col("uid").alias("_uid_a"))
-    by_uid = samples.select(F.col("uid").alias("_uid"), F.col("sample_id").alias("_id_b"))
+    by_uid = samples.select(F.col("uid").alias("_uid"), F.col("sample_id").alias("_id_b"), F.lit(True).alias("_held"))
     # Each kind meets its own key only, so no null key gathers the other kind in one task.
     numbers = asked.where("_num IS NOT NULL").join(by_id, "_num", "left").select(
         *ids.columns, F.when(F.col("_uid_a").isNotNull(), F.col("_num")).alias("sample_id"), F.col("_uid_a").alias("uid"))
     names = asked.where("_uid IS NOT NULL").join(by_uid, "_uid", "left").select(
-        *ids.columns, F.col("_id_b").alias("sample_id"), F.when(F.col("_id_b").isNotNull(), F.col("_uid")).alias("uid"))
+        *ids.columns, F.col("_id_b").alias("sample_id"), F.when(F.col("_held"), F.col("_uid")).alias("uid"))  # a sample need not have a number
     kind = dict(samples.select("sample_id", "uid").dtypes)
     blank = asked.where("_num IS NULL AND _uid IS NULL").select(
         *ids.columns, *[F.lit(None).cast(kind[c]).alias(c) for c in ("sample_id", "uid")])

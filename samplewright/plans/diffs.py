@@ -8,7 +8,7 @@ from samplewright.functions import text as t
 from samplewright.operators import backfill, diff, lineage, resolve, snapshots
 from samplewright.plans import registry as r
 from samplewright.plans.base import Book
-from samplewright.session import spread
+from samplewright.session import cut, spread
 from samplewright.sources.tables import parse_assay_pages, parse_catalogue, parse_roster
 
 book = Book()
@@ -435,3 +435,18 @@ def round_trip(spark, sf):
     ancestors = lineage.closure(asked, lineage.lineage_edges(nodes), "up").select("uid")
     return diff.round_trip(asked, back, ancestors).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
+
+@book.query(r.with_sql(r.NODES_SQL, recursive=True) + """,
+asked AS (SELECT uid FROM nodes WHERE sampletype IN ('ORD', 'D.LIN') AND uid LIKE '%7'),
+up(uid) AS (SELECT uid FROM asked UNION SELECT parent_uid FROM edges JOIN up ON child_uid = up.uid),
+back AS (SELECT uid FROM nodes WHERE uid NOT LIKE '%3')
+SELECT CASE WHEN uid IN (SELECT uid FROM asked) THEN CASE WHEN uid IN (SELECT uid FROM back) THEN 'ok' ELSE 'missing' END
+  WHEN uid IN (SELECT uid FROM up) THEN 'parent' ELSE 'extra' END AS state, count(*) AS n
+FROM (SELECT uid FROM asked UNION SELECT uid FROM back) GROUP BY 1""".replace(",\nasked", ", asked", 1))
+def round_trip_all(spark, sf):
+    """A round trip of orders and lines over the whole registry."""
+    nodes = r.nodes(spark, sf)
+    asked = nodes.where("sampletype IN ('ORD', 'D.LIN') AND uid LIKE '%7'").select("uid")
+    back = nodes.where("uid NOT LIKE '%3'").select("uid")
+    ancestors = lineage.closure(asked, cut(lineage.lineage_edges(nodes)), "up").select("uid")
+    return diff.round_trip(asked, back, ancestors).groupBy("state").agg(F.count(F.lit(1)).alias("n"))

@@ -207,20 +207,38 @@ def dag_check_registry(spark, sf):
 
 # --- retrieval and search --------------------------------------------------------------------------------------------
 
-_FOUND = REC + """,
-asked AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'CUS-240101TPC-' || c_custkey ELSE 'NOPE' || c_custkey END AS identifier FROM customer WHERE c_custkey % 10 < 2),
+_A_FIFTH = """
+asked AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'CUS-240101TPC-' || c_custkey ELSE 'NOPE' || c_custkey END AS identifier FROM customer WHERE c_custkey % 10 < 2),"""
+_ALL_ASKED = """
+asked AS (SELECT 'CUS-240101TPC-' || c_custkey AS identifier FROM customer UNION ALL SELECT (p_partkey * 10 + 5)::VARCHAR FROM part
+  UNION ALL SELECT 'NOPE' || s_suppkey FROM supplier),"""
+_SEARCHED = """
 starts AS (SELECT identifier, uid FROM asked LEFT JOIN small_nodes ON uid = identifier),
 up(uid) AS (SELECT uid FROM starts WHERE uid IS NOT NULL UNION SELECT parent_uid FROM edges JOIN up ON child_uid = up.uid),
 down(uid) AS (SELECT uid FROM starts WHERE uid IS NOT NULL UNION SELECT child_uid FROM edges JOIN down ON parent_uid = down.uid),
 found AS (SELECT split_part(uid, '-', 1) AS sampletype, uid, NOT (uid IN (SELECT uid FROM up)) AS is_child FROM (SELECT * FROM up UNION SELECT * FROM down)
   WHERE uid IN (SELECT uid FROM nodes))
-""".replace(",\nasked", ", asked", 1)
+"""
+_SEARCHED_SMALL = _SEARCHED.replace("LEFT JOIN small_nodes ON uid = identifier", "LEFT JOIN small_nodes ON uid = identifier OR sample_id::VARCHAR = identifier")
+_FOUND = REC + "," + _A_FIFTH + _SEARCHED
+_FOUND_ALL = REC + "," + _ALL_ASKED + _SEARCHED_SMALL
 
 
-def _found(spark, sf):
+def _some_customers(spark, sf):
     k = F.col("c_custkey")
     ident = F.when(k % 2 == 0, t.mint_uid("CUS", r.LAB, r.DATE, k)).otherwise(F.concat(F.lit("NOPE"), k.cast("string")))
-    asked = r.table(spark, sf, "customer").where("c_custkey % 10 < 2").select(ident.alias("identifier"))
+    return r.table(spark, sf, "customer").where("c_custkey % 10 < 2").select(ident.alias("identifier"))
+
+
+def _all_identifiers(spark, sf):
+    """Every customer by uid, every part by number, and a miss per supplier."""
+    customers = r.table(spark, sf, "customer").select(t.mint_uid("CUS", r.LAB, r.DATE, F.col("c_custkey")).alias("identifier"))
+    parts = r.table(spark, sf, "part").select((F.col("p_partkey") * 10 + 5).cast("string"))
+    return customers.union(parts).union(r.table(spark, sf, "supplier").select(F.concat(F.lit("NOPE"), F.col("s_suppkey").cast("string"))))
+
+
+def _found(spark, sf, wanted=_some_customers):
+    asked = wanted(spark, sf)
     asked = cut(resolve.resolve_identifiers(asked, r.nodes(spark, sf, lines=False)))
     found = lineage.full_lineage(asked.where("uid IS NOT NULL").select("uid"), _edges(spark, sf))
     found = found.join(r.nodes(spark, sf).select("uid"), "uid", "left_semi")  # a cited parent without a row is no sample
@@ -238,6 +256,18 @@ def retrieve_totals(spark, sf):
     return load.retrieve_totals(*_found(spark, sf))
 
 
+@book.query(_FOUND_ALL + "SELECT sampletype, count(*) AS n_samples, count(*) FILTER (is_child) AS n_children FROM found GROUP BY 1")
+def retrieve_all_groups(spark, sf):
+    """A retrieval that starts from every customer and every part."""
+    return load.retrieve_groups(_found(spark, sf, _all_identifiers)[0])
+
+
+@book.query(_FOUND_ALL + """SELECT count(*) AS total_samples, count(DISTINCT sampletype) AS total_sample_types, count(*) FILTER (is_child) AS total_children,
+  (SELECT count(*) FROM starts WHERE uid IS NULL) AS failed_uids FROM found""")
+def retrieve_all_totals(spark, sf):
+    return load.retrieve_totals(*_found(spark, sf, _all_identifiers))
+
+
 def _searchable(spark, sf):
     return checks.prepare(r.order_upload(spark, sf)).where("attrs IS NOT NULL")
 

@@ -556,6 +556,39 @@ def existing_marks(spark, sf):
     return resolve.mark_existing(r.order_upload(spark, sf).select("row_n", "uid"), master)
 
 
+@book.query(r.with_sql(r.NODES_SQL, _ASKED) + """,
+wanted AS (SELECT identifier FROM asked UNION ALL SELECT uid FROM nodes WHERE sampletype = 'D.LIN')
+SELECT identifier, n.sample_id, n.uid FROM wanted JOIN nodes n ON identifier = n.uid
+UNION ALL SELECT identifier, n.sample_id, n.uid FROM wanted JOIN nodes n ON identifier = n.sample_id::VARCHAR
+UNION ALL SELECT identifier, NULL, NULL FROM wanted WHERE identifier NOT IN (SELECT uid FROM nodes)
+  AND identifier NOT IN (SELECT sample_id::VARCHAR FROM nodes WHERE sample_id IS NOT NULL)""".replace(",\nwanted", ", wanted", 1))
+def mixed_identifiers_all(spark, sf):
+    """Identifiers of all kinds against the whole registry, every line by its uid."""
+    lines = r.nodes(spark, sf).where("sampletype = 'D.LIN'").select(F.col("uid").alias("identifier"))
+    return resolve.resolve_identifiers(_asked(spark, sf).union(lines), r.nodes(spark, sf).select("sample_id", "uid"))
+
+
+@book.query(r.with_sql(r.NODES_SQL, r.ORDER_UPLOAD_SQL, r.LINE_UPLOAD_SQL) + """
+SELECT row_n, uid, CASE WHEN uid IN (SELECT uid FROM nodes WHERE uid NOT LIKE '%2') THEN '[EXIST]' ELSE '[NEW]' END AS mark
+FROM (SELECT row_n, uid FROM upload UNION ALL SELECT row_n, uid FROM line_upload)""")
+def existing_marks_all(spark, sf):
+    """Orders and lines against a master that has both."""
+    rows = r.order_upload(spark, sf).select("row_n", "uid").union(r.line_upload(spark, sf).select("row_n", "uid"))
+    return resolve.mark_existing(rows, r.nodes(spark, sf).where("uid NOT LIKE '%2'"))
+
+
+@book.query(r.with_sql(r.NODES_SQL, r.ORDER_UPLOAD_SQL) + """
+SELECT 'order' AS kind, row_n, u.uid, u.name FROM upload u SEMI JOIN nodes n ON u.sampletype = n.sampletype AND u.name = n.name
+UNION ALL SELECT 'line', l_orderkey, 'new', 'line ' || l_linenumber FROM lineitem WHERE 'line ' || l_linenumber IN (SELECT name FROM nodes WHERE sampletype = 'D.LIN')""")
+def names_in_use_all(spark, sf):
+    """Names of orders and of lines against the whole registry."""
+    orders = r.order_upload(spark, sf).select(F.lit("order").alias("kind"), "row_n", "uid", "name", "sampletype")
+    lines = r.table(spark, sf, "lineitem").select(
+        F.lit("line").alias("kind"), F.col("l_orderkey").alias("row_n"), F.lit("new").alias("uid"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("name"),
+        F.lit("D.LIN").alias("sampletype"))
+    return checks.names_in_use(orders.union(lines), r.nodes(spark, sf)).select("kind", "row_n", "uid", "name")
+
+
 @book.query("""
 WITH v AS (SELECT p_partkey AS k, lower(p_brand) || '-' || CASE WHEN p_partkey % 5 = 0 THEN 'MVN-only' ELSE p_name END AS device_id FROM part)
 SELECT k, device_id, CASE WHEN regexp_matches(device_id, '^brand#1\\d') THEN 'CEL-1' WHEN regexp_matches(device_id, '^brand#\\d+-MVN-only$') THEN NULL

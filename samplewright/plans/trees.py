@@ -159,6 +159,46 @@ def restore_plan(spark, sf):
     return filetree.restore_plan(*_disk(spark, sf))
 
 
+_WHOLE_DISK = f"""{_EXPECTED},
+moving AS (SELECT *, (k // {_N}) % 5 AS st FROM walked WHERE target_storage <> 'skip'),
+disk AS (SELECT path, max(length) AS length FROM (
+  SELECT path, length FROM moving WHERE st IN (0, 3)
+  UNION ALL SELECT target_relpath, length + CASE WHEN st = 2 THEN 1 ELSE 0 END FROM moving WHERE st IN (1, 2, 3)) GROUP BY 1),
+seen AS (SELECT m.*, s.length AS src_length, d.length AS dst_length FROM moving m LEFT JOIN disk s ON m.path = s.path LEFT JOIN disk d ON m.target_relpath = d.path)"""
+
+
+def _whole_disk(spark, sf):
+    """As `_disk`, with the files whose targets collide: what lies at a shared target is one file."""
+    plan = filetree.classify_listing(files(spark, sf)).select(
+        F.col("k").cast("string").alias("id"), F.col("path").alias("original_path"), "target_relpath", "target_storage",
+        F.col("length").alias("size_bytes"), "k")
+    state = F.expr(f"(k div {_N}) % 5")
+    moving = plan.where("target_storage <> 'skip'")
+    here = moving.where(state.isin(0, 3)).select(F.col("original_path").alias("path"), F.col("size_bytes").alias("length"))
+    there = moving.where(state.isin(1, 2, 3)).select("target_relpath", F.col("size_bytes") + F.when(state == 2, 1).otherwise(0))
+    return plan.drop("k"), here.union(there).groupBy("path").agg(F.max("length").alias("length"))
+
+
+@book.query(f"""WITH {_WHOLE_DISK} SELECT k::VARCHAR AS id, path AS original_path, target_relpath, length AS size_bytes, dst_length,
+  CASE WHEN dst_length IS NULL AND src_length IS NOT NULL THEN 'not_moved' WHEN dst_length IS NULL THEN 'missing_both' WHEN dst_length <> length THEN 'size_drift' ELSE 'ok' END AS status
+FROM seen""")
+def drift_report_all(spark, sf):
+    """The drift report over all files: of files that share a target, those of another size than what lies there have drifted."""
+    return filetree.verify_disk(*_whole_disk(spark, sf))
+
+
+@book.query(f"""WITH {_WHOLE_DISK} SELECT k::VARCHAR AS id, path AS original_path, target_relpath,
+  CASE WHEN dst_length IS NOT NULL THEN 'already' WHEN src_length IS NOT NULL THEN 'move' ELSE 'missing' END AS action FROM seen
+UNION ALL SELECT k::VARCHAR, path, target_relpath, 'skip' FROM walked WHERE target_storage = 'skip'""")
+def move_plan_all(spark, sf):
+    return filetree.move_plan(*_whole_disk(spark, sf))
+
+
+@book.query(f"WITH {_WHOLE_DISK} SELECT k::VARCHAR AS id, target_relpath, path AS original_path FROM seen WHERE dst_length IS NOT NULL AND src_length IS NULL")
+def restore_plan_all(spark, sf):
+    return filetree.restore_plan(*_whole_disk(spark, sf))
+
+
 _STAGE_FILES = """
 staged_files AS (
   SELECT o_orderkey AS k, o_orderkey % 8 AS j, CASE o_orderkey % 8 WHEN 0 THEN 'Figure 2/f' WHEN 1 THEN 'Figure 3/sub/f' WHEN 2 THEN 'Source Data/f'
