@@ -14,22 +14,24 @@ from samplewright.session import scratch_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null and empty texts stay or go by their score; rows that repeat go together;
+    with no labels every document stays; an empty table stays empty."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-duplicates: the document with the smallest id of each group stays."""
+    """SimHash near-duplicates: the document with the smallest id of each group stays, a null id only where there is no other. Null, empty and blank
+    texts are one group; of rows that repeat one stays; texts of any length are compared whole."""
     return pivots.keep_first(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every secret masked."""
+    """Texts with every secret masked; null texts stay null, all other columns as they are, and no row goes."""
     return secret_scan.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows for training."""
+    """Token windows for training: a row per piece of every document; null and empty texts are one id, the end."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), end=2, grain=packing.GRAIN)
 
 

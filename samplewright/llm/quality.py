@@ -4,6 +4,10 @@ A text's features are its words (runs of letters and digits, and runs of signs,
 words, hashed into 2^18 places. A word next to itself, or with one word between, is one feature whatever the word. A feature's
 value is its share of the text's features, so length does not matter. A score is one sparse dot product. Weights are learned from a bounded sample of labelled rows, one row at a time, by FTRL-proximal
 updates with L1, so that places seen rarely stay at zero.
+
+Defined cases: a null text is empty; a text without words scores what the bias says; a text of any length is read whole, and its score
+does not depend on its length; rows that repeat are scored each time and train once; rows tie in the sample by hash and then by key;
+an empty table, or no label, gives the score 0.5 to every text. `keep_good` treats null and empty texts by their score like any other.
 """
 
 from __future__ import annotations

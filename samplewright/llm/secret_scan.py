@@ -10,6 +10,10 @@ held-out examples, and the threshold is the highest one that still finds the wan
 format, which no pattern finds. What the network adds are spans of kind `model`; spans of the patterns always stay.
 
 Spans count code points, end exclusive. A null or empty text has no spans. The same rows always give the same network.
+
+Defined cases: a null or empty text has no span; texts are scanned whole, a very long candidate by as many windows as it takes; rows that
+repeat are scanned each time; an empty table gives no rows, and a table without findings
+learns from the made-up examples alone; spans that begin together come in the order of their kinds.
 """
 
 from __future__ import annotations

@@ -107,7 +107,7 @@ def _with_edits(docs: DataFrame, shingle: int, weight) -> DataFrame:
     lent = F.struct(F.get(F.lit(before).cast("array<int>"), F.col("_b")).alias("bucket"), F.lit(1).alias("ghost"))
     is_head = F.col("doc_id").eqNullSafe(F.get(F.lit(first).cast("array<bigint>"), F.col("_b")))
     dealt = placed.select("doc_id", "text", F.inline(F.when(is_head, F.array(own, lent)).otherwise(F.array(own))))
-    dealt = dealt.repartition("bucket")
+    dealt = dealt.repartitionById(len(cuts) + 1, "bucket")  # one task per bucket; hashed, some tasks would get several
     order = W.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
     pairs = dealt.select(
         "bucket", "ghost", "doc_id", "text", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("_next"))

@@ -6,6 +6,9 @@ their bytes. A space stands for a word's start and every text begins with one, a
 
 Pairs of neighbouring characters that stand in no piece can never be merged, and no piece holds a space after another
 character, so a text falls apart into stretches that are counted once and remembered.
+
+Defined cases: a null text is empty and counts nothing; a very long text is counted whole, and a stretch of any length by one heap;
+rows that repeat are counted each time; an empty table gives no rows; pairs of equal rank merge from the left.
 """
 
 from __future__ import annotations
