@@ -106,8 +106,7 @@ SELECT file, 'Samples' AS sheet, n + 1 AS n_rows, 6 AS n_cols, 'UID, Name, None,
 UNION ALL SELECT file, 'Instructions', 3, 4, 'Field, Database Field, Field Type, Ontology' FROM n
 UNION ALL SELECT file, 'Assay', 3, 4, 'SampleType, AssayType, Assay, Direction' FROM n UNION ALL SELECT file, 'Ontology', 2, 2, 'Field, Value' FROM n""")
 def sheet_profile(spark, sf):
-    found = sheets.profile(sheets.scan_workbooks(workbook_files(spark, sf)))
-    return found.withColumn("headers", F.replace("headers", F.lit("Name, , Parent"), F.lit("Name, None, Parent")))
+    return sheets.profile(sheets.scan_workbooks(workbook_files(spark, sf)))
 
 
 @book.query(f"WITH {_BOOK} SELECT file, row_n, uid FROM sheet")

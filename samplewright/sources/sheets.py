@@ -1,6 +1,7 @@
 """Workbooks as one long table of rows.
 
-`cells` has one row per sheet row: (file, sheet, sheet_pos, row_n, header array, values array). Row 1 is the header.
+`cells` has one row per sheet row: (file, sheet, sheet_pos, row_n, header array, values array, active). Row 1 is the header; `active`
+marks the sheet that the workbook opens with.
 A workbook is read by the task that holds the file; tasks hand rows on in batches, so a large sheet is never one
 Python object.
 """
@@ -23,11 +24,11 @@ from samplewright.operators.flat import first_assay
 from samplewright.session import cut
 
 CELLS_SCHEMA = (
-    "file string, sheet string, sheet_pos int, row_n bigint, header array<string>, values array<string>"
+    "file string, sheet string, sheet_pos int, row_n bigint, header array<string>, values array<string>, active boolean"
 )
 _ARROW = pa.schema([
     ("file", pa.string()), ("sheet", pa.string()), ("sheet_pos", pa.int32()), ("row_n", pa.int64()),
-    ("header", pa.list_(pa.string())), ("values", pa.list_(pa.string())),
+    ("header", pa.list_(pa.string())), ("values", pa.list_(pa.string())), ("active", pa.bool_()),
 ])
 _BATCH = 4096
 
@@ -62,19 +63,21 @@ def _texts(archive: zipfile.ZipFile, name: str) -> list[str]:
     return out
 
 
-def _sheet_parts(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
-    """(sheet name, part name) in workbook order."""
+def _sheet_parts(archive: zipfile.ZipFile) -> list[tuple[str, str, bool]]:
+    """(sheet name, part name, active) in workbook order."""
     rels = {}
     for _, el in iterparse(archive.open("xl/_rels/workbook.xml.rels")):
         if _local(el.tag) == "Relationship":
             target = el.get("Target")
             rels[el.get("Id")] = target.lstrip("/") if target.startswith("/") else "xl/" + target
-    sheets = []
+    sheets, active = [], 0
     for _, el in iterparse(archive.open("xl/workbook.xml")):
         if _local(el.tag) == "sheet":
             rid = next(v for k, v in el.attrib.items() if _local(k) == "id")
             sheets.append((el.get("name"), rels[rid]))
-    return sheets
+        elif _local(el.tag) == "workbookView":
+            active = int(el.get("activeTab") or 0)
+    return [(*sheet, i == active) for i, sheet in enumerate(sheets)]
 
 
 def _number(text: str) -> str:
@@ -120,14 +123,14 @@ def _sheet_rows(archive: zipfile.ZipFile, part: str, shared: list[str]) -> Itera
 def _workbook_batches(name: str, content: bytes, sheets: Sequence[str] | None) -> Iterator[pa.RecordBatch]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         shared = _texts(archive, "xl/sharedStrings.xml")
-        for pos, (sheet, part) in enumerate(_sheet_parts(archive)):
+        for pos, (sheet, part, active) in enumerate(_sheet_parts(archive)):
             if sheets is not None and sheet not in sheets:
                 continue
             header, rows = None, []
             for row_n, values in _sheet_rows(archive, part, shared):
                 if header is None:
                     header = values if row_n == 1 else []  # a sheet without row 1 has no header
-                rows.append((name, sheet, pos, row_n, header, values))
+                rows.append((name, sheet, pos, row_n, header, values, active))
                 if len(rows) == _BATCH:
                     yield _batch(rows)
                     rows = []
@@ -198,11 +201,11 @@ def sheet_headers(cells: DataFrame, sheet: str = "Samples") -> DataFrame:
 
 
 def pick_sheet(cells: DataFrame, sheet: str | None = None) -> DataFrame:
-    """Per file the named sheet, or else `Samples`, or else the first one; rows with a blank first cell are dropped."""
+    """Per file the named sheet, or else `Samples`, or else the active one; rows with a blank first cell are dropped."""
     if sheet is not None:
         picked = cells.where(F.col("sheet") == sheet)
     else:
-        rank = F.struct(F.when(F.col("sheet") == "Samples", 0).otherwise(1), F.col("sheet_pos"))
+        rank = F.struct(F.when(F.col("sheet") == "Samples", 0).when(F.col("active"), 1).otherwise(2), F.col("sheet_pos"))
         best = cells.groupBy("file").agg(F.min_by("sheet_pos", rank).alias("sheet_pos"))
         picked = cells.join(best, ["file", "sheet_pos"], "left_semi").select(*cells.columns)
     first = F.get("values", F.lit(0))
@@ -259,8 +262,8 @@ def flat_upload(cells: DataFrame) -> DataFrame:
 
 
 def profile(cells: DataFrame) -> DataFrame:
-    """Per sheet: rows including the header, widest row, header list."""
+    """Per sheet: rows including the header, widest row, header list; a header without text is None."""
     return cells.groupBy("file", "sheet").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max(F.size("values")).alias("n_cols"),
-        F.array_join(F.transform(F.first("header"), lambda h: F.coalesce(h, F.lit("None"))), ", ").alias("headers"),
+        F.array_join(F.transform(F.first("header"), lambda h: F.coalesce(F.when(h != "", h), F.lit("None"))), ", ").alias("headers"),
     )

@@ -234,3 +234,22 @@ def test_deposit_document(spark):
     wide = deposit_table(samples, ["pos"]).orderBy("pos").collect()
     assert (wide[0]["*raw file"], wide[0]["raw file"], wide[1]["*raw file"]) == ("a", "b", None)
     assert tuple(paired_table(pairs).first()) == ("x", None, None, None)
+
+
+def test_the_active_sheet_stands_in_for_samples(spark):
+    def opened_at(tab, names):
+        made = zipfile.ZipFile(io.BytesIO(render_workbook({n: [["UID"], [f"{n}-1"]] for n in names})))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for item in made.namelist():
+                data = made.read(item)
+                if item == "xl/workbook.xml" and tab is not None:
+                    data = data.replace(b"<sheets>", b'<bookViews><workbookView activeTab="%d"/></bookViews><sheets>' % tab)
+                z.writestr(item, data)
+        return bytearray(out.getvalue())
+
+    books = [("two", opened_at(1, "AB")), ("none", opened_at(None, "AB")), ("named", opened_at(0, ["A", "Samples"]))]
+    cells = sheets.scan_workbooks(spark.createDataFrame(books, "path string, content binary"))
+    got = {r["file"]: r["sheet"] for r in sheets.pick_sheet(cells).where("row_n = 2").collect()}
+    assert got == {"two": "B", "none": "A", "named": "Samples"}
+    assert {r["sheet"] for r in sheets.pick_sheet(cells, "A").collect()} == {"A"}
