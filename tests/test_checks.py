@@ -43,3 +43,56 @@ def test_examples_come_from_every_blocker_code(spark):
     seen = {r.code for r in rows}
     there = {r.code for r in entry.queries()["issue_rollup"](spark, "/root/testdata/sf0.001").where("is_blocker").collect()}
     assert seen == there <= set(BLOCKERS) and {"duplicate_uid", "duplicate_name", "parent_uid_not_found"} & seen
+
+
+UPLOAD_KIND = "arm string, file string, row_n bigint, uid string, sampletype string, parent string, assay_titles string, json_metadata string"
+
+
+def test_dispositions_tell_files_and_reasons_apart(spark):
+    ok = '"Link_PrimaryData":"l","Checksum_PrimaryData":"c"'
+    rows = spark.createDataFrame([
+        ("A", "1.xlsx", 2, "U1", "T", "", "Known", '{"File_PrimaryData":"f",' + ok + "}"),
+        ("A", "2.xlsx", 2, "U2", "T", "", "Known; Odd", '{"File_PrimaryData":"f","Notes":"*** PLACEHOLDER: x","Link_PrimaryData":"l"}'),
+        ("A", "2.xlsx", 3, "U3", "T", "gone", "Alias", '{"Notes":"n",' + ok + "}"),
+        ("B", "1.xlsx", 3, "U4", "T", None, None, '{"File_PrimaryData":"*** PLACEHOLDER: f ***",' + ok + "}"),
+        ("B", "1.xlsx", 4, None, "T", None, "", None)], UPLOAD_KIND)
+    issues = spark.createDataFrame([
+        ("parent_uid_not_found", 2, "2.xlsx", 3), ("bad_json", 2, "2.xlsx", 3), ("missing_required", 0, "1.xlsx", 2), ("missing_uid", 2, "1.xlsx", 4)],
+        "code string, severity int, file string, row_n bigint")
+    cache = spark.createDataFrame([("Known", 1)], "title string, assay_id bigint")
+    synonyms = spark.createDataFrame([("Alias", "Known"), ("Odd", "Nowhere")], "cited string, canonical string")
+    found = checks.disposition_rows(checks.prepare(rows), issues, cache, synonyms)
+    got = {(r["file"], r["row_n"]): (r["arm"], r["uid"], r["disposition"], r["reasons"]) for r in found.collect()}
+    assert got == {
+        ("1.xlsx", 2): ("A", "U1", "CLEAN", []),
+        ("2.xlsx", 2): ("A", "U2", "SOFT_FLAG", ["Checksum_PrimaryData blank", "PLACEHOLDER marker in metadata", "assay_id unresolved"]),
+        ("2.xlsx", 3): ("A", "U3", "HARD_REJECT", ["bad_json", "dangling Parent UID", "missing File_PrimaryData"]),
+        ("1.xlsx", 3): ("B", "U4", "SOFT_FLAG", ["PLACEHOLDER marker in File_PrimaryData"]),
+        ("1.xlsx", 4): ("B", None, "HARD_REJECT", ["missing File_PrimaryData", "missing_uid"])}
+    counted = {(r["arm"], r["disposition"], r["reason"]): r["n_rows"] for r in checks.disposition_reasons(found).collect()}
+    assert counted["B", "HARD_REJECT", "missing_uid"] == 1 and len(counted) == 9 and ("A", "CLEAN", None) not in counted
+    bare = checks.disposition_rows(checks.prepare(rows), issues)
+    assert {r["uid"]: r["reasons"] for r in bare.collect()}["U2"] == ["Checksum_PrimaryData blank", "PLACEHOLDER marker in metadata"]
+
+
+def test_structure_of_a_batch(spark):
+    heads = spark.createDataFrame([
+        ("good", ["uid", "Parent ", "SAMPLETYPE", "json_metadata", ""]), ("twice", ["uid", "UID ", "parent", "sampletype", "json_metadata", "", ""]),
+        ("short", ["uid", None, "sampletype"])], "file string, header array<string>")
+    rows = spark.createDataFrame([
+        ("good", "T", {"Name": "x"}), ("twice", "T", {"Name": "x", "Odd": "y"}), ("twice", "T", {"Odd": "z"}), ("short", "S", None)],
+        "file string, sampletype string, attrs map<string,string>")
+    fields = spark.createDataFrame([("T", "Name")], "sampletype string, field string")
+    got = {r["file"]: tuple(r)[1:] for r in checks.batch_structure(heads, rows, fields).collect()}
+    assert got == {"good": (0, 0, 0, True), "twice": (0, 1, 1, False), "short": (2, 0, 0, False), None: (2, 1, 1, False)}
+    alone = checks.batch_structure(heads.where("file = 'good'"), rows.where("file = 'good'"), fields).collect()
+    assert [r["valid"] for r in alone] == [True, True]
+    assert [tuple(r) for r in checks.batch_structure(heads.limit(0), rows.limit(0), fields).collect()] == [(None, 0, 0, 0, True)]
+
+
+def test_the_last_value_of_a_repeated_key_counts(spark):
+    from samplewright.functions import text as t
+
+    texts = ['{"a":"1","b":"2","a":"3"}', '{"a":"1","a":null}', '{"a":{"a":1},"b":[1],"a":"x"}', '{"a":1} x', "[]", "", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, j string").select("i", t.payload("j").alias("m"))
+    assert [r["m"] for r in df.orderBy("i").collect()] == [{"a": "3", "b": "2"}, {"a": None}, {"a": "x", "b": "[1]"}, None, None, None, None]
