@@ -41,6 +41,7 @@ STEPS = 50
 STILL = 1e-3
 PORTION = 4 << 20
 MOST_ROWS = 1 << 15
+LONG = 1 << 22  # characters of a text that is worked on in stretches
 _HELD = 32
 
 
@@ -77,24 +78,35 @@ class Grams:
         return self.places[at], self.counts[at]
 
 
+def _symbols(signs: np.ndarray, text: np.ndarray, before: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case letters and single blanks of some code points, and the number of their text. `before` tells whether a letter
+    stood before the first one."""
+    lower, _, kept = _letters()
+    keep = kept[signs]
+    stay = keep.copy()
+    stay[1:] |= keep[:-1] | (text[1:] != text[:-1])
+    stay[:1] |= before
+    return np.where(keep, lower[signs], np.uint32(32))[stay], text[stay]
+
+
+def _places(low: np.ndarray) -> np.ndarray:
+    """Place of every trigram of a run of symbols."""
+    h = (low[:-2] * np.uint32(0x9E3779B1)) ^ (low[1:-1] * np.uint32(0x85EBCA77)) ^ (low[2:] * np.uint32(0xC2B2AE3D))
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - BITS)
+
+
 def trigrams(texts: list[str | None]) -> Grams:
     """Trigrams of at most 2^15 texts, each with a blank before and after; runs of other signs are one blank."""
-    lower, letter, kept = _letters()
+    if len(texts) == 1 and texts[0] and len(texts[0]) > LONG:
+        return _trigrams_of_long(texts[0])
     whole = [f" {t or ''} " for t in texts]
     signs = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32)
     text = np.repeat(np.arange(len(whole), dtype=np.uint32), list(map(len, whole)))
-    keep = kept[signs]
     lettered = np.zeros(len(whole), bool)
-    lettered[text[letter[signs]]] = True
-    low = np.where(keep, lower[signs], np.uint32(32))
-    stay = keep.copy()
-    stay[1:] |= keep[:-1] | (text[1:] != text[:-1])
-    stay[:1] = True
-    low, text = low[stay], text[stay]
-    h = (low[:-2] * np.uint32(0x9E3779B1)) ^ (low[1:-1] * np.uint32(0x85EBCA77)) ^ (low[2:] * np.uint32(0xC2B2AE3D))
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F)
+    lettered[text[_letters()[1][signs]]] = True
+    low, text = _symbols(signs, text, True)
     inside = text[:-2] == text[2:]
-    key = (text[:-2] << np.uint32(BITS) | h >> np.uint32(32 - BITS))[inside]
+    key = (text[:-2] << np.uint32(BITS) | _places(low))[inside]
     key.sort()
     heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     counts = np.diff(np.append(heads, len(key)))
@@ -103,6 +115,21 @@ def trigrams(texts: list[str | None]) -> Grams:
     return Grams((key & np.uint32(PLACES - 1)).astype(np.int64), counts, starts, lettered)
 
 
+def _trigrams_of_long(text: str) -> Grams:
+    """The same of one long text, stretch by stretch; the last two symbols of a stretch go on into the next."""
+    total, carry, lettered, before = np.zeros(PLACES, np.int64), np.zeros(0, np.uint32), False, True
+    for at in range(0, len(text), LONG):
+        part = (" " if at == 0 else "") + text[at:at + LONG] + (" " if at + LONG >= len(text) else "")
+        signs = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        low, _ = _symbols(signs, np.zeros(len(signs), np.uint32), before)
+        lettered, before = lettered or bool(_letters()[1][signs].any()), bool(_letters()[2][signs[-1]])
+        low = np.concatenate((carry, low))
+        total += np.bincount(_places(low), minlength=PLACES) if len(low) > 2 else 0
+        carry = low[-2:]
+    place = np.flatnonzero(total)
+    return Grams(place, total[place], np.array([0, len(place)]), np.array([lettered]))
+
+
 def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches, "text", PORTION):
         for at in range(0, batch.num_rows, MOST_ROWS):

@@ -95,6 +95,24 @@ def split(texts: pa.Array) -> Words:
     return Words(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), text, piece)
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Portions of texts; a text longer than a portion comes in several rows, parted at a sign between pieces, so that no phrase is
+    cut. Only a piece that is itself longer stays whole."""
+    for batch in portions(batches, "text", PORTION):
+        if batch.num_rows > 1 or batch.column("text").nbytes <= 2 * PORTION:
+            yield batch
+            continue
+        data = np.frombuffer(batch.column("text")[0].as_buffer(), np.uint8)
+        breaks = np.flatnonzero(_CLASS[data] == _BREAK) + 1
+        at = 0
+        while at < len(data):
+            stop = int(np.searchsorted(breaks, at + PORTION))
+            end = int(breaks[stop]) if stop < len(breaks) else len(data)
+            text = pa.array([data[at:end].tobytes().decode("utf-8", "surrogatepass")], pa.string())
+            yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+            at = end
+
+
 def _hashes(names: pa.Array) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, names.cast(pa.large_binary()).to_pylist()), np.uint64, len(names))
 
@@ -208,7 +226,7 @@ def _shard_counts(lengths: range, sets, packing: Packing):
                      pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["lang", "shard", "run", "gaps", "counts"])
             held.clear()
 
-        for batch in portions(batches, "text", PORTION):
+        for batch in _portions(batches):
             words = split(batch.column("text"))
             _, first, group = np.unique(batch.column("seed").to_numpy(), return_index=True, return_inverse=True)
             seed = batch.column("seed").to_numpy().view(np.uint64)[words.text]
@@ -267,7 +285,7 @@ def _exact_counts(sets, longest: int):
     Inside a portion a phrase is known by the number of its first words and its last word, so no two are taken for one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         candidates = sets.value
-        for batch in portions(batches, "text", PORTION):
+        for batch in _portions(batches):
             words = split(batch.column("text"))
             langs = batch.column("lang").dictionary_encode()
             lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.text]

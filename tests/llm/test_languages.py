@@ -115,5 +115,20 @@ def test_odd_rows(spark, model):
 def test_at_most_so_many_languages(spark):
     rows = [(i, "word " * (1 + i % 40), f"l{i % 40:02}") for i in range(400)]
     model = languages.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3), most=5)
-    assert model.names == ["l35", "l36", "l37", "l38", "l39"] and model.likely.shape == (languages.PLACES, 6)
+    taught = Counter()
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            taught[lang] += len(text) - 1
+    assert model.names == sorted(sorted(taught, key=lambda k: (-taught[k], k))[:5]) and model.likely.shape == (languages.PLACES, 6)
     assert np.allclose(model.likely.sum(0), 1, atol=1e-3)
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    text = "Ünïcode ſtrange 漢字, it's  İ Σς 12 " * 40
+    whole = languages.trigrams([text])
+    for size in (7, 100, 333):
+        monkeypatch.setattr(languages, "LONG", size)
+        parts = languages.trigrams([text])
+        assert [list(x) for x in parts.of(0)] == [list(x) for x in whole.of(0)] and parts.lettered[0]
+    monkeypatch.setattr(languages, "LONG", 3)
+    assert not languages.trigrams(["12 34 56"]).lettered[0]

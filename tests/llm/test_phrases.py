@@ -132,3 +132,16 @@ def test_packed_hashes_come_back():
         back = [packing.unpack(*row) for row in packing.pack(h, n)]
         assert (np.concatenate([b[0] for b in back]) == h).all() and (np.concatenate([b[1] for b in back]) == n).all()
     assert phrases.packing_for(1) == phrases.Packing(32, 3) and phrases.packing_for(1 << 40) == phrases.Packing(52, 19)
+
+
+def test_long_texts_come_in_parts(monkeypatch):
+    monkeypatch.setattr(phrases, "PORTION", 50)
+    text = "one two é three. " * 30 + "x " * 90 + "! four five; six"
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array([text, "short, text"])], ["lang", "text"])
+    parts = list(phrases._portions(iter([batch])))
+    assert len(parts) > 8 and "".join(p.column("text")[0].as_py() for p in parts[:-1]) == text and {len(p) for p in parts} == {1}
+
+    def runs(batches):
+        return sorted(tuple(w.names[int(w.at[i + k])].as_py() for k in range(2)) for b in batches for w in [phrases.split(b.column("text"))] for i in w.run(2))
+
+    assert runs(parts) == runs([batch])
