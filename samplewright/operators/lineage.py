@@ -43,24 +43,31 @@ class Edges:
     """A table of edges that walks look up by one of its ends.
 
     While what is looked up is small, it is broadcast and the edges stay where they are. The first time it is not, the edges are
-    written once more, in buckets of the end they are looked up by; from then on only the looked-up rows move. Hubs, whose edges
-    would make one bucket long, are kept apart and their rows are spread.
+    shuffled; the second time they are written once more, in buckets of the end they are looked up by, and from then on only the
+    looked-up rows move. Hubs, whose edges would make one bucket long, are kept apart and their rows are spread.
     """
 
     def __init__(self, edges: DataFrame):
         self.table = edges
         self._laid: dict[str, tuple[DataFrame, DataFrame | None, dict]] = {}
+        self._shuffled: set[str] = set()
+        self._hubs: dict[str, dict] = {"up": {}}  # a child cites few parents
 
     def step(self, direction: str) -> DataFrame:
         near, far = _FAR[direction]
         return self.table.select(F.col(near).alias("uid"), F.col(far).alias("_next"))
 
+    def hubs(self, direction: str) -> dict:
+        if direction not in self._hubs:
+            self._hubs[direction] = hot_ways(self.step(direction), "uid")
+        return self._hubs[direction]
+
     def laid(self, direction: str) -> tuple[DataFrame, DataFrame | None, dict]:
         """(edges in buckets, edges of hubs, ways of the hubs), written on first use."""
         if direction not in self._laid:
             spark = self.table.sparkSession
             step = self.step(direction)
-            hubs = hot_ways(step, "uid")
+            hubs = self.hubs(direction)
             hot = None
             if hubs:
                 listed = F.broadcast(spark.createDataFrame([(h,) for h in hubs], "uid string"))  # at most one per share
@@ -76,6 +83,9 @@ class Edges:
         """Every edge that leads on from a row of `frontier(uid, …)`, of `rows` rows, as its columns and `_next`."""
         if rows <= BROADCAST_ROWS:
             return self.step(direction).join(F.broadcast(frontier), "uid")
+        if direction not in self._shuffled:
+            self._shuffled.add(direction)
+            return salted_join(self.step(direction), frontier, "uid", "inner", self.hubs(direction))
         cold, hot, hubs = self.laid(direction)
         met = cold.join(frontier, "uid")
         return met if hot is None else met.unionByName(salted_join(hot, frontier, "uid", "inner", hubs))
@@ -155,17 +165,22 @@ class Trees:
         placed = starts.join(self.inputs, key).select("block", "uid", F.expr("shiftleft(1L, bit)").alias("mask"))
         both = carried(placed, self.edges, "up", ["block"]).union(carried(placed, self.edges, "down", ["block"]))
         self.members = cut(both.groupBy("block", "uid").agg(F.bit_or("mask").alias("mask")))
+        self._few = self.members.count() <= BROADCAST_ROWS
+
+    def _held(self, members: DataFrame) -> DataFrame:
+        return F.broadcast(members) if self._few else members
 
     def node_rows(self) -> DataFrame:
         """(block, uid, mask, sampletype, parent) of the members that have a row among the nodes."""
-        return self.members.join(self.nodes.select("uid", "sampletype", "parent"), "uid")
+        return self.nodes.select("uid", "sampletype", "parent").join(self._held(self.members), "uid").select("block", "uid", "mask", "sampletype", "parent")
 
     def rel_rows(self) -> DataFrame:
         """Edges with both ends in a tree, with the bits of the trees: (block, child_uid, parent_uid, …, mask)."""
         child = self.members.select("block", F.col("uid").alias("child_uid"), F.col("mask").alias("_c"))
         parent = self.members.select("block", F.col("uid").alias("parent_uid"), F.col("mask").alias("_p"))
-        rels = self.edges.table.distinct().join(child, "child_uid").join(parent, ["block", "parent_uid"])
-        return rels.withColumn("mask", F.col("_c").bitwiseAND(F.col("_p"))).where("mask <> 0").select("block", *self.edges.table.columns, "mask")
+        rels = self.edges.table.join(self._held(child), "child_uid").join(self._held(parent), ["block", "parent_uid"])
+        shared = rels.withColumn("mask", F.col("_c").bitwiseAND(F.col("_p"))).where("mask <> 0")
+        return shared.select("block", *self.edges.table.columns, "mask").distinct()
 
     def totals(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows per input, (block, bit, name), from one sum per bit: what is shuffled is one row per block and task."""
