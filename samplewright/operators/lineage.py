@@ -83,12 +83,13 @@ class Edges:
         """Every edge that leads on from a row of `frontier(uid, …)`, of `rows` rows, as its columns and `_next`."""
         if rows <= BROADCAST_ROWS:
             return self.step(direction).join(F.broadcast(frontier), "uid")
+        # Both sides are long here, whatever size the planner guesses from the files below: neither is broadcast.
         if direction not in self._shuffled:
             self._shuffled.add(direction)
-            return salted_join(self.step(direction), frontier, "uid", "inner", self.hubs(direction))
+            return salted_join(self.step(direction), frontier, "uid", "inner", self.hubs(direction), merged=True)
         cold, hot, hubs = self.laid(direction)
-        met = cold.join(frontier, "uid")
-        return met if hot is None else met.unionByName(salted_join(hot, frontier, "uid", "inner", hubs))
+        met = cold.join(frontier.hint("merge"), "uid")
+        return met if hot is None else met.unionByName(salted_join(hot, frontier, "uid", "inner", hubs, merged=True))
 
 
 def as_edges(edges: DataFrame | Edges) -> Edges:
@@ -108,7 +109,7 @@ def closure(starts: DataFrame, edges: DataFrame | Edges, direction: str, key: st
     while rows:
         reached = table.meet(direction, hops[-1].drop("hop"), rows).select(*keys, F.col("_next").alias("uid")).distinct()
         seen = _union(hops).drop("hop")
-        fresh = reached.join(F.broadcast(seen) if total <= BROADCAST_ROWS else seen, [*keys, "uid"], "left_anti")
+        fresh = reached.join(F.broadcast(seen) if total <= BROADCAST_ROWS else seen.hint("merge"), [*keys, "uid"], "left_anti")
         hops.append(cut(fresh.withColumn("hop", F.lit(len(hops)))))
         rows = hops[-1].count()
         total += rows

@@ -44,17 +44,19 @@ def hot_keys(df: DataFrame, key: str) -> list:
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: Mapping | Sequence | None = None, salts: int = 32
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: Mapping | Sequence | None = None, salts: int = 32,
+    merged: bool = False,
 ) -> DataFrame:
     """Join `left` to `right`, which holds one row per key, and spread the hot keys of `left` over several tasks.
 
     `hot` has the ways of every hot key, or names keys that all get `salts` ways; by default a sketch finds both. Only the
     right rows of hot keys are copied, once per way. Which keys count as hot changes the balance, never the result. The
-    table of hot keys, at most `parts` rows, is broadcast. `how` is inner, left, left_semi or left_anti.
+    table of hot keys, at most `parts` rows, is broadcast. `how` is inner, left, left_semi or left_anti. `merged` says that both
+    sides are long, so that neither is broadcast whatever size the planner guesses.
     """
     hot = hot_ways(left, key) if hot is None else hot if isinstance(hot, Mapping) else dict.fromkeys(hot, salts)
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right.hint("merge") if merged else right, key, how)
     kind = StructType([StructField(key, left.schema[key].dataType), StructField("_ways", IntegerType())])
     listed = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), kind))
     # Maps cannot be hashed; as text they can.
@@ -63,7 +65,7 @@ def salted_join(
     salted = left.join(listed, key, "left").withColumn("_salt", spread).drop("_ways")
     copies = F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1)
     copied = right.join(listed, key, "left").withColumn("_salt", F.explode(copies)).drop("_ways")
-    return salted.join(copied, [key, "_salt"], how).drop("_salt")
+    return salted.join(copied.hint("merge") if merged else copied, [key, "_salt"], how).drop("_salt")
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", count: str | None = None) -> DataFrame:

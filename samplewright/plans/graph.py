@@ -241,7 +241,7 @@ def _found(spark, sf, wanted=_some_customers):
     asked = wanted(spark, sf)
     asked = cut(resolve.resolve_identifiers(asked, r.nodes(spark, sf, lines=False)))
     found = lineage.full_lineage(asked.where("uid IS NOT NULL").select("uid"), _edges(spark, sf))
-    found = found.join(r.nodes(spark, sf).select("uid"), "uid", "left_semi")  # a cited parent without a row is no sample
+    found = found.join(r.nodes(spark, sf).select("uid").hint("merge"), "uid", "left_semi")  # a cited parent without a row is no sample
     return found.select("uid", "direction", t.uid_type("uid").alias("sampletype")), asked
 
 
