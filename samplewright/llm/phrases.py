@@ -44,7 +44,9 @@ TOP = 2000
 COVER = (80, 100)
 SCALE = 2_000_000
 MOST_BITS = 30
-PORTION = 4 << 20
+PORTION = 2 << 20
+PHRASE_PORTION = 1 << 20  # of the last pass, which makes texts of all phrases: in a table of copies every phrase is frequent
+ROWS = 1 << 16  # rows of a batch that a task passes on at most
 HELD = 2_000_000  # hashes and counts that a task holds before it passes them on
 BUCKET = 15  # Spark's bitmap functions cut a bit set into rows of 2^15 bits
 
@@ -95,18 +97,19 @@ def split(texts: pa.Array) -> Words:
     return Words(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), text, piece)
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Portions of texts; a text longer than a portion comes in several rows, parted at a sign between pieces, so that no phrase is
+def _portions(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Portions of texts of about `size` bytes, `PORTION` if not given; a text longer than a portion comes in several rows, parted at a sign between pieces, so that no phrase is
     cut. Only a piece that is itself longer stays whole."""
-    for batch in portions(batches, "text", PORTION):
-        if batch.num_rows > 1 or batch.column("text").nbytes <= 2 * PORTION:
+    size = size or PORTION
+    for batch in portions(batches, "text", size):
+        if batch.num_rows > 1 or batch.column("text").nbytes <= 2 * size:
             yield batch
             continue
         data = np.frombuffer(batch.column("text")[0].as_buffer(), np.uint8)
         breaks = np.flatnonzero(_CLASS[data] == _BREAK) + 1
         at = 0
         while at < len(data):
-            stop = int(np.searchsorted(breaks, at + PORTION))
+            stop = int(np.searchsorted(breaks, at + size))
             end = int(breaks[stop]) if stop < len(breaks) else len(data)
             text = pa.array([data[at:end].tobytes().decode("utf-8", "surrogatepass")], pa.string())
             yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
@@ -220,7 +223,7 @@ def _shard_counts(lengths: range, sets, packing: Packing):
 
         def told() -> Iterator[pa.RecordBatch]:
             for (lang, shard), parts in held.items():
-                rows = list(packing.pack(*_summed(parts)))
+                rows = list(packing.pack(*(_summed(parts) if len(parts) > 1 else parts[0])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(rows), pa.string()), pa.array([shard] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()),
                      pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["lang", "shard", "run", "gaps", "counts"])
@@ -242,8 +245,12 @@ def _shard_counts(lengths: range, sets, packing: Packing):
                     held.setdefault((langs[g], shards[g]), []).append((part[heads], np.diff(np.append(heads, len(part)))))
                     size += len(heads)
             if size > HELD:
-                yield from told()
-                size = 0
+                for key, parts in held.items():
+                    held[key] = [_summed(parts)]
+                size = sum(len(parts[0][0]) for parts in held.values())
+                if 2 * size > HELD:
+                    yield from told()
+                    size = 0
         yield from told()
     return run
 
@@ -285,7 +292,7 @@ def _exact_counts(sets, longest: int):
     Inside a portion a phrase is known by the number of its first words and its last word, so no two are taken for one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         candidates = sets.value
-        for batch in _portions(batches):
+        for batch in _portions(batches, PHRASE_PORTION):
             words = split(batch.column("text"))
             langs = batch.column("lang").dictionary_encode()
             lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.text]
@@ -308,10 +315,11 @@ def _exact_counts(sets, longest: int):
                 known, numbered = np.zeros(len(word), bool), np.zeros(len(word), np.int64)
                 known[may], numbered[may] = True, back
                 number = numbered
-                at = may[first]
-                parts = [words.names.take(pa.array(words.at[at + j])) for j in range(size)]
-                phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0]
-                yield _counted(names, lang[at], size, phrase, n)
+                for some in range(0, len(first), ROWS):
+                    at = may[first[some:some + ROWS]]
+                    parts = [words.names.take(pa.array(words.at[at + j])) for j in range(size)]
+                    phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0]
+                    yield _counted(names, lang[at], size, phrase, n[some:some + ROWS])
     return run
 
 
@@ -358,6 +366,8 @@ def frequent_in_a_shard(dealt: DataFrame, support: int = SUPPORT, longest: int =
         slim = least.select("lang", "least")
         known = packed.join(F.broadcast(slim), "lang") if small else salted_join(packed, slim, "lang")
         found.append(cut(known.groupBy("lang", "run").applyInArrow(_frequent(shards, support, packing), "lang string, shard int, h bigint")))
+        if shared:
+            shared.destroy()  # the counts are written; the workers go on to the next pass without these sets
         if lengths[-1] < 3:
             sets.append(bit_set(found[-1], F.col("h").bitwiseXOR(F.xxhash64("lang", "shard"))))
     return found

@@ -145,3 +145,23 @@ def test_long_texts_come_in_parts(monkeypatch):
         return sorted(tuple(w.names[int(w.at[i + k])].as_py() for k in range(2)) for b in batches for w in [phrases.split(b.column("text"))] for i in w.run(2))
 
     assert runs(parts) == runs([batch])
+
+
+def test_last_pass_hands_on_short_batches(monkeypatch):
+    """In a table of copies every phrase is frequent, so a portion's phrases may be as many as its words."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(phrases, "ROWS", 5)
+    monkeypatch.setattr(phrases, "PHRASE_PORTION", 40)
+    text = " ".join(f"w{i}" for i in range(8))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 4, "seed": pa.array([7] * 4, pa.int64()), "text": [text] * 4})
+    every = SimpleNamespace(value=phrases.BitSet(15, b"\xff" * (1 << 12)))
+    got, most = {}, 0
+    for out in phrases._exact_counts(every, 3)(iter([batch])):
+        most = max(most, out.num_rows)
+        for row in out.to_pylist():
+            got[row["size"], row["phrase"]] = got.get((row["size"], row["phrase"]), 0) + row["n"]
+    words = text.split()
+    want = {(k, " ".join(words[i:i + k])): 4 for k in (1, 2, 3) for i in range(9 - k)}
+    assert got == want | {(0, ""): 32}
+    assert most <= 5
