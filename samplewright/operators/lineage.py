@@ -19,7 +19,7 @@ from samplewright.functions import text as t
 from samplewright.operators.contract import Contracted, contract
 from samplewright.operators.ranking import dense_index, first_rows
 from samplewright.operators.resolve import resolve_identifiers
-from samplewright.operators.skew import BROADCAST_ROWS, hot_ways, salted_join
+from samplewright.operators.skew import BROADCAST_ROWS, FILTER_ROWS, among, hot_ways, salted_join
 from samplewright.session import cut, scratch_path
 
 _FAR = {"up": ("child_uid", "parent_uid"), "down": ("parent_uid", "child_uid")}
@@ -42,9 +42,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 class Edges:
     """A table of edges that walks look up by one of its ends.
 
-    While what is looked up is small, it is broadcast and the edges stay where they are. The first time it is not, the edges are
-    shuffled; the second time they are written once more, in buckets of the end they are looked up by, and from then on only the
-    looked-up rows move. Hubs, whose edges would make one bucket long, are kept apart and their rows are spread.
+    While what is looked up is small, it is broadcast and the edges stay where they are. Up to `FILTER_ROWS` rows, only the edges
+    that pass a table of bits are shuffled. The first time there are more, all edges are shuffled; the second time they are written
+    once more, in buckets of the end they are looked up by, and from then on only the looked-up rows move. Hubs, whose edges would
+    make one bucket long, are kept apart and their rows are spread.
     """
 
     def __init__(self, edges: DataFrame):
@@ -84,6 +85,8 @@ class Edges:
         if rows <= BROADCAST_ROWS:
             return self.step(direction).join(F.broadcast(frontier), "uid")
         # Both sides are long here, whatever size the planner guesses from the files below: neither is broadcast.
+        if rows <= FILTER_ROWS:
+            return salted_join(among(self.step(direction), "uid", frontier, rows), frontier, "uid", "inner", self.hubs(direction), merged=True)
         if direction not in self._shuffled:
             self._shuffled.add(direction)
             return salted_join(self.step(direction), frontier, "uid", "inner", self.hubs(direction), merged=True)
@@ -166,20 +169,25 @@ class Trees:
         placed = starts.join(self.inputs, key).select("block", "uid", F.expr("shiftleft(1L, bit)").alias("mask"))
         both = carried(placed, self.edges, "up", ["block"]).union(carried(placed, self.edges, "down", ["block"]))
         self.members = cut(both.groupBy("block", "uid").agg(F.bit_or("mask").alias("mask")))
-        self._few = self.members.count() <= BROADCAST_ROWS
+        self._n = self.members.count()
 
-    def _held(self, members: DataFrame) -> DataFrame:
-        return F.broadcast(members) if self._few else members
+    def _met(self, rows: DataFrame, members: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+        """Rows joined to members. Many members are merged, with the rows that may be one: a node lies in many blocks, so there are
+        fewer nodes than members, and rows are long."""
+        if self._n <= BROADCAST_ROWS:
+            return rows.join(F.broadcast(members), by)
+        return among(rows, key, members, self._n).join(members.hint("merge"), by)
 
     def node_rows(self) -> DataFrame:
         """(block, uid, mask, sampletype, parent) of the members that have a row among the nodes."""
-        return self.nodes.select("uid", "sampletype", "parent").join(self._held(self.members), "uid").select("block", "uid", "mask", "sampletype", "parent")
+        return self._met(self.nodes.select("uid", "sampletype", "parent"), self.members, "uid", ["uid"]).select("block", "uid", "mask", "sampletype", "parent")
 
     def rel_rows(self) -> DataFrame:
         """Edges with both ends in a tree, with the bits of the trees: (block, child_uid, parent_uid, …, mask)."""
         child = self.members.select("block", F.col("uid").alias("child_uid"), F.col("mask").alias("_c"))
         parent = self.members.select("block", F.col("uid").alias("parent_uid"), F.col("mask").alias("_p"))
-        rels = self.edges.table.join(self._held(child), "child_uid").join(self._held(parent), ["block", "parent_uid"])
+        ends = self._met(self.edges.table, child, "child_uid", ["child_uid"])
+        rels = self._met(ends, parent, "parent_uid", ["block", "parent_uid"])
         shared = rels.withColumn("mask", F.col("_c").bitwiseAND(F.col("_p"))).where("mask <> 0")
         return shared.select("block", *self.edges.table.columns, "mask").distinct()
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
 from samplewright.operators.ranking import first_by
-from samplewright.operators.skew import lookup_join
+from samplewright.operators.skew import among, lookup_join
 from samplewright.session import cut
 
 
@@ -149,15 +149,17 @@ def match_rules(df: DataFrame, key: str, rules: Sequence[tuple[str, str | None]]
 def resolve_identifiers(ids: DataFrame, samples: DataFrame) -> DataFrame:
     """UIDs and numeric ids, mixed, to samples. Adds `sample_id` and `uid`, both null when unknown.
 
-    The samples are merged, never broadcast: files of keys are small beside the uids made from them, so the size that the planner
+    Samples that are not asked for are sifted out where they lie. The others are merged, never broadcast: files of keys are small beside the uids made from them, so the size that the planner
     guesses from the files may let a table of millions of uids pass for a small one, and a broadcast is built on the driver.
     """
     key = t.norm("identifier")
     asked = ids.withColumn("_num", F.when(key.rlike(r"^\d+$"), key.try_cast("bigint"))).withColumn(
         "_uid", F.when(F.col("_num").isNull(), key)
     )
-    by_id = samples.select(F.col("sample_id").alias("_num"), F.col("uid").alias("_uid_a")).hint("merge")
-    by_uid = samples.select(F.col("uid").alias("_uid"), F.col("sample_id").alias("_id_b"), F.lit(True).alias("_held")).hint("merge")
+    by_id = samples.select(F.col("sample_id").cast("bigint").alias("_num"), F.col("uid").alias("_uid_a"))
+    by_uid = samples.select(F.col("uid").alias("_uid"), F.col("sample_id").alias("_id_b"), F.lit(True).alias("_held"))
+    n = ids.count()
+    by_id, by_uid = (among(by, key, asked, n).hint("merge") for by, key in ((by_id, "_num"), (by_uid, "_uid")))
     # Each kind meets its own key only, so no null key gathers the other kind in one task.
     numbers = asked.where("_num IS NOT NULL").join(by_id, "_num", "left").select(
         *ids.columns, F.when(F.col("_uid_a").isNotNull(), F.col("_num")).alias("sample_id"), F.col("_uid_a").alias("uid"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import ceil
+from math import ceil, log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ PARTS = 200
 MOST_PARTS = 20_000
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+FILTER_ROWS = 4_000_000  # keys of a bit table: 16 bits each and at most twice as many, 16 MB
 
 
 def parts(df: DataFrame) -> int:
@@ -89,3 +90,26 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
         top = reduced.where((F.col(count) * n >= size["left_rows"]) & F.col(key).isNotNull()).select(key, count).collect()
         hot = {row[key]: ways(row[count], size["left_rows"], n) for row in top}
     return salted_join(left, slim, key, how, hot)
+
+
+def among(rows: DataFrame, key: str, few: DataFrame, n: int, own: str | None = None) -> DataFrame:
+    """The rows whose key may be in column `own` (by default `key`) of `few`, a table of `n` rows: all that are, and about one in
+    sixteen of the others. Rows without a key go. Beyond `FILTER_ROWS` all rows stay.
+
+    What is broadcast is a table of bits set by the hashes of the keys, so a long table is cut down where it lies before a join
+    shuffles it.
+    """
+    if n > FILTER_ROWS:
+        return rows
+    if rows.schema[key].dataType != few.schema[own or key].dataType:
+        raise ValueError("keys of different types have different hashes")
+    bits = max(12, ceil(log2(16 * max(n, 1))))
+    at = lambda c: F.shiftrightunsigned(F.xxhash64(F.col(c)), 64 - bits)
+    held = few.where(F.col(own or key).isNotNull()).select(at(own or key).alias("_at"))
+    words = held.groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_at & 63 as int)))").alias("_bits"))
+    lines = words.groupBy(F.shiftright("_word", 6).alias("_line")).agg(
+        F.array(*[F.expr(f"coalesce(max(case when _word & 63 = {i} then _bits end), 0L)") for i in range(64)]).alias("_set"))
+    placed = rows.where(F.col(key).isNotNull()).withColumn("_at", at(key)).withColumn("_line", F.shiftright("_at", 12))
+    met = placed.join(F.broadcast(lines), "_line").where(
+        "getbit(get(_set, cast(shiftright(_at, 6) & 63 as int)), cast(_at & 63 as int)) = 1")
+    return met.select(*rows.columns)

@@ -9,14 +9,14 @@ from samplewright.model import local_table
 from samplewright.operators import checks, lineage, load, ranking, resolve, search, textindex
 from samplewright.plans import registry as r
 from samplewright.plans.base import Book
-from samplewright.session import cut
+from samplewright.session import cut, stored
 
 book = Book()
 REC = r.with_sql(r.NODES_SQL, recursive=True)
 
 
 def _edges(spark, sf):
-    return cut(lineage.lineage_edges(r.nodes(spark, sf)))
+    return stored(lineage.lineage_edges(r.nodes(spark, sf)), "edges")
 
 
 def _closed(start: str, direction: str) -> str:

@@ -54,6 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a long table of texts to the shared folder in columns, packed, and go on from there. It takes a fraction of the room of
+    `cut`, and the planner takes it for as small as its files: join it with `hint("merge")`. The order of rows is not kept."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, ways: int = 32) -> DataFrame:
     """Deal out a scan that has fewer partitions than there are cores, such as one small file, at most `ways` ways per
     partition. A scan with enough partitions stays as it is."""

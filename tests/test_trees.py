@@ -6,7 +6,7 @@ import re
 import pytest
 from tests.test_lineage import reach
 
-from samplewright.operators import lineage
+from samplewright.operators import lineage, skew
 
 EDGE, NODE = "child_uid string, parent_uid string", "uid string, sampletype string, parent string"
 
@@ -85,3 +85,26 @@ def test_bits_carried_round_a_cycle(spark):
     starts = spark.createDataFrame([("a", 1), ("d", 2), ("d", 4)], "uid string, mask bigint")
     assert {(r.uid, r.mask) for r in lineage.carried(starts, edges, "up").collect()} == {("a", 7), ("b", 7), ("c", 7), ("d", 6)}
     assert {(r.uid, r.mask) for r in lineage.carried(starts, edges, "up", own=False).collect()} == {("a", 7), ("b", 7), ("c", 7)}
+
+
+@pytest.mark.parametrize("n", [1, 700])
+def test_a_table_of_bits_loses_no_row_and_lets_few_others_pass(spark, n):
+    rows = spark.range(20_000).selectExpr("id", "if(id % 1000 = 999, null, concat('u', id)) as uid")
+    few = spark.range(n).selectExpr("concat('u', id * 7) as k").union(spark.sql("select cast(null as string)"))
+    got = skew.among(rows, "uid", few, n + 1, "k")
+    assert got.columns == ["id", "uid"]
+    kept = {r["uid"] for r in got.collect()}
+    wanted = {f"u{7 * i}" for i in range(n) if 7 * i % 1000 != 999}
+    assert wanted <= kept and None not in kept
+    assert len(kept) <= len(wanted) + 20_000 // 8
+
+
+def test_long_tables_are_cut_down_before_they_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 0)
+    pairs = [(f"c{i}", f"p{i // 3}") for i in range(6_000)]
+    edges = lineage.Edges(spark.createDataFrame(pairs, "child_uid string, parent_uid string"))
+    frontier = spark.createDataFrame([("p5",), ("p9",)], "uid string")
+    met = edges.meet("down", frontier, 2)
+    assert {r["_next"] for r in met.collect()} == {f"c{i}" for i in (15, 16, 17, 27, 28, 29)}
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "getbit" in plan and not edges._shuffled
