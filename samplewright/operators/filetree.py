@@ -11,8 +11,8 @@ from samplewright.functions import paths as p
 from samplewright.functions import text as t
 from samplewright.model import IMAGE_TYPES, MANIFEST_COLUMNS
 from samplewright.operators.ranking import dense_index, first_rows
-from samplewright.operators.skew import lookup_join
-from samplewright.session import cut
+from samplewright.operators.skew import fits, hot_ways, lookup_join, salted_join
+from samplewright.session import cut, stored
 
 
 def figure_files(files: DataFrame) -> DataFrame:
@@ -114,13 +114,19 @@ def content_duplicates(files: DataFrame) -> DataFrame:
 
 
 def _on_disk(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Manifest rows to move, with `src` and `dst` sizes from the listing (null when absent)."""
-    listing = files.select("path", F.col("length").alias("_len"))
+    """Manifest rows to move, with `src` and `dst` sizes from the listing (null when absent).
+
+    The listing is written once and looked up from there by both paths. A long one is merged; targets that many rows share are read
+    off the manifest, before anything is joined to it.
+    """
+    listing = stored(files.select("path", F.col("length").alias("_len")), "listing")
+    moving = manifest.where(F.col("target_storage") != "skip")
     src = listing.toDF("original_path", "src_length")
     dst = listing.toDF("target_relpath", "dst_length")
-    return lookup_join(
-        manifest.where(F.col("target_storage") != "skip").join(src, "original_path", "left"), dst, "target_relpath", "left"
-    )
+    if fits(listing):
+        return moving.join(F.broadcast(src), "original_path", "left").join(F.broadcast(dst), "target_relpath", "left")
+    hot = hot_ways(moving, "target_relpath")
+    return salted_join(moving.join(src.hint("merge"), "original_path", "left"), dst, "target_relpath", "left", hot, merged=True)
 
 
 def verify_disk(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -69,6 +69,12 @@ def salted_join(
     return salted.join(copied.hint("merge") if merged else copied, [key, "_salt"], how).drop("_salt")
 
 
+def fits(table: DataFrame) -> bool:
+    """Whether a written table is small enough to broadcast: `BROADCAST_ROWS` rows and `BROADCAST_BYTES` bytes at most."""
+    size = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.to_json(F.struct(*table.columns)))).alias("bytes")).first()
+    return size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", count: str | None = None) -> DataFrame:
     """Join rows to a reduced table of one row per key.
 

@@ -11,7 +11,7 @@ from samplewright.model import local_table
 from samplewright.operators import deposit, filetree, pulls
 from samplewright.plans import registry as r
 from samplewright.plans.base import Book
-from samplewright.session import spread
+from samplewright.session import spread, stored
 
 book = Book()
 
@@ -130,10 +130,11 @@ moved AS (SELECT *, (k // {_N}) % 5 AS st FROM walked WHERE category <> 'comsol-
 
 
 def _disk(spark, sf):
-    """A manifest and a listing: files at their source, at their target, at both, changed in size, or gone."""
-    plan = filetree.classify_listing(files(spark, sf)).where("category <> 'comsol-model'").select(
+    """A manifest, written once so that its rules run once, and a listing: files at their source, at their target, at both, changed in
+    size, or gone."""
+    plan = stored(filetree.classify_listing(files(spark, sf)).where("category <> 'comsol-model'").select(
         F.col("k").cast("string").alias("id"), F.col("path").alias("original_path"), "target_relpath", "target_storage",
-        F.col("length").alias("size_bytes"), "k")
+        F.col("length").alias("size_bytes"), "k"), "plan")
     state = F.expr(f"(k div {_N}) % 5")
     moving = plan.where("target_storage <> 'skip'")
     listing = moving.where(state.isin(0, 3)).select(F.col("original_path").alias("path"), F.col("size_bytes").alias("length")).union(
@@ -169,9 +170,9 @@ seen AS (SELECT m.*, s.length AS src_length, d.length AS dst_length FROM moving
 
 def _whole_disk(spark, sf):
     """As `_disk`, with the files whose targets collide: what lies at a shared target is one file."""
-    plan = filetree.classify_listing(files(spark, sf)).select(
+    plan = stored(filetree.classify_listing(files(spark, sf)).select(
         F.col("k").cast("string").alias("id"), F.col("path").alias("original_path"), "target_relpath", "target_storage",
-        F.col("length").alias("size_bytes"), "k")
+        F.col("length").alias("size_bytes"), "k"), "plan")
     state = F.expr(f"(k div {_N}) % 5")
     moving = plan.where("target_storage <> 'skip'")
     here = moving.where(state.isin(0, 3)).select(F.col("original_path").alias("path"), F.col("size_bytes").alias("length"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
 from samplewright.operators import filetree
+from samplewright.plans import trees
 from samplewright.plans.files import render_workbook
 from samplewright.session import scratch_path
 from samplewright.sinks import writers
@@ -253,3 +254,27 @@ def test_the_active_sheet_stands_in_for_samples(spark):
     got = {r["file"]: r["sheet"] for r in sheets.pick_sheet(cells).where("row_n = 2").collect()}
     assert got == {"two": "B", "none": "A", "named": "Samples"}
     assert {r["sheet"] for r in sheets.pick_sheet(cells, "A").collect()} == {"A"}
+
+def test_a_listing_is_read_once_and_shared_targets_are_right(spark):
+    """The rules of a listing run once per file, whichever of its paths is looked up."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    plan = spark.createDataFrame(
+        [("1", "a", "t", "zenodo", 5), ("2", "b", "t", "zenodo", 6), ("3", "c", "u", "omero", 7), ("4", "d", "", "skip", 8)],
+        "id string, original_path string, target_relpath string, target_storage string, size_bytes bigint")
+    disk = spark.createDataFrame([("a", 5), ("t", 6), ("c", 7)], "path string, length bigint").mapInArrow(counted, "path string, length bigint")
+    got = {r["id"]: (r["dst_length"], r["status"]) for r in filetree.verify_disk(plan, disk).collect()}
+    assert got == {"1": (6, "size_drift"), "2": (6, "ok"), "3": (None, "not_moved")}
+    assert seen.value == 3
+
+
+def test_disk_checks_run_the_path_rules_once(spark):
+    """Plan and listing of the disk queries come from a written plan, not from the orders again."""
+    for made in (trees._disk, trees._whole_disk):
+        for part in made(spark, "/root/testdata/sf0.001"):
+            assert all("/plan-" in path for path in part.inputFiles())
