@@ -7,9 +7,12 @@ that cannot be narrowed by the others falls back on the scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,8 @@ from samplewright.operators.search import advanced_search
 from samplewright.session import scratch_path
 
 GRAM = 3
-RUN = 1 << 16  # rows of one posting list at most: a frequent trigram has a list per run of row numbers
+RUN = 1 << 14  # a frequent trigram has a list per run of row numbers, which are less than this apart
+_LISTS = pa.schema([("attr", pa.string()), ("gram", pa.string()), ("run", pa.int64()), ("at", pa.list_(pa.int16()))])
 
 
 def grams(text: str) -> list[str]:
@@ -43,11 +47,9 @@ class TextIndex:
         slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows.withColumn("_id", F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
         held = spark.read.parquet(f"{path}/rows")  # the numbers must not be drawn again
-        cells = held.select("_id", F.explode("attrs").alias("attr", "value")).where(F.length("value") >= GRAM)
-        low = F.lower("value")
-        each = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substring(low, i, F.lit(GRAM))))
-        posts = cells.where(F.length(low) >= GRAM).select("_id", "attr", F.explode(each).alias("gram"))
-        lists = posts.withColumn("run", F.expr(f"_id div {RUN}")).groupBy("attr", "gram", "run").agg(F.sort_array(F.collect_list("_id")).alias("ids"))
+        low = F.transform(F.map_values("attrs"), lambda v: F.lower(v))
+        lists = held.select("_id", F.map_keys("attrs").alias("keys"), low.alias("lows")).mapInArrow(
+            _posted, "attr string, gram string, run bigint, at array<smallint>")
         placed = lists.withColumn("slot", _slot(F.col("gram"), slots))
         placed.repartition("slot").sortWithinPartitions("slot", "gram", "attr", "run").write.partitionBy("slot").parquet(f"{path}/lists")
         spark.range(1).select(F.lit(slots).alias("slots")).write.parquet(f"{path}/slots")
@@ -62,9 +64,9 @@ class TextIndex:
         lists = self.lists.where(F.col("slot").isin(slots) & F.col("gram").isin(wanted))
         if attributes:
             lists = lists.where(F.col("attr").isin(*attributes))
-        met = lists.groupBy("attr", "run").agg(F.collect_list("ids").alias("_lists")).where(F.size("_lists") == len(wanted))
+        met = lists.groupBy("attr", "run").agg(F.collect_list("at").alias("_lists")).where(F.size("_lists") == len(wanted))
         both = F.reduce(F.slice("_lists", F.lit(2), F.size("_lists")), F.get("_lists", F.lit(0)), lambda a, b: F.array_intersect(a, b))
-        return met.select("attr", F.explode(both).alias("_id"))
+        return met.select("attr", "run", F.explode(both).alias("_at")).select("attr", (F.col("run") + F.col("_at")).alias("_id"))
 
     def _rows_with(self, text: str, attributes: Sequence[str], logic: str) -> DataFrame:
         cells = self._holding(text, attributes)
@@ -95,3 +97,46 @@ class TextIndex:
 
 def _slot(gram: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(slots)).cast("int")
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists (attr, gram, run, at) of rows (_id, keys, lows). A run is named by its first row and lies in one batch, so its lists
+    are whole without a shuffle of single posts; `at` are the distances of its rows from the first one."""
+    for batch in batches:
+        ids, start = batch.column("_id").to_numpy(), 0
+        while start < len(ids):
+            out = np.flatnonzero((ids[start:] < ids[start]) | (ids[start:] - ids[start] >= RUN))
+            stop = start + int(out[0]) if len(out) else len(ids)
+            part = batch.slice(start, stop - start)
+            yield from _lists_of_run(ids[start:stop], part.column("keys"), part.column("lows"))
+            start = stop
+
+
+def _lists_of_run(ids: np.ndarray, keys: pa.ListArray, lows: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    per_row = pc.list_value_length(lows).fill_null(0).to_numpy()
+    at = np.repeat((ids - ids[0]).astype(np.int16), per_row)
+    attrs, texts = keys.flatten().dictionary_encode(), lows.flatten().fill_null("")
+    names, attr = attrs.dictionary, attrs.indices.to_numpy()
+    sizes = pc.utf8_length(texts).to_numpy().astype(np.int64)
+    # Code points of all texts one after another; a trigram is three of them in one number.
+    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    begins = np.cumsum(sizes) - sizes
+    for i, name in enumerate(names.to_pylist()):
+        mine = np.flatnonzero((attr == i) & (sizes >= GRAM))
+        if not len(mine):
+            continue
+        count = sizes[mine] - (GRAM - 1)
+        ends = np.cumsum(count)
+        first = np.arange(ends[-1]) + np.repeat(begins[mine] - (ends - count), count)
+        gram = codes[first] << 42 | codes[first + 1] << 21 | codes[first + 2]
+        order = np.argsort(gram, kind="stable")  # rows stay in order
+        gram, rows = gram[order], np.repeat(at[mine], count)[order]
+        fresh = np.append(True, (gram[1:] != gram[:-1]) | (rows[1:] != rows[:-1]))
+        gram, rows = gram[fresh], rows[fresh]
+        heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        named = gram[heads]
+        text = np.stack([named >> 42, named >> 21 & 0x1FFFFF, named & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        n = len(heads)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([name] * n, pa.string()), pa.array([text[j:j + GRAM] for j in range(0, GRAM * n, GRAM)], pa.string()), pa.array(np.full(n, ids[0])),
+            pa.ListArray.from_arrays(pa.array(np.append(heads, len(rows)).astype(np.int32)), pa.array(rows))], schema=_LISTS)

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tests.test_ranges import files_under
 
@@ -74,3 +76,24 @@ def test_pages_of_little(spark):
     assert ranking.page(df.limit(0), ["id"], 1, 2, shallow=0).count() == 0
     with pytest.raises(ValueError):
         ranking.page(df, ["id"], 0, 2)
+
+
+def test_a_text_that_grows_in_lower_case_is_indexed(spark):
+    """Two characters that are three in lower case have a trigram, which search and index must agree on."""
+    rows = spark.createDataFrame([(1, "ORD", {"Notes": "İx"}), (2, "ORD", {"Notes": "ix"})], KIND)
+    found = textindex.TextIndex.build(rows, slots=2).search(["İx"], (), ["Notes"])
+    assert [r.row_n for r in found.collect()] == [r.row_n for r in search.advanced_search(rows, ["İx"], (), ["Notes"]).collect()] == [1]
+
+
+def test_posting_lists_of_runs_against_plain_lists():
+    """Rows with gaps between their numbers, several batches, and texts beyond the basic plane."""
+    rnd = random.Random(5)
+    ids = np.array([0, 3, textindex.RUN - 1, textindex.RUN, 5 * textindex.RUN, 2, 1 << 33, (1 << 33) + 1])
+    cells = [{a: "".join(rnd.choices("ab漢😀 ", k=rnd.randrange(0, 9))) for a in "xyz"[:rnd.randrange(0, 4)]} for _ in ids]
+    cells[1]["x"] = None
+    kind = pa.list_(pa.string())
+    batches = [pa.record_batch([pa.array(ids[i:j]), pa.array([list(c) for c in cells[i:j]], kind), pa.array([list(c.values()) for c in cells[i:j]], kind)],
+                               ["_id", "keys", "lows"]) for i, j in ((0, 6), (6, 8))]
+    got = [(r["attr"], r["gram"], r["run"] + at) for b in textindex._posted(iter(batches)) for r in b.to_pylist() for at in r["at"]]
+    want = {(a, v[i:i + 3], int(n)) for n, c in zip(ids, cells, strict=True) for a, v in c.items() if v for i in range(len(v) - 2)}
+    assert len(got) == len(set(got)) and set(got) == want
