@@ -48,6 +48,14 @@ def route_pending(rows: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, Dat
     return rows.join(known, "sampletype", "left_semi"), rows.join(known, "sampletype", "left_anti")
 
 
+def _first_seen(samples: DataFrame) -> DataFrame:
+    """(field, at) of the payload keys, `at` being the first row and place. Rows are first reduced per key and place, by numbers that a
+    hash table can hold; a least struct of every cell would be found by sorting all cells."""
+    cells = samples.select("row_n", F.posexplode(F.map_keys("attrs")).alias("pos", "field"))
+    places = cells.groupBy("field", "pos").agg(F.min("row_n").alias("row_n"))
+    return places.groupBy("field").agg(F.min(F.struct("row_n", "pos")).alias("at"))
+
+
 def column_order(sampletype: str, catalogue: DataFrame, samples: DataFrame) -> list[str]:
     """UID, then required, standard and possible fields of the type, then unseen keys in first-seen order.
 
@@ -57,11 +65,7 @@ def column_order(sampletype: str, catalogue: DataFrame, samples: DataFrame) -> l
     if len(row) != 1:
         raise KeyError(f"sample type {sampletype!r} is not in the catalogue")
     listed = ["UID", *(row[0]["required"] or []), *(row[0]["standard"] or []), *(row[0]["possible"] or [])]
-    seen = (
-        samples.where(F.col("sampletype") == sampletype)
-        .select("row_n", F.posexplode(F.map_keys("attrs")).alias("pos", "field"))
-        .groupBy("field").agg(F.min(F.struct("row_n", "pos")).alias("at")).orderBy("at")
-    )
+    seen = _first_seen(samples.where(F.col("sampletype") == sampletype)).orderBy("at")
     return list(dict.fromkeys([*listed, *[r["field"] for r in seen.select("field").collect()]]))
 
 

@@ -96,3 +96,44 @@ def test_the_last_value_of_a_repeated_key_counts(spark):
     texts = ['{"a":"1","b":"2","a":"3"}', '{"a":"1","a":null}', '{"a":{"a":1},"b":[1],"a":"x"}', '{"a":1} x', "[]", "", None]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, j string").select("i", t.payload("j").alias("m"))
     assert [r["m"] for r in df.orderBy("i").collect()] == [{"a": "3", "b": "2"}, {"a": None}, {"a": "x", "b": "[1]"}, None, None, None, None]
+
+
+def test_first_seen_keys_are_reduced_before_any_sort(spark):
+    """Keys in the order of their first row and place; all cells go into a hash table, none into a sort."""
+    from samplewright.operators import flat
+
+    maps = [(3, "map('a', '1', 'b', '2')"), (2, "map('c', '1', 'b', '2')"), (5, "map('z', '1', 'a', '1')"), (2, "map('d', 'x')")]
+    rows = spark.sql(" UNION ALL ".join(f"SELECT {n}L AS row_n, {m} AS attrs" for n, m in maps))
+    seen = flat._first_seen(rows)
+    assert {r["field"]: tuple(r["at"]) for r in seen.collect()} == {"a": (3, 0), "b": (2, 1), "c": (2, 0), "d": (2, 0), "z": (5, 0)}
+    steps = [line for line in seen._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate(" in line]
+    assert "HashAggregate(" in steps[-1]
+
+
+def counted(rows):
+    """The rows, and a counter of how many of them were read."""
+    seen = rows.sparkSession.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return rows.mapInArrow(read, rows.schema), seen
+
+
+def test_payloads_are_read_once_for_dispositions_and_parents(spark):
+    from samplewright.operators import resolve
+
+    rows = spark.createDataFrame([
+        ("A", "1.xlsx", 2, "U1", "T", "U2; gone", "Known", "{}"), ("A", "1.xlsx", 3, " U2", "T", "old", "Odd", "{}")], UPLOAD_KIND)
+    cache = spark.createDataFrame([("Known", 1)], "title string, assay_id bigint")
+    synonyms = spark.createDataFrame([("Alias", "Known")], "cited string, canonical string")
+    issues = spark.createDataFrame([("bad_json", 2, "1.xlsx", 2)], "code string, severity int, file string, row_n bigint")
+    once, seen = counted(rows)
+    found = checks.disposition_rows(checks.prepare(once), issues, cache, synonyms).collect()
+    assert {r["uid"]: "bad_json" in r["reasons"] for r in found} == {"U1": True, " U2": False} and seen.value == 2
+    once, seen = counted(rows)
+    baseline = spark.createDataFrame([("old", "T", "x")], "uid string, sampletype string, name string")
+    got = {r["parent_uid"]: r["status"] for r in resolve.resolve_parents(checks.prepare(once), baseline).collect()}
+    assert got == {"U2": "intra", "gone": "missing", "old": "baseline"} and seen.value == 2
