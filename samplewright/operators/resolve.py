@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from samplewright.functions import text as t
 from samplewright.operators.ranking import first_by
 from samplewright.operators.skew import among, lookup_join
-from samplewright.session import cut
+from samplewright.session import stored
 
 
 def known_uids(upload: DataFrame, baseline: DataFrame | None) -> DataFrame:
@@ -27,6 +27,14 @@ def parent_refs(rows: DataFrame, keep: Sequence[str] = ("row_n", "uid", "samplet
     return rows.select(*keep, F.explode(t.split_list(cell)).alias("parent_uid")).where(~t.holds_any("parent_uid"))
 
 
+def _cited(rows: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(uids and cited parents of the rows, one row per citation), read from one written table, so that payloads are parsed once."""
+    cell = t.parent_cell("parent", "attrs") if "attrs" in rows.columns else t.filled("parent")
+    parents = F.filter(t.split_list(cell), lambda p: ~t.holds_any(p))
+    held = stored(rows.select(*dict.fromkeys([*keep, "uid"]), parents.alias("_cited")), "cited")
+    return held, held.select(*keep, F.explode("_cited").alias("parent_uid"))
+
+
 def _status() -> Column:
     return F.when(F.col("origin") == 0, "intra").when(F.col("origin") == 1, "baseline").otherwise("missing")
 
@@ -52,9 +60,9 @@ def parent_status(rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
 
 def resolve_parents(rows: DataFrame, baseline: DataFrame | None, keep=("row_n", "uid", "sampletype")) -> DataFrame:
     """Every cited parent with its status intra / baseline / missing; the upload wins over the baseline. Payloads are read once:
-    the citations are written, then tallied and joined from there."""
-    refs = cut(parent_refs(rows, keep))
-    return lookup_join(refs, _status_of(refs, rows, baseline), "parent_uid", count="n_refs")
+    uids and citations are written, then tallied and joined from there."""
+    held, refs = _cited(rows, keep)
+    return lookup_join(refs, _status_of(refs, held, baseline), "parent_uid", count="n_refs")
 
 
 def parent_tally(rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
@@ -65,8 +73,8 @@ def parent_tally(rows: DataFrame, baseline: DataFrame | None) -> DataFrame:
 def missing_parents(rows: DataFrame, baseline: DataFrame | None, keep=("row_n", "uid", "sampletype")) -> DataFrame:
     """The citations whose parent is neither in the upload nor in the baseline. Few parents are missing as a rule,
     and then the rows are not shuffled."""
-    refs = cut(parent_refs(rows, keep))
-    lost = _status_of(refs, rows, baseline).where("status = 'missing'").drop("status")
+    held, refs = _cited(rows, keep)
+    lost = _status_of(refs, held, baseline).where("status = 'missing'").drop("status")
     return lookup_join(refs, lost, "parent_uid", count="n_refs")
 
 

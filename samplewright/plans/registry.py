@@ -114,7 +114,10 @@ def _mod(key: str, n: int, rest: int = 0) -> Column:
 
 
 def order_upload(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as flat upload rows with every kind of defect; `row_n` is unique."""
+    """Orders as flat upload rows with every kind of defect; `row_n` is unique.
+
+    Cells are made in layers and the payload's text from them: one expression of everything becomes a method too long to be compiled.
+    """
     k = "o_orderkey"
     text = lambda *p: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in p])
     kind = F.when(_mod(k, 503, 7), "ORX").otherwise("ORD")
@@ -136,20 +139,23 @@ def order_upload(spark: SparkSession, sf: str) -> DataFrame:
         .when(_mod(k, 5, 1), "https://OMERO.example.org/show").when(_mod(k, 5, 2), "https://www.ncbi.nlm.nih.gov/geo/query/acc.cgi?acc=GSM1")
         .when(_mod(k, 5, 3), "http://example.org/x").otherwise("local path")
     )
-    extra = F.when(_mod(k, 101, 3), text('"Parent":"', customer, '",')).otherwise("")
+    clerk = F.when(_mod(k, 41), "").otherwise(text("clerk ", F.pmod(F.col(k), F.lit(7)).cast("string")))
+    checksum = F.when(_mod(k, 37), "").otherwise(text("c", _cast(k)))
+    made = layer(spread(table(spark, sf, "orders")), uid=uid, name=text("order ", name), customer=customer)
+    made = layer(layer(made, parent=parent, notes=notes, clerk=clerk), file_cell=file, link=link, checksum=checksum)
+    extra = F.when(_mod(k, 101, 3), text('"Parent":"', F.col("customer"), '",')).otherwise("")
     json = text(
-        '{"UID":"', uid, '","Name":"order ', name, '",', extra, '"Status":"', F.col("o_orderstatus"), '","Clerk":"',
-        F.when(_mod(k, 41), "").otherwise(text("clerk ", F.pmod(F.col(k), F.lit(7)).cast("string"))), '","Notes":"', notes,
-        '","File_PrimaryData":"', file, '","Link_PrimaryData":"', link, '","Checksum_PrimaryData":"',
-        F.when(_mod(k, 37), "").otherwise(text("c", _cast(k))), '","Subjet ID":"', F.when(_mod(k, 89), "s").otherwise(""), '"}',
+        '{"UID":"', F.col("uid"), '","Name":"', F.col("name"), '",', extra, '"Status":"', F.col("o_orderstatus"), '","Clerk":"', F.col("clerk"),
+        '","Notes":"', F.col("notes"), '","File_PrimaryData":"', F.col("file_cell"), '","Link_PrimaryData":"', F.col("link"),
+        '","Checksum_PrimaryData":"', F.col("checksum"), '","Subjet ID":"', F.when(_mod(k, 89), "s").otherwise(""), '"}',
     )
-    broken = F.when(_mod(k, 401, 9), F.left(json, F.lit(20))).when(_mod(k, 409, 10), F.lit("[1,2]")).when(
-        _mod(k, 419, 11), F.lit("")).otherwise(json)
-    return spread(table(spark, sf, "orders")).select(
+    broken = F.when(_mod(k, 401, 9), F.left("json", F.lit(20))).when(_mod(k, 409, 10), F.lit("[1,2]")).when(
+        _mod(k, 419, 11), F.lit("")).otherwise(F.col("json"))
+    return layer(made, json=json).select(
         text("Arm", F.pmod(F.col(k), F.lit(4)).cast("string")).alias("arm"),
         text("file", F.pmod(F.col(k), F.lit(50)).cast("string"), ".xlsx").alias("file"),
-        (F.col(k) + 2).alias("row_n"), uid.alias("uid"), kind.alias("sampletype"), text("order ", name).alias("name"),
-        parent.alias("parent"), F.when(_mod(k, 3), "Short Read Sequencing; Cell Culture").when(_mod(k, 3, 1), "RNA extraction")
+        (F.col(k) + 2).alias("row_n"), "uid", kind.alias("sampletype"), "name", "parent",
+        F.when(_mod(k, 3), "Short Read Sequencing; Cell Culture").when(_mod(k, 3, 1), "RNA extraction")
         .otherwise("Unlisted Assay").alias("assay_titles"), broken.alias("json_metadata"))
 
 
