@@ -103,16 +103,17 @@ def _hashed(spark: SparkSession, root: str, wanted: DataFrame, compression: str
     def read(batches):
         system, base = file_system(root)
         for batch in batches:
+            texts = []
             for path in batch.column("path").to_pylist():
                 digest = hashlib.md5()
                 try:
                     with system.open_input_stream(f"{base.rstrip('/')}/{path}", compression=compression) as stream:
                         while block := stream.read(_BLOCK):
                             digest.update(block)
-                    text = digest.hexdigest()
+                    texts.append(digest.hexdigest())
                 except OSError:
-                    text = None
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string())], schema=_DIGESTS)
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("path").cast(pa.string()), pa.array(texts, pa.string())], schema=_DIGESTS)
 
     return _dealt(wanted.select("path")).mapInArrow(read, "path string, md5 string")
 

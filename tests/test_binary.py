@@ -7,6 +7,7 @@ import random
 import tempfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,25 @@ def test_staged_digests_read_little(spark):
     assert found == {(p, 2) for p in ("big1", "big2", "small1", "small2", "e1", "e2")}
     gone = listing.union(spark.createDataFrame([("lost", 3)], "path string, length bigint"))
     assert files.staged_digests(spark, root, gone).where(F.col("path") == "lost").first()["bytes_read"] is None
+
+
+def test_digests_leave_in_the_batches_that_paths_came_in(spark, monkeypatch):
+    """One batch of paths gives one batch of digests, in order, null for a file that is not there."""
+    root = folder()
+    for i in range(5):
+        with open(f"{root}/{i}", "wb") as f:
+            f.write(b"x" * i)
+    taken = []
+
+    class Wanted:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, read, _):
+            taken.extend(read([pa.record_batch([["0", "3", "none", "4"]], ["path"]), pa.record_batch([["1"]], ["path"])]))
+
+    monkeypatch.setattr(files, "_dealt", lambda wanted: wanted)
+    files.file_digests(spark, root, Wanted())
+    md5 = lambda n: hashlib.md5(b"x" * n).hexdigest()
+    assert [list(zip(*b.to_pydict().values(), strict=True)) for b in taken] == [
+        [("0", md5(0)), ("3", md5(3)), ("none", None), ("4", md5(4))], [("1", md5(1))]]
