@@ -15,7 +15,7 @@ from samplewright.model import local_table
 from samplewright.operators import backfill, checks, filetree, flat, pulls, ranking
 from samplewright.plans import diffs, registry as r, trees
 from samplewright.plans.base import Book
-from samplewright.session import cut, scratch_path, spread
+from samplewright.session import cut, scratch_path, spread, stored
 from samplewright.sinks import binary, writers
 from samplewright.sources import archives, sheets, tables
 from samplewright.sources import files as sources
@@ -137,7 +137,7 @@ def consolidate(spark, sf):
     """Template workbooks to flat rows, written by arm and read back."""
     made = cut(workbook_files(spark, sf))
     arms = sources.template_files(made.select("path")).withColumnRenamed("path", "file")
-    records = sheets.four_sheet_records(made).join(arms, "file")
+    records = stored(sheets.four_sheet_records(made).join(arms, "file"), "records")  # workbooks are parsed once
     rows = flat.flat_rows(records, r.assay_cache(spark), r.synonyms(spark))
     path = writers.write_flat(rows, scratch_path(spark, "flat"))
     per_arm = flat.arm_counts(records.select("arm", "file"))

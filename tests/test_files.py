@@ -278,3 +278,14 @@ def test_disk_checks_run_the_path_rules_once(spark):
     for made in (trees._disk, trees._whole_disk):
         for part in made(spark, "/root/testdata/sf0.001"):
             assert all("/plan-" in path for path in part.inputFiles())
+
+
+def test_consolidation_reads_written_records(spark, monkeypatch):
+    """Rows and counts come from records that were written once, so workbooks are parsed once."""
+    from samplewright.plans import files as plans
+
+    taken, real = [], plans.flat.flat_rows
+    monkeypatch.setattr(plans.flat, "flat_rows", lambda records, *rest: taken.append(records) or real(records, *rest))
+    plans.consolidate(spark, "/root/testdata/sf0.001")
+    paths = taken[0].inputFiles()
+    assert len(paths) and all("/records-" in path for path in paths)
