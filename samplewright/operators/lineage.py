@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplewright.functions import text as t
+from samplewright.functions.layers import layer
 from samplewright.operators.contract import Contracted, contract
 from samplewright.operators.ranking import dense_index, first_rows
 from samplewright.operators.resolve import resolve_identifiers
@@ -23,6 +24,7 @@ from samplewright.operators.skew import BROADCAST_ROWS, FILTER_ROWS, among, hot_
 from samplewright.session import cut, scratch_path
 
 _FAR = {"up": ("child_uid", "parent_uid"), "down": ("parent_uid", "child_uid")}
+MOST_KINDS = 1000
 
 
 def lineage_edges(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -31,43 +33,63 @@ def lineage_edges(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     Rows that share a uid give their edges twice, which no walk below minds; take `distinct` before counting edges.
     """
     parents = F.array_distinct(t.split_list("parent"))
-    return rows.select(t.filled("uid").alias("child_uid"), F.explode(parents).alias("parent_uid"), *carry).where(
-        F.col("child_uid").isNotNull() & ~t.holds_any("parent_uid"))
+    held = layer(rows, *dict.fromkeys(["parent", *carry]), child_uid=t.filled("uid")).where("child_uid IS NOT NULL")
+    return held.select("child_uid", F.explode(parents).alias("parent_uid"), *carry).where(~t.holds_any("parent_uid"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _kind(uid: str) -> Column:
+    """What stands before the first hyphen of a uid, nothing where there is none. Equal uids are of one kind."""
+    return F.coalesce(t.uid_type(uid), F.lit(""))
+
+
+def _few(kinds: DataFrame) -> frozenset[tuple] | None:
+    """The distinct rows of a table of kinds, None if there are more than `MOST_KINDS`."""
+    rows = kinds.distinct().limit(MOST_KINDS + 1).collect()
+    return None if len(rows) > MOST_KINDS else frozenset(tuple(row) for row in rows)
+
+
 class Edges:
     """A table of edges that walks look up by one of its ends.
 
     While what is looked up is small, it is broadcast and the edges stay where they are. Up to `FILTER_ROWS` rows, only the edges
-    that pass a table of bits are shuffled. The first time there are more, all edges are shuffled; the second time they are written
-    once more, in buckets of the end they are looked up by, and from then on only the looked-up rows move. Hubs, whose edges would
-    make one bucket long, are kept apart and their rows are spread.
+    that pass a table of bits are shuffled. When there are more, only edges whose end is of a kind that is looked up can lead on. The
+    first time edges of these kinds are needed they are shuffled; the second time they are written once more, in buckets of the end
+    they are looked up by, and from then on only the looked-up rows move. Hubs, whose edges would make one bucket long, are kept
+    apart and their rows are spread.
     """
 
     def __init__(self, edges: DataFrame):
         self.table = edges
-        self._laid: dict[str, tuple[DataFrame, DataFrame | None, dict]] = {}
-        self._shuffled: set[str] = set()
+        self._laid: dict[tuple, tuple[DataFrame, DataFrame | None, dict]] = {}
+        self._shuffled: set[tuple] = set()
         self._hubs: dict[str, dict] = {"up": {}}  # a child cites few parents
+        self._kinds: list[frozenset[tuple] | None] = []
 
-    def step(self, direction: str) -> DataFrame:
+    def kinds(self) -> frozenset[tuple] | None:
+        """(kind of the child, kind of the parent) of all edges, None if there are too many. What tasks send is one row per pair."""
+        if not self._kinds:
+            self._kinds.append(_few(self.table.select(_kind("child_uid").alias("child"), _kind("parent_uid").alias("parent"))))
+        return self._kinds[0]
+
+    def step(self, direction: str, kinds: frozenset[tuple] | None = None) -> DataFrame:
         near, far = _FAR[direction]
-        return self.table.select(F.col(near).alias("uid"), F.col(far).alias("_next"))
+        step = self.table.select(F.col(near).alias("uid"), F.col(far).alias("_next"))
+        return step if kinds is None else step.where(_kind("uid").isin([kind for kind, in kinds]))
 
     def hubs(self, direction: str) -> dict:
         if direction not in self._hubs:
             self._hubs[direction] = hot_ways(self.step(direction), "uid")
         return self._hubs[direction]
 
-    def laid(self, direction: str) -> tuple[DataFrame, DataFrame | None, dict]:
-        """(edges in buckets, edges of hubs, ways of the hubs), written on first use."""
-        if direction not in self._laid:
+    def laid(self, direction: str, kinds: frozenset[tuple] | None = None) -> tuple[DataFrame, DataFrame | None, dict]:
+        """(edges in buckets, edges of hubs, ways of the hubs) of the kinds that are looked up, written on first use."""
+        if (direction, kinds) not in self._laid:
             spark = self.table.sparkSession
-            step = self.step(direction)
+            step = self.step(direction, kinds)
             hubs = self.hubs(direction)
             hot = None
             if hubs:
@@ -77,8 +99,8 @@ class Edges:
             buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
             step.repartition(buckets, "uid").write.bucketBy(buckets, "uid").sortBy("uid").option(
                 "path", scratch_path(spark, name)).saveAsTable(name)
-            self._laid[direction] = spark.table(name), hot, hubs
-        return self._laid[direction]
+            self._laid[direction, kinds] = spark.table(name), hot, hubs
+        return self._laid[direction, kinds]
 
     def meet(self, direction: str, frontier: DataFrame, rows: int) -> DataFrame:
         """Every edge that leads on from a row of `frontier(uid, …)`, of `rows` rows, as its columns and `_next`."""
@@ -87,10 +109,11 @@ class Edges:
         # Both sides are long here, whatever size the planner guesses from the files below: neither is broadcast.
         if rows <= FILTER_ROWS:
             return salted_join(among(self.step(direction), "uid", frontier, rows), frontier, "uid", "inner", self.hubs(direction), merged=True)
-        if direction not in self._shuffled:
-            self._shuffled.add(direction)
-            return salted_join(self.step(direction), frontier, "uid", "inner", self.hubs(direction), merged=True)
-        cold, hot, hubs = self.laid(direction)
+        kinds = _few(frontier.select(_kind("uid").alias("kind")))
+        if (direction, kinds) not in self._shuffled:
+            self._shuffled.add((direction, kinds))
+            return salted_join(self.step(direction, kinds), frontier, "uid", "inner", self.hubs(direction), merged=True)
+        cold, hot, hubs = self.laid(direction, kinds)
         met = cold.join(frontier.hint("merge"), "uid")
         return met if hot is None else met.unionByName(salted_join(hot, frontier, "uid", "inner", hubs, merged=True))
 
@@ -305,49 +328,87 @@ def child_types(starts: DataFrame, edges: DataFrame | Edges, nodes: DataFrame) -
     return below.join(nodes.select("uid", "sampletype"), "uid").select("sampletype").distinct()
 
 
-def descendant_types(edges: DataFrame | Edges, nodes: DataFrame, types: Sequence[str]) -> DataFrame:
+def descendant_types(edges: DataFrame | Edges, nodes: DataFrame, types: Sequence[str], typed: str | None = None) -> DataFrame:
     """For each node with descendants of the listed types: (uid, mask), bit i set for `types[i]`.
 
     Type sets travel upwards, one hop at a time, from the nodes whose set has just grown. The state is one row per
-    node, not one per pair of ancestor and descendant, and a hub parent's children are merged before the shuffle.
+    node, not one per pair of ancestor and descendant, and a hub parent's children are merged before the shuffle. `typed` names
+    a column of the edges with the child's type; the first hop is then read off the edges, and most nodes are never joined.
     """
     if len(types) > 60:
         raise ValueError("pass at most 60 types at a time")
-    bit = reduce(lambda chain, i: chain.when(F.col("sampletype") == types[i], 1 << i), range(1, len(types)),
-                 F.when(F.col("sampletype") == types[0], 1)).otherwise(0).cast("bigint")
-    return carried(nodes.select("uid", bit.alias("mask")), edges, "up", own=False)
+    own = F.col(typed or "sampletype")
+    bit = reduce(lambda chain, i: chain.when(own == types[i], 1 << i), range(1, len(types)),
+                 F.when(own == types[0], 1)).otherwise(0).cast("bigint")
+    if typed is None:
+        return carried(nodes.select("uid", bit.alias("mask")), edges, "up", own=False)
+    edges = as_edges(edges)
+    return carried(edges.table.select(F.col("parent_uid").alias("uid"), bit.alias("mask")), edges, "up")
 
 
 def parents_with_all_types(
-    edges: DataFrame | Edges, nodes: DataFrame, child_types: Sequence[str], parent_types: Sequence[str] | None = None
+    edges: DataFrame | Edges, nodes: DataFrame, child_types: Sequence[str], parent_types: Sequence[str] | None = None,
+    typed: str | None = None,
 ) -> DataFrame:
-    """Samples with descendants of all listed types; `parent_types` keeps samples of any of these types."""
+    """Samples with descendants of all listed types; `parent_types` keeps samples of any of these types. `typed` is as in
+    `descendant_types`."""
     wanted, edges = list(dict.fromkeys(child_types)), as_edges(edges)
     found = None
     for i in range(0, len(wanted), 60):
         part = wanted[i:i + 60]
-        full = descendant_types(edges, nodes, part).where(F.col("mask") == (1 << len(part)) - 1).select("uid")
+        full = descendant_types(edges, nodes, part, typed).where(F.col("mask") == (1 << len(part)) - 1).select("uid")
         found = full if found is None else found.join(full, "uid", "left_semi")
-    got = nodes.join(found, "uid", "left_semi")
-    return got.where(F.col("sampletype").isin(*parent_types)) if parent_types else got
+    asked = nodes.where(F.col("sampletype").isin(*parent_types)) if parent_types else nodes
+    return asked.join(found, "uid", "left_semi")
 
 
-def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Parents that are not among the nodes, with the number of their distinct children. Each is looked up once."""
-    cited = edges.select("child_uid", "parent_uid").distinct().groupBy("parent_uid").agg(F.count(F.lit(1)).alias("n_children"))
-    return cited.join(nodes.select(F.col("uid").alias("parent_uid")), "parent_uid", "left_anti")
+def _lost(edges: Edges, nodes: DataFrame) -> DataFrame:
+    """(uid) of the parents that are not among the nodes, each once. Nodes of a kind that no edge cites are not shuffled."""
+    cited = edges.table.select(F.col("parent_uid").alias("uid")).where("uid IS NOT NULL").distinct()
+    held, kinds = nodes.select("uid"), edges.kinds()
+    if kinds is not None:
+        held = held.where(_kind("uid").isin(sorted({parent for _, parent in kinds})))
+    return cited.join(held.hint("merge"), "uid", "left_anti")
+
+
+def orphans(edges: DataFrame | Edges, nodes: DataFrame) -> DataFrame:
+    """Parents that are not among the nodes, with the number of their distinct children. Each is looked up once, and only children
+    of those that are not found are told apart."""
+    edges = as_edges(edges)
+    lost = cut(_lost(edges, nodes))
+    cited = edges.meet("down", lost, lost.count()).select(F.col("uid").alias("parent_uid"), "_next").distinct()
+    return cited.groupBy("parent_uid").agg(F.count(F.lit(1)).alias("n_children"))
+
+
+def _ring_kinds(kinds: frozenset[tuple]) -> set[tuple]:
+    """The pairs of kinds that are left when those that lead nowhere are stripped. A cycle of samples is a closed walk of kinds, so
+    an edge of any other pair lies on none."""
+    left = set(kinds)
+    while True:
+        children, parents = {c for c, _ in left}, {p for _, p in left}
+        kept = {(c, p) for c, p in left if c in parents and p in children}
+        if kept == left:
+            return kept
+        left = kept
 
 
 class _Shrunk:
     """Edges of a graph with everything taken off that tells nothing about cycles, and what is needed to put it back.
 
-    Edges that lead nowhere are stripped; where that goes slowly, runs of single nodes become single edges, so that the rounds
-    do not follow the longest chain.
+    Edges of kinds that lie on no closed walk go where they are read, then those of samples that nobody cites; both before anything
+    is written. Edges that lead nowhere are stripped; where that goes slowly, runs of single nodes become single edges, so that the
+    rounds do not follow the longest chain.
     """
 
-    def __init__(self, edges: DataFrame, step: Callable[[str], None]):
+    def __init__(self, edges: DataFrame | Edges, step: Callable[[str], None]):
         self.step = step
-        every = cut(edges.select("child_uid", "parent_uid").distinct())
+        edges = as_edges(edges)
+        pairs, kinds = edges.table.select("child_uid", "parent_uid"), edges.kinds()
+        if kinds is not None:
+            # A kind holds no hyphen, so one tells the two of a pair apart.
+            pairs = pairs.where(F.concat(_kind("child_uid"), F.lit("-"), _kind("parent_uid")).isin(sorted(f"{c}-{p}" for c, p in _ring_kinds(kinds))))
+        cited = pairs.select(F.col("parent_uid").alias("child_uid")).distinct()
+        every = cut(pairs.join(cited.hint("merge"), "child_uid", "left_semi").distinct())
         self.levels: list[Contracted] = []
         self.found: list[DataFrame] = []
         self.loops = every.where("child_uid = parent_uid").select(F.col("child_uid").alias("uid"))
@@ -407,7 +468,7 @@ class _Shrunk:
         return tagged.groupBy("uid").agg(F.coalesce(F.max("cycle_id"), "uid").alias("cycle_id"), F.max("looped").alias("looped"))
 
 
-def cycle_nodes(edges: DataFrame, step: Callable[[str], None] = lambda name: None) -> DataFrame:
+def cycle_nodes(edges: DataFrame | Edges, step: Callable[[str], None] = lambda name: None) -> DataFrame:
     """(uid, cycle_id) for every sample that is its own ancestor; `cycle_id` is the largest uid of its cycle group.
 
     First all edges that cannot lie on a cycle are stripped, and chains are contracted: an acyclic table ends here, after as many
@@ -415,12 +476,13 @@ def cycle_nodes(edges: DataFrame, step: Callable[[str], None] = lambda name: Non
     and itself; going back down from that uid within the same colour gives one strongly connected group, which is set aside, and
     the rest goes round again. The state is one row per node. `step` is told the name of every round.
     """
+    edges = as_edges(edges)
     graph = _Shrunk(edges, step)
     while graph.shrink():
         graph.take(cut(_same_colour_down(graph.live, _largest_ancestor(graph.live, step))))
     named = graph.nodes()
     if named is None:
-        return edges.select(F.col("child_uid").alias("uid"), F.col("parent_uid").alias("cycle_id")).limit(0)
+        return edges.table.select(F.col("child_uid").alias("uid"), F.col("parent_uid").alias("cycle_id")).where(F.lit(False))
     named = cut(named)
     # A group of one node is a cycle only if the node leads to itself.
     groups = named.groupBy("cycle_id").agg(F.max("uid").alias("top"), F.count(F.lit(1)).alias("n"), F.max("looped").alias("looped"))
@@ -454,9 +516,10 @@ def _same_colour_down(live: DataFrame, colour: DataFrame) -> DataFrame:
     return closure(roots, cut(within), "up", "cycle_id").select("uid", "cycle_id")
 
 
-def dag_check(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def dag_check(edges: DataFrame | Edges, nodes: DataFrame) -> DataFrame:
     """Counts of orphaned parents and of samples on cycles, and whether the batch is a sound DAG."""
-    lost = orphans(edges, nodes).agg(F.count(F.lit(1)).alias("n_orphans"), F.lit(0).cast("bigint").alias("n_in_cycles"))
+    edges = as_edges(edges)
+    lost = _lost(edges, nodes).agg(F.count(F.lit(1)).alias("n_orphans"), F.lit(0).cast("bigint").alias("n_in_cycles"))
     loops = cycle_nodes(edges).agg(F.lit(0).cast("bigint").alias("n_orphans"), F.count(F.lit(1)).alias("n_in_cycles"))
     both = lost.union(loops).agg(F.sum("n_orphans").alias("n_orphans"), F.sum("n_in_cycles").alias("n_in_cycles"))
     ok: Column = (F.col("n_orphans") == 0) & (F.col("n_in_cycles") == 0)
