@@ -21,7 +21,7 @@ from samplewright.operators.contract import Contracted, contract
 from samplewright.operators.ranking import dense_index, first_rows
 from samplewright.operators.resolve import resolve_identifiers
 from samplewright.operators.skew import BROADCAST_ROWS, FILTER_ROWS, among, hot_ways, salted_join
-from samplewright.session import cut, scratch_path
+from samplewright.session import cut, scratch_path, stored
 
 _FAR = {"up": ("child_uid", "parent_uid"), "down": ("parent_uid", "child_uid")}
 MOST_KINDS = 1000
@@ -68,6 +68,7 @@ class Edges:
         self._shuffled: set[tuple] = set()
         self._hubs: dict[str, dict] = {"up": {}}  # a child cites few parents
         self._kinds: list[frozenset[tuple] | None] = []
+        self._onward: Edges | None = None
 
     def kinds(self) -> frozenset[tuple] | None:
         """(kind of the child, kind of the parent) of all edges, None if there are too many. What tasks send is one row per pair."""
@@ -75,6 +76,14 @@ class Edges:
             self._kinds.append(_few(self.table.select(_kind("child_uid").alias("child"), _kind("parent_uid").alias("parent"))))
         return self._kinds[0]
 
+    def onward(self) -> Edges:
+        """The edges that may lead on from a parent, upwards: those of children whose kind is some parent's too, written once."""
+        if self._onward is None:
+            kinds = self.kinds()
+            held = None if kinds is None else self.table.where(_kind("child_uid").isin(sorted({parent for _, parent in kinds})))
+            self._onward = self if held is None else Edges(stored(held.select("child_uid", "parent_uid"), "onward"))
+        return self._onward
+
     def step(self, direction: str, kinds: frozenset[tuple] | None = None) -> DataFrame:
         near, far = _FAR[direction]
         step = self.table.select(F.col(near).alias("uid"), F.col(far).alias("_next"))
@@ -343,7 +352,8 @@ def descendant_types(edges: DataFrame | Edges, nodes: DataFrame, types: Sequence
     if typed is None:
         return carried(nodes.select("uid", bit.alias("mask")), edges, "up", own=False)
     edges = as_edges(edges)
-    return carried(edges.table.select(F.col("parent_uid").alias("uid"), bit.alias("mask")), edges, "up")
+    first = edges.table.select(F.col("parent_uid").alias("uid"), bit.alias("mask"))
+    return carried(first, edges.onward(), "up")
 
 
 def parents_with_all_types(

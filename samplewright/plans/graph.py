@@ -142,7 +142,8 @@ SELECT uid, sampletype FROM nodes WHERE sampletype IN ('NAT', 'CUS') AND uid IN
   SELECT top FROM below WHERE split_part(uid, '-', 1) IN ('ORD', 'D.LIN') GROUP BY top HAVING count(DISTINCT split_part(uid, '-', 1)) = 2)""")
 def parents_by_child_types(spark, sf):
     nodes = r.nodes(spark, sf)
-    found = lineage.parents_with_all_types(_edges(spark, sf), nodes, ["ORD", "D.LIN"], ["NAT", "CUS"])
+    edges = stored(lineage.lineage_edges(nodes, ["sampletype"]), "edges")
+    found = lineage.parents_with_all_types(edges, nodes, ["ORD", "D.LIN"], ["NAT", "CUS"], typed="sampletype")
     return found.select("uid", "sampletype")
 
 

@@ -58,8 +58,8 @@ def nodes(spark: SparkSession, sf: str, lines: bool = True) -> DataFrame:
         rows = table(spark, sf, name)
         return layer(
             spread(rows) if name == "orders" else rows, sample_id=F.col(key).cast("bigint") * 10 + code, uid=_uid(kind, key),
-            sampletype=F.lit(kind), name=label, parent=parent,
-        ).select("sample_id", "uid", "sampletype", "name", "parent")
+            name=label, parent=parent,
+        ).select("sample_id", "uid", F.lit(kind).alias("sampletype"), "name", "parent")  # a filter by type leaves out whole tables
 
     out = part("region", "REG", "r_regionkey", F.col("r_name"), F.lit(""), 1)
     out = out.union(part("nation", "NAT", "n_nationkey", F.col("n_name"), _uid("REG", "n_regionkey"), 2))
@@ -74,10 +74,10 @@ def nodes(spark: SparkSession, sf: str, lines: bool = True) -> DataFrame:
 def line_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return layer(
         spread(table(spark, sf, "lineitem")), sample_id=F.lit(None).cast("bigint"),
-        uid=_uid("D.LIN", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), sampletype=F.lit("D.LIN"),
+        uid=_uid("D.LIN", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
         name=F.concat(F.lit("line "), _cast("l_linenumber")),
         parent=F.concat(_uid("ORD", "l_orderkey"), F.lit("; "), _uid("PRT", "l_partkey")),
-    ).select("sample_id", "uid", "sampletype", "name", "parent")
+    ).select("sample_id", "uid", F.lit("D.LIN").alias("sampletype"), "name", "parent")
 
 
 _U = lambda kind, key: f"'{kind}-{DATE}{LAB}-' || {key}"

@@ -66,3 +66,19 @@ def test_long_frontiers_meet_edges_of_their_kinds(spark, monkeypatch, most):
         assert edges.meet("down", starts, 300).distinct().count() == n
     if most:
         assert edges.step("down", frozenset([("CUS",)])).count() == 30
+
+
+def test_types_of_children_are_read_off_the_edges(spark, monkeypatch):
+    """The walk starts from parents: no child that nobody cites is ever looked up, and the rest of the edges is small."""
+    met = []
+    real = lineage.Edges.meet
+    monkeypatch.setattr(lineage.Edges, "meet", lambda self, way, frontier, rows: [met.append((rows, self.table.count())), real(self, way, frontier, rows)][1])
+    edges, _ = registry(spark)
+    nodes = spark.createDataFrame([(f"{k}-{i}", k) for k, n in (("LIN", 300), ("ORD", 30), ("CUS", 5)) for i in range(n)], "uid string, sampletype string")
+    typed = edges.withColumn("sampletype", lineage._kind("child_uid"))
+    for most in (1000, 0):
+        monkeypatch.setattr(lineage, "MOST_KINDS", most)
+        got = lineage.parents_with_all_types(typed, nodes, ["ORD", "LIN"], ["CUS"], typed="sampletype").collect()
+        assert {r["uid"] for r in got} == {f"CUS-{i}" for i in range(5)}
+        assert max(rows for rows, _ in met) == 35 and max(n for _, n in met) == (30 if most else 330)
+    assert sorted(lineage.parents_with_all_types(edges, nodes, ["ORD", "LIN"]).collect()) == sorted(got)
