@@ -168,20 +168,24 @@ def grouped_uploads(spark, sf):
 
 # --- archives and text files -----------------------------------------------------------------------------------------
 
+_DOCS_A_TASK = 5_000
+
+
 def archive_files(spark, sf):
-    """Zip files of at most 100 documents each, as (path, content)."""
+    """Zip files of at most 100 documents each, as (path, content). A task makes about 50, whatever the number of documents, so what
+    leaves it at once does not grow."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(docs: pa.Table) -> pa.Table:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("docs/", "")
-            for doc_id, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
-                z.writestr(f"docs/{lang}/d_{doc_id}.txt", text)
-        return pd.DataFrame({"path": [f"/zips/part_{int(pdf['chunk'].iloc[0])}.zip"], "content": [out.getvalue()]})
+            for doc_id, lang, text in zip(docs["doc_id"], docs["lang"], docs["text"], strict=True):
+                z.writestr(f"docs/{lang}/d_{doc_id}.txt", text.as_py() or "")
+        return pa.table({"path": [f"/zips/part_{docs['chunk'][0]}.zip"], "content": [out.getvalue()]})
 
-    docs = r.table(spark, sf, "documents").select("doc_id", "lang", "text").withColumn("chunk", F.expr("doc_id div 100")).repartition(
-        spark.sparkContext.defaultParallelism, "chunk")
-    return docs.groupBy("chunk").applyInPandas(pack, "path string, content binary")
+    docs = r.table(spark, sf, "documents").select("doc_id", "lang", "text").withColumn("chunk", F.expr("doc_id div 100"))
+    tasks = max(spark.sparkContext.defaultParallelism, docs.count() // _DOCS_A_TASK)
+    return docs.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(pack, "path string, content binary")
 
 
 @book.query("SELECT 'part_' || doc_id // 100 || '.zip' AS zip_name, 'docs/' || lang || '/d_' || doc_id || '.txt' AS member, 'd_' || doc_id || '.txt' AS filename FROM documents")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 from samplewright.session import cut
 from samplewright.sources.files import file_system, resolved
@@ -60,16 +60,18 @@ class _Writer(DataSourceWriter):
             system.delete_dir(f"{base}/{self._temporary()}")
 
 
-class _FileWriter(_Writer):
-    def write(self, rows: Iterator) -> Written:
+class _FileWriter(_Writer, DataSourceArrowWriter):
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        """Contents go from the batch they came in to the file: one batch is held and nothing is copied."""
         system, base = self._place()
+        system.create_dir(f"{base}/{self._temporary()}", recursive=True)
         out = Written()
-        for row in rows:
-            name = f"{self._temporary()}/{uuid.uuid4().hex}"
-            system.create_dir(f"{base}/{self._temporary()}", recursive=True)
-            with system.open_output_stream(f"{base}/{name}") as file:
-                file.write(bytes(row["content"]))
-            out.files.append((name, row["path"]))
+        for batch in iterator:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                name = f"{self._temporary()}/{uuid.uuid4().hex}"
+                with system.open_output_stream(f"{base}/{name}") as file:
+                    file.write(content.as_buffer())
+                out.files.append((name, path))
         return out
 
 
