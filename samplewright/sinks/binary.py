@@ -22,6 +22,7 @@ from samplewright.sources.files import file_system, resolved
 
 BLOCK = 1 << 20
 PART = 64 << 20
+RUN = 256
 
 
 @dataclass
@@ -102,22 +103,35 @@ class _MemberWriter(_Writer):
     def write(self, rows: Iterator) -> Written:
         system, base = self._place()
         away, top = file_system(self.sources)
+        system.create_dir(f"{base}/{self._temporary()}", recursive=True)
         out = Written()
-        for row in rows:
-            name = f"{self._temporary()}/{uuid.uuid4().hex}"
-            system.create_dir(f"{base}/{self._temporary()}", recursive=True)
-            packer = zlib.compressobj(wbits=31)  # a whole gzip member
-            with away.open_input_file(f"{top.rstrip('/')}/{row['path']}") as source, system.open_output_stream(f"{base}/{name}") as file:
-                source.seek(row["start"])
-                left = row["length"]
-                while left:
-                    block = source.read(min(BLOCK, left))
-                    if not block:
-                        raise OSError(f"{row['path']} is shorter than planned")
-                    left -= len(block)
-                    file.write(packer.compress(block))
+        file = packer = following = None
+        try:
+            for row in rows:
+                # A run goes on with the very next source of its output only, so nothing else belongs between two of its sources.
+                if row["run"] is None or (row["output"], row["run"], row["source_no"]) != following:
+                    if file:
+                        file.write(packer.flush())
+                        file.close()
+                    name = f"{self._temporary()}/{uuid.uuid4().hex}"
+                    file = system.open_output_stream(f"{base}/{name}")
+                    packer = zlib.compressobj(wbits=31)  # a whole gzip member
+                    out.files.append((name, f"{row['output']}{_PARTS}/{row['source_no']:010d}-{row['part_no']:010d}"))
+                following = row["output"], row["run"], row["source_no"] + 1
+                with away.open_input_file(f"{top.rstrip('/')}/{row['path']}") as source:
+                    source.seek(row["start"])
+                    left = row["length"]
+                    while left:
+                        block = source.read(min(BLOCK, left))
+                        if not block:
+                            raise OSError(f"{row['path']} is shorter than planned")
+                        left -= len(block)
+                        file.write(packer.compress(block))
+            if file:
                 file.write(packer.flush())
-            out.files.append((name, f"{row['output']}{_PARTS}/{row['source_no']:010d}-{row['part_no']:010d}"))
+        finally:
+            if file:
+                file.close()
         return out
 
 
@@ -125,7 +139,10 @@ _PARTS = ".parts"
 
 
 class MemberSink(DataSource):
-    """Rows (output, source_no, part_no, path, start, length) become gzip members `output.parts/<source>-<part>` below `path`."""
+    """Rows (output, source_no, part_no, path, start, length, run) become gzip members `output.parts/<source>-<part>` below `path`.
+
+    Sources that follow each other in a run, a number or null, make one member, named by the first of them.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -139,8 +156,8 @@ def merge_sources(sources: DataFrame, source_root: str, root: str, part: int = P
     """Merge files into gzip files, byte for byte: `sources(output, source_no, path, size)` below `source_root` become `output`
     below `root`, in the order of `source_no`. Returns (output, n_sources, src_bytes, gzip_bytes).
 
-    Every range of `part` bytes is packed by whichever task gets it, so one large source is spread; members are then put one
-    after another, which makes a gzip file of them, by one task per output that copies packed bytes. What is already merged under
+    Every range of `part` bytes is packed by whichever task gets it, so one large source is spread; small sources are packed in runs
+    of up to `RUN`, at most `part` bytes, so there are far fewer members than sources. Members are then put one after another, which makes a gzip file of them, by one task per output that copies packed bytes. What is already merged under
     its name is not touched.
     """
     spark = sources.sparkSession
@@ -149,8 +166,10 @@ def merge_sources(sources: DataFrame, source_root: str, root: str, part: int = P
     last = F.greatest(F.ceil(F.col("size") / part).cast("bigint") - 1, F.lit(0).cast("bigint"))
     ranges = sources.select("output", F.col("source_no").cast("bigint").alias("source_no"), "path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part_no"))
     ranges = ranges.select("output", "source_no", "part_no", "path", (F.col("part_no") * part).alias("start"),
-                           F.least(F.lit(part).cast("bigint"), F.col("size") - F.col("part_no") * part).alias("length"))
-    dealt = ranges.repartition(spark.sparkContext.defaultParallelism * 4)
+                           F.least(F.lit(part).cast("bigint"), F.col("size") - F.col("part_no") * part).alias("length"),
+                           F.when(F.col("size") <= part // RUN, F.expr(f"source_no div {RUN}")).alias("run"))
+    dealt = ranges.repartition(spark.sparkContext.defaultParallelism * 4, "output", F.coalesce("run", -1 - F.col("source_no")), "part_no")
+    dealt = dealt.sortWithinPartitions("output", "source_no", "part_no")
     dealt.write.format(MemberSink.name()).mode("append").option("sources", source_root).save(root)
     outputs = sources.groupBy("output").agg(F.count(F.lit(1)).alias("n_sources"), F.sum("size").cast("bigint").alias("src_bytes"))
     done = outputs.repartition(spark.sparkContext.defaultParallelism * 4, "output").select("output").mapInArrow(
